@@ -1,0 +1,5 @@
+"""No stream job exists in the feature set, so this package holds none.
+
+The row-wise builders in ``twinlens.functions`` are plain column expressions and
+therefore also apply to a streaming DataFrame (see tests/test_streaming.py).
+"""

@@ -12,8 +12,18 @@ def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` with ``value`` bound once. A lambda evaluates every outer expression again
+    for each element, so sums over the vector must be bound before they are used inside."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def total(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+
+
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(as_double(a), as_double(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return total(F.zip_with(as_double(a), as_double(b), lambda x, y: x * y))
 
 
 def norm(v: Column) -> Column:
@@ -22,8 +32,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit vector; a zero vector gives NaN in every place, as division by its norm does."""
-    n = norm(v)
-    return F.transform(as_double(v), lambda x: F.when(n > 0, x / n).otherwise(F.lit(float("nan"))))
+    scaled = lambda n: F.transform(as_double(v), lambda x: F.when(n > 0, x / n).otherwise(F.lit(float("nan"))))
+    return let(norm(v), scaled)
 
 
 def cosine(a: Column, b: Column, eps: float = 1e-8) -> Column:
@@ -31,15 +41,15 @@ def cosine(a: Column, b: Column, eps: float = 1e-8) -> Column:
 
 
 def euclidean(a: Column, b: Column) -> Column:
-    sq = F.zip_with(as_double(a), as_double(b), lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, x: s + x))
+    return F.sqrt(total(F.zip_with(as_double(a), as_double(b), lambda x, y: (x - y) * (x - y))))
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(as_double(v))
-    e = F.transform(as_double(v), lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    def spread(e):
+        return let(total(e), lambda t: F.transform(e, lambda x: x / t))
+
+    shifted = let(F.array_max(as_double(v)), lambda top: F.transform(as_double(v), lambda x: F.exp(x - top)))
+    return let(shifted, spread)
 
 
 def sigmoid(v: Column) -> Column:
@@ -69,8 +79,8 @@ def masked_mean_pool(tokens: Column, mask: Column, floor: float = 1e-9) -> Colum
     zero = F.transform(F.sequence(F.lit(1), width), lambda _: F.lit(0.0))
     weighted = F.zip_with(tokens, mask, lambda t, m: F.transform(as_double(t), lambda x: x * m))
     sums = F.aggregate(weighted, zero, lambda s, t: F.zip_with(s, t, lambda x, y: x + y))
-    total = F.greatest(F.aggregate(mask.cast("array<double>"), F.lit(0.0), lambda s, m: s + m), F.lit(floor))
-    return F.transform(sums, lambda x: x / total)
+    kept = F.greatest(total(mask.cast("array<double>")), F.lit(floor))
+    return let(kept, lambda n: F.transform(sums, lambda x: x / n))
 
 
 def mean_pool(tokens: Column) -> Column:

@@ -16,16 +16,14 @@ from pyspark.sql import functions as F
 from twinlens.operators import metrics as M
 from twinlens.operators.ranking import number_rows, score_buckets
 from twinlens.operators.sampling import bootstrap_draws
-from twinlens.session import small_side
+from twinlens.session import collect_few
 
 MAX_CELLS = 1_000_000
 
 
 def cell_limits(df: DataFrame, cells: Sequence[str]) -> tuple[list, list[int]]:
     """Sorted distinct cells and their cumulative counts; labels are few, so this is small."""
-    rows = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("__n")).limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} distinct cells of {list(cells)}")
+    rows = collect_few(df.groupBy(*cells).agg(F.count(F.lit(1)).alias("__n")), MAX_CELLS)
     rows = sorted(rows, key=lambda r: tuple(r[c] for c in cells))
     limits, total = [0], 0
     for r in rows:

@@ -68,3 +68,11 @@ def small_side(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20
     if table.num_rows > max_rows or table.nbytes > max_bytes:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema))
+
+
+def collect_few(df: DataFrame, most: int = 10_000) -> list:
+    """All rows of a frame that must be small, such as a vocabulary; fails when it is not."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows where a small table is needed")
+    return rows

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from twinlens.workload import basic, evaluation, language, relational, vectors  # noqa: F401
+from twinlens.workload import basic, evaluation, language, models, relational, vectors  # noqa: F401
 from twinlens.workload.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

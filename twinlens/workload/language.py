@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from twinlens.functions import answers as Y
 from twinlens.functions import prompt_texts as P
 from twinlens.functions import text as T
+from twinlens.session import collect_few
 from twinlens.workload.base import query, table
 
 # Coded columns made of order and customer values, the same way in both engines.
@@ -241,7 +242,7 @@ def txt_prompt_dispatch(spark, sf):
 )
 def txt_classification_prompt(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    langs = sorted(x[0] for x in docs.select("lang").distinct().limit(1000).collect())
+    langs = sorted(x[0] for x in collect_few(docs.select("lang").distinct()))
     t = F.col("text")
     return docs.select(
         "doc_id",
@@ -325,7 +326,7 @@ def prs_multilabel_columns(spark, sf):
 )
 def prs_multilabel_vocab(spark, sf):
     df = table(spark, sf, "part")
-    words = df.filter("p_size > 10").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().limit(10_000).collect()
+    words = collect_few(df.filter("p_size > 10").select(F.explode(F.split("p_name", " ")).alias("w")).distinct())
     vocabulary = F.array(*[F.lit(w) for w in sorted(x[0] for x in words)])
     hits = Y.vocabulary_labels(F.concat_ws(" ", "p_name", "p_type"), vocabulary)
     return df.select("p_partkey", F.explode(F.arrays_zip(vocabulary.alias("label"), hits.alias("hit"))).alias("x")).select("p_partkey", "x.label", "x.hit")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from twinlens.functions import strings as S
 from twinlens.functions import vectors as V
+from twinlens.session import collect_few
 from twinlens.workload.base import query, r, rs, table
 
 
@@ -74,7 +75,7 @@ def arr_cosine(spark, sf):
 def arr_multi_hot(spark, sf):
     df = table(spark, sf, "part").select("p_partkey", "p_size", S.split_labels(F.concat_ws(", ", "p_type", "p_name")).alias("labels"))
     train = df.filter("p_size <= 40")
-    vocabulary = sorted(x[0] for x in train.select(F.explode("labels")).distinct().limit(10_000).collect())
+    vocabulary = sorted(x[0] for x in collect_few(train.select(F.explode("labels")).distinct()))
     rows = df.select("p_partkey", V.multi_hot(F.col("labels"), vocabulary).alias("hot"))
     names = F.array(*[F.lit(w) for w in vocabulary])
     return rows.select("p_partkey", F.explode(F.arrays_zip(names.alias("label"), F.col("hot"))).alias("x")).select("p_partkey", "x.label", "x.hot")

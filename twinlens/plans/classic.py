@@ -23,10 +23,10 @@ OVR_MODELS = ("random_forest", "logistic", "svm")
 BENCH_MODELS = ("random_forest", "decision_tree", "logistic", "knn", "svm")
 
 
-def estimator(name: str, seed: int = 42, max_iter: int = 100):
+def estimator(name: str, seed: int = 42, max_iter: int = 100, trees: int = 100):
     common = {"featuresCol": "features", "labelCol": "y"}
     return {
-        "random_forest": lambda: RandomForestClassifier(seed=seed, numTrees=100, maxDepth=8, **common),
+        "random_forest": lambda: RandomForestClassifier(seed=seed, numTrees=trees, maxDepth=8, **common),
         "decision_tree": lambda: DecisionTreeClassifier(seed=seed, maxDepth=8, **common),
         "logistic": lambda: LogisticRegression(maxIter=max_iter, **common),
         # the kernel machine has no distributed form; the linear one stands in for it
@@ -38,12 +38,15 @@ def with_features(df: DataFrame, vector: str, label: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))).withColumn("y", F.col(label).cast("double"))
 
 
-def one_vs_rest_models(train: DataFrame, test: DataFrame, vector: str, label: str, key: str, models=OVR_MODELS, seed: int = 42) -> DataFrame:
-    """(model, key, y_true, y_pred): every model as one binary classifier per class."""
+def one_vs_rest_models(train: DataFrame, test: DataFrame, vector: str, label: str, key: str, models=OVR_MODELS, seed: int = 42, **options) -> DataFrame:
+    """(model, key, y_true, y_pred): every model as one binary classifier per class.
+
+    The binary fits run side by side. ``options``: max_iter, trees.
+    """
     fitted, out = with_features(train, vector, label).select("features", "y").persist(), None
     rows = with_features(test, vector, label)
     for name in models:
-        model = OneVsRest(classifier=estimator(name, seed, 25), featuresCol="features", labelCol="y").fit(fitted)
+        model = OneVsRest(classifier=estimator(name, seed, **options), featuresCol="features", labelCol="y", parallelism=8).fit(fitted)
         one = _scored(model, rows, name, key)
         out = one if out is None else out.unionByName(one)
     fitted.unpersist()
@@ -55,7 +58,7 @@ def _scored(model, rows: DataFrame, name: str, key: str) -> DataFrame:
     return p.select(F.lit(name).alias("model"), key, F.col("y").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
 
 
-def model_bench(train: DataFrame, test: DataFrame, vector: str, label: str, key: str, models=BENCH_MODELS, seed: int = 42) -> DataFrame:
+def model_bench(train: DataFrame, test: DataFrame, vector: str, label: str, key: str, models=BENCH_MODELS, seed: int = 42, **options) -> DataFrame:
     """(model, n, accuracy, weighted precision / recall / F1, macro_f1) of five models."""
     fitted, out = with_features(train, vector, label).persist(), None
     rows = with_features(test, vector, label)
@@ -66,8 +69,8 @@ def model_bench(train: DataFrame, test: DataFrame, vector: str, label: str, key:
                 F.lit(name).alias("model"), key, "y_true", F.col("vote").cast("int").alias("y_pred")
             )
         else:
-            base = estimator(name, seed, 25)
-            model = (OneVsRest(classifier=base, featuresCol="features", labelCol="y") if name == "svm" else base).fit(fitted)
+            base = estimator(name, seed, **options)
+            model = (OneVsRest(classifier=base, featuresCol="features", labelCol="y", parallelism=8) if name == "svm" else base).fit(fitted)
             one = _scored(model, rows, name, key)
         out = one if out is None else out.unionByName(one)
     fitted.unpersist()

@@ -304,8 +304,10 @@ def validation(model: Model, val: DataFrame, weights) -> dict:
     }
 
 
-def fit(train: DataFrame, val: DataFrame, labels: list[str], options: Options, key: str = "sample_id") -> Model:
-    """Trains one head. Both frames have ``key``, ``y`` (array: class index, or 0/1 per
+def fit(
+    train: DataFrame, val: DataFrame, labels: list[str], options: Options, key: str = "sample_id", start: tuple[dict, dict] | None = None
+) -> Model:
+    """Trains one head, from random parameters or from the (parameters, moments) in ``start``. Both frames have ``key``, ``y`` (array: class index, or 0/1 per
     label), ``text_emb`` and ``image_emb``.
 
     The epoch with the best validation macro-F1 is kept (for the early head and for
@@ -325,7 +327,7 @@ def fit(train: DataFrame, val: DataFrame, labels: list[str], options: Options, k
     totals = batch_totals(rows, spec)
     whole = {"n": sum(b["n"] for b in totals.values()), "classes": sum(b["classes"] for b in totals.values())}
     weights = label_weights(whole, spec, o.weighted)
-    params, running = spec.start(o.seed)
+    params, running = start or spec.start(o.seed)
     optimizer = Adam(params, o.lr, DECAY if o.optimizer == "adamw" else 0.0)
     by_loss = o.method == "mlp_early" or o.loss == "bce"
     best, best_score, stale, number, history = None, -math.inf, 0, 0, []
@@ -394,12 +396,12 @@ class Experiment:
         y = F.array(F.col("index").cast("double")).alias("y")
         return {s: p.join(coded, "label").select("sample_id", y, "text_emb", "image_emb") for s, p in parts.items()}, labels
 
-    def run(self, options: Options) -> tuple[Model, DataFrame]:
+    def run(self, options: Options, start=None) -> tuple[Model, DataFrame]:
         """(model, predictions): sample_id, y_true, y_pred, probs and gates on the test rows."""
         if options.loss != "ce":
             raise ValueError("the fixed protocol is single-label")
         parts, labels = self.encoded()
-        model = fit(parts["train"], parts["val"], labels, options)
+        model = fit(parts["train"], parts["val"], labels, options, start=start)
         return model, predict(model, parts["test"])
 
     def metrics(self, predictions: DataFrame) -> DataFrame:

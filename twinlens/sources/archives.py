@@ -37,20 +37,24 @@ def _tar_members(stream):
                 yield m.name, t.extractfile(m).read()
 
 
-def _members(spark: SparkSession, path, reader) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(lambda it: _rows(it, reader), "file_path string, data binary")
+def open_files(spark: SparkSession, path) -> DataFrame:
+    """One row per archive file; an archive must be below 2 GB, the limit of a binary value."""
+    return spark.read.format("binaryFile").load(path).select("content")
 
 
-def zip_texts(spark: SparkSession, path, wanted: DataFrame, key: str) -> DataFrame:
-    """``wanted`` with the text of its member; null when the archive lacks it."""
-    texts = _members(spark, path, _zip_members).select(
-        F.col("file_path").alias(key), F.decode("data", "UTF-8").alias("text")
-    )
+def members(archives: DataFrame, kind: str) -> DataFrame:
+    """(file_path, data) of all members of the zip or tar archives in column ``content``."""
+    reader = {"zip": _zip_members, "tar": _tar_members}[kind]
+    return archives.select("content").mapInPandas(lambda it: _rows(it, reader), "file_path string, data binary")
+
+
+def zip_texts(archives: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``wanted`` with the text of its member; null when no archive has it."""
+    texts = members(archives, "zip").select(F.col("file_path").alias(key), F.decode("data", "UTF-8").alias("text"))
     return wanted.join(texts, key, "left")
 
 
-def tar_subset(spark: SparkSession, path, wanted: DataFrame, key: str) -> DataFrame:
+def tar_subset(archives: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """(key, data) of the tar members that ``wanted`` names."""
-    members = _members(spark, path, _tar_members).withColumnRenamed("file_path", key)
-    return members.join(wanted.select(key).distinct(), key, "left_semi")
+    found = members(archives, "tar").withColumnRenamed("file_path", key)
+    return found.join(wanted.select(key), key, "left_semi")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinlens.session import small_side
+
 # Text columns hold line breaks and quotes.
 CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "nullValue": "", "emptyValue": '""'}
 
@@ -28,21 +31,28 @@ def read_lines(spark: SparkSession, path, name: str) -> DataFrame:
 
 
 def read_numbered_lines(spark: SparkSession, path, name: str) -> DataFrame:
-    """(file, line, name): 0-based line numbers inside each file.
+    """(line, name): 0-based line numbers over all files, in the order of their names.
 
-    Reads a file as one record, so it is meant for list files and not for large tables.
+    Large files are read in splits as usual: lines are numbered inside a split, and the
+    split's first number comes from the line counts of the splits before it.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
-    # one final line break ends the last line and does not start another
-    body = F.regexp_replace(F.col("value"), r"\r?\n\z", "")
-    return whole.select("file", F.posexplode(F.split(body, r"\r?\n")).alias("line", name))
+    at = [F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__s")]
+    lines = spark.read.text(path).select(*at, F.col("value").alias(name), F.monotonically_increasing_id().alias("__m"))
+    counts = lines.groupBy("__f", "__s").agg(F.count(F.lit(1)).alias("__n"))
+    # one row per split of the files
+    starts = counts.select(
+        F.col("__f").alias("__of"), F.col("__s").alias("__os"), (F.sum("__n").over(W.orderBy("__f", "__s")) - F.col("__n")).alias("__start")
+    )
+    starts = small_side(starts)
+    inside = F.row_number().over(W.partitionBy("__f", "__s").orderBy("__m"))
+    numbered = lines.withColumn("__r", inside).join(starts, (F.col("__f") == F.col("__of")) & (F.col("__s") == F.col("__os")))
+    return numbered.select((F.col("__start") + F.col("__r") - 1).alias("line"), name)
 
 
 def read_alternating(spark: SparkSession, path, first: str = "question", second: str = "answer") -> DataFrame:
-    """(file, pair, first, second): even lines are questions, odd lines answers, stripped."""
+    """(pair, first, second): even lines are questions, odd lines answers, stripped."""
     lines = read_numbered_lines(spark, path, "text").withColumn("text", F.btrim("text", F.lit(" \t\r\n")))
-    pair = F.expr("line div 2").alias("pair")
-    return lines.groupBy("file", pair).agg(
+    return lines.groupBy(F.expr("line div 2").alias("pair")).agg(
         F.max(F.when(F.col("line") % 2 == 0, F.col("text"))).alias(first),
         F.max(F.when(F.col("line") % 2 == 1, F.col("text"))).alias(second),
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +78,21 @@ def scratch_csv(df: DataFrame, name: str, sep: str = ",") -> str:
     return path
 
 
-def concat_file(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The given columns as one text column, for line files."""
-    return df.select(F.concat_ws("\n", *columns).alias("value"))
+def write_per_name(df: DataFrame, path: str, name: str) -> None:
+    """One CSV file per value of ``name``, called after it; for small result tables.
+
+    Spark writes a folder per value; its single file is then moved to its name.
+    """
+    spark = df.sparkSession
+    parts = f"{path}.parts"
+    df.repartition(name).write.partitionBy(name).option("header", True).csv(parts)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at(path))
+    for folder in fs.listStatus(at(parts)):
+        if folder.isDirectory():
+            value = folder.getPath().getName().split("=", 1)[1]
+            for f in fs.listStatus(folder.getPath()):
+                if f.getPath().getName().endswith(".csv"):
+                    fs.rename(f.getPath(), at(f"{path}/{value}"))
+    fs.delete(at(parts), True)

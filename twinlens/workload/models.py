@@ -1,5 +1,8 @@
 """Encoders, generators, fusion heads and classic models."""
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from twinlens.functions import prompt_texts as P
@@ -7,9 +10,9 @@ from twinlens.functions import vectors as V
 from twinlens.plans import classic as K
 from twinlens.plans import encode as E
 from twinlens.plans import generate as G
-
+from twinlens.plans import heads as H
 from twinlens.plans import train as TR
-from twinlens.session import scratch_path
+from twinlens.session import collect_few, scratch_path
 from twinlens.sources import sinks
 from twinlens.workload.base import query, r, rs, table
 from twinlens.workload.predictions import SPLIT_SQL, labelled
@@ -136,15 +139,45 @@ def run_head(spark, sf, method, epochs=2, **options):
     return predictions.select("sample_id", "y_true", "y_pred", r(F.array_max("probs")).alias("top"), *gates)
 
 
-@query("fus_unimodal")
+LR = 3e-3
+
+
+def first_step_sql(low: int, high: int) -> str:
+    """One full-batch step from zero parameters, then the scores of the test rows.
+
+    At zero all classes have probability 1/C, so the gradient is a weighted sum of inputs;
+    the first Adam step moves every parameter by lr * g / (|g| + eps).
+    """
+    return f"""(WITH {SPLIT_SQL}, va AS (SELECT *, CASE WHEN split = 'train' AND row_number() OVER (PARTITION BY split ORDER BY md5('42|' || vec_id), vec_id) * 100
+          <= count(*) OVER (PARTITION BY split) * 10 + 99 THEN 'val' ELSE split END AS part FROM sp),
+        lo AS (SELECT vec_id, label, part, u.i AS pos, CASE WHEN u.i = 0 THEN 1.0 ELSE CAST(embedding[u.i] AS DOUBLE) END AS x
+               FROM va, (SELECT unnest([0] || range({low}, {high + 1})) AS i) u),
+        w AS (SELECT label AS c, sum(count(*)) OVER () / (count(*) OVER () * CAST(count(*) AS DOUBLE)) AS w, count(*) OVER () AS k FROM va WHERE part = 'train' GROUP BY 1),
+        sw AS (SELECT sum(w) AS sw FROM va JOIN w ON c = label WHERE part = 'train'),
+        g AS (SELECT cls.c, lo.pos, sum(own.w * (1.0 / own.k - CASE WHEN cls.c = lo.label THEN 1 ELSE 0 END) * lo.x) / (SELECT sw FROM sw) AS g
+              FROM lo JOIN w own ON own.c = lo.label, w cls WHERE lo.part = 'train' GROUP BY 1, 2),
+        z AS (SELECT vec_id, label, g.c, sum(x * -{LR} * g / (abs(g) + 1e-8)) AS z FROM lo JOIN g USING (pos) WHERE part = 'test' GROUP BY 1, 2, 3),
+        p AS (SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id) AS p FROM z)
+        SELECT CAST(vec_id AS BIGINT) AS sample_id, label AS y_true, CAST(first(c ORDER BY p DESC, c) AS INTEGER) AS y_pred, {rs('max(p)', 8)} AS top FROM p GROUP BY 1, 2)"""
+
+
+def first_step(spark, sf, method):
+    e = experiment(spark, sf)
+    spec = H.Spec(method, 32, 32, 10)
+    zero = {k: np.zeros(v) for k, v in spec.shapes().items()}
+    _, predictions = e.run(TR.Options(method, epochs=1, lr=LR, batch_size=1 << 30), start=(zero, {}))
+    return predictions.select("sample_id", "y_true", "y_pred", r(F.array_max("probs"), 8).alias("top"))
+
+
+@query("fus_unimodal", f"SELECT *, 'image_only' AS method FROM {first_step_sql(1, 32)} UNION ALL SELECT *, 'text_only' FROM {first_step_sql(33, 64)}")
 def fus_unimodal(spark, sf):
-    parts = [run_head(spark, sf, m).withColumn("method", F.lit(m)) for m in ("image_only", "text_only")]
+    parts = [first_step(spark, sf, m).withColumn("method", F.lit(m)) for m in ("image_only", "text_only")]
     return parts[0].unionByName(parts[1])
 
 
-@query("fus_linear")
+@query("fus_linear", f"SELECT * FROM {first_step_sql(1, 64)}")
 def fus_linear(spark, sf):
-    return run_head(spark, sf, "linear")
+    return first_step(spark, sf, "linear")
 
 
 @query("fus_mlp_early")
@@ -180,16 +213,26 @@ def fus_train(spark, sf):
     return spark.createDataFrame(rows, "epoch int, train_loss double, val_loss double, val_macro_f1 double, kept boolean")
 
 
-@query("fus_score")
+@query(
+    "fus_score",
+    f"""WITH m AS (SELECT label AS c, u.i AS pos, avg(CAST(embedding[u.i] AS DOUBLE)) AS m FROM embeddings, (SELECT unnest(range(1, 65)) AS i) u GROUP BY 1, 2),
+        z AS (SELECT vec_id, c, sum(CAST(embedding[pos] AS DOUBLE) * m) AS z FROM embeddings, m GROUP BY 1, 2),
+        p AS (SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id) AS p FROM z)
+        SELECT vec_id AS sample_id, CAST(first(c ORDER BY p DESC, c) AS INTEGER) AS y_pred, {rs('max(p)')} AS top FROM p GROUP BY 1""",
+)
 def fus_score(spark, sf):
-    """Parameters saved, restored and used to score the whole table."""
-    e = experiment(spark, sf)
-    parts, labels = e.encoded()
-    model = TR.fit(parts["train"], parts["val"], labels, TR.Options("linear", epochs=1))
+    """A linear head whose weights are the class means: saved, restored, and run on the whole table."""
+    rows = table(spark, sf, "embeddings")
+    means = rows.groupBy("label").agg(vector_to_array(Summarizer.mean(array_to_vector(V.as_double(F.col("embedding"))))).alias("m"))
+    found = collect_few(means.orderBy("label"))
+    image_first = np.array([x["m"] for x in found])
+    weight = np.hstack([image_first[:, 32:], image_first[:, :32]])
+    spec = H.Spec("linear", 32, 32, len(found))
+    model = TR.Model(spec, [str(x["label"]) for x in found], {"classifier.weight": weight, "classifier.bias": np.zeros(len(found))}, {})
     path = scratch_path(spark, "params")
     sinks.write_params(model.table(spark), path)
-    restored = TR.Model.from_table(sinks.read_params(spark, path), model.spec, labels)
-    scored = restored.score(e.rows.select("sample_id", "text_emb", "image_emb"))
+    restored = TR.Model.from_table(sinks.read_params(spark, path), spec, model.labels)
+    scored = restored.score(rows.select(F.col("vec_id").alias("sample_id"), F.slice("embedding", 33, 32).alias("text_emb"), F.slice("embedding", 1, 32).alias("image_emb")))
     return scored.select("sample_id", V.argmax(F.col("probs")).alias("y_pred"), r(F.array_max("probs")).alias("top"))
 
 
@@ -220,13 +263,13 @@ def fus_multilabel(spark, sf):
 @query("ml_classic_ovr")
 def ml_classic_ovr(spark, sf):
     rows = labelled(spark, sf)
-    return K.one_vs_rest_models(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "embedding", "label", "vec_id")
+    return K.one_vs_rest_models(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "embedding", "label", "vec_id", trees=10, max_iter=10)
 
 
 @query("ml_bench")
 def ml_bench(spark, sf):
     rows = labelled(spark, sf)
-    b = K.model_bench(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "embedding", "label", "vec_id")
+    b = K.model_bench(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "embedding", "label", "vec_id", trees=20, max_iter=10)
     return b.select("model", "n", *[r(F.col(c)).alias(c) for c in ("accuracy", "weighted_precision", "weighted_recall", "weighted_f1", "macro_f1")])
 
 

@@ -1,0 +1,14 @@
+"""Row-wise builders are plain expressions, so they also apply to a stream."""
+
+from pyspark.sql import functions as F
+
+from twinlens.functions.answers import inverted_label
+
+
+def test_row_functions_on_a_stream(spark, tmp_path):
+    spark.createDataFrame([("0",), ("1",), ("real",)], "a string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("a string").parquet(str(tmp_path / "in")).select(inverted_label(F.col("a")).alias("y"))
+    q = stream.writeStream.format("memory").queryName("parsed").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["y"] for r in spark.table("parsed").collect()) == [0, 1, 1]

@@ -54,12 +54,14 @@ def hash_cuts(df: DataFrame, key: str, cuts: dict[str, Column], strata: Sequence
         F.max(F.when(F.col("__part") == name, F.struct(F.col("__h").alias("h"), F.col("__k").alias("k")))).alias(f"__cut_{i}")
         for i, name in enumerate(cuts)
     ]
-    return found.groupBy(*[F.col(c).alias(f"__s_{c}") for c in cols]).agg(*per_cut)
+    cut = found.groupBy(*[F.col(c).alias(f"__s_{c}") for c in cols]).agg(*per_cut)
+    ends = [F.col(f"__cut_{i}.{f}").alias(f"__cut_{i}{f}") for i in range(len(cuts)) for f in "hk"]
+    return cut.select(*[f"__s_{c}" for c in cols], *ends)
 
 
 def _within(i: int, key: str, seed) -> Column:
-    h, cut = order_hash(seed, F.col(key)), F.col(f"__cut_{i}")
-    return F.coalesce((h < cut["h"]) | ((h == cut["h"]) & (F.col(key) <= cut["k"])), F.lit(False))
+    h, cut_h, cut_k = order_hash(seed, F.col(key)), F.col(f"__cut_{i}h"), F.col(f"__cut_{i}k")
+    return F.coalesce((h < cut_h) | ((h == cut_h) & (F.col(key) <= cut_k)), F.lit(False))
 
 
 def split_by_hash(

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from twinlens.session import small_side
 
-# Text columns hold line breaks and quotes.
-CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "nullValue": "", "emptyValue": '""'}
+# Text columns hold line breaks and quotes. Empty fields are null, quoted or not.
+CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "nullValue": "", "emptyValue": ""}
 
 
 def read_csv(spark: SparkSession, path, schema, sep: str = ",", multiline: bool = True) -> DataFrame:
@@ -94,7 +94,7 @@ def model_of_file(name: Column, suffix: str, markers: Sequence[str]) -> list[Col
 
 
 def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(name, length) of the files of a folder; contents are not read."""
+    """(name, length) of the files of a folder; contents are not read and empty files are left out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 

@@ -15,7 +15,9 @@ METRIC_COLUMNS = ["model", "dataset", "backbone", "fusion_method", "accuracy", "
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> None:
     """``mode='ignore'`` keeps an output that is already there."""
-    df.write.mode(mode).options(header=True, sep=sep, quote='"', escape='"', nullValue="", emptyValue='""').csv(path)
+    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "nullValue": "", "emptyValue": '""'}
+    exact = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(**options, **exact).csv(path)
 
 
 def spread_predictions(df: DataFrame, classes: int, key: str = "sample_id") -> DataFrame:

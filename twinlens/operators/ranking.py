@@ -67,18 +67,25 @@ def number_rows(df: DataFrame, key: str, within: Sequence[str] = (), out: str =
     )
 
 
-def score_buckets(df: DataFrame, score: str, groups: Sequence[str] = (), buckets: int = 64, out: str = "bucket") -> DataFrame:
-    """Adds a bucket number that grows with ``score`` inside each group.
+def score_buckets(df: DataFrame, score: str, groups: Sequence[str] = (), out: str = "bucket") -> DataFrame:
+    """Adds one of 64 bucket numbers that grow with ``score`` inside each group.
 
     The bucket limits come from a quantile sketch. They only balance the work: every
-    limit gives the same exact result in the operators that use the buckets.
+    limit gives the same exact result in the operators that use the buckets. A row meets 7
+    coarse limits and then the 7 between two of them.
     """
     cols = list(groups)
-    qs = [(i + 1) / buckets for i in range(buckets - 1)]
-    limits = df.groupBy(*cols).agg(F.percentile_approx(score, qs, 10_000).alias("__limits"))
-    limits = small_side(limits.select(*[F.col(c).alias(f"__l_{c}") for c in cols], "__limits"))
+    qs = [(i + 1) / 64 for i in range(63)]
+    limits = df.groupBy(*cols).agg(F.percentile_approx(score, qs, 1000).alias("__limits"))
+    coarse = F.array(*[F.get("__limits", F.lit(8 * j + 7)) for j in range(7)]).alias("__coarse")
+    limits = small_side(limits.select(*[F.col(c).alias(f"__l_{c}") for c in cols], "__limits", coarse))
     joined = df.join(limits, null_safe(df, limits, [(c, f"__l_{c}") for c in cols]), "left")
-    number = F.size(F.filter("__limits", lambda x: x < F.col(score)))
+
+    def below(array):
+        return F.size(F.filter(array, lambda x: x < F.col(score)))
+
+    joined = joined.withColumn("__c", 8 * below(F.col("__coarse")))
+    number = F.col("__c") + below(F.slice("__limits", F.col("__c") + 1, F.lit(7)))
     return joined.withColumn(out, number).select(*df.columns, out)
 
 
@@ -95,23 +102,21 @@ def exact_quantiles(
     """
     cols = list(groups)
     wide, tight = 0.01, 4.0 / accuracy
-
-    def sketch(shift):
-        return F.percentile_approx("__v", [min(1.0, max(0.0, q + shift)) for q in qs], accuracy)
-
+    marked = [min(1.0, max(0.0, q + shift)) for shift in (-wide, wide, -tight, tight) for q in qs]
     v = F.col(value).cast("double")
     rows = df.select(*cols, v.alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
     marks = [F.struct(F.lit(float(q)).alias("q"), F.lit(i).alias("i")) for i, q in enumerate(qs)]
     limits = rows.groupBy(*cols).agg(
         F.count(F.lit(1)).alias("__n"),
-        *[sketch(s).alias(f"__s{i}") for i, s in enumerate((-wide, wide, -tight, tight))],
+        F.percentile_approx("__v", marked, accuracy).alias("__s"),
     )
+    bracket = [F.slice("__s", i * len(qs) + 1, len(qs)) for i in range(4)]
     big, medium = F.col("__n") > 40_000, F.col("__n") >= 400
     everything = [F.array(*[F.lit(float(x))] * len(qs)) for x in ("-inf", "inf")]
     limits = limits.withColumns(
         {
-            "__lo": F.when(big, F.col("__s2")).when(medium, F.col("__s0")).otherwise(everything[0]),
-            "__hi": F.when(big, F.col("__s3")).when(medium, F.col("__s1")).otherwise(everything[1]),
+            "__lo": F.when(big, bracket[2]).when(medium, bracket[0]).otherwise(everything[0]),
+            "__hi": F.when(big, bracket[3]).when(medium, bracket[1]).otherwise(everything[1]),
         }
     )
     limits = small_side(limits.select(*[F.col(c).alias(f"__l_{c}") for c in cols], "__n", "__lo", "__hi"))

@@ -87,8 +87,12 @@ def encode(
     image: str | None = None,
     batch: int = 256,
     unit: bool = True,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """``keep`` plus ``text_emb`` and / or ``image_emb`` (array<double>, unit length)."""
+    """``keep`` plus ``text_emb`` and / or ``image_emb`` (array<double>, unit length).
+
+    ``partitions`` spreads the rows first, for encoders that are slow against a shuffle.
+    """
     inputs = [c for c in (text, image) if c]
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     extra = [f"{n} array<double>" for n, c in (("text_emb", text), ("image_emb", image)) if c]
@@ -96,11 +100,14 @@ def encode(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = make()
         for frame in frames:
+            cols: dict[str, list] = {}
             for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                yield part[list(keep)].assign(**_vectors(part, encoder, text, image, unit))
+                for name, vs in _vectors(frame.iloc[at : at + batch], encoder, text, image, unit).items():
+                    cols.setdefault(name, []).extend(vs)
+            yield frame[list(keep)].assign(**cols)
 
-    return df.select(*keep, *[c for c in inputs if c not in keep]).mapInPandas(run, ", ".join([kept, *extra]))
+    rows = df.select(*keep, *[c for c in inputs if c not in keep])
+    return (rows.repartition(partitions) if partitions else rows).mapInPandas(run, ", ".join([kept, *extra]))
 
 
 def encode_fused(

@@ -60,24 +60,31 @@ def generate(
     batch: int = 4,
     tries: int = 1,
     pause: float = 1.0,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """``keep`` plus raw_answer, error and attempts. ``pause`` scales the waits of a retry."""
+    """``keep`` plus raw_answer, error and attempts. ``pause`` scales the waits of a retry;
+    ``partitions`` spreads the rows first, for models that are slow against a shuffle."""
     inputs = [prompt] + ([image] if image else [])
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generator = make()
         for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                images = [None] * len(part)
-                if image:
-                    images = [None if x is None or isinstance(x, float) else bytes(x) for x in part[image]]
-                texts, error, attempts = _answers(generator, part[prompt].tolist(), images, tries, pause)
-                yield part[list(keep)].assign(raw_answer=texts, error=error, attempts=attempts)
+            prompts, images = frame[prompt].tolist(), [None] * len(frame)
+            if image:
+                images = [None if x is None or isinstance(x, float) else bytes(x) for x in frame[image]]
+            texts, errors, attempts = [], [], []
+            for at in range(0, len(prompts), batch):
+                part = prompts[at : at + batch]
+                answers, error, tried = _answers(generator, part, images[at : at + batch], tries, pause)
+                texts += answers
+                errors += [error] * len(part)
+                attempts += [tried] * len(part)
+            yield frame[list(keep)].assign(raw_answer=texts, error=errors, attempts=attempts)
 
     schema = f"{kept}, raw_answer string, error string, attempts int"
-    return df.select(*keep, *[c for c in inputs if c not in keep]).mapInPandas(run, schema)
+    rows = df.select(*keep, *[c for c in inputs if c not in keep])
+    return (rows.repartition(partitions) if partitions else rows).mapInPandas(run, schema)
 
 
 def token_probability(scores: Column, token: str) -> Column:

@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlens.functions.columns import drop_missing
-from twinlens.functions.vectors import argmax, label_index, threshold
+from twinlens.functions.vectors import argmax
 from twinlens.operators import metrics as M
 from twinlens.operators.sampling import fixed_sample, route_split
-from twinlens.operators.sets import require_seen
+from twinlens.operators.sets import UnseenLabels
 from twinlens.plans import heads as H
-from twinlens.session import collect_few, scratch_path
+from twinlens.session import collect_few, scratch_path, stored
 
 BETAS, ADAM_EPS, DECAY = (0.9, 0.999), 1e-8, 0.01
 FAN_IN = 32
@@ -150,7 +150,7 @@ def sum_over_tasks(df: DataFrame, work, names_shapes: dict[str, tuple]) -> dict[
             yield pack(total)
 
     parts = df.mapInArrow(partial, "v binary")
-    if df.rdd.getNumPartitions() > FAN_IN:
+    if parts.rdd.getNumPartitions() > FAN_IN:
         parts = parts.repartition(FAN_IN).mapInArrow(add, "v binary")
     rows = parts.collect()
     total = np.zeros(size)
@@ -218,18 +218,20 @@ class Adam:
         return out
 
 
-def prepare(df: DataFrame, key: str, batches: int, seed: int) -> DataFrame:
+def prepare(df: DataFrame, key: str, batches: int, seed: int, batch_size: int = 0) -> DataFrame:
     """(row, batch, y, text_emb, image_emb), stored by batch under the shared folder.
 
     ``row`` is a hash of the key: it drives dropout and the batch, both independent of
-    partitioning.
+    partitioning. A batch is one folder with a file per 50,000 rows, so that a step starts
+    as many tasks as its rows are worth.
     """
     spark = df.sparkSession
     row = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
     out = df.select(row.alias("row"), F.pmod(row, F.lit(batches)).cast("int").alias("batch"), "y", "text_emb", "image_emb")
     path = scratch_path(spark, "training")
     if batches > 1:
-        out.repartition("batch", F.pmod(F.shiftright("row", 20), F.lit(8))).write.partitionBy("batch").parquet(path)
+        files = F.pmod(F.shiftright("row", 20), F.lit(max(1, batch_size // 50_000)))
+        out.repartition("batch", files).write.partitionBy("batch").parquet(path)
     else:
         out.write.parquet(path)
     return spark.read.parquet(path)
@@ -271,37 +273,31 @@ def batch_totals(df: DataFrame, spec: H.Spec) -> dict[int, dict]:
 
 
 def validation(model: Model, val: DataFrame, weights) -> dict:
-    """Loss and macro-F1; the scored rows collapse to confusion counts on the executors."""
-    spec = model.spec
-    scored = model.score(val, "row", ["y"])
-    if spec.loss == "bce":
-        w, pos = weights
-        terms = []
-        for i in range(spec.outputs):
-            p, y = F.get("probs", F.lit(i)), F.get("y", F.lit(i))
-            terms.append(F.lit(float(w[i])) * -(F.lit(float(pos[i])) * y * F.log(p) + (1 - y) * F.log1p(-p)) / spec.outputs)
-        hit = threshold(F.col("probs"))
-        f1 = [M.ratio(2 * F.sum(F.get("y", F.lit(i)) * F.get(hit, F.lit(i))), F.sum(F.get("y", F.lit(i)) + F.get(hit, F.lit(i)))) for i in range(spec.outputs)]
-        r = scored.agg(F.avg(sum(terms)).alias("loss"), (sum(f1) / spec.outputs).alias("f1")).first()
-        return {"loss": r["loss"], "macro_f1": r["f1"]}
-    table = F.array(*[F.lit(float(x)) for x in weights])
-    y = F.get("y", F.lit(0)).cast("int")
-    w = F.get(table, y)
-    nll = -F.log(F.greatest(F.get("probs", y), F.lit(1e-300)))
-    cells = scored.groupBy(y.alias("y_true"), argmax(F.col("probs")).alias("y_pred")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(w * nll).alias("l"), F.sum(w).alias("w")
-    )
-    rows = collect_few(cells, 1_000_000)
-    c = spec.outputs
-    grid = np.zeros((c, c))
-    for r in rows:
-        grid[r["y_true"], r["y_pred"]] = r["n"]
-    size = grid.sum(0) + grid.sum(1)
-    seen = size > 0
-    return {
-        "loss": sum(r["l"] for r in rows) / sum(r["w"] for r in rows),
-        "macro_f1": float((2 * np.diag(grid)[seen] / size[seen]).mean()),
-    }
+    """Loss and macro-F1 in one pass: a task returns its counts per class and its loss."""
+    spec, c = model.spec, model.spec.outputs
+    shared = val.sparkSession.sparkContext.broadcast((model.params, H.scoring_moments(spec, model.running), weights))
+
+    def count(data):
+        params, moments, w = shared.value
+        z, _ = H.Pass(spec, params, data, moments, scoring=True).logits()
+        y = data["y"]
+        if spec.loss == "bce":
+            lw, pos = w
+            hot = z > 0
+            loss = (lw * ((1 - y) * z + (1 + (pos - 1) * y) * np.logaddexp(0, -z))).sum() / c
+            return {"tp": (y * hot).sum(0), "size": y.sum(0) + hot.sum(0), "loss": [loss], "weight": [len(y)]}
+        y = y[:, 0].astype(int)
+        p = H.softmax(z)
+        guess = p.argmax(1)
+        size = np.bincount(y, minlength=c) + np.bincount(guess, minlength=c)
+        return {"tp": np.bincount(y[y == guess], minlength=c), "size": size, "loss": [(w[y] * H.nll(p, y)).sum()], "weight": [w[y].sum()]}
+
+    s = sum_over_tasks(val, count, {"tp": (c,), "size": (c,), "loss": (1,), "weight": (1,)})
+    shared.unpersist()
+    f1 = 2 * s["tp"] / np.maximum(s["size"], 1)
+    # single-label: over the classes seen on either side; multi-label: over all labels
+    seen = s["size"] > 0 if spec.loss == "ce" else np.ones(c, dtype=bool)
+    return {"loss": float(s["loss"][0] / s["weight"][0]), "macro_f1": float(f1[seen].mean())}
 
 
 def fit(
@@ -315,12 +311,12 @@ def fit(
     epochs without a gain.
     """
     o = options
-    dims = train.select(F.size("text_emb").alias("t"), F.size("image_emb").alias("i"), F.size("y").alias("y")).first()
-    outputs = dims["y"] if o.loss == "bce" else len(labels)
-    spec = H.Spec(o.method, dims["t"], dims["i"], outputs, o.hidden, o.dropout, o.loss)
-    n = train.count()
+    sizes = [F.max(F.size(c)).alias(c) for c in ("text_emb", "image_emb", "y")]
+    dims = train.agg(F.count(F.lit(1)).alias("n"), *sizes).first()
+    n, outputs = dims["n"], (dims["y"] if o.loss == "bce" else len(labels))
+    spec = H.Spec(o.method, dims["text_emb"], dims["image_emb"], outputs, o.hidden, o.dropout, o.loss)
     batches = max(1, math.ceil(n / o.batch_size))
-    rows = prepare(train, key, batches, o.seed)
+    rows = prepare(train, key, batches, o.seed, o.batch_size)
     held = prepare(val, key, 1, o.seed).persist()
     if batches == 1:
         rows = rows.persist()
@@ -384,17 +380,25 @@ class Experiment:
             F.col(self.key).alias("sample_id"), F.col(self.label).cast("string").alias("label"), "split",
             F.col(self.text).alias("text_emb"), F.col(self.image).alias("image_emb"),
         )
-        self.rows = route_split(named, "sample_id", 10, seed=self.seed)
+        self.rows = stored(route_split(named, "sample_id", 10, seed=self.seed), "experiment")
 
     def encoded(self) -> tuple[dict[str, DataFrame], list[str]]:
-        parts = {s: self.rows.filter(F.col("split") == s) for s in ("train", "val", "test")}
+        """Rows per split with ``y``, and the labels in the order of their numbers.
+
+        One count per (split, label) gives the label order and the check for unseen labels.
+        """
+        counts = collect_few(self.rows.groupBy("split", "label").count(), 300_000)
+        seen = {s: sorted(r["label"] for r in counts if r["split"] == s) for s in ("train", "val", "test")}
+        labels = seen["train"]
         for name in ("val", "test"):
-            require_seen(parts["train"], parts[name], "label", name)
-        index = label_index(parts["train"], "label")
-        labels = [r["label"] for r in collect_few(index.orderBy("index"), 100_000)]
-        coded = F.broadcast(index)
+            bad = set(seen[name]) - set(labels)
+            if bad:
+                raise UnseenLabels(f"{name} has labels unseen in train: {sorted(bad)[:20]}")
+        spark = self.df.sparkSession
+        coded = F.broadcast(spark.createDataFrame(list(zip(labels, range(len(labels)))), "label string, index int"))
         y = F.array(F.col("index").cast("double")).alias("y")
-        return {s: p.join(coded, "label").select("sample_id", y, "text_emb", "image_emb") for s, p in parts.items()}, labels
+        rows = self.rows.join(coded, "label").select("split", "sample_id", y, "text_emb", "image_emb")
+        return {s: rows.filter(F.col("split") == s).drop("split") for s in seen}, labels
 
     def run(self, options: Options, start=None) -> tuple[Model, DataFrame]:
         """(model, predictions): sample_id, y_true, y_pred, probs and gates on the test rows."""

@@ -16,11 +16,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CHUNK_ROWS, CHUNK_BYTES = 1000, 32 << 20
+
+
 def _rows(frames: Iterator[pd.DataFrame], members) -> Iterator[pd.DataFrame]:
+    names: list[str] = []
+    parts: list[bytes] = []
+    size = 0
     for frame in frames:
         for content in frame["content"]:
             for name, data in members(io.BytesIO(content)):
-                yield pd.DataFrame({"file_path": [name], "data": [data]})
+                names.append(name)
+                parts.append(data)
+                size += len(data)
+                if len(names) >= CHUNK_ROWS or size >= CHUNK_BYTES:
+                    yield pd.DataFrame({"file_path": names, "data": parts})
+                    names, parts, size = [], [], 0
+    if names:
+        yield pd.DataFrame({"file_path": names, "data": parts})
 
 
 def _zip_members(stream):

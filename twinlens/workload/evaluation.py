@@ -6,6 +6,7 @@ from twinlens.operators import bootstrap as B
 from twinlens.operators import joins as J
 from twinlens.operators import metrics as M
 from twinlens.operators.aggregates import class_weights
+from twinlens.session import stored
 from twinlens.workload.base import query, r, rs, table
 from twinlens.workload.predictions import PAIR_SQL, PRED_SQL, SPLIT_SQL, labelled, pred_sql, predictions
 
@@ -235,7 +236,7 @@ DRAWN = "dn AS (SELECT dr.replicate, num.* FROM dr JOIN num USING (row_id))"
         SELECT metric, {rs('e')} AS estimate, {rs('lo')} AS ci_low, {rs('hi')} AS ci_high, {DRAWS} AS bootstrap_samples FROM est JOIN ci USING (metric)""",
 )
 def bst_metric_ci(spark, sf):
-    ci = B.metric_intervals(predictions(spark, sf), "sample_id", DRAWS)
+    ci = B.metric_intervals(stored(predictions(spark, sf)), "sample_id", DRAWS)
     return ci.select("metric", *[r(F.col(c)).alias(c) for c in ("estimate", "ci_low", "ci_high")], "bootstrap_samples")
 
 
@@ -250,7 +251,7 @@ def bst_metric_ci(spark, sf):
         UNION ALL SELECT 'macro_f1', {rs('(SELECT macro_f1 FROM pt)')}, {rs('quantile_cont(macro_f1, 0.025)')}, {rs('quantile_cont(macro_f1, 0.975)')}, {DRAWS} FROM df""",
 )
 def bst_paired_difference(spark, sf):
-    pairs = J.paired_predictions(predictions(spark, sf), predictions(spark, sf, 1, 32))
+    pairs = stored(J.paired_predictions(predictions(spark, sf), predictions(spark, sf, 1, 32)))
     d = B.paired_differences(pairs, DRAWS)
     return d.select("metric", *[r(F.col(c)).alias(c) for c in ("difference", "ci_low", "ci_high")], "bootstrap_samples")
 
@@ -275,7 +276,7 @@ def _auroc_point_sql(side: str) -> str:
                {rs('quantile_cont(d, 0.975)')} AS ci_high, {DRAWS} AS bootstrap_samples FROM df WHERE NOT isnan(d)""",
 )
 def bst_paired_auroc(spark, sf):
-    pairs = J.paired_predictions(predictions(spark, sf), predictions(spark, sf, 1, 32))
+    pairs = stored(J.paired_predictions(predictions(spark, sf), predictions(spark, sf, 1, 32)))
     d = B.paired_auroc_difference(pairs, "sample_id", DRAWS)
     return d.select("metric", *[r(F.col(c)).alias(c) for c in ("difference", "ci_low", "ci_high")], "bootstrap_samples")
 

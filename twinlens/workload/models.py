@@ -46,7 +46,7 @@ def long(df, key, col):
 def emb_dual_encode(spark, sf):
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.encode("html", "UTF-8").alias("image"))
     rows = table(spark, sf, "documents").select("doc_id", "text").join(pages, "doc_id", "left")
-    e = E.encode(rows, ["doc_id"], encoder, "text", "image")
+    e = E.encode(rows, ["doc_id"], encoder, "text", "image", partitions=spark.sparkContext.defaultParallelism)
     side = lambda n, c: F.struct(F.lit(n).alias("side"), F.col(c).alias("e"))
     both = e.select("doc_id", F.explode(F.array(side("text", "text_emb"), side("image", "image_emb"))).alias("s"))
     out = both.select("doc_id", "s.side", F.posexplode("s.e").alias("pos", "v")).filter("v <> 0")
@@ -81,7 +81,7 @@ def emb_image_only(spark, sf):
 def gen_batch(spark, sf):
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.encode("url", "UTF-8").alias("image"))
     rows = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Task: "), "text").alias("prompt")).join(pages, "doc_id", "left")
-    return G.generate(rows, ["doc_id"], G.EchoGenerator, "prompt", "image").select("doc_id", "raw_answer", "attempts")
+    return G.generate(rows, ["doc_id"], G.EchoGenerator, "prompt", "image", partitions=spark.sparkContext.defaultParallelism).select("doc_id", "raw_answer", "attempts")
 
 
 class FlakyGenerator(G.EchoGenerator):
@@ -106,7 +106,7 @@ class FlakyGenerator(G.EchoGenerator):
 )
 def gen_retry(spark, sf):
     rows = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", F.col("p_partkey").cast("string"), "p_name").alias("p"))
-    return G.generate(rows, ["p_partkey"], FlakyGenerator, "p", batch=1, tries=3, pause=0.0)
+    return G.generate(rows, ["p_partkey"], FlakyGenerator, "p", batch=1, tries=3, pause=0.0, partitions=spark.sparkContext.defaultParallelism)
 
 
 @query(

@@ -27,6 +27,13 @@ def test_split_counts_and_stability(spark):
     assert again == out
 
 
+def test_refined_buckets_give_the_same_cut(spark, monkeypatch):
+    df = frame(spark, 600)
+    a = sorted(map(tuple, S.split_by_hash(df, "id", [("test", 20), ("val", 30)], ["s"]).collect()))
+    monkeypatch.setattr(S, "SORT_ROWS", 0)
+    assert a == sorted(map(tuple, S.split_by_hash(df, "id", [("test", 20), ("val", 30)], ["s"]).collect()))
+
+
 def test_lonely_and_null_strata(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, None), (4, "b"), (5, "b")], "id long, s string")
     out = {r["id"]: r["split"] for r in S.split_by_hash(df, "id", [("test", 20)], ["s"]).collect()}

@@ -102,7 +102,7 @@ def auroc(
     pos = F.sum(F.when(F.col(positive) == 1, w).otherwise(F.lit(0))).alias("__p")
     neg = F.sum(F.when(F.col(positive) == 1, F.lit(0)).otherwise(w)).alias("__n")
     if bucket is None:
-        points = score_buckets(df.groupBy(*cols, score).agg(pos, neg), score, cols, out="__b")
+        points = score_buckets(df.groupBy(*cols, score).agg(pos, neg), score, cols, "__b", sketch_of=df)
         bucket = "__b"
     else:
         points = df.groupBy(*cols, bucket, score).agg(pos, neg)
@@ -150,7 +150,7 @@ def roc_points(df: DataFrame, score: str, positive: str, groups: Sequence[str] =
     cols = list(groups)
     pos = F.sum(F.when(F.col(positive) == 1, 1).otherwise(0)).alias("p")
     neg = F.sum(F.when(F.col(positive) == 1, 0).otherwise(1)).alias("n")
-    points = score_buckets(df.groupBy(*cols, score).agg(pos, neg), score, cols, out="__b")
+    points = score_buckets(df.groupBy(*cols, score).agg(pos, neg), score, cols, "__b", sketch_of=df)
     inner = W.partitionBy(*cols, "__b").orderBy(F.col(score).desc())
     points = points.withColumn("__ip", F.sum("p").over(inner)).withColumn("__in", F.sum("n").over(inner))
     totals = points.groupBy(*cols, "__b").agg(F.sum("p").alias("__tp"), F.sum("n").alias("__tn"))

@@ -15,17 +15,14 @@ from pyspark.sql import functions as F
 
 from twinlens.session import small_side
 
-HASH_BUCKETS = 65536
-
-
 def order_hash(seed, *keys: Column) -> Column:
     """Hex md5 of ``seed|key...``: the stable random order used for every sample."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
 
 
-def hash_bucket(digest: Column) -> Column:
-    """First four hex digits, so buckets follow the order of the digest."""
-    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
+def hash_bucket(digest: Column, digits: int = 3) -> Column:
+    """Leading hex digits: buckets of equal size that follow the order of the digest."""
+    return F.substring(digest, 1, digits)
 
 
 def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -67,16 +64,19 @@ def number_rows(df: DataFrame, key: str, within: Sequence[str] = (), out: str =
     )
 
 
-def score_buckets(df: DataFrame, score: str, groups: Sequence[str] = (), out: str = "bucket") -> DataFrame:
+def score_buckets(
+    df: DataFrame, score: str, groups: Sequence[str] = (), out: str = "bucket", sketch_of: DataFrame | None = None
+) -> DataFrame:
     """Adds one of 64 bucket numbers that grow with ``score`` inside each group.
 
     The bucket limits come from a quantile sketch. They only balance the work: every
     limit gives the same exact result in the operators that use the buckets. A row meets 7
-    coarse limits and then the 7 between two of them.
+    coarse limits and then the 7 between two of them. ``sketch_of`` is the frame to sketch
+    when ``df`` is an aggregate of it, which saves computing the aggregate twice.
     """
     cols = list(groups)
     qs = [(i + 1) / 64 for i in range(63)]
-    limits = df.groupBy(*cols).agg(F.percentile_approx(score, qs, 1000).alias("__limits"))
+    limits = (df if sketch_of is None else sketch_of).groupBy(*cols).agg(F.percentile_approx(score, qs, 1000).alias("__limits"))
     coarse = F.array(*[F.get("__limits", F.lit(8 * j + 7)) for j in range(7)]).alias("__coarse")
     limits = small_side(limits.select(*[F.col(c).alias(f"__l_{c}") for c in cols], "__limits", coarse))
     joined = df.join(limits, null_safe(df, limits, [(c, f"__l_{c}") for c in cols]), "left")

@@ -22,36 +22,36 @@ def ceil_percent(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100).cast("long")
 
 
+COARSE, FINE = 2, 5
+SORT_ROWS = 1_000_000
+
+
 def hash_cuts(df: DataFrame, key: str, cuts: dict[str, Column], strata: Sequence[str] = (), seed=42) -> DataFrame:
     """One row per stratum: (digest, key) of the k-th row for every named cut.
 
-    Each value of ``cuts`` is a column over ``n``, the size of the stratum.
+    Each value of ``cuts`` is a column over ``n``, the size of the stratum. Counts over 256
+    hash buckets tell in which bucket a cut falls; a bucket with too many rows to sort is
+    counted again over 4096 finer ones; only the rows of the last bucket are ordered. Each
+    pass reads key and strata columns and shuffles counts.
     """
     cols = list(strata)
     base = df.select(*cols, F.col(key).alias("__k"), order_hash(seed, F.col(key)).alias("__h"))
-    base = base.withColumn("__b", hash_bucket(F.col("__h")))
-    counts = base.groupBy(*cols, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    counts = base.groupBy(*cols, hash_bucket(F.col("__h"), COARSE).alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
     whole = W.partitionBy(*cols, F.lit(0))
-    counts = counts.withColumn("n", F.sum("__c").over(whole)).withColumn(
-        "__cum", F.sum("__c").over(whole.orderBy("__b"))
-    )
+    counts = counts.withColumn("n", F.sum("__c").over(whole))
     wanted = [F.struct(F.lit(name).alias("part"), k.cast("long").alias("k")) for name, k in cuts.items()]
-    hits = (
-        counts.withColumn("__w", F.explode(F.array(*wanted)))
-        .filter((F.col("__w.k") <= F.col("__cum")) & (F.col("__w.k") > F.col("__cum") - F.col("__c")))
-        .select(
-            *[F.col(c).alias(f"__c_{c}") for c in cols],
-            F.col("__b").alias("__cb"),
-            F.col("__w.part").alias("__part"),
-            (F.col("__w.k") - F.col("__cum") + F.col("__c")).alias("__left"),
-        )
-    )
-    hits = small_side(hits)
-    edge = base.join(hits, (base["__b"] == hits["__cb"]) & null_safe(base, hits, [(c, f"__c_{c}") for c in cols]))
-    rank = F.row_number().over(W.partitionBy(*cols, "__part").orderBy("__h", "__k"))
+    counts = counts.withColumn("__w", F.explode(F.array(*wanted))).select(*cols, "__b", "__c", "__w.part", "__w.k")
+    hits = _bucket_of_cut(counts, cols)
+    digits = COARSE
+    if (hits.agg(F.max("__size")).first()[0] or 0) > SORT_ROWS:
+        inside = _rows_of_cuts(base, hits, cols, COARSE).withColumnRenamed("__left", "k")
+        finer = inside.groupBy(*cols, "part", "k", hash_bucket(F.col("__h"), FINE).alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
+        hits, digits = _bucket_of_cut(finer, cols), FINE
+    edge = _rows_of_cuts(base, hits, cols, digits)
+    rank = F.row_number().over(W.partitionBy(*cols, "part").orderBy("__h", "__k"))
     found = edge.withColumn("__r", rank).filter(F.col("__r") == F.col("__left"))
     per_cut = [
-        F.max(F.when(F.col("__part") == name, F.struct(F.col("__h").alias("h"), F.col("__k").alias("k")))).alias(f"__cut_{i}")
+        F.max(F.when(F.col("part") == name, F.struct(F.col("__h").alias("h"), F.col("__k").alias("k")))).alias(f"__cut_{i}")
         for i, name in enumerate(cuts)
     ]
     cut = found.groupBy(*[F.col(c).alias(f"__s_{c}") for c in cols]).agg(*per_cut)
@@ -59,6 +59,24 @@ def hash_cuts(df: DataFrame, key: str, cuts: dict[str, Column], strata: Sequence
     return cut.select(*[f"__s_{c}" for c in cols], *ends)
 
 
+def _bucket_of_cut(counts: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """From (strata, part, k, bucket, count): the bucket with the k-th row, its size and the rank left in it."""
+    cum = F.sum("__c").over(W.partitionBy(*cols, "part").orderBy("__b"))
+    hit = counts.withColumn("__cum", cum).filter((F.col("k") <= F.col("__cum")) & (F.col("k") > F.col("__cum") - F.col("__c")))
+    return small_side(
+        hit.select(
+            *[F.col(c).alias(f"__c_{c}") for c in cols],
+            F.col("__b").alias("__cb"), "part", F.col("__c").alias("__size"), (F.col("k") - F.col("__cum") + F.col("__c")).alias("__left"),
+        )
+    )
+
+
+def _rows_of_cuts(base: DataFrame, hits: DataFrame, cols: Sequence[str], digits: int) -> DataFrame:
+    placed = base.withColumn("__b", hash_bucket(F.col("__h"), digits))
+    on = (placed["__b"] == hits["__cb"]) & null_safe(placed, hits, [(c, f"__c_{c}") for c in cols])
+    return placed.join(hits, on).select(*cols, "part", "__h", "__k", "__left")
+
+
 def _within(i: int, key: str, seed) -> Column:
     h, cut_h, cut_k = order_hash(seed, F.col(key)), F.col(f"__cut_{i}h"), F.col(f"__cut_{i}k")
     return F.coalesce((h < cut_h) | ((h == cut_h) & (F.col(key) <= cut_k)), F.lit(False))

@@ -12,9 +12,11 @@ from twinlens.plans import encode as E
 from twinlens.plans import generate as G
 from twinlens.plans import heads as H
 from twinlens.plans import train as TR
-from twinlens.session import collect_few, scratch_path
+from twinlens.operators.sampling import split_by_hash
+from twinlens.session import collect_few, scratch_path, stored
 from twinlens.sources import sinks
 from twinlens.workload.base import query, r, rs, table
+from twinlens.workload.evaluation import auroc_sql
 from twinlens.workload.predictions import SPLIT_SQL, labelled
 
 DIMS = 16
@@ -205,12 +207,72 @@ def fus_moe(spark, sf):
     return run_head(spark, sf, "i2moe", epochs=1)
 
 
-@query("fus_train")
+SINGLE_SQL = f"""{SPLIT_SQL}, va AS (SELECT vec_id, label, embedding, CASE WHEN split = 'train' AND row_number() OVER (PARTITION BY split ORDER BY md5('42|' || vec_id), vec_id) * 100
+        <= count(*) OVER (PARTITION BY split) * 10 + 99 THEN 'val' ELSE split END AS part FROM sp),
+    lo AS MATERIALIZED (SELECT vec_id, part, u.i AS pos, CASE WHEN u.i = 0 THEN 1.0 ELSE CAST(embedding[u.i] AS DOUBLE) END AS x FROM va, (SELECT unnest(range(0, 65)) AS i) u),
+    w AS (SELECT label AS c, sum(count(*)) OVER () / (count(*) OVER () * CAST(count(*) AS DOUBLE)) AS w FROM va WHERE part = 'train' GROUP BY 1),
+    t AS MATERIALIZED (SELECT vec_id, part, cls.c, CASE WHEN cls.c = label THEN 1.0 ELSE 0.0 END AS y, own.w AS lw, own.w / sum(own.w) OVER (PARTITION BY part, cls.c) AS wt FROM va JOIN w own ON own.c = label, w cls)"""
+
+BOTH_SQL = """d AS (SELECT e.vec_id, e.embedding, l.quality, l.toxic FROM embeddings e JOIN labels l ON e.vec_id = l.doc_id),
+    n AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || vec_id), vec_id) * 100 AS rn, count(*) OVER () AS n FROM d),
+    va AS (SELECT vec_id, embedding, quality, toxic, CASE WHEN rn <= n * 20 + 99 THEN 'test' WHEN rn <= n * 30 + 99 THEN 'val' ELSE 'train' END AS part FROM n),
+    lo AS MATERIALIZED (SELECT vec_id, part, u.i AS pos, CASE WHEN u.i = 0 THEN 1.0 ELSE CAST(embedding[u.i] AS DOUBLE) END AS x FROM va, (SELECT unnest(range(0, 65)) AS i) u),
+    y AS (SELECT vec_id, part, 0 AS c, CAST(quality AS DOUBLE) AS y FROM va UNION ALL SELECT vec_id, part, 1, toxic FROM va),
+    w AS (SELECT c, count(*) / (2 * sum(y)) AS w FROM y WHERE part = 'train' GROUP BY 1),
+    t AS MATERIALIZED (SELECT vec_id, part, y.c, y, w AS lw, w / (count(*) OVER (PARTITION BY part)) AS wt FROM y JOIN w ON w.c = y.c)"""
+
+
+def epochs_sql(epochs: int, lr: float, multi: bool) -> str:
+    """CTEs that train a linear head from zero on lo (inputs) and t (targets): full-batch
+    gradients, Adam, and after each epoch the loss and macro-F1 of the validation part."""
+    p = "1 / (1 + exp(-z))" if multi else "exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id)"
+    loss = "sum(wt * -(y * ln(p) + (1 - y) * ln(1 - p)))" if multi else "sum(CASE WHEN y = 1 THEN wt * -ln(p) ELSE 0 END)"
+    hit = "CAST(p > 0.5 AS INTEGER)" if multi else "CAST(row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, c) = 1 AS INTEGER)"
+    out = ["th0 AS (SELECT DISTINCT c, pos, 0.0 AS th, 0.0 AS m, 0.0 AS v FROM t, (SELECT DISTINCT pos FROM lo) q)"]
+    for e in range(1, epochs + 1):
+        for part, k in (("train", e - 1), ("val", e)):
+            if part == "val":
+                out.append(f"g{e} AS MATERIALIZED (SELECT c, pos, sum(wt * (p - y) * x) AS g FROM p_train{e} JOIN lo USING (vec_id) GROUP BY 1, 2)")
+                m, v = "0.9 * m + 0.1 * g", "0.999 * v + 0.001 * g * g"
+                out.append(f"th{e} AS MATERIALIZED (SELECT c, pos, th - {lr} * (({m}) / (1 - 0.9 ** {e})) / (sqrt(({v}) / (1 - 0.999 ** {e})) + 1e-8) AS th, {m} AS m, {v} AS v FROM th{e - 1} JOIN g{e} USING (c, pos))")
+            z = f"SELECT lo.vec_id, c, sum(x * th) AS z FROM lo JOIN th{k} USING (pos) WHERE part = '{part}' GROUP BY 1, 2"
+            out.append(f"p_{part}{e} AS MATERIALIZED (SELECT vec_id, c, y, wt, {p} AS p FROM ({z}) JOIN t USING (vec_id, c))")
+        out.append(f"""log{e} AS MATERIALIZED (SELECT {e} AS epoch, (SELECT {loss} FROM p_train{e}) {'/ 2' if multi else ''} AS train_loss, (SELECT {loss} FROM p_val{e}) {'/ 2' if multi else ''} AS val_loss,
+            (SELECT avg(2 * tp / s) FROM (SELECT c, sum(h * y) AS tp, sum(h + y) AS s FROM (SELECT c, y, {hit} AS h FROM p_val{e}) GROUP BY 1) WHERE s > 0) AS f1)""")
+    out.append("log AS (" + " UNION ALL ".join(f"SELECT * FROM log{e}" for e in range(1, epochs + 1)) + ")")
+    order = "val_loss" if multi else "f1 DESC"
+    out.append(f"best AS (SELECT epoch FROM log ORDER BY {order}, epoch LIMIT 1)")
+    out.append("th AS (" + " UNION ALL ".join(f"SELECT c, pos, th FROM th{e} WHERE {e} = (SELECT epoch FROM best)" for e in range(1, epochs + 1)) + ")")
+    out.append(f"scored AS MATERIALIZED (SELECT vec_id, c, {p} AS p FROM (SELECT lo.vec_id, c, sum(x * th) AS z FROM lo JOIN th USING (pos) WHERE part = 'test' GROUP BY 1, 2))")
+    return ", ".join(out)
+
+
+EPOCHS = 4
+SINGLE_RUN = f"WITH {SINGLE_SQL}, {epochs_sql(EPOCHS, 0.05, False)}"
+BOTH_RUN = f"WITH {BOTH_SQL}, {epochs_sql(EPOCHS, 0.05, True)}"
+
+
+def zero_start(method, outputs, loss="ce"):
+    spec = H.Spec(method, 32, 32, outputs, loss=loss)
+    return {k: np.zeros(v) for k, v in spec.shapes().items()}, {}
+
+
+def trained_linear(spark, sf):
+    e = experiment(spark, sf)
+    model, predictions = e.run(TR.Options("linear", epochs=EPOCHS, lr=0.05, batch_size=1 << 30), start=zero_start("linear", 10))
+    return e, model, predictions
+
+
+@query(
+    "fus_train",
+    f"{SINGLE_RUN} SELECT CAST(epoch AS INTEGER) AS epoch, {rs('train_loss')} AS train_loss, {rs('val_loss')} AS val_loss, {rs('f1')} AS val_macro_f1, epoch = (SELECT epoch FROM best) AS kept FROM log",
+)
 def fus_train(spark, sf):
-    """The training log: one row per epoch, in batches of 256 rows."""
-    model, _ = experiment(spark, sf).run(TR.Options("mlp_late", epochs=2, batch_size=256, hidden=32))
-    rows = [(h["epoch"], round(h["train_loss"], 6), round(h["loss"], 6), round(h["macro_f1"], 6), h["epoch"] == model.epochs_run) for h in model.history]
-    return spark.createDataFrame(rows, "epoch int, train_loss double, val_loss double, val_macro_f1 double, kept boolean")
+    """The training log of the linear head: one row per epoch, the kept one marked."""
+    _, model, _ = trained_linear(spark, sf)
+    rows = [(h["epoch"], h["train_loss"], h["loss"], h["macro_f1"], h["epoch"] == model.epochs_run) for h in model.history]
+    log = spark.createDataFrame(rows, "epoch int, train_loss double, val_loss double, val_macro_f1 double, kept boolean")
+    return log.withColumns({c: r(F.col(c)) for c in ("train_loss", "val_loss", "val_macro_f1")})
 
 
 @query(
@@ -236,28 +298,42 @@ def fus_score(spark, sf):
     return scored.select("sample_id", V.argmax(F.col("probs")).alias("y_pred"), r(F.array_max("probs")).alias("top"))
 
 
-@query("fus_framework")
+FRAMEWORK_SQL = """pred AS (SELECT va.vec_id, label AS y_true, c AS y_pred FROM va JOIN (SELECT vec_id, first(c ORDER BY p DESC, c) AS c FROM scored GROUP BY 1) USING (vec_id)),
+    k AS (SELECT label, sum(tp) AS tp, sum(s) AS s FROM (SELECT y_true AS label, CASE WHEN y_true = y_pred THEN 1 ELSE 0 END AS tp, 1 AS s FROM pred UNION ALL SELECT y_pred, 0, 1 FROM pred) GROUP BY 1),
+    ovr AS (SELECT c AS label, round(p, 12) AS score, CASE WHEN c = va.label THEN 1 ELSE 0 END AS pos FROM scored JOIN va USING (vec_id))"""
+
+
+@query(
+    "fus_framework",
+    f"""{SINGLE_RUN}, {FRAMEWORK_SQL} SELECT {rs('(SELECT avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) FROM pred)')} AS accuracy, {rs('(SELECT avg(2 * tp / s) FROM k)')} AS f1_score,
+        {rs(f"(SELECT avg(auroc) FROM ({auroc_sql('ovr', 'score', 'pos', 'label')}) q)")} AS auc, (SELECT count(*) FROM pred) AS n_test""",
+)
 def fus_framework(spark, sf):
-    e = experiment(spark, sf)
-    _, predictions = e.run(TR.Options("linear", epochs=2))
-    return e.metrics(predictions)
+    """Load, drop missing, split, train, score, evaluate."""
+    e, _, predictions = trained_linear(spark, sf)
+    rounded = predictions.withColumn("probs", F.transform("probs", lambda p: F.round(p, 12)))
+    m = e.metrics(rounded)
+    return m.select(*[r(F.col(c)).alias(c) for c in ("accuracy", "f1_score", "auc")], "n_test")
 
 
-@query("fus_multilabel")
+@query(
+    "fus_multilabel",
+    f"""{BOTH_RUN} SELECT vec_id AS sample_id, max(CASE WHEN c = 0 THEN CAST(p > 0.5 AS INTEGER) END) AS quality, max(CASE WHEN c = 1 THEN CAST(p > 0.5 AS INTEGER) END) AS toxic,
+        {rs('sum(p)')} AS total FROM scored GROUP BY 1""",
+)
 def fus_multilabel(spark, sf):
-    """quality and toxic of the labelled documents from hashed texts, thresholded at 0.5."""
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("doc_id", "text", "quality", "toxic", F.encode("lang", "UTF-8").alias("image"))
-    emb = E.encode(docs, ["doc_id", "quality", "toxic"], encoder, "text", "image")
-    from twinlens.operators.sampling import split_by_hash
-
-    rows = split_by_hash(emb, "doc_id", [("test", 20), ("val", 10)]).select(
-        F.col("doc_id").alias("sample_id"), "split", F.array("quality", "toxic").cast("array<double>").alias("y"), "text_emb", "image_emb"
+    """quality and toxic of the labelled vectors, thresholded at 0.5; the lowest loss is kept."""
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("vec_id"), F.array("quality", "toxic").cast("array<double>").alias("y"))
+    rows = table(spark, sf, "embeddings").join(labels, "vec_id").select(
+        F.col("vec_id").alias("sample_id"), "y", F.slice("embedding", 33, 32).alias("text_emb"), F.slice("embedding", 1, 32).alias("image_emb")
     )
+    rows = stored(split_by_hash(rows, "sample_id", [("test", 20), ("val", 10)]))
     part = {s: rows.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test")}
-    model = TR.fit(part["train"], part["val"], ["quality", "toxic"], TR.Options("mlp_early", epochs=2, hidden=16, loss="bce", optimizer="adamw"))
-    scored = model.score(part["test"])
+    options = TR.Options("linear", epochs=EPOCHS, lr=0.05, batch_size=1 << 30, loss="bce")
+    model = TR.fit(part["train"], part["val"], ["quality", "toxic"], options, start=zero_start("linear", 2, "bce"))
     hot = V.threshold(F.col("probs"))
-    return scored.select("sample_id", F.get(hot, F.lit(0)).alias("quality"), F.get(hot, F.lit(1)).alias("toxic"))
+    total = r(F.get("probs", F.lit(0)) + F.get("probs", F.lit(1)))
+    return model.score(part["test"]).select("sample_id", F.get(hot, F.lit(0)).alias("quality"), F.get(hot, F.lit(1)).alias("toxic"), total.alias("total"))
 
 
 @query("ml_classic_ovr")

@@ -182,26 +182,6 @@ def fus_linear(spark, sf):
     return first_step(spark, sf, "linear")
 
 
-@query("fus_mlp_early")
-def fus_mlp_early(spark, sf):
-    return run_head(spark, sf, "mlp_early")
-
-
-@query("fus_mlp_late")
-def fus_mlp_late(spark, sf):
-    return run_head(spark, sf, "mlp_late")
-
-
-@query("fus_gated")
-def fus_gated(spark, sf):
-    return run_head(spark, sf, "gated_attention")
-
-
-@query("fus_mcr")
-def fus_mcr(spark, sf):
-    return run_head(spark, sf, "mcr_late")
-
-
 @query("fus_moe")
 def fus_moe(spark, sf):
     return run_head(spark, sf, "i2moe", epochs=1)

@@ -17,7 +17,16 @@ from twinlens.workload.models import SINGLE_SQL, experiment
 UNITS, RATE = 4, 0.01
 
 # one small integer per layer makes the start values differ
-LAYERS = {"features": 1, "text_fc": 2, "image_fc": 5, "classifier": 3, "text_classifier": 4, "image_classifier": 6, "gate0": 7, "gate1": 8}
+LAYERS = {
+    "features": 1, "text_fc": 2, "image_fc": 5, "classifier": 3, "text_classifier": 4, "image_classifier": 6,
+    "gate0": 7, "gate1": 8, "reweight0": 7, "reweight1": 8,
+}
+
+
+def layer_number(name: str) -> int:
+    """The same layer of the next expert has a number larger by 3."""
+    expert, _, base = name.rpartition(".")
+    return LAYERS[base] + (3 * int(expert.removeprefix("expert")) if expert else 0)
 
 
 def start(method):
@@ -27,9 +36,9 @@ def start(method):
         layer, kind = name.rsplit(".", 1)
         o = np.arange(value.shape[0])
         if kind == "weight":
-            params[name] = ((7 * o[:, None] + 3 * np.arange(value.shape[1]) + LAYERS[layer]) % 13 - 6) / 24.0
+            params[name] = ((7 * o[:, None] + 3 * np.arange(value.shape[1]) + layer_number(layer)) % 13 - 6) / 24.0
         elif kind == "bias":
-            params[name] = ((7 * o + LAYERS[layer] + 4) % 13 - 6) / 24.0
+            params[name] = ((7 * o + layer_number(layer) + 4) % 13 - 6) / 24.0
     return params, running
 
 
@@ -187,6 +196,85 @@ def step_sql(method: str) -> str:
         SELECT p1.vec_id AS sample_id, label AS y_true, CAST(first(o ORDER BY p DESC, o) AS INTEGER) AS y_pred, {rs('max(p)')} AS top{gates} FROM p1 JOIN va ON va.vec_id = p1.vec_id GROUP BY 1, 2"""
 
 
+def mixture_sql() -> str:
+    """The expert mixture: 4 experts on the full input and with either modality zeroed."""
+    eps, scale = H.DISTANCE_EPS, f"({H.AUX_WEIGHT} / (SELECT count(DISTINCT vec_id) FROM zz0))"
+    side = "CASE b WHEN 'text' THEN 2 ELSE 5 END + 3 * e"
+    experts, units = "(SELECT unnest(range(0, 4)) AS e) ee", f"(SELECT unnest(range(0, {UNITS})) AS h) hh"
+
+    def hidden(s: int, part: str) -> list[str]:
+        cases = "('full')" if s else "('full'), ('no_text'), ('no_image')"
+        mom = "run" if s else "mom"
+        out = [
+            f"q{s} AS MATERIALIZED (SELECT e, b, vec_id, h, sum(x * w) AS q FROM xb JOIN first_w{s} USING (b, i) WHERE part = '{part}' GROUP BY 1, 2, 3, 4)",
+            f"""z{s} AS MATERIALIZED (SELECT e, k, q.b, vec_id, q.h, CASE WHEN k = 'no_' || q.b THEN 0 ELSE q END + bb.w AS z FROM q{s} q JOIN first_b{s} bb USING (e, b, h), (VALUES {cases}) kk(k))""",
+        ]
+        if s == 0:
+            out.append("mom AS MATERIALIZED (SELECT e, k, b, h, avg(greatest(z, 0)) AS mu, avg(greatest(z, 0) * greatest(z, 0)) - avg(greatest(z, 0)) * avg(greatest(z, 0)) AS var, count(*) AS n FROM z0 GROUP BY 1, 2, 3, 4)")
+            turn = "CASE k WHEN 'full' THEN 0.081 WHEN 'no_text' THEN 0.09 ELSE 0.1 END"
+            out.append(f"run AS MATERIALIZED (SELECT e, 'full' AS k, b, h, sum({turn} * mu) AS mu, 0.729 + sum({turn} * var * n / (n - 1)) AS var FROM mom GROUP BY 1, 3, 4)")
+        out.append(
+            f"""h{s} AS MATERIALIZED (SELECT e, k, b, vec_id, h, z, hat, gam.w * hat + bet.w AS v, h + {OFFSET} AS i FROM (SELECT e, k, b, vec_id, h, z, (greatest(z, 0) - mu) / sqrt(var + 1e-5) AS hat FROM z{s} JOIN {mom} USING (e, k, b, h))
+                JOIN gamma{s} gam USING (e, b, h) JOIN beta{s} bet USING (e, b, h))"""
+        )
+        out.append(f"y{s} AS MATERIALIZED (SELECT e, k, vec_id, o, q + bb.w AS z FROM (SELECT e, k, vec_id, o, sum(v * w) AS q FROM h{s} JOIN cls_w{s} USING (e, i) GROUP BY 1, 2, 3, 4) JOIN cls_b{s} bb USING (e, o))")
+        out.append(f"both{s} AS (SELECT vec_id, i + CASE WHEN b = 'image' THEN 32 ELSE 0 END AS i, x AS v FROM xb WHERE part = '{part}')")
+        out.append(f"u{s} AS MATERIALIZED (SELECT vec_id, o AS i, greatest(z, 0) AS v FROM ({apply_sql('rew0', s, f'both{s}')}))")
+        out.append(f"g{s} AS MATERIALIZED (SELECT vec_id, o AS e, p AS w FROM ({softmax_sql(apply_sql('rew1', s, f'u{s}'))}))")
+        out.append(f"zz{s} AS MATERIALIZED ({softmax_sql(f'SELECT vec_id, o, sum(w * z) AS z FROM y{s} JOIN g{s} USING (vec_id, e) WHERE k = {chr(39)}full{chr(39)} GROUP BY 1, 2')})")
+        return out
+
+    near = "CASE WHEN e = 0 THEN 'no_image' ELSE 'no_text' END"
+    far = "CASE WHEN e = 0 THEN 'no_text' ELSE 'no_image' END"
+    ctes = [
+        "xb AS MATERIALIZED (SELECT CASE WHEN pos > 32 THEN 'text' ELSE 'image' END AS b, vec_id, part, CASE WHEN pos > 32 THEN pos - 33 ELSE pos - 1 END AS i, x FROM lo WHERE pos > 0)",
+        f"first_w0 AS MATERIALIZED (SELECT e, b, h, i, {weight_sql('h', 'i', '(' + side + ')')} AS w FROM (SELECT DISTINCT b, i FROM xb), {units}, {experts})",
+        f"first_b0 AS MATERIALIZED (SELECT e, b, h, {bias_sql('h', '(' + side + ')')} AS w FROM (SELECT DISTINCT b FROM xb), {units}, {experts})",
+        "gamma0 AS (SELECT e, b, h, 1.0 AS w FROM first_b0)",
+        "beta0 AS (SELECT e, b, h, 0.0 AS w FROM first_b0)",
+        f"cls_w0 AS MATERIALIZED (SELECT e, o, i, {weight_sql('o', 'i', '(3 + 3 * e)')} AS w FROM (SELECT unnest(range(0, 10)) AS o) oo, (SELECT unnest(range(0, {2 * UNITS})) AS i) ii, {experts})",
+        f"cls_b0 AS MATERIALIZED (SELECT e, o, {bias_sql('o', '(3 + 3 * e)')} AS w FROM (SELECT unnest(range(0, 10)) AS o) oo, {experts})",
+        *dense_sql("rew0", LAYERS["reweight0"], UNITS, 64),
+        *dense_sql("rew1", LAYERS["reweight1"], 4, UNITS),
+        *hidden(0, "train"),
+        "dz AS MATERIALIZED (SELECT vec_id, o, wt * (p - y) AS d FROM zz0 JOIN (SELECT vec_id, c AS o, y, wt FROM t WHERE part = 'train') tt USING (vec_id, o))",
+        "dg AS MATERIALIZED (SELECT vec_id, e, sum(d * z) AS dg FROM y0 JOIN dz USING (vec_id, o) WHERE k = 'full' GROUP BY 1, 2)",
+        "dgl AS MATERIALIZED (SELECT vec_id, e AS o, w * (dg - sum(dg * w) OVER (PARTITION BY vec_id)) AS d FROM dg JOIN g0 USING (vec_id, e))",
+        *moves_sql("rew1", "dgl", "u0"),
+        "du AS MATERIALIZED (SELECT vec_id, i AS o, CASE WHEN v > 0 THEN q ELSE 0 END AS d FROM (SELECT vec_id, i, sum(d * w) AS q FROM dgl JOIN rew1_w0 USING (o) GROUP BY 1, 2) JOIN u0 USING (vec_id, i))",
+        *moves_sql("rew0", "du", "both0"),
+        # uniqueness experts: distances of the full output to the near and the far ablation
+        f"""tri AS MATERIALIZED (SELECT f.e, f.vec_id, f.o, f.z - a.z + {eps} AS a, f.z - c.z + {eps} AS c FROM (SELECT * FROM y0 WHERE k = 'full' AND e < 2) f
+            JOIN y0 a ON a.e = f.e AND a.vec_id = f.vec_id AND a.o = f.o AND a.k = CASE WHEN f.e = 0 THEN 'no_image' ELSE 'no_text' END
+            JOIN y0 c ON c.e = f.e AND c.vec_id = f.vec_id AND c.o = f.o AND c.k = CASE WHEN f.e = 0 THEN 'no_text' ELSE 'no_image' END)""",
+        "trn AS MATERIALIZED (SELECT e, vec_id, sqrt(sum(a * a)) AS na, sqrt(sum(c * c)) AS nc FROM tri GROUP BY 1, 2)",
+        f"trg AS MATERIALIZED (SELECT e, vec_id, o, {scale} * a / na AS ga, {scale} * c / nc AS gc FROM tri JOIN trn USING (e, vec_id) WHERE na - nc + {H.MARGIN} > 0)",
+        # synergy and redundancy experts: cosines with both ablations
+        "cs AS MATERIALIZED (SELECT f.e, a.k, f.vec_id, f.o, f.z AS x, a.z AS v FROM (SELECT * FROM y0 WHERE k = 'full' AND e >= 2) f JOIN y0 a ON a.e = f.e AND a.vec_id = f.vec_id AND a.o = f.o AND a.k <> 'full')",
+        f"cn AS MATERIALIZED (SELECT e, k, vec_id, greatest(sqrt(sum(x * x)), {H.COSINE_EPS}) AS nx, greatest(sqrt(sum(v * v)), {H.COSINE_EPS}) AS nv, sum(x * v) AS dot FROM cs GROUP BY 1, 2, 3)",
+        f"""cg AS MATERIALIZED (SELECT e, k, vec_id, o, s * (v / (nx * nv) - dot / (nx * nv) * x / (nx * nx)) AS gx, s * (x / (nx * nv) - dot / (nx * nv) * v / (nv * nv)) AS gv
+            FROM (SELECT *, {scale} * CASE WHEN e = 2 THEN 0.5 ELSE -0.5 END AS s FROM cs JOIN cn USING (e, k, vec_id)))""",
+        f"""dy AS MATERIALIZED (SELECT e, k, vec_id, o, sum(d) AS d FROM (
+            SELECT e, 'full' AS k, vec_id, o, w * d AS d FROM g0 JOIN dz USING (vec_id)
+            UNION ALL SELECT e, k, vec_id, o, 0 FROM y0
+            UNION ALL SELECT e, 'full', vec_id, o, ga - gc FROM trg UNION ALL SELECT e, {near}, vec_id, o, -ga FROM trg UNION ALL SELECT e, {far}, vec_id, o, gc FROM trg
+            UNION ALL SELECT e, 'full', vec_id, o, gx FROM cg UNION ALL SELECT e, k, vec_id, o, gv FROM cg) GROUP BY 1, 2, 3, 4)""",
+        move_sql("cls_w1", "e, o, i", "cls_w0", "SELECT e, o, i, sum(d * v) AS g FROM dy JOIN h0 USING (e, k, vec_id) GROUP BY 1, 2, 3"),
+        move_sql("cls_b1", "e, o", "cls_b0", "SELECT e, o, sum(d) AS g FROM dy GROUP BY 1, 2"),
+        "dx AS MATERIALIZED (SELECT e, k, vec_id, i, sum(d * w) AS d FROM dy JOIN cls_w0 USING (e, o) GROUP BY 1, 2, 3, 4)",
+        "dh AS MATERIALIZED (SELECT e, k, b, vec_id, h, z, hat, d FROM h0 JOIN dx USING (e, k, vec_id, i))",
+        "dbg AS MATERIALIZED (SELECT e, k, b, h, sum(d) AS db, sum(d * hat) AS dg FROM dh GROUP BY 1, 2, 3, 4)",
+        "d1 AS MATERIALIZED (SELECT e, k, b, vec_id, h, CASE WHEN z > 0 THEN (d - db / n - hat * dg / n) / sqrt(var + 1e-5) ELSE 0 END AS d FROM dh JOIN dbg USING (e, k, b, h) JOIN mom USING (e, k, b, h))",
+        move_sql("gamma1", "e, b, h", "gamma0", "SELECT e, b, h, sum(dg) AS g FROM dbg GROUP BY 1, 2, 3"),
+        move_sql("beta1", "e, b, h", "beta0", "SELECT e, b, h, sum(db) AS g FROM dbg GROUP BY 1, 2, 3"),
+        move_sql("first_w1", "e, b, h, i", "first_w0", "SELECT e, b, h, i, sum(d * x) AS g FROM (SELECT e, b, vec_id, h, sum(d) AS d FROM d1 WHERE k <> 'no_' || b GROUP BY 1, 2, 3, 4) JOIN xb USING (b, vec_id) GROUP BY 1, 2, 3, 4"),
+        move_sql("first_b1", "e, b, h", "first_b0", "SELECT e, b, h, sum(d) AS g FROM d1 GROUP BY 1, 2, 3"),
+        *hidden(1, "test"),
+    ]
+    return f"""WITH {SINGLE_SQL}, {', '.join(ctes)}
+        SELECT zz1.vec_id AS sample_id, label AS y_true, CAST(first(o ORDER BY p DESC, o) AS INTEGER) AS y_pred, {rs('max(p)')} AS top FROM zz1 JOIN va ON va.vec_id = zz1.vec_id GROUP BY 1, 2"""
+
+
 def one_step(spark, sf, method):
     options = TR.Options(method, epochs=1, lr=RATE, hidden=UNITS, dropout=0.0, batch_size=1 << 30)
     _, predictions = experiment(spark, sf).run(options, start=start(method))
@@ -212,3 +300,8 @@ def fus_gated(spark, sf):
 @query("fus_mcr", step_sql("mcr_late"))
 def fus_mcr(spark, sf):
     return one_step(spark, sf, "mcr_late")
+
+
+@query("fus_moe", mixture_sql())
+def fus_moe(spark, sf):
+    return one_step(spark, sf, "i2moe")

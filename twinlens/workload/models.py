@@ -135,12 +135,6 @@ def experiment(spark, sf, sample=None):
     return TR.Experiment(df, "vec_id", "label", "text", "image", sample)
 
 
-def run_head(spark, sf, method, epochs=2, **options):
-    model, predictions = experiment(spark, sf).run(TR.Options(method, epochs=epochs, lr=3e-3, hidden=32, **options))
-    gates = [r(F.get("gates", F.lit(i))).alias(n) for i, n in enumerate(("gate_text", "gate_image"))] if "gates" in predictions.columns else []
-    return predictions.select("sample_id", "y_true", "y_pred", r(F.array_max("probs")).alias("top"), *gates)
-
-
 LR = 3e-3
 
 
@@ -182,11 +176,6 @@ def fus_linear(spark, sf):
     return first_step(spark, sf, "linear")
 
 
-@query("fus_moe")
-def fus_moe(spark, sf):
-    return run_head(spark, sf, "i2moe", epochs=1)
-
-
 SINGLE_SQL = f"""{SPLIT_SQL}, va AS (SELECT vec_id, label, embedding, CASE WHEN split = 'train' AND row_number() OVER (PARTITION BY split ORDER BY md5('42|' || vec_id), vec_id) * 100
         <= count(*) OVER (PARTITION BY split) * 10 + 99 THEN 'val' ELSE split END AS part FROM sp),
     lo AS MATERIALIZED (SELECT vec_id, part, u.i AS pos, CASE WHEN u.i = 0 THEN 1.0 ELSE CAST(embedding[u.i] AS DOUBLE) END AS x FROM va, (SELECT unnest(range(0, 65)) AS i) u),

@@ -81,6 +81,18 @@ def test_vectors(spark):
     assert one(spark, [[1.0], [2.0]], "array<array<double>>", pooled) == [1.0]
 
 
+def test_plain_mean_pool_and_numbered_columns(spark):
+    from twinlens.sources.files import rename_numbered
+
+    assert one(spark, [[1.0, 4.0], [3.0, 0.0]], "array<array<double>>", V.mean_pool) == [2.0, 2.0]
+    assert rename_numbered(spark.range(1).selectExpr("id as ImageName", "1 as `0`", "2 as `10`")).columns == ["ImageName", "image_0", "image_10"]
+
+
+def test_wrappers(spark):
+    assert one(spark, "hi", "string", lambda c: T.wrap(c, P.QUESTION_WRAPPER)) == "Question: hi Answer:"
+    assert one(spark, "hi", "string", lambda c: T.wrap(c, P.CHAT_WRAPPER)) == "<image>\nUSER: hi\nASSISTANT:"
+
+
 def test_label_index_uses_string_order(spark):
     df = spark.createDataFrame([(2,), (10,), (1,), (0,), (10,)], "label int")
     assert {r["label"]: r["index"] for r in V.label_index(df, "label").collect()} == {"0": 0, "1": 1, "10": 2, "2": 3}

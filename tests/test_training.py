@@ -158,3 +158,24 @@ def test_neighbours_against_brute_force(spark, pivots, block):
     for i in range(len(q)):
         want = sorted(range(len(x)), key=lambda j: (d[i, j], j))[:5]
         assert [n for _, n in sorted(got[1000 + i])] == want
+
+
+def test_components_against_the_exact_axes(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(80, 5)) * [5, 3, 1, 0.5, 0.1] + 7
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    train, other = df.filter("id < 60"), df.filter("id >= 60")
+    got = {r["id"]: r["components"] for r in K.principal_components(train, other, "v", 2, ["id"]).collect()}
+    centre = x[:60].mean(0)
+    axes = np.linalg.svd(x[:60] - centre)[2][:2]
+    for i in range(60, 80):
+        np.testing.assert_allclose(np.abs(got[i]), np.abs((x[i] - centre) @ axes.T), atol=1e-8)
+
+
+def test_library_models_learn_separable_classes(spark):
+    df = blobs(spark).df.selectExpr("id", "int(substring(label, 2, 1)) as y0", "split", "concat(text, image) as v")
+    train, test = df.filter("split = 'train'"), df.filter("split = 'test'")
+    bench = {r["model"]: r for r in K.model_bench(train, test, "v", "y0", "id", trees=5, max_iter=10).collect()}
+    assert set(bench) == set(K.BENCH_MODELS) and all(r["accuracy"] > 0.9 and r["n"] == 48 for r in bench.values())
+    ovr = K.one_vs_rest_models(train, test, "v", "y0", "id", trees=5, max_iter=10).groupBy("model").agg({"*": "count"}).collect()
+    assert {r["model"]: r[1] for r in ovr} == dict.fromkeys(K.OVR_MODELS, 48)

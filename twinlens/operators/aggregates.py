@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from twinlens.session import small_side
 
@@ -115,7 +114,3 @@ def frequent_labels(df: DataFrame, key: str, labels: Column, least: int) -> Data
     # rows are matched as they are: exploded labels meet the frequent ones and collapse per key
     keys = long.join(kept, "__label", "left_semi").select(key).distinct()
     return df.join(keys, key, "left_semi")
-
-
-def string_type(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, T.StringType)

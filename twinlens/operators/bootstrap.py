@@ -7,19 +7,29 @@ cell limits, and a replicate is a handful of counts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.operators import metrics as M
+from twinlens.operators.joins import paired_predictions
 from twinlens.operators.ranking import number_rows, score_buckets
 from twinlens.operators.sampling import bootstrap_draws
-from twinlens.session import collect_few
+from twinlens.session import collect_few, stored
 
 MAX_CELLS = 1_000_000
 
+# The pairs of methods that are compared.
+COMPARISONS = [
+    ("gated_attention", "mlp_late"),
+    ("mcr_late", "mlp_late"),
+    ("gated_attention", "mlp_early"),
+    ("i2moe", "mlp_early"),
+    ("i2moe", "mlp_late"),
+]
+
 
 def cell_limits(df: DataFrame, cells: Sequence[str]) -> tuple[list, list[int]]:
     """Sorted distinct cells and their cumulative counts; labels are few, so this is small."""
@@ -163,3 +173,25 @@ def paired_auroc_difference(pairs: DataFrame, key: str, samples: int, seed=2026)
     return point.join(interval(draws, ["auroc"]), "metric").select(
         "metric", (F.col("a") - F.col("b")).alias("difference"), "ci_low", "ci_high", F.lit(samples).alias("bootstrap_samples")
     )
+
+
+def compare_runs(runs: Mapping[tuple[str, str, str], DataFrame], samples: int, key: str = "sample_id", seed=2026) -> DataFrame:
+    """(dataset, backbone, comparison, metric, difference, ci_low, ci_high, bootstrap_samples) of
+    the fixed comparisons, for every setting that has both methods.
+
+    ``runs`` maps (dataset, backbone, method) to a prediction table.
+    """
+    out = None
+    for (dataset, backbone, method), left in runs.items():
+        for a, b in COMPARISONS:
+            right = runs.get((dataset, backbone, b))
+            if method != a or right is None:
+                continue
+            pairs = stored(paired_predictions(left, right, key), "pairs")
+            one = paired_differences(pairs, samples, seed).unionByName(paired_auroc_difference(pairs, key, samples, seed))
+            tag = [F.lit(dataset).alias("dataset"), F.lit(backbone).alias("backbone"), F.lit(f"{a} - {b}").alias("comparison")]
+            one = one.select(*tag, *one.columns)
+            out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no setting has both methods of a comparison")
+    return out

@@ -36,10 +36,6 @@ def natural(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, shared)
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).count().filter("count > 1")
-
-
 def one_to_one(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join that fails when a key occurs twice on either side.
 

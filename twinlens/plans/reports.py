@@ -32,13 +32,6 @@ METHOD_LABELS = {
 }
 METHOD_ORDER = list(METHOD_LABELS)
 BOOT_METRICS = ["accuracy", "macro_f1", "auroc"]
-COMPARISONS = [
-    ("gated_attention", "mlp_late"),
-    ("mcr_late", "mlp_late"),
-    ("gated_attention", "mlp_early"),
-    ("i2moe", "mlp_early"),
-    ("i2moe", "mlp_late"),
-]
 ARCHITECTURES = {
     "Torch_Early_Fusion_H0": "Linear Probe",
     "Torch_Early_Fusion_H[128]": "MLP Early Fusion",
@@ -148,7 +141,8 @@ def cost_points(table: DataFrame, costs: DataFrame, axes=COST_AXES) -> DataFrame
     joined = one_to_one(table, costs, KEYS)
     rows = F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("cost"), F.col(q).cast("double").alias("quality")) for c, q in axes])
     long = joined.select(*KEYS, F.explode(rows).alias("p")).select(*KEYS, "p.*")
-    return frontier(long, ["dataset", "backbone", "axis"], "cost", "quality")
+    marked = frontier(long, ["dataset", "backbone", "axis"], "cost", "quality")
+    return marked.orderBy("dataset", "backbone", "axis", category_rank(F.col("method"), METHOD_ORDER))
 
 
 def corrected(answers: DataFrame, raw: str, truth: str, groups: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

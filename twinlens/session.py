@@ -50,14 +50,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/twinlens-{uuid.uuid4().hex}/{name}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: for results that
     several jobs use, with column pruning and independent of any executor."""

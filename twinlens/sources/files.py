@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from twinlens.session import small_side
 
@@ -117,6 +116,3 @@ def gather_vectors(df: DataFrame, groups: dict[str, str]) -> DataFrame:
 def rename_numbered(df: DataFrame, prefix: str = "image_") -> DataFrame:
     """Columns named 0..d-1 become ``image_0`` and so on."""
     return df.withColumnsRenamed({c: f"{prefix}{int(c)}" for c in df.columns if c.isdigit()})
-
-
-LABELS = T.StructType([T.StructField(c, T.StringType()) for c in ("sample_id", "image_ref", "text", "label", "split")])

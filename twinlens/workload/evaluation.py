@@ -240,16 +240,18 @@ def bst_metric_ci(spark, sf):
     return ci.select("metric", *[r(F.col(c)).alias(c) for c in ("estimate", "ci_low", "ci_high")], "bootstrap_samples")
 
 
-@query(
-    "bst_paired_difference",
+PAIRED = (
     f"""{PAIR_SQL}, pred AS (SELECT sample_id, pa.y_true, pa.y_pred AS y_pred_a, pb.y_pred AS y_pred_b FROM pa JOIN pb USING (sample_id)),
         num AS (SELECT *, row_number() OVER (ORDER BY y_true, y_pred_a, y_pred_b, md5('row|' || sample_id), sample_id) - 1 AS row_id, count(*) OVER () AS n_rows FROM pred),
         {draws_sql()}, {DRAWN}, one AS (SELECT 0 AS replicate, * FROM pred),
         df AS (SELECT a.accuracy - b.accuracy AS accuracy, a.macro_f1 - b.macro_f1 AS macro_f1 FROM {f1_sql('dn', 'y_pred_a')} a JOIN {f1_sql('dn', 'y_pred_b')} b USING (replicate)),
         pt AS (SELECT a.accuracy - b.accuracy AS accuracy, a.macro_f1 - b.macro_f1 AS macro_f1 FROM {f1_sql('one', 'y_pred_a')} a JOIN {f1_sql('one', 'y_pred_b')} b USING (replicate))
         SELECT 'accuracy' AS metric, {rs('(SELECT accuracy FROM pt)')} AS difference, {rs('quantile_cont(accuracy, 0.025)')} AS ci_low, {rs('quantile_cont(accuracy, 0.975)')} AS ci_high, {DRAWS} AS bootstrap_samples FROM df
-        UNION ALL SELECT 'macro_f1', {rs('(SELECT macro_f1 FROM pt)')}, {rs('quantile_cont(macro_f1, 0.025)')}, {rs('quantile_cont(macro_f1, 0.975)')}, {DRAWS} FROM df""",
+        UNION ALL SELECT 'macro_f1', {rs('(SELECT macro_f1 FROM pt)')}, {rs('quantile_cont(macro_f1, 0.025)')}, {rs('quantile_cont(macro_f1, 0.975)')}, {DRAWS} FROM df"""
 )
+
+
+@query("bst_paired_difference", PAIRED)
 def bst_paired_difference(spark, sf):
     pairs = stored(J.paired_predictions(predictions(spark, sf), predictions(spark, sf, 1, 32)))
     d = B.paired_differences(pairs, DRAWS)
@@ -266,21 +268,41 @@ def _auroc_point_sql(side: str) -> str:
     return f"(SELECT avg(auroc) FROM ({auroc_sql(ov, 'score', 'pos', 'label')}) z)"
 
 
-@query(
-    "bst_paired_auroc",
+PAIRED_AUROC = (
     f"""{PAIR_SQL}, pred AS (SELECT sample_id, pa.y_true, pa.y_pred AS y_pred_a, pb.y_pred AS y_pred_b, pa.probs AS probs_a, pb.probs AS probs_b FROM pa JOIN pb USING (sample_id)),
         num AS (SELECT *, row_number() OVER (ORDER BY y_true, y_pred_a, y_pred_b, md5('row|' || sample_id), sample_id) - 1 AS row_id, count(*) OVER () AS n_rows FROM pred),
         {draws_sql()}, {DRAWN},
         df AS (SELECT a.auroc - b.auroc AS d FROM {_auroc_draw_sql('a')} a JOIN {_auroc_draw_sql('b')} b USING (replicate))
         SELECT 'auroc' AS metric, {rs(_auroc_point_sql('a') + ' - ' + _auroc_point_sql('b'))} AS difference, {rs('quantile_cont(d, 0.025)')} AS ci_low,
-               {rs('quantile_cont(d, 0.975)')} AS ci_high, {DRAWS} AS bootstrap_samples FROM df WHERE NOT isnan(d)""",
+               {rs('quantile_cont(d, 0.975)')} AS ci_high, {DRAWS} AS bootstrap_samples FROM df WHERE NOT isnan(d)"""
 )
+
+
+@query("bst_paired_auroc", PAIRED_AUROC)
 def bst_paired_auroc(spark, sf):
     pairs = stored(J.paired_predictions(predictions(spark, sf), predictions(spark, sf, 1, 32)))
     d = B.paired_auroc_difference(pairs, "sample_id", DRAWS)
     return d.select("metric", *[r(F.col(c)).alias(c) for c in ("difference", "ci_low", "ci_high")], "bootstrap_samples")
 
 
+# dimensions of the vector that stand for the methods of one setting
+RUNS = {"mlp_late": (1, 64), "gated_attention": (1, 32), "mcr_late": (33, 64)}
+
+
+def comparison_sql(a: str, b: str) -> str:
+    """The two queries above for another pair of methods."""
+    own = f"{pred_sql('pa', *RUNS[a])}, {pred_sql('pb', *RUNS[b])}"
+    parts = [sql.replace(PAIR_SQL, f"WITH {SPLIT_SQL}, {own}") for sql in (PAIRED, PAIRED_AUROC)]
+    return " UNION ALL ".join(f"SELECT 'shared' AS dataset, 'vectors' AS backbone, '{a} - {b}' AS comparison, * FROM ({p})" for p in parts)
+
+
+@query("bst_comparisons", " UNION ALL ".join(comparison_sql(a, b) for a, b in B.COMPARISONS if a in RUNS and b in RUNS))
+def bst_comparisons(spark, sf):
+    runs = {("shared", "vectors", m): stored(predictions(spark, sf, *dims)) for m, dims in RUNS.items()}
+    d = B.compare_runs(runs, DRAWS)
+    return d.select("dataset", "backbone", "comparison", "metric", *[r(F.col(c)).alias(c) for c in ("difference", "ci_low", "ci_high")], "bootstrap_samples")
+
+
 ANSWER_SQL = "pred AS (SELECT doc_id AS sample_id, lang AS y_true, CASE WHEN n_chars > 400 THEN lang ELSE 'en' END AS y_pred FROM documents)"
 
 

@@ -64,20 +64,25 @@ def accuracy_f1_draws(df: DataFrame, samples: int, seed=2026, y: str = "y_true",
     return M.summary(counts, ["replicate"]).select("replicate", "accuracy", "macro_f1")
 
 
-def auroc_draws(df: DataFrame, samples: int, key: str, within: Sequence[str] = ("y_true", "y_pred"), seed=2026) -> DataFrame:
+def table_size(df: DataFrame, probs: str = "probs") -> tuple[int, int]:
+    """(rows, classes)."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(probs)).alias("c")).first()
+    return r["n"], r["c"]
+
+
+def auroc_draws(numbered: DataFrame, size: tuple[int, int], samples: int, seed=2026) -> DataFrame:
     """(replicate, auroc) from the same draws: ``prob_1`` for two classes, else one-vs-rest mean.
 
-    ``df`` has ``y_true`` and ``probs``. Draws collapse to multiplicities per row before the
-    join; score buckets are computed once from the table and serve all replicates.
+    ``numbered`` has ``row_id`` (from ``number_rows`` in the order of the cells), ``y_true`` and
+    ``probs``. Draws collapse to multiplicities per row before the join; score buckets are
+    computed once from the table and serve all replicates.
     """
-    numbered = number_rows(df, key, within)
-    n_classes = df.select(F.size("probs").alias("c")).first()["c"]
+    n, classes = size
     long = M.one_vs_rest(numbered.select("row_id", "y_true", "probs"))
-    if n_classes == 2:
+    if classes == 2:
         long = long.filter(F.col("label") == 1)
     long = score_buckets(long.select("row_id", "label", "score", "positive"), "score", ["label"])
-    n = df.count()
-    hits = bootstrap_draws(df.sparkSession, n, samples, seed).groupBy("replicate", "row_id").agg(F.count(F.lit(1)).alias("m"))
+    hits = bootstrap_draws(numbered.sparkSession, n, samples, seed).groupBy("replicate", "row_id").agg(F.count(F.lit(1)).alias("m"))
     per_class = M.auroc(hits.join(long, "row_id"), "score", "positive", ["replicate", "label"], weight="m", bucket="bucket")
     return per_class.groupBy("replicate").agg(F.avg("auroc").alias("auroc"))
 
@@ -95,32 +100,23 @@ def interval(draws: DataFrame, metrics: Sequence[str], groups: Sequence[str] = (
     )
 
 
-def point_estimates(df: DataFrame) -> DataFrame:
-    """(metric, estimate) for accuracy, macro_f1 and auroc of a prediction table."""
-    base = M.summary(M.confusion(df)).select("accuracy", "macro_f1")
-    n_classes = df.select(F.size("probs").alias("c")).first()["c"]
-    if n_classes == 2:
-        scored = df.select(F.col("probs")[1].alias("score"), F.col("y_true").alias("positive"))
-        area = M.auroc(scored, "score", "positive")
-    else:
-        area = M.auroc_macro(df)
-    parts = [
-        base.select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("estimate")),
-        base.select(F.lit("macro_f1").alias("metric"), F.col("macro_f1").alias("estimate")),
-        area.select(F.lit("auroc").alias("metric"), F.col("auroc").alias("estimate")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def point_auroc(df: DataFrame, classes: int) -> DataFrame:
+    if classes != 2:
+        return M.auroc_macro(df)
+    return M.auroc(df.select(F.col("probs")[1].alias("score"), F.col("y_true").alias("positive")), "score", "positive")
 
 
 def metric_intervals(df: DataFrame, key: str, samples: int, seed=2026) -> DataFrame:
-    """(metric, estimate, ci_low, ci_high, bootstrap_samples) for a table with y_true, y_pred, probs."""
+    """(metric, estimate, ci_low, ci_high, bootstrap_samples) for a table with y_true, y_pred, probs.
+
+    The table is read several times, so it should be a stored one.
+    """
+    size = table_size(df)
+    base = M.summary(M.confusion(df)).select(F.expr("stack(2, 'accuracy', accuracy, 'macro_f1', macro_f1) as (metric, estimate)"))
+    point = base.unionByName(point_auroc(df, size[1]).select(F.lit("auroc").alias("metric"), F.col("auroc").alias("estimate")))
     a = interval(accuracy_f1_draws(df, samples, seed), ["accuracy", "macro_f1"])
-    b = interval(auroc_draws(df, samples, key, seed=seed), ["auroc"])
-    return (
-        point_estimates(df)
-        .join(a.unionByName(b), "metric")
-        .select("metric", "estimate", "ci_low", "ci_high", F.lit(samples).alias("bootstrap_samples"))
-    )
+    b = interval(auroc_draws(number_rows(df, key, ["y_true", "y_pred"]), size, samples, seed), ["auroc"])
+    return point.join(a.unionByName(b), "metric").select("metric", "estimate", "ci_low", "ci_high", F.lit(samples).alias("bootstrap_samples"))
 
 
 def answer_intervals(df: DataFrame, samples: int, seed=2026, y: str = "y_true", p: str = "y_pred") -> DataFrame:
@@ -159,18 +155,16 @@ def paired_differences(pairs: DataFrame, samples: int, seed=2026) -> DataFrame:
 
 def paired_auroc_difference(pairs: DataFrame, key: str, samples: int, seed=2026) -> DataFrame:
     """The AUROC row of ``paired_differences``; ``pairs`` also has probs_a and probs_b."""
-    within = ("y_true", "y_pred_a", "y_pred_b")
-    sides = []
+    size = table_size(pairs, "probs_a")
+    numbered = number_rows(pairs, key, ["y_true", "y_pred_a", "y_pred_b"])
+    draws, points = [], []
     for s in ("a", "b"):
-        one = pairs.select(key, *within, F.col(f"probs_{s}").alias("probs"))
-        sides.append((auroc_draws(one, samples, key, within, seed), one))
-    draws = (
-        sides[0][0].withColumnRenamed("auroc", "a").join(sides[1][0].withColumnRenamed("auroc", "b"), "replicate")
-        .select((F.col("a") - F.col("b")).alias("auroc"))
-    )
-    est = [point_estimates(one.withColumn("y_pred", F.col(f"y_pred_{s}"))).filter("metric = 'auroc'") for (_, one), s in zip(sides, "ab")]
-    point = est[0].withColumnRenamed("estimate", "a").join(est[1].withColumnRenamed("estimate", "b"), "metric")
-    return point.join(interval(draws, ["auroc"]), "metric").select(
+        one = numbered.select("row_id", "y_true", F.col(f"probs_{s}").alias("probs"))
+        draws.append(auroc_draws(one, size, samples, seed).withColumnRenamed("auroc", s))
+        points.append(point_auroc(one, size[1]).select(F.lit("auroc").alias("metric"), F.col("auroc").alias(s)))
+    diff = draws[0].join(draws[1], "replicate").select((F.col("a") - F.col("b")).alias("auroc"))
+    point = points[0].join(points[1], "metric")
+    return point.join(interval(diff, ["auroc"]), "metric").select(
         "metric", (F.col("a") - F.col("b")).alias("difference"), "ci_low", "ci_high", F.lit(samples).alias("bootstrap_samples")
     )
 

@@ -44,10 +44,10 @@ def number_rows(df: DataFrame, key: str, within: Sequence[str] = (), out: str =
     inner = W.partitionBy(*cols, F.lit(0)).orderBy("__b")
     per_bucket = counts.withColumn("__before", F.sum("__n").over(inner) - F.col("__n"))
     if cols:
-        totals = base.groupBy(*cols).agg(F.count(F.lit(1)).alias("__t"))
         # one row per combination of the few ``within`` values
+        totals = counts.groupBy(*cols).agg(F.sum("__n").alias("__t"))
         totals = totals.withColumn("__start", F.sum("__t").over(W.orderBy(*cols)) - F.col("__t"))
-        totals = small_side(totals.select(*[F.col(c).alias(f"__g_{c}") for c in cols], "__start"))
+        totals = totals.select(*[F.col(c).alias(f"__g_{c}") for c in cols], "__start")
         cond = null_safe(per_bucket, totals, [(c, f"__g_{c}") for c in cols])
         per_bucket = per_bucket.join(totals, cond).withColumn("__before", F.col("__before") + F.col("__start"))
     offsets = small_side(

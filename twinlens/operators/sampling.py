@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twinlens.operators.ranking import hash_bucket, null_safe, number_rows, order_hash
-from twinlens.session import small_side
+from twinlens.session import small_side, small_table
 
 
 def ceil_percent(n: Column, percent: int) -> Column:
@@ -38,15 +38,16 @@ def hash_cuts(df: DataFrame, key: str, cuts: dict[str, Column], strata: Sequence
     base = df.select(*cols, F.col(key).alias("__k"), order_hash(seed, F.col(key)).alias("__h"))
     counts = base.groupBy(*cols, hash_bucket(F.col("__h"), COARSE).alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
     whole = W.partitionBy(*cols, F.lit(0))
-    counts = counts.withColumn("n", F.sum("__c").over(whole))
+    # both windows share one shuffle of the counts
+    counts = counts.withColumn("n", F.sum("__c").over(whole)).withColumn("__cum", F.sum("__c").over(whole.orderBy("__b")))
     wanted = [F.struct(F.lit(name).alias("part"), k.cast("long").alias("k")) for name, k in cuts.items()]
-    counts = counts.withColumn("__w", F.explode(F.array(*wanted))).select(*cols, "__b", "__c", "__w.part", "__w.k")
-    hits = _bucket_of_cut(counts, cols)
-    digits = COARSE
-    if (hits.agg(F.max("__size")).first()[0] or 0) > SORT_ROWS:
+    counts = counts.withColumn("__w", F.explode(F.array(*wanted))).select(*cols, "__b", "__c", "__cum", "__w.part", "__w.k")
+    (hits, known), digits = _bucket_of_cut(counts, cols), COARSE
+    if known is None or max(known.column("__size").to_pylist(), default=0) > SORT_ROWS:
         inside = _rows_of_cuts(base, hits, cols, COARSE).withColumnRenamed("__left", "k")
         finer = inside.groupBy(*cols, "part", "k", hash_bucket(F.col("__h"), FINE).alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
-        hits, digits = _bucket_of_cut(finer, cols), FINE
+        finer = finer.withColumn("__cum", F.sum("__c").over(W.partitionBy(*cols, "part").orderBy("__b")))
+        hits, digits = _bucket_of_cut(finer, cols)[0], FINE
     edge = _rows_of_cuts(base, hits, cols, digits)
     rank = F.row_number().over(W.partitionBy(*cols, "part").orderBy("__h", "__k"))
     found = edge.withColumn("__r", rank).filter(F.col("__r") == F.col("__left"))
@@ -59,11 +60,11 @@ def hash_cuts(df: DataFrame, key: str, cuts: dict[str, Column], strata: Sequence
     return cut.select(*[f"__s_{c}" for c in cols], *ends)
 
 
-def _bucket_of_cut(counts: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """From (strata, part, k, bucket, count): the bucket with the k-th row, its size and the rank left in it."""
-    cum = F.sum("__c").over(W.partitionBy(*cols, "part").orderBy("__b"))
-    hit = counts.withColumn("__cum", cum).filter((F.col("k") <= F.col("__cum")) & (F.col("k") > F.col("__cum") - F.col("__c")))
-    return small_side(
+def _bucket_of_cut(counts: DataFrame, cols: Sequence[str]):
+    """From (strata, part, k, bucket, count, running count): the bucket with the k-th row, its
+    size and the rank left in it; as ``small_table``."""
+    hit = counts.filter((F.col("k") <= F.col("__cum")) & (F.col("k") > F.col("__cum") - F.col("__c")))
+    return small_table(
         hit.select(
             *[F.col(c).alias(f"__c_{c}") for c in cols],
             F.col("__b").alias("__cb"), "part", F.col("__c").alias("__size"), (F.col("k") - F.col("__cum") + F.col("__c")).alias("__left"),

@@ -21,6 +21,7 @@ def local_session(app: str = "twinlens", cores: str = "*", partitions: int = 8)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site capture per expression
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -65,11 +66,16 @@ def small_side(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20
     constant (so it is also evaluated once) with a broadcast hint; when they do not,
     the caller's join runs as a shuffle join on the unchanged frame.
     """
-    # one probe; the limit keeps a wrong guess about the size from reaching the driver
+    return small_table(df, max_rows, max_bytes)[0]
+
+
+def small_table(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20):
+    """(``small_side`` of the frame, its rows as an Arrow table or None if it is not small)."""
+    # the limit keeps a wrong guess about the size from reaching the driver
     table = df.limit(max_rows + 1).toArrow()
     if table.num_rows > max_rows or table.nbytes > max_bytes:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema))
+        return df, None
+    return F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema)), table
 
 
 def collect_few(df: DataFrame, most: int = 10_000) -> list:

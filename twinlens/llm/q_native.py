@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from twinlens.llm.decontamination import contamination
 from twinlens.llm.line_dedup import dedup_lines
 from twinlens.llm.queries import query, table
 
@@ -35,3 +36,27 @@ BLANK = "trim(translate(content, chr(9) || chr(13) || chr(12) || chr(11), '    '
 def line_dedup(spark, sf):
     out = dedup_lines(table(spark, sf, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.array_join("removed_at", ",").alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+WORDS = r"list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+@query(
+    "op4_decontamination",
+    sql=f"""
+    with d as (select doc_id, {WORDS} as w from documents), b as (select item_id, {WORDS} as w from benchmark),
+    bw as (select distinct item_id, array_to_string(list_slice(w, s, s + least(10, len(w)) - 1), ' ') as body, least(10, len(w)) as m
+           from b, lateral (select unnest(range(1, len(w) - least(10, len(w)) + 2)) as s) where len(w) > 0),
+    sizes as (select distinct m from bw),
+    dw as (select doc_id, s, m, array_to_string(list_slice(w, s, s + m - 1), ' ') as body
+           from d, sizes, lateral (select unnest(range(1, len(w) - m + 2)) as s) where len(w) >= m),
+    hits as (select doc_id, item_id, s, m from dw join bw using (body, m)),
+    covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + m)) as p from hits) group by 1),
+    items as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as ids from (select distinct doc_id, item_id::varchar as i from hits) group by 1)
+    select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from d left join covered using (doc_id) left join items using (doc_id)
+    """,
+)
+def decontamination(spark, sf):
+    out = contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"), window=10)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from twinlens.llm import pii
 from twinlens.llm.decontamination import contamination
 from twinlens.llm.line_dedup import dedup_lines
 from twinlens.llm.queries import query, table
@@ -60,3 +61,18 @@ WORDS = r"list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGH
 def decontamination(spark, sf):
     out = contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"), window=10)
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _joined(spans):
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
+
+
+def _is(kind):
+    return lambda x: x["kind"] == kind
+
+
+@query("op9_pii")
+def personal_data(spark, sf):
+    out = pii.find(table(spark, sf, "documents")).withColumn("base", F.filter("spans", lambda x: x["base"]))
+    counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))

@@ -68,20 +68,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _powers(base: int, known: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """base ** 0 .. base ** n modulo 2 ** 64; the longest ones asked for are kept."""
+    if base not in known or len(known[base]) <= n:
+        p = np.full(n + 1, base, np.uint64)
+        p[0] = 1
+        np.multiply.accumulate(p, out=p)
+        known[base] = p
+    return known[base]
+
+
 class Hasher:
-    """64-bit polynomial hashes of any stretches of one byte array."""
+    """64-bit polynomial hashes of any stretches of one byte array; equal bytes have equal hashes wherever they stand."""
+
+    _known: dict[int, np.ndarray] = {}
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        self.power = np.ones(n + 1, np.uint64)
-        self.power[1:] = _ODD
-        np.multiply.accumulate(self.power, out=self.power)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * self.power[:n], out=self.sums[1:])
+        np.cumsum(_BYTE[data] * _powers(int(_ODD), self._known, n)[:n], out=self.sums[1:])
+        self.back = _powers(pow(int(_ODD), -1, 1 << 64), self._known, n)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        # both factors are moved to the same power, so that equal bytes get equal values wherever they stand
-        return mix((self.sums[ends] - self.sums[starts]) * self.power[len(self.power) - 1 - starts] + (ends - starts).astype(np.uint64))
+        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:

@@ -1,6 +1,6 @@
 """Queries of the operators that compare documents, or vectors, with each other."""
 
-from twinlens.llm import near_dup
+from twinlens.llm import ann, near_dup
 from twinlens.llm.queries import query, table
 
 
@@ -29,3 +29,8 @@ from twinlens.llm.queries import query, table
 )
 def minhash(spark, sf):
     return near_dup.near_duplicates(table(spark, sf, "documents"), words=2, percent=80).drop("text_key")
+
+
+@query("op10_ann")
+def nearest(spark, sf):
+    return ann.neighbours(table(spark, sf, "embeddings"), every=50, k=5)

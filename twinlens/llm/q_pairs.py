@@ -1,6 +1,8 @@
 """Queries of the operators that compare documents, or vectors, with each other."""
 
-from twinlens.llm import ann, near_dup
+from pyspark.sql import functions as F
+
+from twinlens.llm import ann, near_dup, suffix_dedup
 from twinlens.llm.queries import query, table
 
 
@@ -34,3 +36,9 @@ def minhash(spark, sf):
 @query("op10_ann")
 def nearest(spark, sf):
     return ann.neighbours(table(spark, sf, "embeddings"), every=50, k=5)
+
+
+@query("op7_suffix_array")
+def suffix_array(spark, sf):
+    out = suffix_dedup.dedup(table(spark, sf, "documents"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -8,7 +8,7 @@ Method. Every candidate, base ones and those that failed their check included, h
 context. A candidate counts as personal data for the training if it passed its check or a cue word with a sign of assignment stands
 right before it. The table of (features, count, positives) over all documents has at most ``CELLS`` rows by construction; boosted trees are
 fitted on it and become a CASE expression, so scoring is plain SQL. Documents of odd hash are kept from the fit and give, for each
-generator, the lowest score with a precision of ``precision``; candidates above it that touch no base span are added.
+generator, the lowest score with a precision of ``precision``; candidates above it that lie in no base span are added.
 
 The patterns are the stated ones in a form with the same matches that never backtracks over a long run: possessive repeats, and a match
 may begin inside a run only where the match before has ended.
@@ -169,7 +169,7 @@ def find(docs: DataFrame, precision: float = 0.9) -> DataFrame:
     forest, limits = fit(found, precision)
     base = F.filter("found", lambda x: x["passed"])
     df = found.withColumn("base", base)
-    chosen = F.filter("found", lambda x: (x["kind"] >= len(BASE)) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    chosen = F.filter("found", lambda x: (x["kind"] >= len(BASE)) & ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"])))
     scored = df.select("doc_id", "base", chosen.alias("more"))
     above = " or ".join(f"(x.kind = {k} and {_case(forest, 'x')} >= {least - 1e-6:.9f}D)" for k, least in limits.items()) or "false"
     scored = scored.withColumn("more", F.expr(f"filter(more, x -> {above})"))

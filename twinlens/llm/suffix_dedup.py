@@ -119,7 +119,7 @@ def run_table(docs: DataFrame, length: int) -> DataFrame:
         if waiting:
             yield flush()
 
-    rows = docs.where(F.length("text") > 0).select(F.coalesce("doc_id", F.lit(LEAST)).cast("long").alias("doc"), F.xxhash64("text").alias("text_key"), "text")
+    rows = docs.where(F.octet_length("text") >= length).select(F.coalesce("doc_id", F.lit(LEAST)).cast("long").alias("doc"), F.xxhash64("text").alias("text_key"), "text")
     return stored(rows.mapInArrow(run, _RUN), "runs")
 
 
@@ -162,7 +162,7 @@ def shard_copies(table: DataFrame) -> DataFrame:
 def _cut(reps: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """The bytes of runs, cut from the whole texts."""
     wanted = reps.groupBy("doc", "text_key").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("pieces"))
-    texts = docs.where(F.length("text") >= length).select(F.coalesce("doc_id", F.lit(LEAST)).cast("long").alias("doc"), F.xxhash64("text").alias("text_key"), "text")
+    texts = docs.where(F.octet_length("text") >= length).select(F.coalesce("doc_id", F.lit(LEAST)).cast("long").alias("doc"), F.xxhash64("text").alias("text_key"), "text")
     schema = T.StructType([*_RUN.fields[:1], *_RUN.fields[2:6], T.StructField("bytes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

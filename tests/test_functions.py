@@ -49,7 +49,7 @@ ANSWERS = ["1", " 0 (Fake)", "No diabetic retinopathy", "no dr", "it is real", "
 def test_strict_answers(spark):
     df = spark.createDataFrame([(i, a) for i, a in enumerate(ANSWERS)], "i int, a string")
     labels = F.array(F.lit("0"), F.lit("1"))
-    got = {r["a"]: (r["x"], r["y"]) for r in df.select("a", Y.strict_label(F.col("a"), labels, "authenticity").alias("x"), Y.strict_label(F.col("a"), labels, "retinopathy").alias("y")).collect()}
+    got = {r["a"]: (r["x"], r["y"]) for r in df.select("a", Y.strict_label(F.col("a"), labels, "fakeddit").alias("x"), Y.strict_label(F.col("a"), labels, "BRSET").alias("y")).collect()}
     assert got["1"] == ("1", "1") and got[" 0 (Fake)"] == ("0", "0")
     assert got["No diabetic retinopathy"][1] == "0" and got["no dr"][1] == "0"  # negative phrase first
     assert got["it is real"][0] == "1" and got["Positive"][1] == "1"
@@ -130,15 +130,15 @@ def test_template_table(spark):
     rows = T.template_table(spark).collect()
     assert len(rows) == 31 and len({(r["dataset"], r["task"], r["strategy"]) for r in rows}) == 31
     by = {(r["dataset"], r["task"], r["strategy"]): r["template"] for r in rows}
-    cot = by["retina", "binary_dr", "cot"]
+    cot = by["brset", "binary_dr", "cot"]
     assert P.RULE_MARK not in cot and cot.endswith('"Answer: no".') and "\n\n\n" not in cot
-    assert by["retina", "binary_dr", "role"] == P.ROLE + "\n\n" + P.BINARY
+    assert by["brset", "binary_dr", "role"] == P.ROLE + "\n\n" + P.BINARY
     for (_, _, strategy), text in by.items():
         assert text == text.strip()
 
 
 def test_dispatch_falls_back(spark):
-    rows = [(1, "RETINA", "Glaucoma", "cot"), (2, "retina_mobile", "amd", "base"), (3, "retina", "binary_dr", "role")]
+    rows = [(1, "BRSET", "Glaucoma", "cot"), (2, "mbrset", "amd", "base"), (3, "brset", "binary_dr", "role")]
     df = spark.createDataFrame(rows, "i int, d string, t string, s string")
     got = {r["i"]: r["template"] for r in T.dispatch(df, "d", "t", "s").collect()}
     assert got[1] == P.GLAUCOMA and got[2] is None and got[3].startswith(P.ROLE)

@@ -13,7 +13,8 @@ RETINOPATHY_WORDS = (
     ("0", "no diabetic retinopathy|no dr|negative"),
     ("1", "diabetic retinopathy|dr|positive"),
 )
-TASK_WORDS: Mapping[str, tuple] = {"authenticity": AUTHENTICITY_WORDS, "retinopathy": RETINOPATHY_WORDS}
+# The datasets with words of their own.
+DATASET_WORDS: Mapping[str, tuple] = {"fakeddit": AUTHENTICITY_WORDS, "brset": RETINOPATHY_WORDS, "mbrset": RETINOPATHY_WORDS}
 
 LEADING_NUMBER = r"^\s*([+-]?\d+(?:\.\d+)?)\b"
 
@@ -27,13 +28,13 @@ def _quoted(label: Column) -> Column:
     return F.regexp_replace(F.lower(label), r"([^\p{L}\p{N}_\s])", r"\\$1")
 
 
-def strict_label(answer: Column, labels: Column, task: str | None = None) -> Column:
-    """A leading number that is a label, then the words of the task, then the first label
+def strict_label(answer: Column, labels: Column, dataset: str | None = None) -> Column:
+    """A leading number that is a label, then the words of the dataset, then the first label
     (in the order of the array ``labels``) that occurs as a whole word; else null."""
     text = _clean(answer)
     number = F.regexp_extract(text, LEADING_NUMBER, 1)
     steps = [F.when(number != "", F.get(F.filter(labels, lambda x: F.lower(x) == number), F.lit(0)))]
-    for label, words in TASK_WORDS.get(task or "", ()):
+    for label, words in DATASET_WORDS.get((dataset or "").lower(), ()):
         steps.append(F.when(text.rlike(rf"\b({words})\b"), F.lit(label)))
     whole = F.filter(labels, lambda x: F.rlike(text, F.concat(F.lit(r"(^|\W)"), _quoted(x), F.lit(r"(\W|$)"))))
     steps.append(F.get(whole, F.lit(0)))

@@ -25,7 +25,7 @@ def _if_known(c: Column, before: str, after: str, unknown: str) -> Column:
     return F.coalesce(_say(before, c.cast("string"), after), F.lit(unknown))
 
 
-# Converters of codes to words
+# Converters of codes to words. The codes and the words they stand for.
 
 
 def eye_word(c: Column) -> Column:
@@ -206,7 +206,7 @@ def dispatch(df: DataFrame, dataset: str, task: str, strategy: str, out: str = "
     return joined.select(*df.columns, F.coalesce("__e_template", "__b_template").alias(out))
 
 
-def classification_prompt(text: Column, labels: Column | Sequence[str], task: str | None = None, many: bool = False) -> Column:
+def classification_prompt(text: Column, labels: Column | Sequence[str], dataset: str | None = None, many: bool = False) -> Column:
     """Task header, closed label list or fixed class meaning, the text, the answer rule."""
     if isinstance(labels, Column):
         listed = _say("['", F.array_join(labels, "', '"), "']")
@@ -214,8 +214,8 @@ def classification_prompt(text: Column, labels: Column | Sequence[str], task: st
         listed = F.lit(str(list(labels)))
     if many:
         choice = _say(P.MULTI_LABEL, listed, ". Select all that apply.\n")
-    elif task in P.CLASS_MEANINGS:
-        choice = F.lit(P.SINGLE_LABEL + P.CLASS_MEANINGS[task] + ".\n")
+    elif (dataset or "").lower() in P.CLASS_MEANINGS:
+        choice = F.lit(P.SINGLE_LABEL + P.CLASS_MEANINGS[dataset.lower()] + ".\n")
     else:
         choice = _say(P.SINGLE_LABEL, listed, ".\n")
     return _say(P.TASK_HEADER, choice, "Question/Text: ", text, "\nAnswer directly with the class name(s).")

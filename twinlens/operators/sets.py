@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens.operators.ranking import order_hash
+from twinlens.session import stored
 
 
 class UnseenLabels(ValueError):
@@ -20,6 +21,19 @@ def category_rank(c: Column, order: Sequence[str]) -> Column:
     return F.when(at > 0, at).otherwise(len(order) + 1)
 
 
+def numbered(df: DataFrame, out: str = "position") -> DataFrame:
+    """0-based positions of a sorted frame. Rows are numbered within their partition and shifted by the
+    rows of the partitions before, so the sort stays parallel; only one count per partition meets in one task."""
+    rows = stored(df.withColumn("__m", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("__m", 33)
+    counts = rows.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__p", F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = rows.withColumn("__p", part).join(offsets, "__p")
+    return joined.withColumn(out, within + F.col("__before")).select(*df.columns, out)
+
+
 def first_valid(df: DataFrame, valid: Column, key: str, k: int, seed=42) -> DataFrame:
     """The first k valid rows in hash order (a top-k, not a sort of the table)."""
     return df.filter(valid).withColumn("__h", order_hash(seed, F.col(key))).orderBy("__h", key).limit(k).drop("__h")

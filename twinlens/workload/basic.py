@@ -221,9 +221,10 @@ def flt_fill_blank(spark, sf):
 # Sorts, limits, sets
 
 
-@query("srt_multi_key", "SELECT p_brand, p_type, p_partkey FROM part ORDER BY p_brand, p_type DESC, p_partkey")
+@query("srt_multi_key", "SELECT p_brand, p_type, p_partkey, row_number() OVER (ORDER BY p_brand, p_type DESC, p_partkey) - 1 AS position FROM part")
 def srt_multi_key(spark, sf):
-    return table(spark, sf, "part").select("p_brand", "p_type", "p_partkey").orderBy("p_brand", F.col("p_type").desc(), "p_partkey")
+    df = table(spark, sf, "part").select("p_brand", "p_type", "p_partkey").orderBy("p_brand", F.col("p_type").desc(), "p_partkey")
+    return sets.numbered(df)
 
 
 ORDER = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
@@ -231,18 +232,19 @@ ORDER = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
 
 @query(
     "srt_category_order",
-    f"""SELECT o_orderpriority, list_position({ORDER}, o_orderpriority) AS place, count(*) AS n FROM orders
-        GROUP BY 1, 2 ORDER BY place""",
+    f"""SELECT o_orderpriority, list_position({ORDER}, o_orderpriority) AS place, count(*) AS n, row_number() OVER (ORDER BY list_position({ORDER}, o_orderpriority)) - 1 AS position FROM orders
+        GROUP BY 1, 2""",
 )
 def srt_category_order(spark, sf):
     counts = A.value_counts(table(spark, sf, "orders"), "o_orderpriority")
     place = sets.category_rank(F.col("o_orderpriority"), ORDER).cast("int")
-    return counts.select("o_orderpriority", place.alias("place"), "n").orderBy("place")
+    return sets.numbered(counts.select("o_orderpriority", place.alias("place"), "n").orderBy("place"))
 
 
-@query("srt_by_key", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1 ORDER BY 1")
+@query("srt_by_key", "SELECT CAST(ts AS DATE) AS day, count(*) AS n, row_number() OVER (ORDER BY CAST(ts AS DATE)) - 1 AS position FROM events GROUP BY 1")
 def srt_by_key(spark, sf):
-    return A.value_counts(table(spark, sf, "events").select(F.to_date("ts").alias("day")), "day").orderBy("day")
+    df = A.value_counts(table(spark, sf, "events").select(F.to_date("ts").alias("day")), "day").orderBy("day")
+    return sets.numbered(df)
 
 
 @query("lim_first_valid", "SELECT doc_id, lang FROM documents WHERE n_chars > 500 ORDER BY md5('42|' || doc_id), doc_id LIMIT 10")
@@ -332,7 +334,7 @@ TAIL = "regexp_extract(url, '^https?://[^/]*(/[^?#]*)', 1)"
 @query("str_path_join", f"SELECT page_id, CASE WHEN starts_with(p, '/') THEN p ELSE 'images/' || p END AS path FROM (SELECT page_id, CASE WHEN url LIKE 'https%' THEN {TAIL} ELSE substr({TAIL}, 2) END AS p FROM pages)")
 def str_path_join(spark, sf):
     tail = F.regexp_extract("url", r"^https?://[^/]*(/[^?#]*)", 1)
-    p = F.when(F.col("url").startswith("https"), tail).otherwise(F.substring(tail, 2, 1_000_000))
+    p = F.when(F.col("url").startswith("https"), tail).otherwise(F.substring(tail, F.lit(2), F.length(tail)))
     return table(spark, sf, "pages").select("page_id", S.join_path("images/", p).alias("path"))
 
 
@@ -386,7 +388,8 @@ def str_regex_replace(spark, sf):
 
 @query("str_path_class", f"SELECT page_id, split_part(substr({TAIL}, 2), '/', 1) AS class FROM pages")
 def str_path_class(spark, sf):
-    tail = F.substring(F.regexp_extract("url", r"^https?://[^/]*(/[^?#]*)", 1), 2, 1_000_000)
+    tail = F.regexp_extract("url", r"^https?://[^/]*(/[^?#]*)", 1)
+    tail = F.substring(tail, F.lit(2), F.length(tail))
     return table(spark, sf, "pages").select("page_id", S.first_part(tail).alias("class"))
 
 

@@ -167,13 +167,13 @@ EXTRA_SQL = "base AS (SELECT * FROM (VALUES " + ", ".join(f"({q(d)}, {q(t)}, {q(
 @query(
     "txt_task_prompt",
     f"""WITH {EXAM_SQL}, {HISTORY_SQL}, {EXTRA_SQL}
-        SELECT p_partkey, dataset, task, md5(replace(template, '{{description}}', {EXAM_PROMPT_SQL})) AS prompt FROM exam, base WHERE dataset = 'retina'
-        UNION ALL SELECT p_partkey, dataset, task, md5(replace(template, '{{description}}', {PATIENT_SQL})) FROM hist, base WHERE dataset = 'retina_mobile'""",
+        SELECT p_partkey, dataset, task, md5(replace(template, '{{description}}', {EXAM_PROMPT_SQL})) AS prompt FROM exam, base WHERE dataset = 'brset'
+        UNION ALL SELECT p_partkey, dataset, task, md5(replace(template, '{{description}}', {PATIENT_SQL})) FROM hist, base WHERE dataset = 'mbrset'""",
 )
 def txt_task_prompt(spark, sf):
     rows = [*P.BASE_PROMPTS, *P.SINGLE_MODALITY_PROMPTS]
-    a = exams(spark, sf).select("p_partkey", F.lit("retina").alias("dataset"), T.exam_prompt_description().alias("d"))
-    b = history(spark, sf).select("p_partkey", F.lit("retina_mobile").alias("dataset"), T.patient_description().alias("d"))
+    a = exams(spark, sf).select("p_partkey", F.lit("brset").alias("dataset"), T.exam_prompt_description().alias("d"))
+    b = history(spark, sf).select("p_partkey", F.lit("mbrset").alias("dataset"), T.patient_description().alias("d"))
     templates = F.broadcast(spark.createDataFrame(rows, "dataset string, task string, template string"))
     filled = a.unionByName(b).join(templates, "dataset")
     return filled.select("p_partkey", "dataset", "task", F.md5(T.fill(F.col("template"), F.col("d"))).alias("prompt"))
@@ -214,7 +214,7 @@ def known_sql() -> str:
 
 @query(
     "txt_prompt_dispatch",
-    f"""WITH {BASE_SQL}, k AS (SELECT c_custkey, CASE WHEN c_acctbal > 3000 THEN 'Retina' ELSE 'retina_mobile' END AS dataset, {TASKS}[c_nationkey % 7 + 1] AS task,
+    f"""WITH {BASE_SQL}, k AS (SELECT c_custkey, CASE WHEN c_acctbal > 3000 THEN 'BRSET' ELSE 'mbrset' END AS dataset, {TASKS}[c_nationkey % 7 + 1] AS task,
              {STRATEGIES + ['tree']}[c_custkey % 6 + 1] AS strategy FROM customer),
              j AS (SELECT c_custkey, strategy, b.task, template FROM k LEFT JOIN base b ON lower(k.dataset) = b.dataset AND lower(k.task) = b.task)
         SELECT c_custkey, md5(CASE WHEN {known_sql()} THEN {strategy_sql('template', 'strategy', 'task')} ELSE template END) AS template FROM j""",
@@ -225,7 +225,7 @@ def txt_prompt_dispatch(spark, sf):
 
     df = table(spark, sf, "customer").select(
         "c_custkey",
-        F.when(F.col("c_acctbal") > 3000, "Retina").otherwise("retina_mobile").alias("dataset"),
+        F.when(F.col("c_acctbal") > 3000, "BRSET").otherwise("mbrset").alias("dataset"),
         pick(TASKS, F.col("c_nationkey") % 7).alias("task"),
         pick([*STRATEGIES, "tree"], F.col("c_custkey") % 6).alias("strategy"),
     )
@@ -236,7 +236,7 @@ def txt_prompt_dispatch(spark, sf):
     "txt_classification_prompt",
     f"""WITH l AS (SELECT string_agg(lang, ''', ''' ORDER BY lang) AS langs FROM (SELECT DISTINCT lang FROM documents))
         SELECT doc_id, md5({q(P.TASK_HEADER + P.SINGLE_LABEL)} || '[''' || langs || ''']' || {q('.' + chr(10) + 'Question/Text: ')} || text || {q(chr(10) + 'Answer directly with the class name(s).')}) AS closed,
-               md5({q(P.TASK_HEADER + P.SINGLE_LABEL + P.CLASS_MEANINGS['authenticity'] + '.' + chr(10) + 'Question/Text: ')} || text || {q(chr(10) + 'Answer directly with the class name(s).')}) AS fixed,
+               md5({q(P.TASK_HEADER + P.SINGLE_LABEL + P.CLASS_MEANINGS['fakeddit'] + '.' + chr(10) + 'Question/Text: ')} || text || {q(chr(10) + 'Answer directly with the class name(s).')}) AS fixed,
                md5({q(P.TASK_HEADER + P.MULTI_LABEL)} || '[''' || langs || ''']' || {q('. Select all that apply.' + chr(10) + 'Question/Text: ')} || text || {q(chr(10) + 'Answer directly with the class name(s).')}) AS many
         FROM documents, l""",
 )
@@ -247,7 +247,7 @@ def txt_classification_prompt(spark, sf):
     return docs.select(
         "doc_id",
         F.md5(T.classification_prompt(t, langs)).alias("closed"),
-        F.md5(T.classification_prompt(t, langs, "authenticity")).alias("fixed"),
+        F.md5(T.classification_prompt(t, langs, "fakeddit")).alias("fixed"),
         F.md5(T.classification_prompt(t, F.array(*[F.lit(x) for x in langs]), many=True)).alias("many"),
     )
 
@@ -295,8 +295,8 @@ def prs_strict(spark, sf):
     return answered(spark, sf).select(
         "p_partkey",
         Y.strict_label(F.col("answer"), types_array()).alias("category"),
-        Y.strict_label(F.col("word"), binary, "authenticity").alias("authenticity"),
-        Y.strict_label(F.col("word"), binary, "retinopathy").alias("retinopathy"),
+        Y.strict_label(F.col("word"), binary, "fakeddit").alias("authenticity"),
+        Y.strict_label(F.col("word"), binary, "mbrset").alias("retinopathy"),
     )
 
 

@@ -33,7 +33,6 @@ HEADLINE = [
     "txt_task_prompt",
     "prs_strict",
     "emb_dual_encode",
-    "gen_batch",
     "bst_metric_ci",
     "bst_paired_difference",
     "fus_linear",

@@ -150,3 +150,12 @@ def test_null_phrases(spark):
     text = df.select(T.patient_description()).first()[0]
     assert text.startswith("A sex not reported patient with age not reported, with no reported diabetes duration, not using insulin")
     assert text.endswith("The patient is with no educational level reported.")
+
+
+def test_row_functions_on_a_stream(spark, tmp_path):
+    spark.createDataFrame([("0",), ("1",), ("real",)], "a string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("a string").parquet(str(tmp_path / "in")).select(Y.inverted_label(F.col("a")).alias("y"))
+    q = stream.writeStream.format("memory").queryName("parsed").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["y"] for r in spark.table("parsed").collect()) == [0, 1, 1]

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.session import small_side
-
 
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
@@ -92,12 +90,18 @@ def multi_hot(parts: Column, vocabulary: list[str]) -> Column:
     return F.array(*[F.array_contains(parts, w).cast("int") for w in vocabulary])
 
 
-def label_index(train: DataFrame, label: str) -> DataFrame:
-    """(label, index): sorted distinct training labels as strings, numbered from 0.
+def hot_labels(df: DataFrame, key: str, labels: str, train: DataFrame) -> DataFrame:
+    """(key, label, hot = 1): the labels of each row that the vocabulary of ``train`` has; all others are 0.
+
+    The vocabulary is a joined table, so it may be of any size, and zeros are not written out."""
+    vocabulary = train.select(F.explode(labels).alias("label")).distinct()
+    pairs = df.select(key, F.explode(F.array_distinct(labels)).alias("label"))
+    return pairs.join(vocabulary, "label", "left_semi").select(key, "label", F.lit(1).alias("hot"))
 
-    Distinct labels are few; the dictionary is read once and held as a constant.
-    """
-    from pyspark.sql import Window as W
 
-    names = small_side(train.select(F.col(label).cast("string").alias("label")).filter("label is not null").distinct())
-    return names.select("label", (F.row_number().over(W.orderBy("label")) - 1).cast("int").alias("index"))
+def label_index(train: DataFrame, label: str) -> DataFrame:
+    """(label, index): sorted distinct training labels as strings, numbered from 0 without gathering them in one task."""
+    from twinlens.operators.sets import numbered
+
+    names = train.select(F.col(label).cast("string").alias("label")).filter("label is not null").distinct()
+    return numbered(names.orderBy("label"), "index").withColumn("index", F.col("index").cast("int"))

@@ -138,6 +138,9 @@ def exact_quantiles(
     # q * (n - 1) is rounded so that an exact rank is not missed by one part in 1e16
     pos = F.round(pos, 9)
     ranked = counts.withColumn("__cum", cum).withColumn("__pos", pos)
+    # the sketch's error bound puts the rank inside the bracket; if it ever did not, this fails instead of giving a wrong value
+    miss = F.col("__k").isNull() & (F.col("__cum") > F.floor("__pos"))
+    ranked = ranked.withColumn("__k", F.when(miss, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).otherwise(F.col("__k")))
     lower = F.min(F.when(F.col("__cum") > F.floor("__pos"), F.col("__k")))
     upper = F.min(F.when(F.col("__cum") > F.ceil("__pos"), F.col("__k")))
     part = F.first("__pos") - F.floor(F.first("__pos"))

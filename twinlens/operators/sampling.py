@@ -118,11 +118,22 @@ def stratified_subset(df: DataFrame, key: str, percent: int, strata: Sequence[st
 
 
 def fixed_sample(df: DataFrame, key: str, n: int, seed=42, top_limit: int = 10_000) -> DataFrame:
-    """min(n, rows) rows, the first in hash order."""
+    """min(n, rows) rows, the first in the order of (hash, key, hash of the whole row).
+
+    ``top_limit`` changes the plan, not the result: above it the rows before the cut are kept in place and only
+    those that share the cut's key are ordered."""
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     if n <= top_limit:
-        return df.withColumn("__h", order_hash(seed, F.col(key))).orderBy("__h", key).limit(n).drop("__h")
+        return df.withColumn("__h", order_hash(seed, F.col(key))).orderBy("__h", key, whole).limit(n).select(*df.columns)
     cuts = small_side(hash_cuts(df, key, {"in": F.least(F.col("n"), F.lit(n))}, (), seed))
-    return df.join(cuts, F.lit(True), "left").filter(_within(0, key, seed)).select(*df.columns)
+    marked = df.join(cuts, F.lit(True), "left").filter(_within(0, key, seed))
+    at_cut = F.col(key) == F.col("__cut_0k")
+    before = marked.filter(~at_cut).select(*df.columns)
+    left = n - before.count()
+    last = marked.filter(at_cut).select(*df.columns)
+    # equal keys at the cut: as many as are missing, in the order of the whole row
+    last = last.withColumn("__w", whole).orderBy("__w").limit(max(0, left)).drop("__w")
+    return before.unionByName(last)
 
 
 def route_split(

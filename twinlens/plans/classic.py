@@ -23,11 +23,12 @@ OVR_MODELS = ("random_forest", "logistic", "svm")
 BENCH_MODELS = ("random_forest", "decision_tree", "logistic", "knn", "svm")
 
 
-def estimator(name: str, seed: int = 42, max_iter: int = 100, trees: int = 100):
+def estimator(name: str, seed: int = 42, max_iter: int = 100, trees: int = 100, depth: int = 30):
+    """``depth`` is the library's own limit; trees stop earlier at pure leaves."""
     common = {"featuresCol": "features", "labelCol": "y"}
     return {
-        "random_forest": lambda: RandomForestClassifier(seed=seed, numTrees=trees, maxDepth=8, **common),
-        "decision_tree": lambda: DecisionTreeClassifier(seed=seed, maxDepth=8, **common),
+        "random_forest": lambda: RandomForestClassifier(seed=seed, numTrees=trees, maxDepth=depth, **common),
+        "decision_tree": lambda: DecisionTreeClassifier(seed=seed, maxDepth=depth, **common),
         "logistic": lambda: LogisticRegression(maxIter=max_iter, **common),
         # the kernel machine has no distributed form; the linear one stands in for it
         "svm": lambda: LinearSVC(maxIter=max_iter, **common),
@@ -41,7 +42,7 @@ def with_features(df: DataFrame, vector: str, label: str) -> DataFrame:
 def one_vs_rest_models(train: DataFrame, test: DataFrame, vector: str, label: str, key: str, models=OVR_MODELS, seed: int = 42, **options) -> DataFrame:
     """(model, key, y_true, y_pred): every model as one binary classifier per class.
 
-    The binary fits run side by side. ``options``: max_iter, trees.
+    The binary fits run side by side. ``options``: max_iter, trees, depth.
     """
     fitted, out = with_features(train, vector, label).select("features", "y").persist(), None
     rows = with_features(test, vector, label)

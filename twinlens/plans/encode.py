@@ -12,7 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlens.functions.text import wrap
@@ -27,6 +27,33 @@ class Encoder(Protocol):
     def encode_image(self, images: Sequence[bytes | None]) -> list: ...
 
 
+def hashed_words(text: Column, dims: int) -> Column:
+    """Counts of the words between spaces in ``dims`` hash buckets, in built-in functions; null for a null text."""
+    words = F.filter(F.split(F.lower(text), " "), lambda w: w != "")
+    bucket = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"), F.lit(dims)))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(bucket, lambda b: b == d)).cast("double"))
+    return F.when(text.isNotNull(), counts)
+
+
+def nibble_counts(data: Column) -> Column:
+    """Counts of the upper half of each byte, in built-in functions; null for a null value."""
+    upper = F.regexp_replace(F.hex(data), "(.).", "$1")
+    return F.when(data.isNotNull(), F.array(*[F.regexp_count(upper, F.lit(d)).cast("double") for d in "0123456789ABCDEF"]))
+
+
+def unit(v: Column) -> Column:
+    """A vector at unit length; null stays null, and a zero vector gives NaN."""
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.when(v.isNotNull(), F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(F.lit(float("nan")))))
+
+
+def fused(text: Column, image: Column) -> Column:
+    """Mean of the vectors that are present."""
+    zero = lambda v: F.transform(v, lambda _: F.lit(0.0))
+    tokens = F.array(F.coalesce(text, zero(image)), F.coalesce(image, zero(text)))
+    return masked_mean_pool(tokens, F.array(text.isNotNull().cast("double"), image.isNotNull().cast("double")))
+
+
 class HashingEncoder:
     """Default encoder without a model: hashed word counts, and shares of byte values."""
 

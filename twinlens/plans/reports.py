@@ -152,9 +152,13 @@ def corrected(answers: DataFrame, raw: str, truth: str, groups: Sequence[str] =
     first table.
     """
     fixed = answers.withColumn("parsed", inverted_label(F.col(raw)))
+    return fixed, summarized(fixed, truth, groups)
+
+
+def summarized(fixed: DataFrame, truth: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Metrics rows of corrected answers."""
     counts = M.confusion(fixed.filter("parsed is not null"), truth, "parsed", groups)
-    metrics = M.summary(counts, groups).select(
+    return M.summary(counts, groups).select(
         *groups, F.lit("Zero-Shot LLM").alias("model"), F.lit("Zero-Shot").alias("fusion_method"), "accuracy",
         F.col("macro_f1").alias("f1_score"), F.lit(0.0).alias("auc"), "n",
     )
-    return fixed, metrics

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -31,6 +35,7 @@ def local_session(app: str = "twinlens", cores: str = "*", partitions: int = 8)
 
 
 _local_root: dict[str, str] = {}
+_scope: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,17 +43,40 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_root:
         _local_root[app] = tempfile.mkdtemp(prefix="twinlens-")
+        atexit.register(shutil.rmtree, _local_root[app], ignore_errors=True)
     return _local_root[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_root(spark)}/twinlens-{uuid.uuid4().hex}/{name}"
+    scope = f"{_scope}/" if _scope else ""
+    return f"{shared_root(spark)}/twinlens-{spark.sparkContext.applicationId}/{scope}{uuid.uuid4().hex}/{name}"
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Within it, scratch tables go to one folder (its path is given), for a caller that knows when to ``drop_folder`` it."""
+    global _scope
+    before, _scope = _scope, f"scope-{uuid.uuid4().hex}"
+    try:
+        yield f"{shared_root(spark)}/twinlens-{spark.sparkContext.applicationId}/{_scope}"
+    finally:
+        _scope = before
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this application wrote to the shared folder; for the end of a job, when no frame is needed any more."""
+    drop_folder(spark, f"{shared_root(spark)}/twinlens-{spark.sparkContext.applicationId}")
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:

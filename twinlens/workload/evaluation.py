@@ -10,7 +10,8 @@ from twinlens.session import stored
 from twinlens.workload.base import query, r, rs, table
 from twinlens.workload.predictions import PAIR_SQL, PRED_SQL, SPLIT_SQL, labelled, pred_sql, predictions
 
-DRAWS = 100
+#: Replicates of the published study.
+DRAWS = 2000
 
 REPORT_SQL = """k AS (SELECT label, sum(tp) AS tp, sum(sup) AS sup, sum(pre) AS pre FROM (
         SELECT y_true AS label, CASE WHEN y_true = y_pred THEN 1 ELSE 0 END AS tp, 1 AS sup, 0 AS pre FROM pred
@@ -286,7 +287,7 @@ def bst_paired_auroc(spark, sf):
 
 
 # dimensions of the vector that stand for the methods of one setting
-RUNS = {"mlp_late": (1, 64), "gated_attention": (1, 32), "mcr_late": (33, 64)}
+RUNS = {"mlp_late": (1, 64), "gated_attention": (1, 32), "mcr_late": (33, 64), "mlp_early": (1, 48), "i2moe": (17, 64)}
 
 
 def comparison_sql(a: str, b: str) -> str:

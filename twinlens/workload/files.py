@@ -8,14 +8,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from twinlens.operators import joins as J
-from twinlens.session import scratch_path
+from twinlens.session import scratch_path, stored
 from twinlens.sources import archives as Z
 from twinlens.sources import files as S
 from twinlens.sources import registry as G
 from twinlens.sources import sinks as K
 from twinlens.workload.base import query, r, rs, table
 from twinlens.workload.predictions import PRED_SQL, predictions
-from twinlens.workload.relational import KEYS, RUNS_SQL, runs
+from twinlens.workload.relational import KEYS, METHODS, RUNS_SQL, runs
 from twinlens.workload.vectors import long_sql
 
 
@@ -207,12 +207,12 @@ def snk_predictions(spark, sf):
 
 @query(
     "snk_metrics_row",
-    f"""{RUN_SQL} SELECT 'Zero-Shot LLM' AS model, dataset, backbone, 'Zero-Shot' AS fusion_method, accuracy, accuracy AS f1_score, CAST(0 AS DOUBLE) AS auc FROM m WHERE method IN ('linear', 'mlp_late')""",
+    f"""{RUN_SQL} SELECT 'Zero-Shot LLM' AS model, dataset, backbone, 'Zero-Shot' AS fusion_method, accuracy, accuracy AS f1_score, CAST(0 AS DOUBLE) AS auc FROM m""",
 )
 def snk_metrics_row(spark, sf):
     path = scratch_path(spark, "metrics.csv")
-    m = runs(spark, sf).groupBy(*KEYS).agg(r(F.avg("l_discount")).alias("accuracy"))
-    for method in ("linear", "mlp_late"):
+    m = stored(runs(spark, sf).groupBy(*KEYS).agg(r(F.avg("l_discount")).alias("accuracy")), "metrics")
+    for method in METHODS:  # one append per method, as runs end one by one
         row = m.filter(F.col("method") == method).select(
             "dataset", "backbone", F.lit("Zero-Shot LLM").alias("model"), F.lit("Zero-Shot").alias("fusion_method"), "accuracy",
             F.col("accuracy").alias("f1_score"), F.lit(0.0).alias("auc"),
@@ -221,6 +221,26 @@ def snk_metrics_row(spark, sf):
     return S.read_csv(spark, path, "model string, dataset string, backbone string, fusion_method string, accuracy double, f1_score double, auc double", multiline=False)
 
 
+@query("snk_ignore_existing", "SELECT c_custkey, c_mktsegment FROM customer")
+def snk_ignore_existing(spark, sf):
+    """A second run with the same output path leaves the first output alone."""
+    path = scratch_path(spark, "once.csv")
+    first = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    K.write_csv(first, path, mode="ignore")
+    K.write_csv(first.filter("c_custkey < 0"), path, mode="ignore")
+    return S.read_csv(spark, path, "c_custkey long, c_mktsegment string", multiline=False)
+
+
+@query("snk_rewrite", "SELECT doc_id, quality, toxic FROM labels WHERE quality IS NOT NULL AND NOT (quality = 0 AND toxic = 1)")
+def snk_rewrite(spark, sf):
+    """Labels cleaned in place: the table at the path is read, filtered and put back."""
+    path = scratch_path(spark, "labels.csv")
+    read = lambda p: S.read_csv(spark, p, "doc_id long, quality int, toxic int", multiline=False)
+    K.write_csv(table(spark, sf, "labels").select("doc_id", "quality", "toxic"), path)
+    clean = lambda df: df.filter("quality is not null and not (quality = 0 and toxic = 1)")
+    return K.rewrite(spark, path, clean, read, K.write_csv)
+
+
 @query(
     "snk_sample_bundle",
     """WITH c AS (SELECT doc_id, lang, source FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 20)

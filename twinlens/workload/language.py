@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from twinlens.functions import answers as Y
 from twinlens.functions import prompt_texts as P
 from twinlens.functions import text as T
-from twinlens.session import collect_few
 from twinlens.workload.base import query, table
 
 # Coded columns made of order and customer values, the same way in both engines.
@@ -242,13 +241,14 @@ def txt_prompt_dispatch(spark, sf):
 )
 def txt_classification_prompt(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    langs = sorted(x[0] for x in collect_few(docs.select("lang").distinct()))
-    t = F.col("text")
-    return docs.select(
+    # one row: every prompt holds the whole list anyway
+    langs = docs.select(F.sort_array(F.collect_set("lang")).alias("langs"))
+    t, names = F.col("text"), F.col("langs")
+    return docs.join(langs, F.lit(True)).select(
         "doc_id",
-        F.md5(T.classification_prompt(t, langs)).alias("closed"),
-        F.md5(T.classification_prompt(t, langs, "fakeddit")).alias("fixed"),
-        F.md5(T.classification_prompt(t, F.array(*[F.lit(x) for x in langs]), many=True)).alias("many"),
+        F.md5(T.classification_prompt(t, names)).alias("closed"),
+        F.md5(T.classification_prompt(t, names, "fakeddit")).alias("fixed"),
+        F.md5(T.classification_prompt(t, names, many=True)).alias("many"),
     )
 
 
@@ -322,14 +322,15 @@ def prs_multilabel_columns(spark, sf):
 @query(
     "prs_multilabel_vocab",
     """WITH v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_size > 10)
-       SELECT p_partkey, w AS label, CAST(contains(lower(p_name || ' ' || p_type), lower(w)) AS INTEGER) AS hit FROM part, v""",
+       SELECT p_partkey, w AS label, 1 AS hit FROM part, v WHERE contains(lower(p_name || ' ' || p_type), lower(w))""",
 )
 def prs_multilabel_vocab(spark, sf):
     df = table(spark, sf, "part")
-    words = collect_few(df.filter("p_size > 10").select(F.explode(F.split("p_name", " ")).alias("w")).distinct())
-    vocabulary = F.array(*[F.lit(w) for w in sorted(x[0] for x in words)])
-    hits = Y.vocabulary_labels(F.concat_ws(" ", "p_name", "p_type"), vocabulary)
-    return df.select("p_partkey", F.explode(F.arrays_zip(vocabulary.alias("label"), hits.alias("hit"))).alias("x")).select("p_partkey", "x.label", "x.hit")
+    # one row with the fitted vocabulary; only hits are written out
+    words = df.filter("p_size > 10").select(F.explode(F.split("p_name", " ")).alias("w")).select(F.collect_set("w").alias("words"))
+    text = F.lower(F.concat_ws(" ", "p_name", "p_type"))
+    hits = df.join(words, F.lit(True)).select("p_partkey", F.explode(F.filter("words", lambda w: F.contains(text, F.lower(w)))).alias("label"))
+    return hits.select("p_partkey", "label", F.lit(1).alias("hit"))
 
 
 @query("prs_active_labels", "SELECT doc_id, coalesce(nullif(concat_ws(', ', CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END), ''), 'No Finding') AS label FROM labels")

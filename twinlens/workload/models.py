@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinlens.functions import prompt_texts as P
 from twinlens.functions import vectors as V
+from twinlens.functions.text import wrap
 from twinlens.plans import classic as K
 from twinlens.plans import encode as E
 from twinlens.plans import generate as G
@@ -22,10 +23,6 @@ from twinlens.workload.predictions import SPLIT_SQL, labelled
 DIMS = 16
 
 
-def encoder():
-    return E.HashingEncoder(DIMS)
-
-
 TEXT_SQL = f"""(SELECT doc_id, CAST('0x' || substr(md5(w), 1, 4) AS INTEGER) % {DIMS} AS pos, CAST(count(*) AS DOUBLE) AS n
     FROM (SELECT doc_id, unnest(string_split(lower({{text}}), ' ')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2)"""
 BYTES_SQL = "(SELECT page_id, regexp_extract_all(hex(encode(html)), '(.)(.)', 1) AS h FROM pages)"
@@ -48,7 +45,7 @@ def long(df, key, col):
 def emb_dual_encode(spark, sf):
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.encode("html", "UTF-8").alias("image"))
     rows = table(spark, sf, "documents").select("doc_id", "text").join(pages, "doc_id", "left")
-    e = E.encode(rows, ["doc_id"], encoder, "text", "image", partitions=spark.sparkContext.defaultParallelism)
+    e = rows.select("doc_id", E.unit(E.hashed_words(F.col("text"), DIMS)).alias("text_emb"), E.unit(E.nibble_counts(F.col("image"))).alias("image_emb"))
     side = lambda n, c: F.struct(F.lit(n).alias("side"), F.col(c).alias("e"))
     both = e.select("doc_id", F.explode(F.array(side("text", "text_emb"), side("image", "image_emb"))).alias("s"))
     out = both.select("doc_id", "s.side", F.posexplode("s.e").alias("pos", "v")).filter("v <> 0")
@@ -67,48 +64,14 @@ WRAPPED = f"'{P.QUESTION_WRAPPER[0]}' || text || '{P.QUESTION_WRAPPER[1]}'"
 def emb_fused_encode(spark, sf):
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.encode("html", "UTF-8").alias("image"))
     rows = table(spark, sf, "documents").select("doc_id", "text").join(pages, "doc_id", "left")
-    return long(E.encode_fused(rows, ["doc_id"], encoder, "text", "image", P.QUESTION_WRAPPER), "doc_id", "embedding")
+    text, image = E.hashed_words(wrap(F.col("text"), P.QUESTION_WRAPPER), DIMS), E.nibble_counts(F.col("image"))
+    return long(rows.select("doc_id", E.fused(text, image).alias("embedding")), "doc_id", "embedding")
 
 
 @query("emb_image_only", f"SELECT page_id, pos, v FROM ({unit_sql(IMAGE_SQL, 'page_id')})")
 def emb_image_only(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", F.encode("html", "UTF-8").alias("image"))
-    return long(E.encode(pages, ["page_id"], encoder, image="image"), "page_id", "image_emb")
-
-
-@query(
-    "gen_batch",
-    """SELECT doc_id, CASE WHEN doc_id IN (SELECT page_id FROM pages) THEN '' ELSE 'text:' END || string_split('Task: ' || text, ' ')[-1] AS raw_answer, 1 AS attempts FROM documents""",
-)
-def gen_batch(spark, sf):
-    pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.encode("url", "UTF-8").alias("image"))
-    rows = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Task: "), "text").alias("prompt")).join(pages, "doc_id", "left")
-    return G.generate(rows, ["doc_id"], G.EchoGenerator, "prompt", "image", partitions=spark.sparkContext.defaultParallelism).select("doc_id", "raw_answer", "attempts")
-
-
-class FlakyGenerator(G.EchoGenerator):
-    """Fails as often as the prompt's length says, to exercise the retry."""
-
-    def __init__(self):
-        self.failed: dict[str, int] = {}
-
-    def generate(self, prompts, images):
-        p = prompts[0]
-        if self.failed.get(p, 0) < len(p) % 4:
-            self.failed[p] = self.failed.get(p, 0) + 1
-            raise RuntimeError("429 slow down")
-        self.failed.pop(p, None)
-        return super().generate(prompts, images)
-
-
-@query(
-    "gen_retry",
-    """SELECT p_partkey, CASE WHEN length(p) % 4 < 3 THEN 'text:' || string_split(p, ' ')[-1] ELSE '' END AS raw_answer, CASE WHEN length(p) % 4 < 3 THEN NULL ELSE '429 slow down' END AS error,
-              CAST(least(length(p) % 4 + 1, 3) AS INTEGER) AS attempts FROM (SELECT p_partkey, p_partkey || ' ' || p_name AS p FROM part)""",
-)
-def gen_retry(spark, sf):
-    rows = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", F.col("p_partkey").cast("string"), "p_name").alias("p"))
-    return G.generate(rows, ["p_partkey"], FlakyGenerator, "p", batch=1, tries=3, pause=0.0, partitions=spark.sparkContext.defaultParallelism)
+    return long(pages.select("page_id", E.unit(E.nibble_counts(F.col("image"))).alias("image_emb")), "page_id", "image_emb")
 
 
 @query(

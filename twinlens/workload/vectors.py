@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from twinlens.functions import strings as S
 from twinlens.functions import vectors as V
-from twinlens.session import collect_few
 from twinlens.workload.base import query, r, rs, table
 
 
@@ -68,17 +67,12 @@ def arr_cosine(spark, sf):
 
 @query(
     "arr_multi_hot",
-    """WITH t AS (SELECT p_partkey, p_type, p_name FROM part),
-            v AS (SELECT DISTINCT w FROM (SELECT unnest([p_type, p_name]) AS w, p_size FROM part) WHERE p_size <= 40)
-       SELECT p_partkey, w AS label, CAST(w = p_type OR w = p_name AS INTEGER) AS hot FROM t, v""",
+    """WITH v AS (SELECT DISTINCT w FROM (SELECT unnest([p_type, p_name]) AS w, p_size FROM part) WHERE p_size <= 40)
+       SELECT DISTINCT p_partkey, w AS label, 1 AS hot FROM (SELECT p_partkey, unnest([p_type, p_name]) AS w FROM part) JOIN v USING (w)""",
 )
 def arr_multi_hot(spark, sf):
     df = table(spark, sf, "part").select("p_partkey", "p_size", S.split_labels(F.concat_ws(", ", "p_type", "p_name")).alias("labels"))
-    train = df.filter("p_size <= 40")
-    vocabulary = sorted(x[0] for x in collect_few(train.select(F.explode("labels")).distinct()))
-    rows = df.select("p_partkey", V.multi_hot(F.col("labels"), vocabulary).alias("hot"))
-    names = F.array(*[F.lit(w) for w in vocabulary])
-    return rows.select("p_partkey", F.explode(F.arrays_zip(names.alias("label"), F.col("hot"))).alias("x")).select("p_partkey", "x.label", "x.hot")
+    return V.hot_labels(df, "p_partkey", "labels", df.filter("p_size <= 40"))
 
 
 @query(
@@ -88,7 +82,7 @@ def arr_multi_hot(spark, sf):
 )
 def arr_label_index(spark, sf):
     df = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("string").alias("label"))
-    return df.join(F.broadcast(V.label_index(df, "label")), "label").select("p_partkey", "label", "index")
+    return df.join(V.label_index(df, "label"), "label").select("p_partkey", "label", "index")
 
 
 @query("arr_zero_modality", f"SELECT vec_id, pos, {rs('CASE WHEN pos < 32 THEN 0.0 ELSE v END')} AS v FROM {long_sql()}")

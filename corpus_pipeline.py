@@ -11,6 +11,8 @@ Each stage takes all its predecessor kept. ``run`` writes every stage's rows to
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from twinlens.llm import language_id, near_dup, pieces
 from twinlens.llm.decontamination import contamination
 from twinlens.llm.line_dedup import dedup_lines
 from twinlens.llm.q_models import model_file
-from twinlens.session import ship, small_side, stored
+from twinlens.session import drop_folder, scratch_scope, ship, small_side, stored
 
 #: Least share of a text's n-grams that its language must explain. Prose lies above 0.6, strings of signs or of random letters below 0.2.
 LEAST_SCORE = 0.25
@@ -32,17 +34,41 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(keys, docs["doc_id"].eqNullSafe(F.col("o_id")) & (F.xxhash64(docs["text"]) == F.col("o_key")), "left_anti")
 
 
+_folders: dict[str, str] = {}
+
+
+def stage(fn):
+    """A stage keeps its tables in a folder of its own, which the next stage of the application drops: by then its rows
+    are written."""
+
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        app = spark.sparkContext.applicationId
+        if app in _folders:
+            drop_folder(spark, _folders.pop(app))
+        with scratch_scope(spark) as folder:
+            out = fn(spark, docs, sf_dir)
+        _folders[app] = folder
+        return out
+
+    return run_stage
+
+
+@stage
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = language_id.identify(docs, language_id.learn(docs))
     fine = out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return fine.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+@stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = stored(near_dup.near_duplicates(docs), "groups")
     rest = _without(docs, found.where(~F.col("kept")))
@@ -52,11 +78,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _without(rest, twice).unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
+@stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hit = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0")
     return _without(docs, hit)
 
 
+@stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, pieces.load(model_file()), check=True).select("doc_id", "lang", "source", "n_ids", "ids", "same")
 
@@ -66,8 +94,7 @@ STAGES = [("language_id", languages), ("line_dedup", lines), ("near_dup", near_d
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents of ``sf_dir``."""
-    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for name, step in STAGES[:-1]:
+        docs = stored(step(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -33,7 +33,9 @@ from twinlens.session import small_side, stored
 
 GRAM = 24
 #: Bytes of text whose runs are compared before any shuffle.
-STRETCH = 64 << 20
+STRETCH = 16 << 20
+#: Bytes of text that are hashed at once.
+PART = 1 << 20
 _PLACE = np.uint64((1 << 31) - 1)
 LEAST = -(1 << 63)
 
@@ -108,7 +110,7 @@ def run_table(docs: DataFrame, length: int) -> DataFrame:
             keep = ~again
             return _batch([*[c[keep] for c in columns], (same & keep)[keep]])
 
-        for part, data, bounds in text_slices(batches, "text"):
+        for part, data, bounds in text_slices(batches, "text", PART):
             text, start, n, anchor, content = window_runs(data, bounds, length)
             doc, key = part.column("doc").to_numpy()[text], part.column("text_key").to_numpy()[text]
             waiting.append([anchor, content, doc, key, start, n])
@@ -166,7 +168,7 @@ def _cut(reps: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     schema = T.StructType([*_RUN.fields[:1], *_RUN.fields[2:6], T.StructField("bytes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, bounds in text_slices(batches, "text"):
+        for part, data, bounds in text_slices(batches, "text", PART):
             lists = part.column(part.schema.get_field_index("pieces"))
             piece = lists.flatten()
             owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -183,7 +185,7 @@ def _cut(reps: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     return texts.join(small_side(wanted), ["doc", "text_key"]).dropDuplicates(["doc", "text_key"]).mapInArrow(run, schema)
 
 
-def shard_suffixes(reps: DataFrame, docs: DataFrame, length: int, shard_bytes: int = 8 << 20) -> DataFrame:
+def shard_suffixes(reps: DataFrame, docs: DataFrame, length: int, shard_bytes: int = 2 << 20) -> DataFrame:
     """(doc, text_key, start, n): runs of windows that stand earlier in another run under their anchor."""
     size = reps.agg(F.sum(F.col("n") + length)).first()[0] or 0
     schema = T.StructType(_RUN.fields[2:6])
@@ -267,7 +269,7 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, bounds in text_slices(batches, "text"):
+        for part, data, bounds in text_slices(batches, "text", PART):
             lists = part.column("windows")
             filled = lists.fill_null(pa.scalar([], lists.type)) if lists.null_count else lists
             piece = filled.flatten()

@@ -251,25 +251,27 @@ def label_weights(counts: dict, spec: H.Spec, weighted: bool):
     return n / (spec.outputs * counts["classes"]) if weighted else np.ones(spec.outputs)
 
 
-def count_labels(df: DataFrame, spec: H.Spec, by: Sequence[str] = ()) -> list:
-    """Per batch: rows and how often each class (or label) occurs."""
+def class_counts(df: DataFrame, spec: H.Spec) -> dict:
+    """Rows, and how often each class (or label) occurs: one number per class."""
     if spec.loss == "bce":
         sums = [F.sum(F.get("y", F.lit(i))).alias(f"c{i}") for i in range(spec.outputs)]
-        return collect_few(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums), 1_000_000)
-    per = df.groupBy(*by, F.get("y", F.lit(0)).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("k"))
-    return collect_few(per, 1_000_000)
+        r = df.agg(F.count(F.lit(1)).alias("n"), *sums).first()
+        return {"n": r["n"], "classes": np.array([float(r[f"c{i}"] or 0) for i in range(spec.outputs)])}
+    classes = np.zeros(spec.outputs)
+    for r in df.groupBy(F.get("y", F.lit(0)).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("k")).collect():
+        classes[r["c"]] = r["k"]
+    return {"n": int(classes.sum()), "classes": classes}
 
 
-def batch_totals(df: DataFrame, spec: H.Spec) -> dict[int, dict]:
-    out: dict[int, dict] = {}
-    for r in count_labels(df, spec, ["batch"] if "batch" in df.columns else []):
-        b = out.setdefault(r["batch"] if "batch" in df.columns else 0, {"n": 0, "classes": np.zeros(spec.outputs)})
-        if spec.loss == "bce":
-            b["n"], b["classes"] = r["n"], np.array([float(r[f"c{i}"]) for i in range(spec.outputs)])
-        else:
-            b["n"] += r["k"]
-            b["classes"][r["c"]] += r["k"]
-    return out
+def batch_sums(df: DataFrame, spec: H.Spec, weights, whole: dict) -> dict[int, tuple[float, float]]:
+    """Per batch its rows and the sum of their class weights: two numbers, whatever the number of classes."""
+    if "batch" not in df.columns:
+        return {0: (float(whole["n"]), float((whole["classes"] * weights).sum()) if spec.loss == "ce" else 0.0)}
+    weight = F.lit(0.0)
+    if spec.loss == "ce":
+        weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.get("y", F.lit(0)).cast("int"))
+    sums = df.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w")).collect()
+    return {r["batch"]: (float(r["n"]), float(r["w"])) for r in sums}
 
 
 def validation(model: Model, val: DataFrame, weights) -> dict:
@@ -320,9 +322,9 @@ def fit(
     held = prepare(val, key, 1, o.seed).persist()
     if batches == 1:
         rows = rows.persist()
-    totals = batch_totals(rows, spec)
-    whole = {"n": sum(b["n"] for b in totals.values()), "classes": sum(b["classes"] for b in totals.values())}
+    whole = class_counts(rows, spec)
     weights = label_weights(whole, spec, o.weighted)
+    totals = batch_sums(rows, spec, weights, whole)
     params, running = start or spec.start(o.seed)
     optimizer = Adam(params, o.lr, DECAY if o.optimizer == "adamw" else 0.0)
     by_loss = o.method == "mlp_early" or o.loss == "bce"
@@ -332,12 +334,11 @@ def fit(
         loss = 0.0
         for b in order.permutation(sorted(totals)):
             batch = rows.filter(F.col("batch") == int(b)) if batches > 1 else rows
-            t = totals[int(b)]
-            weight = float((t["classes"] * weights).sum()) if o.loss == "ce" else 0.0
+            size, weight = totals[int(b)]
             number += 1
-            share, grads = step(batch, spec, params, running, float(t["n"]), weight, weights, o.seed, number)
+            share, grads = step(batch, spec, params, running, size, weight, weights, o.seed, number)
             params = optimizer.update(params, grads)
-            loss += share * t["n"] / whole["n"]
+            loss += share * size / whole["n"]
         current = Model(spec, labels, params, dict(running))
         check = validation(current, held, weights)
         history.append({"epoch": epoch, "train_loss": loss, **check})
@@ -387,7 +388,8 @@ class Experiment:
 
         One count per (split, label) gives the label order and the check for unseen labels.
         """
-        counts = collect_few(self.rows.groupBy("split", "label").count(), 300_000)
+        # as many rows as the model has outputs, for each split
+        counts = self.rows.groupBy("split", "label").count().collect()
         seen = {s: sorted(r["label"] for r in counts if r["split"] == s) for s in ("train", "val", "test")}
         labels = seen["train"]
         for name in ("val", "test"):
@@ -395,7 +397,7 @@ class Experiment:
             if bad:
                 raise UnseenLabels(f"{name} has labels unseen in train: {sorted(bad)[:20]}")
         spark = self.df.sparkSession
-        coded = F.broadcast(spark.createDataFrame(list(zip(labels, range(len(labels)))), "label string, index int"))
+        coded = spark.createDataFrame(list(zip(labels, range(len(labels)))), "label string, index int")
         y = F.array(F.col("index").cast("double")).alias("y")
         rows = self.rows.join(coded, "label").select("split", "sample_id", y, "text_emb", "image_emb")
         return {s: rows.filter(F.col("split") == s).drop("split") for s in seen}, labels
@@ -420,6 +422,18 @@ class Experiment:
         return s.join(F.broadcast(area), F.lit(True)).select("accuracy", "f1_score", F.col("auroc").alias("auc"), "n_test")
 
 
+    def run_row(self, model: Model, predictions: DataFrame, method: str, dataset: str, backbone: str) -> DataFrame:
+        """The one-row record of a run: metrics, epoch that was kept, sizes of the splits, classes, and what was run."""
+        sizes = self.rows.agg(*[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in ("train", "val")])
+        # two frames of one row
+        row = self.metrics(predictions).join(sizes, F.lit(True))
+        tags = {"model": method, "dataset": dataset, "backbone": backbone, "method": method}
+        return row.select(
+            *[F.lit(v).alias(k) for k, v in tags.items()], F.lit(self.seed).alias("seed"), "accuracy", "f1_score", "auc",
+            F.lit(model.epochs_run).alias("epochs_run"), "n_train", "n_val", "n_test", F.lit(len(model.labels)).alias("n_classes"),
+        )
+
+
 def predict(model: Model, df: DataFrame) -> DataFrame:
     scored = model.score(df, "sample_id", ["y"])
     y = F.get("y", F.lit(0)).cast("int").alias("y_true")

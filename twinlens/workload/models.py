@@ -237,15 +237,17 @@ FRAMEWORK_SQL = """pred AS (SELECT va.vec_id, label AS y_true, c AS y_pred FROM
 
 @query(
     "fus_framework",
-    f"""{SINGLE_RUN}, {FRAMEWORK_SQL} SELECT {rs('(SELECT avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) FROM pred)')} AS accuracy, {rs('(SELECT avg(2 * tp / s) FROM k)')} AS f1_score,
+    f"""{SINGLE_RUN}, {FRAMEWORK_SQL} SELECT 'linear' AS model, 'vectors' AS dataset, 'shared' AS backbone, 'linear' AS method, 42 AS seed,
+        CAST((SELECT epoch FROM best) AS INTEGER) AS epochs_run, (SELECT count(*) FROM va WHERE part = 'train') AS n_train, (SELECT count(*) FROM va WHERE part = 'val') AS n_val,
+        (SELECT CAST(count(DISTINCT label) AS INTEGER) FROM va WHERE part = 'train') AS n_classes, {rs('(SELECT avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) FROM pred)')} AS accuracy, {rs('(SELECT avg(2 * tp / s) FROM k)')} AS f1_score,
         {rs(f"(SELECT avg(auroc) FROM ({auroc_sql('ovr', 'score', 'pos', 'label')}) q)")} AS auc, (SELECT count(*) FROM pred) AS n_test""",
 )
 def fus_framework(spark, sf):
     """Load, drop missing, split, train, score, evaluate."""
-    e, _, predictions = trained_linear(spark, sf)
+    e, model, predictions = trained_linear(spark, sf)
     rounded = predictions.withColumn("probs", F.transform("probs", lambda p: F.round(p, 12)))
-    m = e.metrics(rounded)
-    return m.select(*[r(F.col(c)).alias(c) for c in ("accuracy", "f1_score", "auc")], "n_test")
+    m = e.run_row(model, rounded, "linear", "vectors", "shared")
+    return m.withColumns({c: r(F.col(c)) for c in ("accuracy", "f1_score", "auc")})
 
 
 @query(

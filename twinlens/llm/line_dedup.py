@@ -71,9 +71,10 @@ def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def _earliest(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``df`` without rows whose keys occur once, and with the earliest place of equal keys. The minimum is taken
-    before the shuffle, so a line that a third of the documents share is one row of each task."""
+    before the shuffle, so a line that a third of the documents share is one row of each task; the minima are stored, so that the
+    join reads both sides by its own shuffle and can split the rows of such a line over tasks."""
     first = df.groupBy(*keys).agg(F.min(F.struct(*PLACE)).alias(name), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return df.join(first, keys)
+    return df.join(stored(first, "first"), keys)
 
 
 def repeated_runs(lines: DataFrame, min_chars: int) -> DataFrame:
@@ -102,10 +103,8 @@ def repeated_runs(lines: DataFrame, min_chars: int) -> DataFrame:
             own = own.join(names.toDF(*OTHER, "second"), _same(["doc_id", "text_key", "tail"], OTHER)).drop(*OTHER, "tail")
         else:
             own = own.withColumn("second", F.col("first"))
-        keys = ["n_lines", "first", "second"]
-        group = own.groupBy(*keys).agg(F.min(F.struct(*PLACE)).alias("source"))
-        found.append(own.join(group, keys).where(F.col("source") < F.struct(*PLACE)).select(*PLACE, "n_lines", "source"))
-    return reduce(DataFrame.union, found)
+        found.append(_earliest(stored(own, "runs"), ["n_lines", "first", "second"], "source").where(F.col("source") < F.struct(*PLACE)).select(*PLACE, "n_lines", "source"))
+    return stored(reduce(DataFrame.union, found), "found")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40) -> DataFrame:

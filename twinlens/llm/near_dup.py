@@ -9,10 +9,11 @@ element puts j + uniform, j = 0, 1, 2 ..., into the slots of its own random perm
 is left out once every slot of the document is below j. Documents of equal digest are one class. (2) Signatures of classes are cut into bands;
 classes of an equal band meet in a bucket. With ``ROWS`` x ``BANDS`` slots a pair at 0.8 shares no
 bucket with a probability of 5e-6, and a more similar one with less. (3) Verification compares whole sets, taken again from the whole texts, never signatures. Buckets emit no
-pairs of all members: in each round every bucket compares its members with one pivot, a member of its smallest component. Pairs
-that are verified are links; members already in the pivot's component are not compared. The next round takes other pivots,
-until no bucket has two components left whose members have not met, so no pair of a bucket that could join two components stays unseen, and
-a bucket of copies is done after one round. (4) Links are grouped by union-find: each task joins its links into trees, and trees that
+pairs of all members: in each round every bucket compares its members with pivots, one of each component. Pairs that are verified are links; members
+of the pivot's component are not compared. The first round has one pivot for each bucket; later ones have one for each component that is left, which
+meets about 2, 16, 128 ... members of the bucket, until no bucket has two components left whose members have not met. So no pair of a bucket
+that could join two components stays unseen, a bucket of copies is done after one round, and a document that is linked with much of a group
+joins it after a few comparisons. (4) Links are grouped by union-find: each task joins its links into trees, and trees that
 share a member are hung on the smallest one until nothing changes; no task holds all links.
 
 Defined cases: null, empty and blank texts have no shingle and are linked with nothing; fewer words than ``words``: the whole sequence is
@@ -34,6 +35,8 @@ from twinlens.llm.common import Hasher, mix, runs, text_slices, utf8
 from twinlens.session import small_side, stored
 
 ROWS, BANDS = 6, 40
+#: Pivots of a bucket in rounds after the first.
+PIVOTS = 4096
 SLOTS = ROWS * BANDS
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -194,19 +197,19 @@ def union_find(links: DataFrame) -> DataFrame:
 
     Tasks make trees of their own links. Then each node hangs its larger neighbours on its smallest one, and each node hangs its smaller
     neighbours and itself on the smallest one, in turn, until all trees are stars on the smallest member."""
-    edges, seen = stored(_local_trees(links).distinct(), "trees"), None
+    edges = stored(_local_trees(links).distinct(), "trees")
     while True:
+        # done when every member has one root and no root hangs on another one
+        twice = edges.groupBy("member").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("member")
+        hung = edges.select(F.col("root").alias("member")).distinct().join(edges.select("member"), "member", "left_semi")
+        if not twice.union(hung).take(1):
+            return edges
         both = edges.union(edges.select("root", "member")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "trees")
+        large = stored(both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "trees")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("member"), F.col("m").alias("root"))
         edges = stored(down.union(least.select("u", "m")).distinct(), "trees")
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("member", "root").cast("decimal(38,0)"))).first())
-        if state == seen:
-            return edges
-        seen = state
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -214,35 +217,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     facts = stored(signatures(docs, words), "signatures")
     own = facts.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     place = F.struct("doc_id", "text_key")
-    classes = own.groupBy("digest", "n_shingles").agg(F.min(place).alias("class"))
+    # stored, as are the full buckets below: then the joins read both sides by a shuffle of their own and can split a hot key's rows
+    classes = stored(own.groupBy("digest", "n_shingles").agg(F.min(place).alias("class")), "heads")
     member_of = stored(own.select("digest", "n_shingles", place.alias("member")).join(classes, ["digest", "n_shingles"]).select("member", "class").distinct(), "classes")
     heads = own.join(member_of.where(F.col("member") == F.col("class")).select(F.col("class.doc_id").alias("doc_id"), F.col("class.text_key").alias("text_key")), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
     entries = heads.select(place.alias("member"), F.explode("bands").alias("bucket"))
-    full = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    full = stored(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "full")
     buckets = stored(entries.join(full, "bucket"), "buckets")
     suspects = buckets.select("member.*").distinct()
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(small_side(suspects, 1_000_000), ["doc_id", "text_key"], "left_semi")
     texts = stored(texts.select(place.alias("member"), "text").dropDuplicates(["member"]), "texts")
-    links, met, roots = None, None, None
+    met, roots, pivots, window = None, None, 1, None
     while True:
         state = buckets.withColumn("root", F.col("member"))
         if roots is not None:
-            state = buckets.join(roots, "member", "left").withColumn("root", F.coalesce("root", "member")).join(met.withColumn("was", F.lit(True)), ["bucket", "member"], "left")
-            state = state.where("was is null").select("bucket", "member", "root")
-            state = stored(state, "state")
-        # members that were the pivot have met all others of their bucket; the rest meet one of the smallest component
+            state = buckets.join(roots, "member", "left").withColumn("root", F.coalesce("root", "member"))
+        if met is not None:
+            state = stored(state.join(met.withColumn("was", F.lit(True)), ["bucket", "member"], "left").where("was is null").select("bucket", "member", "root"), "state")
+        # members that were pivots have met all others of their bucket; the rest meet one of each of the smallest components
         parts = state.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("pivot"))
-        chosen = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("components"), F.min(F.struct("n", "pivot", "root")).alias("p"))
-        chosen = stored(chosen.where("components > 1").select("bucket", "p.pivot", F.col("p.root").alias("own")), "pivots")
+        best = parts.groupBy("bucket", F.pmod(F.xxhash64("root"), F.lit(pivots)).alias("slot")).agg(
+            F.min(F.struct("n", "pivot", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("n")
+        )
+        open_ = best.groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("size")).where("low != high")
+        # of a large bucket each pivot meets one part at first, and more in later rounds if it is still alone
+        cut = F.lit(1) if window is None else F.greatest(F.lit(1), F.floor(F.col("size") / window)).cast("int")
+        open_ = open_.select("bucket", cut.alias("cut"))
+        chosen = stored(best.join(open_, "bucket").select("bucket", "p.pivot", F.col("p.root").alias("own"), "cut"), "pivots")
         if not chosen.take(1):
             break
-        asked = state.join(chosen, "bucket").where(F.col("root") != F.col("own"))
+        part = lambda c: F.pmod(F.xxhash64(c, "bucket"), F.col("cut"))
+        asked = state.join(chosen, "bucket").where((F.col("root") != F.col("own")) & (part("member") == part("pivot")))
         pairs = asked.select(F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b")).distinct()
         found = stored(_verify(pairs, texts, words, percent), "links")
-        pivots = chosen.select("bucket", F.col("pivot").alias("member"))
-        met = pivots if met is None else met.unionByName(pivots)
-        links = found if roots is None else found.unionByName(roots.toDF("a", "b"))
-        roots = union_find(links)
+        was = chosen.where("cut = 1").select("bucket", F.col("pivot").alias("member"))
+        met = was if met is None else met.unionByName(was)
+        if found.take(1):
+            roots = union_find(found if roots is None else found.unionByName(roots.toDF("a", "b")))
+        pivots, window = PIVOTS, 2 if window is None else 8 * window
     ids = member_of if roots is None else member_of.join(roots.toDF("class", "root"), "class", "left").withColumn("class", F.coalesce("root", "class"))
     # a class and a component are named by their smallest member
     out = ids.select(F.col("member.doc_id").alias("o_doc"), F.col("member.text_key").alias("o_key"), F.col("class.doc_id").alias("component_id"))

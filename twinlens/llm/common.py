@@ -98,13 +98,13 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, size: Column, rows: int, size_sum: int, key: Column) -> DataFrame:
-    """Rows by the hash of their key: about ``rows`` rows of about ``size_sum`` in total, or all, if there are fewer."""
-    n, total = df.agg(F.count(F.lit(1)), F.sum(size)).first()
-    share = min(1.0, rows / max(1, n), size_sum / max(1, total or 0))
-    return df if share >= 1 else df.where(F.pmod(F.xxhash64(key.cast("string"), F.lit(71)), F.lit(1 << 30)) < int(share * (1 << 30)))
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, text): repeated rows have the same key, different texts under one id have different ones."""
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, rows: int, chars: int) -> DataFrame:
+    """(doc_id, text, _y) of about ``rows`` documents that have a label, of about ``chars`` characters in all; all, if there are fewer.
+
+    The labels are drawn by the hash of their id before the join, so at most about ``rows`` of them are broadcast and no text is moved."""
+    marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(label.cast("int").alias("_y")).where("_y is not null")
+    draw, whole = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(71)), F.lit(1 << 30)), 1 << 30
+    share = min(1.0, rows / max(1, marks.count()))
+    joined = docs.select("doc_id", "text").join(F.broadcast(marks.where(draw < int(share * whole))), "doc_id").select("doc_id", "text", "_y")
+    size = joined.agg(F.sum(F.length("text"))).first()[0] or 0
+    return joined if size <= chars else joined.where(draw < int(share * chars / size * whole))

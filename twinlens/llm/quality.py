@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-``statistics`` is one pass over whole texts in byte arrays. A bounded sample of labelled rows (at most about ``fit_rows`` of them, drawn
-by a hash of the id) gives bin bounds and trees on the driver; scoring sends the flattened trees to the tasks, which walk all rows of
+``statistics`` is one pass over whole texts in byte arrays. A bounded sample of labelled rows (about ``fit_rows`` rows and ``fit_chars`` characters at
+most, drawn by a hash of the id) gives bin bounds and trees on the driver; scoring sends the flattened trees to the tasks, which walk all rows of
 a batch down the trees together.
 
 Defined cases: null and empty texts have all statistics 0 and get a score like any other; labels that are null or not 0 or 1 are
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinlens.llm import boosting
-from twinlens.llm.common import Hasher, bounded_sample, per_text, text_slices
+from twinlens.llm.common import Hasher, labelled_sample, per_text, text_slices
 
 NAMES = [
     "chars", "words", "lines", "mean_word", "longest_word", "upper", "digits", "marks", "odd_marks", "shouts", "spaces", "beyond_ascii",
@@ -116,11 +116,10 @@ class Model:
         return self.forest.probability(boosting.binned(values, self.bounds))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = 20_000, trees: int = 100, depth: int = 4) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = 20_000, fit_chars: int = 100_000_000, trees: int = 100, depth: int = 4) -> Model:
     """Trees from the labelled rows of ``docs`` (doc_id, text)."""
-    marks = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("_y"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marks, "doc_id")
-    sample = bounded_sample(rows, F.lit(0), fit_rows, 1, F.col("doc_id"))
+    known = F.min(F.when(F.col(label).isin(0, 1), F.col(label)))
+    rows = labelled_sample(docs, labels, known, fit_rows, fit_chars)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, ends in text_slices(batches, "text"):
@@ -128,7 +127,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_y"), *map(pa.array, values.T)], ["doc_id", "_y", *NAMES])
 
     kind = T.StructType([rows.schema["doc_id"], rows.schema["_y"], *[T.StructField(c, T.DoubleType()) for c in NAMES]])
-    table = sample.select("doc_id", "_y", "text").mapInArrow(measure, kind).toPandas().sort_values(["doc_id", *NAMES], ignore_index=True)
+    table = rows.mapInArrow(measure, kind).toPandas().sort_values(["doc_id", *NAMES], ignore_index=True)
     values = table[NAMES].to_numpy(float).reshape(-1, len(NAMES))
     bounds = boosting.edges(values) if len(values) else [np.zeros(0)] * len(NAMES)
     return Model(bounds, boosting.fit(boosting.binned(values, bounds), table["_y"].to_numpy(float), trees=trees, depth=depth))

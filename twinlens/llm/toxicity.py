@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinlens.llm.common import Hasher, bounded_sample, per_text, text_slices
+from twinlens.llm.common import Hasher, labelled_sample, per_text, text_slices
 
 BITS = 20
 GRAM = 5
+#: Bytes of text looked at together.
+PART = 1 << 20
 _END, _WORD = np.zeros(256, bool), np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n"]] = True
 _WORD[[ord(c) for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789'"]] = True
@@ -108,14 +110,13 @@ def fit(key: np.ndarray, sentences: np.ndarray, texts: np.ndarray, label: np.nda
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = 20_000, fit_chars: int = 60_000_000, deviation: float = 4.0) -> Model:
     """Weights from the labelled rows of ``docs`` (doc_id, text)."""
-    marks = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(marks, "doc_id")
-    sample = bounded_sample(rows, F.length("text"), fit_rows, fit_chars, F.col("doc_id")).select("doc_id", "_y", "text")
+    known = F.max(F.when(F.col(label).isin(0, 1), F.col(label)))
+    sample = labelled_sample(docs.where(F.col("text").isNotNull()), labels, known, fit_rows, fit_chars)
     n, bad = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0))).first()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BITS), np.int64)
-        for part, data, ends in text_slices(batches, "text"):
+        for part, data, ends in text_slices(batches, "text", PART):
             key, bounds, texts, _ = parse(data, ends)
             owner = np.repeat(np.arange(part.num_rows), np.diff(bounds[texts]))
             pairs = np.unique(owner << BITS | key)
@@ -135,7 +136,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(1 << BITS, bool)
         known[shared.value] = True
-        for part, data, ends in text_slices(batches, "text"):
+        for part, data, ends in text_slices(batches, "text", PART):
             key, bounds, texts, _ = parse(data, ends)
             keep = known[key]
             bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
@@ -143,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: in
             sizes = pa.ListArray.from_arrays(pa.array(texts.astype(np.int32)), pa.array(np.diff(bounds).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_y"), lists, sizes], ["doc_id", "_y", "words", "sizes"])
 
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("_y", T.IntegerType()), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("sizes", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("_y", T.IntegerType()), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("sizes", T.ArrayType(T.IntegerType()))])
     table = sample.mapInArrow(words, schema).orderBy("doc_id", F.xxhash64("words")).toArrow()
     lists, sizes = table.column("words").combine_chunks(), table.column("sizes").combine_chunks()
     key = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -160,7 +161,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     schema = T.StructType([*out.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("worst", span)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, ends in text_slices(batches, "text"):
+        for part, data, ends in text_slices(batches, "text", PART):
             key, sentences, texts, begin = parse(data, ends)
             p = shared.value.sentence_scores(key, sentences)
             whole = noisy_or(p, texts)
@@ -182,7 +183,7 @@ def sentences(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, ends in text_slices(batches, "text"):
+        for part, data, ends in text_slices(batches, "text", PART):
             key, bounds, texts, begin = parse(data, ends)
             p = shared.value.sentence_scores(key, bounds)
             owner = np.repeat(np.arange(part.num_rows), np.diff(texts))

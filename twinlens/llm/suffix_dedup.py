@@ -76,8 +76,8 @@ def window_runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.n
     end = np.minimum(end, stops[np.minimum(np.searchsorted(stops, cut), len(stops) - 1)])
     text = np.searchsorted(bounds, cut, "right") - 1
     content = h.of(cut, end + length - 1)
-    # half of the anchor's hash deals the runs out; runs that share it by chance only meet in vain
-    return text, cut - bounds[text], end - cut, (names[anchor[cut]] >> np.uint64(32)).astype(np.uint32).view(np.int32), content.view(np.int64)
+    # the lower half of the anchor's hash deals the runs out, as the upper one is the least of many; runs that share it by chance only meet in vain
+    return text, cut - bounds[text], end - cut, (names[anchor[cut]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), content.view(np.int64)
 
 
 _RUN = T.StructType([T.StructField("anchor", T.IntegerType()), T.StructField("content", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n", T.LongType()), T.StructField("copy", T.BooleanType())])

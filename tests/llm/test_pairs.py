@@ -150,6 +150,38 @@ def test_suffix_dedup_against_all_windows(spark, length):
         assert (r["n_bytes"], r["n_removed"], [s["start"] for s in r["spans"]]) == (len(body), sum(mask), starts)
 
 
+def test_hot_anchors_are_split(spark, monkeypatch):
+    """A sentence with other text around it in each document: every run under its anchor is of its own kind."""
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared, passage = some(70), some(130)
+    texts = [some(90) + shared + some(90) for _ in range(300)] + [some(50) + passage + some(60) for _ in range(60)]
+    texts += [t[20:200] + some(40) for t in texts[:80]] + texts[5:9] + ["z" * 400]
+    want, limit = removed(texts, 100), 8 << 10
+    sizes, shards = [], suffix_dedup.shard_suffixes
+
+    def measured(reps, *rest):
+        sizes.extend(r[1] for r in reps.selectExpr("anchor", "n + 100 as size").groupBy("anchor").sum("size").collect())
+        return shards(reps, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "shard_suffixes", measured)
+    rows = suffix_dedup.dedup(frame(spark, texts).repartition(5), 100, limit).collect()
+    assert sizes and max(sizes) <= limit
+    assert {r["doc_id"]: (r["n_removed"], r["kept"]) for r in rows} == {k: (sum(m), bytes(c for c, x in zip(b, m, strict=True) if not x)) for k, (b, m) in enumerate(want)}
+
+
+@pytest.mark.parametrize("hot", [1, 300])
+def test_windows_by_hash_against_all_windows(spark, hot):
+    rng = random.Random(hot)
+    bits = ["".join(rng.choice("ab é日 ") for _ in range(rng.randint(1, 20))) for _ in range(12)]
+    texts = [*ODD, "x" * 50, *["".join(rng.choice(bits) for _ in range(rng.randint(1, 8))) for _ in range(60)], "ab" * 30]
+    rows = suffix_dedup.dedup(frame(spark, texts + texts[9:12], [*range(len(texts)), 9, 10, 11]).repartition(3), 10, hot).collect()
+    want = removed(texts, 10)
+    assert len(rows) == len(texts) + 3
+    for r in rows:
+        assert (r["n_removed"], r["kept"]) == (sum(want[r["doc_id"]][1]), bytes(c for c, m in zip(*want[r["doc_id"]], strict=True) if not m))
+
+
 def test_suffix_dedup_of_repeated_rows_null_ids_and_nothing(spark):
     text = "a sentence that is long enough"
     rows = suffix_dedup.dedup(frame(spark, [text, text, text, text], [3, 3, None, 1]), 10).collect()

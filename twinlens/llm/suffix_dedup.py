@@ -12,6 +12,11 @@ bytes are laid out in order of place and sorted by external induced sorting (``i
 larger than memory. Suffixes with a common prefix of ``length`` are one interval; all but its first place are removed. (3) The removed windows
 of a document become spans.
 
+Hot anchors. An anchor whose runs have more than ``HOT`` bytes is not kept together: run content reaches past the text that documents share, so
+every document may have its own run under it, and one shard would hold them all. Its runs are dealt by anchor and content to cut the copies,
+and the windows of those that are left by the hash of their ``length`` bytes, whose least place is taken before the shuffle; the others are removed.
+So no shard has an anchor of more than ``HOT`` bytes, and what a shard keeps in memory is bounded.
+
 Defined cases: a null text is empty; a text shorter than ``length`` is kept; a null doc_id counts as the smallest; repeated rows (equal id and
 text) are one document with equal results; an empty table gives none; further columns are ignored.
 """
@@ -34,6 +39,8 @@ from twinlens.session import small_side, stored
 GRAM = 24
 #: Bytes of text whose runs are compared before any shuffle.
 STRETCH = 16 << 20
+#: Bytes of runs above which the windows of an anchor are dealt by their own hash.
+HOT = 512 << 10
 #: Bytes of text that are hashed at once.
 PART = 1 << 20
 _PLACE = np.uint64((1 << 31) - 1)
@@ -126,8 +133,24 @@ def run_table(docs: DataFrame, length: int) -> DataFrame:
     return stored(rows.mapInArrow(run, _RUN), "runs")
 
 
-def shard_copies(table: DataFrame) -> DataFrame:
-    """From runs that are no copies yet: the later copies (copy), and one run of each kind of the anchors with several kinds."""
+def _buckets(rows: int, least: float) -> int:
+    """Buckets of anchors, a power of two: enough that few of them reach ``least`` runs by chance."""
+    return 1 << max(16, int(np.ceil(np.log2(max(1.0, 4 * rows / least)))))
+
+
+def hot_anchors(table: DataFrame, length: int, most: int) -> DataFrame:
+    """The anchors whose runs, copies aside, have more than ``most`` bytes. Buckets of anchors are counted first, so that only anchors of large
+    buckets are counted one by one."""
+    fresh = table.where(~F.col("copy")).select("anchor", (F.col("n") + length).alias("size"))
+    bucket = F.pmod(F.col("anchor"), F.lit(_buckets(table.count(), most / (2 * length)))).alias("bucket")
+    large = fresh.groupBy(bucket).agg(F.sum("size").alias("size")).where(F.col("size") > most).select("bucket")
+    near = fresh.withColumn("bucket", bucket).join(small_side(large), "bucket", "left_semi")
+    return stored(near.groupBy("anchor").agg(F.sum("size").alias("size")).where(F.col("size") > most).select("anchor"), "hot")
+
+
+def shard_copies(fresh: DataFrame, split: bool = False) -> DataFrame:
+    """From runs that are no copies yet: the later copies (copy), and one run of each kind of the anchors with several kinds; with ``split``,
+    an anchor's kinds are in several tasks, and one run of each kind of all anchors is returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # of the stream so far: the first run of the content that was last, whether its anchor already had two kinds
@@ -145,7 +168,7 @@ def shard_copies(table: DataFrame) -> DataFrame:
             later = same & ~((columns[2] == columns[2][first]) & (columns[3] == columns[3][first]) & (columns[4] == columns[4][first]))
             anchor = columns[0][group]
             joined = anchor[1:] == anchor[:-1]
-            several = np.concatenate([[False], joined]) | np.concatenate([joined, [False]])
+            several = np.concatenate([[False], joined]) | np.concatenate([joined, [False]]) | split
             out = several.copy()
             if head is not None and not waits:
                 out[0] = False  # it was returned before
@@ -157,8 +180,7 @@ def shard_copies(table: DataFrame) -> DataFrame:
                 yield _batch([*[c[rows] for c in columns], flag])
             head = np.array([c[group[-1]] for c in columns], np.int64)
 
-    fresh = table.where(~F.col("copy")).drop("copy")
-    sorted_ = fresh.repartition("anchor").sortWithinPartitions("anchor", "content", "doc", "text_key", "start")
+    sorted_ = fresh.repartition("anchor", *["content"] * split).sortWithinPartitions("anchor", "content", "doc", "text_key", "start")
     return stored(sorted_.mapInArrow(run, _RUN), "shards")
 
 
@@ -234,6 +256,28 @@ def shard_suffixes(reps: DataFrame, docs: DataFrame, length: int, shard_bytes: i
     return cut.mapInArrow(run, schema)
 
 
+def hot_windows(reps: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """(doc, text_key, start, n): single windows that stand earlier in another run under their anchor, by the hash of their bytes."""
+    schema = T.StructType([_RUN.fields[0], T.StructField("window", T.LongType()), *_RUN.fields[2:5]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            anchor, doc, key, start, n = [part.column(part.schema.get_field_index(c)).to_numpy() for c in ("anchor", "doc", "text_key", "start", "n")]
+            data, bounds = utf8(part.column(part.schema.get_field_index("bytes")).cast(pa.large_binary()).view(pa.large_string()))
+            own = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            at = bounds[own] + step
+            window = Hasher(data).of(at, at + length).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (anchor[own], window, doc[own], key[own], start[own] + step))], schema.names)
+
+    windows = stored(_cut(reps, docs, length).mapInArrow(run, schema), "windows")
+    place = F.struct("doc", "text_key", "start")
+    # the minima are stored, so that the join can split the rows of a window that very many documents have
+    first = windows.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    later = windows.join(stored(first, "first"), ["anchor", "window"]).where(F.col("first") < place)
+    return later.select("doc", "text_key", "start", F.lit(1).cast("long").alias("n"))
+
+
 class _Growing:
     """Symbols of a shard; on disk once they are more than memory should hold."""
 
@@ -256,13 +300,20 @@ class _Growing:
         return np.memmap(self.file, np.uint16, "r")
 
 
-def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_bytes, n_removed, spans (start, end in bytes), kept (the bytes left)."""
     found = run_table(docs, length)
-    shards = shard_copies(found)
+    fresh = found.where(~F.col("copy")).drop("copy")
     place = ["doc", "text_key", "start", "n"]
-    reps = shards.where(~F.col("copy"))
-    gone = found.where("copy").select(*place).union(shards.where("copy").select(*place)).union(shard_suffixes(reps, docs, length))
+    gone = found.where("copy").select(*place)
+    anchors = hot_anchors(found, length, hot)
+    if anchors.take(1):
+        anchors = small_side(anchors)
+        shards = shard_copies(fresh.join(anchors, "anchor", "left_semi"), split=True)
+        gone = gone.union(shards.where("copy").select(*place)).union(hot_windows(shards.where(~F.col("copy")), docs, length))
+        fresh = fresh.join(anchors, "anchor", "left_anti").select(*fresh.columns)
+    shards = shard_copies(fresh)
+    gone = gone.union(shards.where("copy").select(*place)).union(shard_suffixes(shards.where(~F.col("copy")), docs, length))
     gone = gone.groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LEAST)).cast("long").alias("o_doc"), F.xxhash64("text").alias("o_key"), "text")
     joined = rows.join(gone, (F.col("o_doc") == F.col("doc")) & (F.col("o_key") == F.col("text_key")), "left").select("doc_id", "text", "windows")

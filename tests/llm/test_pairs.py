@@ -150,6 +150,14 @@ def test_suffix_dedup_against_all_windows(spark, length):
         assert (r["n_bytes"], r["n_removed"], [s["start"] for s in r["spans"]]) == (len(body), sum(mask), starts)
 
 
+def test_anchors_do_not_meet_by_chance():
+    """Of 300,000 anchors, half a hash would have some 10 in common."""
+    data = np.random.default_rng(0).integers(0, 256, 12_000_000, dtype=np.uint8)
+    _, _, _, anchor, _ = suffix_dedup.window_runs(data, np.array([0, len(data)]), 100)
+    anchors = np.unique(anchor)
+    assert len(anchors) == len(anchor) > 250_000 and len(np.unique(anchors & 0xFFFFFFFF)) < len(anchors)
+
+
 def test_hot_anchors_are_split(spark, monkeypatch):
     """A sentence with other text around it in each document: every run under its anchor is of its own kind."""
     rng = random.Random(4)

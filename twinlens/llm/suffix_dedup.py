@@ -66,7 +66,7 @@ def window_runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.n
     gram = min(GRAM, length)
     n = len(data)
     if n < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int64))
+        return tuple(np.zeros(0, t) for t in [np.int64] * 5)
     h = Hasher(data)
     at = np.arange(n - gram + 1)
     names = h.of(at, at + gram)
@@ -83,15 +83,15 @@ def window_runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.n
     end = np.minimum(end, stops[np.minimum(np.searchsorted(stops, cut), len(stops) - 1)])
     text = np.searchsorted(bounds, cut, "right") - 1
     content = h.of(cut, end + length - 1)
-    # the lower half of the anchor's hash deals the runs out, as the upper one is the least of many; runs that share it by chance only meet in vain
-    return text, cut - bounds[text], end - cut, (names[anchor[cut]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), content.view(np.int64)
+    # the whole hash of the anchor deals the runs out: half of it would be shared by chance by ever more anchors as tables grow
+    return text, cut - bounds[text], end - cut, names[anchor[cut]].view(np.int64), content.view(np.int64)
 
 
-_RUN = T.StructType([T.StructField("anchor", T.IntegerType()), T.StructField("content", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n", T.LongType()), T.StructField("copy", T.BooleanType())])
+_RUN = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("content", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n", T.LongType()), T.StructField("copy", T.BooleanType())])
 
 
 def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:])], _RUN.names)
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns)], _RUN.names)
 
 
 def _copies(columns: list[np.ndarray]) -> np.ndarray:

@@ -70,6 +70,20 @@ def test_personal_data_beyond_the_base(spark):
     assert left[200] == "see <secret> here" and left[230] == "plain words only"
 
 
+def test_few_cued_among_many_alike(spark):
+    """What has a cue of its own is found, however many strings of its format have none."""
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    number = lambda: f"{rng.randint(200, 999)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}"
+    cued = [f"so token = {key()} it is" for _ in range(5)] + [f"phone: {number()} it is" for _ in range(5)] + ["write to me [at] host [dot] org it is"] * 3
+    texts = cued + [f"commit {key()} it is" for _ in range(150)] + [f"paid {number()} it is" for _ in range(150)] + ["we look at them. They go"] * 100
+    rows = {r["doc_id"]: [(s["kind"], s["s"], s["e"]) for s in r["spans"]] for r in pii.find(frame(spark, texts)).collect()}
+    for k, text in enumerate(texts):
+        kind, mark = ("secret", "= ") if k < 5 else ("number", ": ") if k < 10 else ("spelled", " to ")
+        start = text.find(mark) + len(mark)
+        assert rows[k] == ([(kind, start, len(text) - 6)] if k < len(cued) else []), text
+
+
 def test_personal_data_without_rows(spark):
     assert pii.find(frame(spark, [])).count() == 0
     assert [r["spans"] for r in pii.find(frame(spark, [None, "", "none"], [None, None, 3])).collect()] == [[], [], []]

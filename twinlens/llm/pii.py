@@ -6,15 +6,16 @@ spelled-out addresses (``spelled``), numbers in groups without a plus sign (``nu
 
 Method. Every candidate, base ones and those that failed their check included, has eight small features of its format and its
 context. A candidate counts as personal data for the training if it passed its check or a cue word with a sign of assignment stands
-right before it. The table of (features, count, positives) over all documents has at most ``CELLS`` rows by construction; boosted trees are
+right before it, or it is an address spelled with brackets; both count as its ``cue``. The table of (features, count, positives) over all documents has at most ``CELLS`` rows by construction; boosted trees are
 fitted on it and become a CASE expression, so scoring is plain SQL. Documents of odd hash are kept from the fit and give, for each
-generator, the lowest score with a precision of ``precision``; candidates above it that lie in no base span are added.
+generator, the lowest score with a precision of ``precision``. Of the candidates that lie in no base span those with a cue are always added, as they
+are positive themselves however many others look like them; those without one are added if their score is not below that of their generator.
 
 The patterns are the stated ones in a form with the same matches that never backtracks over a long run: possessive repeats, and a match
 may begin inside a run only where the match before has ended.
 
 Defined cases: a null text is empty and has no span; repeated rows give repeated results; empty tables give none; with no candidates
-or only one class nothing is added; further columns are ignored.
+nothing is added; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ PATTERN = {
 #: A character that every match has, so that other texts are not searched.
 NEEDS = {"email": "@", "ip": "[0-9][.][0-9]", "card": "[0-9][ -]?[0-9][ -]?[0-9]", "phone": "[+][0-9]", "spelled": "(?: |[{(\\[])at(?: |[})\\]])", "number": "[0-9][0-9]", "secret": "[0-9]"}
 CUE = r"(?i)(?:mail|tel|phone|fax|mobile|card|iban|account|ip|host|token|key|secret|password|passwd|pwd)\w*[\"']?\s{0,2}[:=]\s{0,2}[\"'(<]?$"
+#: A spelled address that needs no cue.
+BRACKETS = r"[\[({](?:at|dot)[\])}]"
 KINDS = BASE + MORE
 FEATURES = ["kind", "digits", "length", "letters", "marks", "before", "after", "cue"]
 SIZES = [7, 8, 8, 3, 8, 5, 5, 2]
@@ -106,7 +109,7 @@ def _features(kind: str, x: Column) -> Column:
         F.least(marks, F.lit(7)).alias("marks"),
         _side(F.right(x["before"], F.lit(1))).alias("before"),
         _side(x["after"]).alias("after"),
-        x["before"].rlike(CUE).cast("int").alias("cue"),
+        (x["before"].rlike(CUE) | (body.rlike(BRACKETS) if kind == "spelled" else F.lit(False))).cast("int").alias("cue"),
         _passes(kind, body).alias("passed"),
     )
 
@@ -140,13 +143,14 @@ def _case(forest: boosting.Forest, at: str) -> str:
 
 
 def fit(found: DataFrame, precision: float = 0.9, trees: int = 12, depth: int = 3) -> tuple[boosting.Forest, dict[int, float]]:
-    """Trees over the counted cells of even documents, and the lowest margin of each generator that holds the precision on odd ones."""
+    """Trees over the counted cells of even documents, and the lowest margin of each generator that holds the precision on odd ones, for
+    candidates without a cue."""
     cell = found.select("odd", F.explode("found").alias("x")).select("odd", *[F.col(f"x.{c}") for c in FEATURES], (F.col("x.passed") | (F.col("x.cue") == 1)).cast("int").alias("y"))
     table = cell.groupBy("odd", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).toPandas()
     bins = table[FEATURES].to_numpy(np.uint8).reshape(-1, len(FEATURES))
     n, good = table["n"].to_numpy(float), table["y"].to_numpy(float)
     train = ~table["odd"].to_numpy(bool)
-    # the cue gives the label, so the trees see it for scoring only through the formats that it goes with
+    # the cue gives the label, so the trees see only the formats that it goes with: they are for candidates that have none
     seen = bins.copy()
     seen[:, FEATURES.index("cue")] = 0
     both = np.concatenate([seen[train], seen[train]])
@@ -172,7 +176,7 @@ def find(docs: DataFrame, precision: float = 0.9) -> DataFrame:
     chosen = F.filter("found", lambda x: (x["kind"] >= len(BASE)) & ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"])))
     scored = df.select("doc_id", "base", chosen.alias("more"))
     above = " or ".join(f"(x.kind = {k} and {_case(forest, 'x')} >= {least - 1e-6:.9f}D)" for k, least in limits.items()) or "false"
-    scored = scored.withColumn("more", F.expr(f"filter(more, x -> {above})"))
+    scored = scored.withColumn("more", F.expr(f"filter(more, x -> x.cue = 1 or {above})"))
     name = F.array(*[F.lit(k) for k in KINDS])
     as_span = lambda flag: lambda x: F.struct(x["kind"].alias("rank"), x["s"].alias("s"), x["e"].alias("e"), F.get(name, x["kind"]).alias("kind"), F.lit(flag).alias("base"))
     return scored.select("doc_id", F.array_sort(F.concat(F.transform("base", as_span(True)), F.transform("more", as_span(False)))).alias("spans"))

@@ -50,6 +50,18 @@ def test_language_of_odd_texts(spark):
     assert {r["lang_pred"] for r in language_id.identify(train, none).collect()} == {"und"}
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    rng = random.Random(8)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for _ in range(150)]
+    some = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    # the later ones are rarer
+    langs = [k for k in range(150) for _ in range(2 + (150 - k) // 50)]
+    model = language_id.learn(frame(spark, [some(k, 40) for k in langs], langs=[f"l{k}" for k in langs]))
+    assert len(model.names) == 150 and model.slots.shape[0] == 3
+    rows = language_id.identify(frame(spark, [some(k, 20) for k in range(150)]), model).collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id']}" and r["score"] > 0.5 for r in rows)
+
+
 def test_filter_has_few_false_positives(spark):
     model = language_id.learn(frame(spark, ["the cat and the dog and the house " * 5] * 5))
     data = np.frombuffer(b" the cat   ", np.uint8)

@@ -1,7 +1,7 @@
 """Language identification by one bit-sliced Bloom filter of byte n-grams for all languages.
 
-A slot of the filter holds one bit for each language. The bitwise AND of the slots of an n-gram is the set of all languages
-whose filter contains it; two gathers answer for every language at once. A text is decided by how many of its n-grams each
+A slot of the filter holds one bit for each language, in words of 64. The bitwise AND of the slots of an n-gram is the set of all languages
+whose filter contains it; two gathers a word answer for 64 languages at once. A text is decided by how many of its n-grams each
 language contains, less what its filter's false positives explain: with n n-grams, h hits and the false-positive rate f of
 the language, (h - n f) / (1 - f).
 
@@ -10,8 +10,8 @@ fewer). An n-gram belongs to a language if its rate there is at least ``share``
 ``most`` most frequent ones of each language are kept, so the filter has a fixed size.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without any learned language every text is ``und``; a text of which no
-n-gram is known gets the language of most rows, with score 0; ties go to the language with more rows; more than ``LANGUAGES``
-labels: the most frequent ones are learned; repeated rows get equal results; all columns of the input stay, replaced where the names
+n-gram is known gets the language of most rows, with score 0; ties go to the language with more rows; all labels are
+learned, however many; repeated rows get equal results; all columns of the input stay, replaced where the names
 clash.
 """
 
@@ -22,30 +22,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinlens.llm.common import per_text, text_slices
+from twinlens.session import stored
 
-#: Bits of a slot.
-LANGUAGES = 64
+#: Bits of a word.
+WORD = 64
 _SPACE = np.arange(256, dtype=np.uint8)
 _SPACE[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
 
 @dataclass
 class Filter:
-    """``slots``: a language set for each slot; ``false``: false-positive rate of each language."""
+    """``slots``: for each word of languages, their set for each slot; ``false``: false-positive rate of each language."""
 
     names: list[str]
     slots: np.ndarray
     false: np.ndarray
 
-    def languages_of(self, grams: np.ndarray) -> np.ndarray:
-        """The set (bit mask) of languages that contain each n-gram."""
-        a, b = _slots(grams, len(self.slots))
-        return self.slots[a] & self.slots[b]
+    def languages_of(self, grams: np.ndarray, word: int = 0) -> np.ndarray:
+        """The set (bit mask) of languages of a word that contain each n-gram."""
+        a, b = _slots(grams, self.slots.shape[1])
+        return self.slots[word][a] & self.slots[word][b]
 
 
 def _slots(grams: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,41 +73,42 @@ def _padded(docs: DataFrame, *columns: str) -> DataFrame:
 def learn(docs: DataFrame, fit_rows: int = 5_000, fit_chars: int = 20_000_000, share: float = 0.5, most: int = 30_000) -> Filter:
     """A filter from the rows of ``docs`` with text and lang."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("n"), "lang").collect()
     names = [r["lang"] for r in sizes]
     if not names:
-        return Filter([], np.zeros(1 << 10, np.uint64), np.zeros(0))
+        return Filter([], np.zeros((0, 1 << 10), np.uint64), np.zeros(0))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1 << 30))
-    part = F.lit(-1)
-    for r in sizes:
-        part = F.when(F.col("lang") == r["lang"], int(min(1.0, fit_rows / r["n"], fit_chars / max(1, r["chars"])) * (1 << 30))).otherwise(part)
-    sample = _padded(rows.where(draw < part), "text", "lang")
+    spark, index = docs.sparkSession, {x: k for k, x in enumerate(names)}
+    parts = [(r["lang"], int(min(1.0, fit_rows / r["n"], fit_chars / max(1, r["chars"])) * (1 << 30))) for r in sizes]
+    part = F.broadcast(spark.createDataFrame(parts, "lang string, _part long"))
+    sample = _padded(rows.select("doc_id", "text", "lang").join(part, "lang").where(draw < F.col("_part")), "text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows_, data, bounds in text_slices(batches, "_padded"):
             codes, ends = grams(data, bounds)
-            lang = np.array([names.index(x) for x in rows_.column("lang").to_pylist()])
+            lang = np.array([index[x] for x in rows_.column("lang").to_pylist()])
             keys, n = np.unique(np.repeat(lang, np.diff(ends)).astype(np.uint64) << np.uint64(32) | codes, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(32)).astype(np.int32)), pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(count, "lang int, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counts = stored(sample.mapInArrow(count, "lang int, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "counts")
     table = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"))
-    totals = dict(counts.groupBy("lang").agg(F.sum("n")).collect())
-    rate = F.lit(0.0)
-    for k, total in totals.items():
-        rate = F.when(F.col("x.lang") == k, F.col("x.n") / float(total)).otherwise(rate)
+    totals = F.broadcast(counts.groupBy("lang").agg(F.sum("n").cast("double").alias("total")))
     # n-grams of one language stay within the drawn text, whose size is bounded
-    rated = table.select("gram", F.explode("by").alias("x"), "by").select("gram", "x.lang", "x.n", rate.alias("rate"))
+    rated = table.select("gram", F.explode("by").alias("x")).select("gram", "x.lang", "x.n").join(totals, "lang").select("gram", "lang", "n", (F.col("n") / F.col("total")).alias("rate"))
     best = rated.groupBy("gram").agg(F.max("rate").alias("best"), F.collect_list(F.struct("lang", "n", "rate")).alias("by"))
     own = best.select("gram", F.explode("by").alias("x"), "best").where((F.col("x.n") > 1) & (F.col("x.rate") >= share * F.col("best"))).select("x.lang", "gram", "x.n")
     slots_bits = max(10, int(np.ceil(np.log2(most * 8))))
-    slots, held = np.zeros(1 << slots_bits, np.uint64), np.zeros(len(names))
+    slots, held = np.zeros((-(-len(names) // WORD), 1 << slots_bits), np.uint64), np.zeros(len(names))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    top = stored(own.withColumn("_place", place).where(F.col("_place") <= most).select("lang", "gram"), "grams")
+    for word in range(len(slots)):
+        # the driver holds the n-grams of one word of languages at a time
+        part = top.where(F.col("lang").between(word * WORD, word * WORD + WORD - 1)).toArrow()
+        lang, kept = part["lang"].to_numpy() - word * WORD, part["gram"].to_numpy().astype(np.uint32)
+        for at in _slots(kept, slots.shape[1]):
+            np.bitwise_or.at(slots[word], at, np.uint64(1) << lang.astype(np.uint64))
     for k in range(len(names)):
-        kept = np.array([r[0] for r in own.where(F.col("lang") == k).orderBy(F.desc("n"), "gram").limit(most).select("gram").collect()], np.uint32)
-        for at in _slots(kept, len(slots)):
-            slots[at] |= np.uint64(1 << k)
-    for k in range(len(names)):
-        held[k] = ((slots >> np.uint64(k)) & np.uint64(1)).mean()
+        held[k] = ((slots[k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)).mean()
     return Filter(names, slots, held**2)
 
 
@@ -121,16 +123,17 @@ def identify(docs: DataFrame, model: Filter) -> DataFrame:
         m = broadcast.value
         for rows, data, bounds in text_slices(batches, "_padded"):
             codes, ends = grams(data, bounds)
-            sets, n = m.languages_of(codes), np.diff(ends)
-            # without a language there is one column that never wins
-            score = np.zeros((rows.num_rows, max(1, len(m.names))))
+            n = np.diff(ends)
+            best, score = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows)
             for k in range(len(m.names)):
-                hits = per_text(((sets >> np.uint64(k)) & np.uint64(1)).astype(np.uint8), ends)
-                score[:, k] = np.clip((hits - n * m.false[k]) / (1 - m.false[k]), 0, None) / np.maximum(n, 1)
-            best = score.argmax(1)
+                if k % WORD == 0:
+                    sets = m.languages_of(codes, k // WORD)
+                hits = per_text(((sets >> np.uint64(k % WORD)) & np.uint64(1)).astype(np.uint8), ends)
+                own = np.clip((hits - n * m.false[k]) / (1 - m.false[k]), 0, None) / np.maximum(n, 1)
+                best, score = np.where(own > score, k, best), np.maximum(own, score)
             letters = [any(map(str.isalpha, t)) for t in rows.column("_padded").to_pylist()]
             names = [m.names[b] if m.names and has else "und" for b, has in zip(best, letters, strict=True)]
-            value = np.where(letters, np.clip(score[np.arange(len(best)), best], 0, 1), 0.0)
+            value = np.where(letters, np.clip(score, 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*[rows.column(rows.schema.get_field_index(c)) for c in kept], pa.array(names, pa.string()), pa.array(value), pa.array(n)], [*kept, "lang_pred", "score", "n_grams"])
 
     return _padded(out, *[F.col(f"`{c}`") for c in kept]).mapInArrow(predict, T.StructType(fields))

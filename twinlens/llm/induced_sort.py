@@ -5,10 +5,11 @@ are (position, common prefix with the entry before) and leave in order of symbol
 in induced sorting: the sorted suffixes that begin at local minima (S*) push their predecessors (L), these push theirs, and from the
 other end all L push the S. A pushed suffix shares one symbol more with the one pushed before it than the suffixes that
 pushed the two, whose common prefix is the least one of the stretch of the stream between them; so the values are carried along and
-never taken from the text again, but for the one place in each bucket where L and S meet.
+never taken from the text again, but for the one place in each bucket where L and S meet, and between the S*, where they come from binary
+search over hash sums.
 
 The S* order comes from the same induction over unsorted S*, which sorts the pieces between them; equal pieces get equal names, and the string of
-names is sorted recursively, by induction while its alphabet is small, else by doubling of ranks.
+names is sorted recursively, by induction while its alphabet is small, else, which is nearly every shard of real text, by doubling of ranks in memory.
 
 Symbol 0 ends a segment; every 0 counts as a symbol of its own, in order of position. Common prefixes are cut at ``cap``.
 """

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from twinlens.llm import ann, near_dup, suffix_dedup
+from twinlens.llm import ann, near_dup, simhash, suffix_dedup
 from twinlens.llm.queries import query, table
 
 
@@ -42,3 +42,8 @@ def nearest(spark, sf):
 def suffix_array(spark, sf):
     out = suffix_dedup.dedup(table(spark, sf, "documents"), length=100)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_simhash")
+def simhash_groups(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"), words=4, distance=4)

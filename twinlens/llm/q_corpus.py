@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from twinlens.llm import merkle
+from twinlens.llm import merkle, phrases
 from twinlens.llm.queries import query, table
 
 ENCODED = " || ".join(f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", "text"))
@@ -73,3 +73,36 @@ def manifest(spark, sf):
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     given = [F.translate("text", merkle.UPPER, merkle.LOWER) if c == "text" else F.col(c) for c in columns]
     return merkle.manifest(docs, columns, "source", "doc_id", tampered, given)
+
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _grams(k: int) -> str:
+    return f"select lang, w[i:i + {k - 1}] as g, count(*) as f from seq, lateral (select unnest(range(1, len(w) - {k - 2})) as i) group by all"
+
+
+def _cut(k: int, first: str, rest: str) -> str:
+    return f"select p.lang, p.g, p.f as a, l.f as l, r.f as r, {k} as k, (1000000::hugeint * p.f * p.f) // (l.f::hugeint * r.f) as score from {{}} p join {first} l on l.lang = p.lang and l.g = p.g[:{k}] join {rest} r on r.lang = p.lang and r.g = p.g[{k + 1}:]"
+
+
+@query(
+    "op12_phrases",
+    sql=rf"""
+    with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?
+-]')) as p from documents),
+    seq as (select lang, list_filter(regexp_split_to_array(p, '[ 	]+'), lambda x: x <> '') as w from pieces),
+    g1 as ({_grams(1)}), g2 as ({_grams(2)}), g3 as ({_grams(3)}),
+    c2 as (select * from g2 where f >= 10), c3 as (select * from g3 where f >= 10),
+    cuts as ({_cut(1, 'g1', 'g1').format('c2')} union all {_cut(1, 'g1', 'g2').format('c3')} union all {_cut(2, 'g2', 'g1').format('c3')}),
+    best as (select lang, g, arg_min(struct_pack(a, l, r, score), (score, k)) as b from cuts group by 1, 2),
+    parts as (select lang, g[1:2] as g, f from c3 union all select lang, g[2:3], f from c3),
+    held as (select lang, g, max(f) as most from parts group by 1, 2),
+    kept as (select best.lang, array_to_string(best.g, ' ') as phrase, b.a, b.l, b.r, b.score from best left join held on held.lang = best.lang and held.g = best.g where 100 * coalesce(most, 0) < 50 * b.a),
+    ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept),
+    totals as (select lang, sum(f) as n from g1 group by 1)
+    select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from ranked join totals using (lang) where rank <= 2000
+    """,
+)
+def collocations(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"), least=10, top=2000, inside=50)

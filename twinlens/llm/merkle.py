@@ -58,11 +58,11 @@ def H(text: str) -> str:
     return sha256(text.encode()).hexdigest()
 
 
-def completed(digests: Sequence[str], first: int, base: int, n: int) -> Iterator[tuple[int, int, str]]:
-    """(level, index, digest) of what completes above an aligned block: the nodes of level ``base`` from index ``first`` on, up to ``LEVELS``
+def completed(digests: Sequence[str], first: int, base: int, n: int, levels: int = LEVELS) -> Iterator[tuple[int, int, str]]:
+    """(level, index, digest) of what completes above an aligned block: the nodes of level ``base`` from index ``first`` on, up to ``levels``
     levels more, in completion order. The nodes given are among them only if they are leaves."""
-    top = min(height(n), base + LEVELS)
-    open_: list[list[str]] = [[] for _ in range(LEVELS + 1)]
+    top = min(height(n), base + levels)
+    open_: list[list[str]] = [[] for _ in range(levels + 1)]
     for index, digest in enumerate(digests, first):
         level = base
         if base == 0:
@@ -95,14 +95,14 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[di
         yield key, held
 
 
-def _built(leaves: DataFrame, base: int) -> DataFrame:
+def _built(leaves: DataFrame, base: int, levels: int) -> DataFrame:
     """Log entries above ``leaves`` (tree, n, idx, digest), the nodes of level ``base``: runs of nodes, each named by its last one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
         for (tree, block), rows in _grouped(batches):
-            n, first = rows[0]["n"], block * FAN**LEVELS
-            made = list(completed([r["digest"] for r in rows], first, base, n))
+            n, first = rows[0]["n"], block * FAN**levels
+            made = list(completed([r["digest"] for r in rows], first, base, n, levels))
             runs = [made] if base == 0 else [[x] for x in made]
             out = []
             for r in runs:
@@ -111,32 +111,32 @@ def _built(leaves: DataFrame, base: int) -> DataFrame:
             schema = schema or pa.schema([("tree", pa.string()), ("n", pa.int64()), ("level", pa.int32()), ("idx", pa.int64()), ("pos", pa.int64()), ("nodes", pa.list_(pa.string())), ("digest", pa.string()), ("root", pa.bool_())])
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    blocks = leaves.select("tree", F.floor(F.col("idx") / FAN**LEVELS).alias("block"), "idx", "n", "digest")
+    blocks = leaves.select("tree", F.floor(F.col("idx") / FAN**levels).alias("block"), "idx", "n", "digest")
     return blocks.repartition("tree", "block").sortWithinPartitions("tree", "block", "idx").mapInArrow(run, _NODES)
 
 
-def append_log(leaves: DataFrame) -> DataFrame:
+def append_log(leaves: DataFrame, levels: int = LEVELS) -> DataFrame:
     """The log of all trees of ``leaves`` (tree, n, idx, digest): (tree, n, level, idx, pos, nodes, digest, root). ``nodes`` are the digests
     of consecutive positions from ``pos`` on; (level, idx, digest) is the last of them, and ``root`` whether it is the tree's root."""
-    base, new = 0, stored(_built(leaves, 0), "log")
+    base, new = 0, stored(_built(leaves, 0, levels), "log")
     log = new
     while True:
-        tops = new.where((F.col("level") == base + LEVELS) & ~F.col("root"))
+        tops = new.where((F.col("level") == base + levels) & ~F.col("root"))
         if not tops.take(1):
             return log
-        base += LEVELS
-        new = stored(_built(tops.select("tree", "n", "idx", "digest"), base), "log")
+        base += levels
+        new = stored(_built(tops.select("tree", "n", "idx", "digest"), base, levels), "log")
         log = log.unionByName(new)
 
 
-def _above(log: DataFrame) -> DataFrame:
+def _above(log: DataFrame, levels: int) -> DataFrame:
     """(tree, block, upper): the siblings (level, idx, digest) that the proofs of a block of leaves have above it."""
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 out, index, n = [], row["idx"], row["n"]
-                for level in range(LEVELS, height(n)):
+                for level in range(levels, height(n)):
                     first = index // FAN * FAN
                     for sibling in range(first, min(first + FAN, -(-n // FAN**level))):
                         if sibling != index:
@@ -145,7 +145,7 @@ def _above(log: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, pa.schema([("tree", pa.string()), ("block", pa.int64()), ("level", pa.int32()), ("idx", pa.int64()), ("pos", pa.int64())]))
 
-    asked = log.where((F.col("level") == LEVELS) & ~F.col("root")).select("tree", "n", "idx").mapInArrow(wanted, "tree string, block long, level int, idx long, pos long")
+    asked = log.where((F.col("level") == levels) & ~F.col("root")).select("tree", "n", "idx").mapInArrow(wanted, "tree string, block long, level int, idx long, pos long")
     known = log.select("tree", (F.col("pos") + F.size("nodes") - 1).alias("pos"), "digest")
     return asked.join(known, ["tree", "pos"]).groupBy("tree", "block").agg(F.sort_array(F.collect_list(F.struct("level", "idx", "digest"))).alias("upper"))
 
@@ -161,16 +161,16 @@ def _climb(index: int, n: int, digest_at: Callable[[int, int], str], levels: ran
     return out
 
 
-def _proven(leaves: DataFrame, log: DataFrame, more: DataFrame | None, finish: Callable, schema: T.StructType | str) -> DataFrame:
+def _proven(leaves: DataFrame, log: DataFrame, more: DataFrame | None, finish: Callable, schema: T.StructType | str, levels: int) -> DataFrame:
     """``finish(leaf row, run row, path)`` for each leaf, whose path has the siblings (before, after) of each level of its tree.
 
     ``leaves`` has (tree, idx) and what ``finish`` needs; ``more`` is a frame of further columns for each tree."""
-    runs = log.where((F.col("level") == LEVELS) | (F.col("root") & (F.col("level") < LEVELS)))
-    runs = runs.select("tree", F.when(F.col("level") == LEVELS, F.col("idx")).otherwise(F.lit(0)).alias("block"), "n", "pos", "nodes")
-    runs = runs.join(small_side(stored(_above(log), "upper"), 20_000), ["tree", "block"], "left")
+    runs = log.where((F.col("level") == levels) | (F.col("root") & (F.col("level") < levels)))
+    runs = runs.select("tree", F.when(F.col("level") == levels, F.col("idx")).otherwise(F.lit(0)).alias("block"), "n", "pos", "nodes")
+    runs = runs.join(small_side(stored(_above(log, levels), "upper"), 20_000), ["tree", "block"], "left")
     if more is not None:
         runs = runs.join(small_side(more, 20_000), "tree")
-    rows = leaves.select("tree", F.floor(F.col("idx") / FAN**LEVELS).alias("block"), "idx", F.struct(*[c for c in leaves.columns if c not in ("tree", "idx")]).alias("leaf"))
+    rows = leaves.select("tree", F.floor(F.col("idx") / FAN**levels).alias("block"), "idx", F.struct(*[c for c in leaves.columns if c not in ("tree", "idx")]).alias("leaf"))
     extra = [c for c in runs.columns if c not in ("tree", "block")]
     # a block's run comes first, then its leaves
     both = rows.unionByName(runs.select("tree", "block", F.lit(-1).cast("long").alias("idx"), F.struct(*extra).alias("run")), allowMissingColumns=True)
@@ -182,8 +182,8 @@ def _proven(leaves: DataFrame, log: DataFrame, more: DataFrame | None, finish: C
         for (_, block), found in _grouped(batches):
             head, n = found[0]["run"], found[0]["run"]["n"]
             nodes, upper = head["nodes"], {(u["level"], u["idx"]): u["digest"] for u in head["upper"] or ()}
-            inside, total = min(LEVELS, height(n)), height(n)
-            path_above = _climb(block, n, lambda level, s: upper.get((level, s), ""), range(LEVELS, total))
+            inside, total = min(levels, height(n)), height(n)
+            path_above = _climb(block, n, lambda level, s: upper.get((level, s), ""), range(levels, total))
             # the leaves of a run share its siblings
             in_run = functools.cache(lambda level, s: nodes[position(level, s, n) - head["pos"]])
             out = [finish(row["leaf"], head, _climb(row["idx"], n, in_run, range(inside)) + path_above) for row in found[1:]]
@@ -214,7 +214,7 @@ def _placed(rows: DataFrame, *order: str) -> DataFrame:
     return joined.select(*rows.columns, (F.col("place") - F.col("start")).alias("idx"), "n")
 
 
-def manifest(docs: DataFrame, columns: Sequence[str], group: str, key: str, check: Column | None = None, given: Sequence[Column] | None = None) -> DataFrame:
+def manifest(docs: DataFrame, columns: Sequence[str], group: str, key: str, check: Column | None = None, given: Sequence[Column] | None = None, levels: int = LEVELS) -> DataFrame:
     """A row for each row of ``docs``: ``key``, leaf, subroot, root, proof_sha256, folded_root, verified.
 
     ``proof_sha256`` is H of the siblings on the way to the root, level by level, left to right. Where ``check`` holds, the proof is tried with
@@ -225,16 +225,16 @@ def manifest(docs: DataFrame, columns: Sequence[str], group: str, key: str, chec
     # the last column sets repeated rows apart, so that even they can be dealt to several tasks
     leaves = stored(docs.select(tree.alias("tree"), F.col(key).alias("key"), own.alias("digest"), alleged.alias("alleged"), F.monotonically_increasing_id().alias("tie")), "leaves")
     placed = stored(_placed(leaves, "key", "digest", "tie").drop("tie"), "placed")
-    log = append_log(placed.select("tree", "n", "idx", "digest"))
+    log = append_log(placed.select("tree", "n", "idx", "digest"), levels)
     subroots = stored(log.where("root").select(F.col("tree").alias("name"), "digest"), "subroots")
     crowns = stored(_placed(subroots.select(F.lit("").alias("tree"), "name", "digest"), "name"), "crowns")
-    crown_log = append_log(crowns.select("tree", "n", "idx", "digest"))
+    crown_log = append_log(crowns.select("tree", "n", "idx", "digest"), levels)
     root = stored(crown_log.where("root").select("tree", F.col("digest").alias("root")), "root")
 
     def crown(leaf: dict, head: dict, path: list) -> dict:
         return {"tree": leaf["name"], "subroot": leaf["digest"], "root": head["root"], "path": [{"before": b, "after": a} for b, a in path]}
 
-    ways = stored(_proven(crowns, crown_log, root, crown, "tree string, subroot string, root string, path array<struct<before: string, after: string>>"), "ways")
+    ways = stored(_proven(crowns, crown_log, root, crown, "tree string, subroot string, root string, path array<struct<before: string, after: string>>", levels), "ways")
     kind = docs.schema[key].dataType
     out = T.StructType([T.StructField(key, kind), *[T.StructField(c, T.StringType()) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")], T.StructField("verified", T.BooleanType())])
 
@@ -244,4 +244,4 @@ def manifest(docs: DataFrame, columns: Sequence[str], group: str, key: str, chec
         proof = H("".join(b + a for b, a in path))
         return {key: leaf["key"], "leaf": leaf["digest"], "subroot": head["subroot"], "root": head["root"], "proof_sha256": proof, "folded_root": result, "verified": result == head["root"]}
 
-    return _proven(placed, log, ways, prove, out)
+    return _proven(placed, log, ways, prove, out, levels)

@@ -75,7 +75,7 @@ def _texts(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[Words]:
         code = langs.indices.to_numpy(zero_copy_only=False)
         for k, lang in enumerate(langs.dictionary.to_pylist()):
             rows = batch.filter(pa.array(code == k))
-            for _, data, bounds in text_slices(iter([rows]), "text", 8 << 20):
+            for _, data, bounds in text_slices(iter([rows]), "text", 4 << 20):
                 yield Words(lang, data, bounds, seed)
 
 
@@ -173,14 +173,14 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, inside: int
         if not words.groupBy("name").count().where("count > 1").take(1):
             break
         seed += 1
-    common = words.where(F.col("f") >= least)
+    common = stored(words.where(F.col("f") >= least), "common")
     frequent = None
     if common.count() <= WORDS:
         frequent = np.sort(common.select("name").toArrow().column(0).to_numpy().view(np.uint64))
     counted = stored(count_pairs(docs, frequent, seed, least), "pairs")
-    facts = lambda key, f: small_side(common.select(F.col("name").alias(key), F.col("f").alias(f)), 1_000_000)
-    langs = small_side(common.select(F.col("name").alias("x"), "lang", F.col("f").alias("fx")), 1_000_000)
-    pairs = counted.join(langs, "x").join(facts("y", "fy"), "y")
+    # the words' counts meet the pairs by joins of two tables; words are too many to be sent by way of the driver
+    first, second = (common.select(F.col("name").alias(key), "lang", F.col("f").alias(f"f{key}")) for key in ("x", "y"))
+    pairs = counted.join(first, "x").join(second.drop("lang"), "y")
     bound = lambda f: F.expr(f"(1000000 * cast(a as decimal(20, 0))) div {f}")
     pairs = stored(pairs.select("lang", "x", "y", "a", "fx", "fy", _score("a", "fx", "fy").alias("score"), bound("fx").alias("grow"), bound("fy").alias("back")), "scored")
     # how many pairs reach each step of the score, at most 3,907 rows a lang

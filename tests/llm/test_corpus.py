@@ -113,7 +113,7 @@ def test_simhash_of_nothing_and_of_a_very_long_text(spark):
     long = "word " * 300_000 + "x" * 500_000
     rows = simhash.near_duplicates(spark.createDataFrame([("b", long), ("a", long.upper()), ("c", "alone in here now")], schema), 4).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows} == {"b": "a", "a": "a", "c": "c"}
-    assert rows[0]["fingerprint"] == f"{fingerprint(long, 4):016x}"
+    assert {r["fingerprint"] for r in rows if r["doc_id"] != "c"} == {f"{fingerprint(long, 4):016x}"}
 
 
 def test_components_of_chains_and_stars(spark):

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from twinlens.operators import bootstrap as B
 from twinlens.operators import metrics as M
-from twinlens.operators.ranking import exact_quantiles, number_rows
+from twinlens.operators import resample as R
+from twinlens.operators.ranking import exact_quantiles, number_rows, ordered_scan
 
 
 def brute_auc(scores, labels):
@@ -49,18 +50,45 @@ def test_macro_f1_covers_labels_of_both_sides(spark):
     assert report[2]["recall"] == 0 and report[1]["precision"] == 0
 
 
-@pytest.mark.parametrize("n", [1, 2, 37, 399, 400, 5000, 45_000])
-def test_exact_quantiles(spark, n):
+@pytest.mark.parametrize(("n", "few"), [(1, 10_000), (2, 10_000), (37, 10_000), (399, 3), (5000, 10_000), (5000, 50), (45_000, 10_000), (45_000, 2)])
+def test_exact_quantiles(spark, n, few):
     rng = np.random.default_rng(n)
     values = np.round(rng.normal(size=n), 3)  # with ties
     df = spark.createDataFrame([("a", float(v)) for v in values] + [("a", float("nan")), ("b", 5.0)], "g string, v double")
     qs = [0.0, 0.025, 0.5, 0.95, 0.975, 1.0]
-    got = {(r["g"], r["q"]): r["value"] for r in exact_quantiles(df, "v", qs, ["g"]).collect()}
+    got = {(r["g"], r["q"]): r["value"] for r in exact_quantiles(df, "v", qs, ["g"], few=few).collect()}
     for q in qs:
         assert got["a", q] == pytest.approx(np.quantile(values, q), abs=1e-9)
         assert got["b", q] == 5.0
 
 
+def test_brackets_that_miss_are_opened(spark):
+    """With a sketch of low accuracy the first brackets miss their ranks."""
+    values = np.concatenate([np.arange(3000) ** 2.0, np.full(2000, 7.0), [1e300, -1e300]])
+    df = spark.createDataFrame([(None, float(v)) for v in values], "g string, v double").repartition(5)
+    for accuracy in (20, 100):
+        got = {r["q"]: r["value"] for r in exact_quantiles(df, "v", [0.0, 0.3, 0.41, 0.9, 1.0], ["g"], accuracy, 10).collect()}
+        assert got == {q: pytest.approx(np.quantile(values, q)) for q in got} and len(got) == 5
+
+
+def test_ordered_scan_against_running_sums(spark):
+    rng = np.random.default_rng(3)
+    rows = [(["a", None, "b"][int(rng.integers(3)) if i % 3 else 0], int(rng.integers(50)), int(rng.integers(9)), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, v int, w int, i int").repartition(6)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that groups go over several tasks
+    try:
+        out = ordered_scan(df, ["g"], [F.col("v").desc(), "i"], {"s": F.col("w"), "c": F.lit(1)}, {"top": F.col("w")}).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert len(out) == 600
+    for g in ("a", None, "b"):
+        mine = sorted((r for r in out if r["g"] == g), key=lambda r: (-r["v"], r["i"]))
+        w = [r["w"] for r in mine]
+        assert [r["c"] for r in mine] == list(range(len(mine))) and {r["c_all"] for r in mine} == {len(mine)} and {r["s_all"] for r in mine} == {sum(w)}
+        assert [r["s"] for r in mine] == [sum(w[:k]) for k in range(len(w))] and [r["top"] for r in mine] == [max(w[:k], default=None) for k in range(len(w))]
+
+
 def test_number_rows_is_dense_and_contiguous(spark):
     df = spark.range(3000).withColumn("c", F.when(F.col("id") % 3 == 0, "x").otherwise(F.when(F.col("id") % 7 == 0, "y").otherwise("z")))
     rows = number_rows(df, "id", ["c"]).collect()
@@ -80,18 +108,69 @@ def predictions(spark, n=60, classes=2, parts=1):
     return spark.createDataFrame(rows, "sample_id long, y_true int, y_pred int, probs array<double>").repartition(parts), rows
 
 
+def brute_draws(n, samples, seed=2026):
+    """Row counts of the replicates, by a walk down the tree that splits with plain sums of probabilities."""
+
+    def mix(h):
+        h ^= h >> 16
+        h = h * 2246822507 % 2**32
+        h ^= h >> 13
+        h = h * 3266489909 % 2**32
+        return h ^ h >> 16
+
+    def uniform(replicate, lo, hi):
+        out = []
+        for h in (1, 2):
+            for word in (seed, lo, 0, hi, 0, replicate):
+                h = mix((h * 31 + word) % 2**32)
+            out.append(h)
+        return (out[0] * 2**21 + (out[1] >> 11) + 0.5) / 2**53
+
+    def walk(replicate, lo, hi, m):
+        if hi - lo == 1:
+            return [m]
+        a, u, k, total = (hi - lo) // 2, uniform(replicate, lo, hi), 0, 0.0
+        p = a / (hi - lo)
+        while k < m:
+            total += math.comb(m, k) * p**k * (1 - p) ** (m - k)
+            if total >= u:
+                break
+            k += 1
+        return walk(replicate, lo, lo + a, k) + walk(replicate, lo + a, hi, m - k)
+
+    return np.array([walk(b, 0, n, n) for b in range(samples)])
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 60])
+def test_draws_are_the_splits_of_a_tree(spark, n):
+    want = brute_draws(n, 20)
+    assert (R.row_counts(n, np.arange(n), np.arange(20), 2026) == want).all()
+    got = np.zeros((20, n), int)
+    for r in R.bootstrap_draws(spark, n, 20, block=16).collect():
+        got[r["replicate"], r["row_id"]] = r["n"]
+    assert (got == want).all()
+
+
+def test_draws_of_many_rows_are_those_of_independent_draws():
+    """Ranges and rows agree, and means and variances are those of n draws with replacement, also for a billion rows."""
+    count = R.row_counts(500, np.arange(500), np.arange(400), 7)
+    assert (count.sum(1) == 500).all() and count.var() == pytest.approx(1, abs=0.02)
+    ends = np.array([0, 100, 101, 350, 500])
+    assert (np.diff(R.drawn_below(500, ends, np.arange(400), 7), axis=1) == np.add.reduceat(count, ends[:-1], axis=1)).all()
+    n = 10**9
+    part = np.diff(R.drawn_below(n, np.array([0, 3 * 10**8, n]), np.arange(300), 1), axis=1)[:, 0]
+    assert part.mean() == pytest.approx(0.3 * n, rel=1e-4) and part.std() == pytest.approx(math.sqrt(n * 0.21), rel=0.15)
+
+
 def test_binary_bootstrap_against_brute_force(spark):
     df, rows = predictions(spark)
     draws = 40
-    ids = {r["sample_id"]: r["row_id"] for r in number_rows(df, "sample_id", ("y_true", "y_pred")).collect()}
-    by_row = {ids[r[0]]: r for r in rows}
-    drawn = {}
-    from twinlens.operators.sampling import bootstrap_draws
-
-    for r in bootstrap_draws(spark, len(rows), draws).collect():
-        drawn.setdefault(r["replicate"], []).append(by_row[r["row_id"]])
-    acc = [np.mean([r[1] == r[2] for r in d]) for d in drawn.values()]
-    auc = [brute_auc([r[3][1] for r in d], [r[1] for r in d]) for d in drawn.values()]
+    ids = {r["sample_id"]: r["row_id"] for r in B.numbered(df, "sample_id", ["y_true", "y_pred"]).collect()}
+    ranked = sorted(rows, key=lambda r: ids[r[0]])
+    assert [r[1:3] for r in ranked] == sorted(r[1:3] for r in rows)
+    drawn = [[r for r, k in zip(ranked, counts) for _ in range(k)] for counts in brute_draws(len(rows), draws)]
+    acc = [np.mean([r[1] == r[2] for r in d]) for d in drawn]
+    auc = [brute_auc([r[3][1] for r in d], [r[1] for r in d]) for d in drawn]
     got = {r["metric"]: r for r in B.metric_intervals(df, "sample_id", draws).collect()}
     assert got["accuracy"]["ci_low"] == pytest.approx(np.quantile(acc, 0.025))
     assert got["auroc"]["ci_low"] == pytest.approx(np.nanquantile(auc, 0.025))
@@ -99,6 +178,51 @@ def test_binary_bootstrap_against_brute_force(spark):
     assert got["auroc"]["estimate"] == pytest.approx(brute_auc([r[3][1] for r in rows], [r[1] for r in rows]))
 
 
+def test_many_tables_in_one_run_are_as_each_alone(spark, monkeypatch):
+    """Groups of different sizes, one with a null name, a hot score over several ranges, and cells in several blocks."""
+    monkeypatch.setattr(R, "CELLS", 2)
+    tables = {}
+    for name, n, parts in (("a", 40, 1), ("b", 7, 2), (None, 25, 3)):
+        df, _ = predictions(spark, n=n, classes=3, parts=parts)
+        tables[name] = df.withColumn("probs", F.when(F.col("sample_id") % 3 == 0, F.array(F.lit(0.5), F.lit(0.25), F.lit(0.25))).otherwise(F.col("probs")))
+    every = None
+    for name, df in tables.items():
+        one = df.select(F.lit(name).cast("string").alias("method"), "*")
+        every = one if every is None else every.unionByName(one)
+    got = {}
+    for r in B.metric_intervals(every, "sample_id", 30, groups=["method"]).collect():
+        got[r["method"], r["metric"]] = tuple(r)[2:]
+    for name, df in tables.items():
+        for r in B.metric_intervals(df, "sample_id", 30).collect():
+            assert got.pop((name, r["metric"])) == pytest.approx(tuple(r)[1:], nan_ok=True)
+    assert not got
+
+
+def test_number_of_cases_is_checked(spark):
+    df, _ = predictions(spark, classes=3)
+    cases = df.select(F.lit("x").alias("dataset"), (F.col("sample_id") % 2).alias("model"), "y_true", "y_pred")
+    with pytest.raises(B.CaseCountError):
+        B.answer_intervals(cases, 5, groups=["dataset", "model"], expected=8)
+    for options in ({"expected": 8, "partial": True}, {"expected": 2}, {}):
+        assert B.answer_intervals(cases, 5, groups=["dataset", "model"], **options).count() == 4
+
+
+def test_comparisons_want_equal_labels_and_single_rows(spark):
+    df, _ = predictions(spark, n=30, classes=3)
+    tag = lambda d, m, frame: frame.select(F.lit(d).alias("dataset"), F.lit("b").alias("backbone"), F.lit(m).alias("method"), "*")
+    other = df.withColumn("y_pred", (F.col("y_pred") + 1) % 3)
+    runs = tag("d", "mlp_late", df).unionByName(tag("d", "gated_attention", other)).unionByName(tag("e", "mcr_late", df)).unionByName(tag("e", "mlp_late", df.where("sample_id > 3")))
+    out = {(r["dataset"], r["metric"]): r for r in B.compare_runs(runs, 10).collect()}
+    assert len(out) == 6 and out["d", "accuracy"]["comparison"] == "gated_attention - mlp_late"
+    assert out["e", "accuracy"]["ci_low"] == out["e", "accuracy"]["ci_high"] == 0.0
+    with pytest.raises(Exception, match="labels"):
+        B.compare_runs(runs.withColumn("y_true", F.when(F.col("method") == "mlp_late", 0).otherwise(F.col("y_true"))), 10)
+    with pytest.raises(Exception):  # noqa: B017
+        B.compare_runs(runs.unionByName(tag("d", "mlp_late", df.limit(1))), 10)
+    with pytest.raises(ValueError, match="both methods"):
+        B.compare_runs(tag("d", "linear", df), 10)
+
+
 def test_draws_do_not_depend_on_partitions(spark):
     one, _ = predictions(spark, classes=3)
     many, _ = predictions(spark, classes=3, parts=7)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinlens.operators.ranking import exact_quantiles, score_buckets
+from twinlens.operators.ranking import exact_quantiles, ordered_scan
 
 
 def confusion(df: DataFrame, y: str = "y_true", p: str = "y_pred", groups: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -22,16 +22,10 @@ def confusion(df: DataFrame, y: str = "y_true", p: str = "y_pred", groups: Seque
 
 
 def dense_confusion(counts: DataFrame) -> DataFrame:
-    """All label pairs, absent ones with 0. ``counts`` has (y_true, y_pred, n); labels are few."""
-    cells = counts.groupBy().agg(
-        F.array_sort(F.array_union(F.collect_set("y_true"), F.collect_set("y_pred"))).alias("labels"),
-        F.map_from_entries(F.collect_list(F.struct(F.struct("y_true", "y_pred"), "n"))).alias("m"),
-    )
-    grid = cells.select("labels", "m", F.explode("labels").alias("y_true")).select(
-        "m", "y_true", F.explode("labels").alias("y_pred")
-    )
-    hit = F.element_at("m", F.struct("y_true", "y_pred"))
-    return grid.select("y_true", "y_pred", F.coalesce(hit, F.lit(0)).cast("long").alias("n"))
+    """All label pairs, absent ones with 0, of ``counts`` (y_true, y_pred, n); labels are few."""
+    names = counts.select(F.explode(F.array("y_true", "y_pred")).alias("l")).groupBy().agg(F.array_sort(F.collect_set("l")).alias("labels"))
+    grid = names.select("labels", F.explode("labels").alias("y_true")).select("y_true", F.explode("labels").alias("y_pred"))
+    return grid.join(counts, ["y_true", "y_pred"], "left").select("y_true", "y_pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def class_counts(counts: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
@@ -87,36 +81,17 @@ def summary(counts: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def auroc(
-    df: DataFrame, score: str, positive: str, groups: Sequence[str] = (), weight: str | None = None, bucket: str | None = None
-) -> DataFrame:
+def auroc(df: DataFrame, score: str, positive: str, groups: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """(groups, auroc): rank-sum with average ranks for ties; NaN where one class is absent.
 
-    Rows first collapse to distinct scores. Within a bucket the pairs are counted by a
-    running sum, and the bucket totals are then accumulated, so a group of any size is
-    spread over its buckets. ``bucket`` names a column that grows with the score (see
-    ``score_buckets``); without one the buckets are computed here.
-    """
+    Rows first collapse to distinct scores; the negatives below each come from an ordered scan, so a group of any size is spread."""
     cols = list(groups)
     w = F.col(weight) if weight else F.lit(1)
     pos = F.sum(F.when(F.col(positive) == 1, w).otherwise(F.lit(0))).alias("__p")
     neg = F.sum(F.when(F.col(positive) == 1, F.lit(0)).otherwise(w)).alias("__n")
-    if bucket is None:
-        points = score_buckets(df.groupBy(*cols, score).agg(pos, neg), score, cols, "__b", sketch_of=df)
-        bucket = "__b"
-    else:
-        points = df.groupBy(*cols, bucket, score).agg(pos, neg)
-    below = F.sum("__n").over(W.partitionBy(*cols, bucket).orderBy(score)) - F.col("__n")
-    won = F.col("__p") * (below + F.col("__n") * F.lit(0.5))
-    per_bucket = (
-        points.withColumn("__u", won)
-        .groupBy(*cols, bucket)
-        .agg(F.sum("__u").alias("__u"), F.sum("__p").alias("__p"), F.sum("__n").alias("__n"))
-    )
-    before = F.sum("__n").over(W.partitionBy(*cols, F.lit(0)).orderBy(bucket)) - F.col("__n")
-    total = per_bucket.withColumn("__u", F.col("__u") + F.col("__p") * before).groupBy(*cols).agg(
-        F.sum("__u").alias("__u"), F.sum("__p").alias("__p"), F.sum("__n").alias("__n")
-    )
+    points = ordered_scan(df.groupBy(*cols, score).agg(pos, neg), cols, [score], {"__below": F.col("__n")})
+    won = F.col("__p") * (F.col("__below") + F.col("__n") * F.lit(0.5))
+    total = points.groupBy(*cols).agg(F.sum(won).alias("__u"), F.sum("__p").alias("__p"), F.sum("__n").alias("__n"))
     pairs = F.col("__p").cast("double") * F.col("__n")
     return total.select(*cols, F.when(pairs > 0, F.col("__u") / pairs).otherwise(F.lit(float("nan"))).alias("auroc"))
 
@@ -150,30 +125,10 @@ def roc_points(df: DataFrame, score: str, positive: str, groups: Sequence[str] =
     cols = list(groups)
     pos = F.sum(F.when(F.col(positive) == 1, 1).otherwise(0)).alias("p")
     neg = F.sum(F.when(F.col(positive) == 1, 0).otherwise(1)).alias("n")
-    points = score_buckets(df.groupBy(*cols, score).agg(pos, neg), score, cols, "__b", sketch_of=df)
-    inner = W.partitionBy(*cols, "__b").orderBy(F.col(score).desc())
-    points = points.withColumn("__ip", F.sum("p").over(inner)).withColumn("__in", F.sum("n").over(inner))
-    totals = points.groupBy(*cols, "__b").agg(F.sum("p").alias("__tp"), F.sum("n").alias("__tn"))
-    outer = W.partitionBy(*cols, F.lit(0))
-    down = outer.orderBy(F.col("__b").desc())
-    totals = totals.select(
-        *[F.col(c).alias(f"__g_{c}") for c in cols],
-        F.col("__b").alias("__gb"),
-        (F.sum("__tp").over(down) - F.col("__tp")).alias("__bp"),
-        (F.sum("__tn").over(down) - F.col("__tn")).alias("__bn"),
-        F.sum("__tp").over(outer).alias("__ap"),
-        F.sum("__tn").over(outer).alias("__an"),
-    )
-    cond = points["__b"] == totals["__gb"]
-    for c in cols:
-        cond = cond & points[c].eqNullSafe(totals[f"__g_{c}"])
-    joined = points.join(totals, cond)
-    return joined.select(
-        *cols,
-        F.col(score).alias("threshold"),
-        ((F.col("__bn") + F.col("__in")).cast("double") / F.col("__an")).alias("fpr"),
-        ((F.col("__bp") + F.col("__ip")).cast("double") / F.col("__ap")).alias("tpr"),
-    )
+    counts = df.groupBy(*cols, score).agg(pos, neg)
+    points = ordered_scan(counts, cols, [F.col(score).desc()], {"__p": F.col("p"), "__n": F.col("n")})
+    share = lambda own, c: (F.col(c) + F.col(own)).cast("double") / F.col(f"{c}_all")
+    return points.select(*cols, F.col(score).alias("threshold"), share("n", "__n").alias("fpr"), share("p", "__p").alias("tpr"))
 
 
 def multilabel_summary(df: DataFrame, pairs: Sequence[tuple[str, str]], groups: Sequence[str] = ()) -> DataFrame:

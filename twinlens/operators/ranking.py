@@ -1,19 +1,18 @@
 """Exact ranks, numbers and quantiles that never sort a whole group in one task.
 
-All helpers use the same two-level idea: rows fall into many fine buckets whose
-counts are small, the bucket counts are accumulated, and only rows of one bucket are
-ordered together. A group that holds a third of the table is spread over its buckets.
+All helpers use the same two-level idea: rows fall into many parts, hash buckets or ranges of the order, the parts' totals
+are accumulated, and only rows of one part are ordered together. A group that holds a third of the table is spread over its parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinlens.session import small_side
+from twinlens.session import small_side, stored
 
 def order_hash(seed, *keys: Column) -> Column:
     """Hex md5 of ``seed|key...``: the stable random order used for every sample."""
@@ -64,89 +63,117 @@ def number_rows(df: DataFrame, key: str, within: Sequence[str] = (), out: str =
     )
 
 
-def score_buckets(
-    df: DataFrame, score: str, groups: Sequence[str] = (), out: str = "bucket", sketch_of: DataFrame | None = None
-) -> DataFrame:
-    """Adds one of 64 bucket numbers that grow with ``score`` inside each group.
+def ordered_scan(df: DataFrame, groups: Sequence[str], order: Sequence, sums: Mapping[str, Column], maxima: Mapping[str, Column] | None = None) -> DataFrame:
+    """``df`` with running totals of its groups in the given order: for each of ``sums`` the total of the rows before (``name``)
+    and of the whole group (``name_all``), for each of ``maxima`` the largest value of the rows before (null for the first).
+
+    Rows are dealt to tasks by ranges of (groups, order), so a group of any size is spread over as many tasks as it needs; only the
+    totals of a group in each task, a row each, are accumulated in one place. Equal rows may come in any order."""
+    cols, maxima = list(groups), dict(maxima or {})
+    parts = {**{f"__s_{k}": v for k, v in sums.items()}, **{f"__x_{k}": v for k, v in maxima.items()}}
+    rows = df.select(*df.columns, *[v.alias(k) for k, v in parts.items()])
+    rows = stored(rows.repartitionByRange(*cols, *order).sortWithinPartitions(*cols, *order).withColumn("__scan_m", F.monotonically_increasing_id()), "scan")
+    rows = rows.withColumn("__scan_p", F.shiftright("__scan_m", 33))
+    fold = lambda k: F.sum(k) if k.startswith("__s_") else F.max(k)
+    totals = rows.groupBy(*cols, "__scan_p").agg(*[fold(k).alias(k) for k in parts])
+    whole = W.partitionBy(*cols, F.lit(0))
+    earlier = whole.orderBy("__scan_p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(
+        *[F.col(c).alias(f"__scan_g_{c}") for c in cols], F.col("__scan_p").alias("__scan_q"), *[fold(k).over(earlier).alias(f"__b{k}") for k in parts], *[F.sum(k).over(whole).alias(f"__t{k}") for k in parts if k.startswith("__s_")]
+    )
+    offsets = small_side(offsets)
+    joined = rows.join(offsets, (rows["__scan_p"] == offsets["__scan_q"]) & null_safe(rows, offsets, [(c, f"__scan_g_{c}") for c in cols]))
+    inner = W.partitionBy("__scan_p", *cols).orderBy("__scan_m").rowsBetween(W.unboundedPreceding, -1)
+    out = []
+    for k in sums:
+        out += [(F.coalesce(f"__b__s_{k}", F.lit(0)) + F.coalesce(F.sum(f"__s_{k}").over(inner), F.lit(0))).alias(k), F.col(f"__t__s_{k}").alias(f"{k}_all")]
+    out += [F.greatest(f"__b__x_{k}", F.max(f"__x_{k}").over(inner)).alias(k) for k in maxima]
+    return joined.select(*df.columns, *out)
+
+
+#: Distinct values of one quantile's bracket that are put in order in one place, and pieces that a larger one is cut into.
+FEW, PIECES = 10_000, 64
+
+
+def _bracketed(rows: DataFrame, goals: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(groups, q, __k, __c): how often each value of a goal's bracket occurs, and, with a null ``__k``, the values below it."""
+    goal = small_side(goals.select(*[F.col(c).alias(f"__l_{c}") for c in cols], "q", "__a", "__z"))
+    near = rows.join(goal, null_safe(rows, goal, [(c, f"__l_{c}") for c in cols])).filter(F.col("__v") <= F.col("__z"))
+    kept = F.when(F.col("__v") >= F.col("__a"), F.col("__v"))
+    return near.groupBy(*cols, "q", kept.alias("__k")).agg(F.count(F.lit(1)).alias("__c"))
 
-    The bucket limits come from a quantile sketch. They only balance the work: every
-    limit gives the same exact result in the operators that use the buckets. A row meets 7
-    coarse limits and then the 7 between two of them. ``sketch_of`` is the frame to sketch
-    when ``df`` is an aggregate of it, which saves computing the aggregate twice.
-    """
-    cols = list(groups)
-    qs = [(i + 1) / 64 for i in range(63)]
-    limits = (df if sketch_of is None else sketch_of).groupBy(*cols).agg(F.percentile_approx(score, qs, 1000).alias("__limits"))
-    coarse = F.array(*[F.get("__limits", F.lit(8 * j + 7)) for j in range(7)]).alias("__coarse")
-    limits = small_side(limits.select(*[F.col(c).alias(f"__l_{c}") for c in cols], "__limits", coarse))
-    joined = df.join(limits, null_safe(df, limits, [(c, f"__l_{c}") for c in cols]), "left")
 
-    def below(array):
-        return F.size(F.filter(array, lambda x: x < F.col(score)))
+def _with_goals(counts: DataFrame, goals: DataFrame, cols: Sequence[str], *values: str) -> DataFrame:
+    side = small_side(goals.select(*[F.col(c).alias(f"__l_{c}") for c in cols], F.col("q").alias("__lq"), *values))
+    joined = counts.join(side, (counts["q"] == side["__lq"]) & null_safe(counts, side, [(c, f"__l_{c}") for c in cols]))
+    return joined.select(*counts.columns, *values)
 
-    joined = joined.withColumn("__c", 8 * below(F.col("__coarse")))
-    number = F.col("__c") + below(F.slice("__limits", F.col("__c") + 1, F.lit(7)))
-    return joined.withColumn(out, number).select(*df.columns, out)
+
+def _narrowed(counts: DataFrame, goals: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``counts`` with each bracket cut down to the pieces that hold its wanted ranks; what lies below adds to the null row."""
+    by = [*cols, "q"]
+    marks = [(i + 1) / PIECES for i in range(PIECES - 1)]
+    cuts = counts.filter("__k is not null").groupBy(*by).agg(F.percentile_approx("__k", marks, 10_000).alias("__cuts"))
+    placed = _with_goals(counts, cuts, cols, "__cuts").withColumn("__b", F.when(F.col("__k").isNull(), -1).otherwise(F.size(F.filter("__cuts", lambda x: x < F.col("__k")))))
+    # at most PIECES + 1 rows for each goal
+    sums = placed.groupBy(*by, "__b").agg(F.sum("__c").alias("__n"))
+    sums = sums.withColumn("__to", F.sum("__n").over(W.partitionBy(*by).orderBy("__b")))
+    sums = _with_goals(sums, goals, cols, "__r0", "__r1")
+    ends = sums.groupBy(*by).agg(F.min(F.when(F.col("__to") > F.col("__r0"), F.col("__b"))).alias("__b0"), F.min(F.when(F.col("__to") > F.col("__r1"), F.col("__b"))).alias("__b1"))
+    cut = _with_goals(placed, ends, cols, "__b0", "__b1").filter(F.col("__b") <= F.col("__b1"))
+    return cut.groupBy(*by, F.when(F.col("__b") >= F.col("__b0"), F.col("__k")).alias("__k")).agg(F.sum("__c").alias("__c"))
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, qs: Sequence[float], groups: Sequence[str] = (), accuracy: int = 10_000
+    df: DataFrame, value: str, qs: Sequence[float], groups: Sequence[str] = (), accuracy: int = 10_000, few: int = FEW
 ) -> DataFrame:
     """(groups, q, value): quantiles with linear interpolation; nulls and NaN are ignored.
 
-    A sketch brackets each quantile, all values below the bracket collapse to a count in
-    the partial aggregate, and only the distinct values inside the bracket are ordered.
-    The sketch is off by at most n/accuracy ranks and interpolation reaches one rank
-    further, so the bracket is at least n/accuracy + 2 ranks wide on both sides: 1% of a
-    group up to 40,000 values, 4/accuracy of a larger one, all of one below 400 values.
+    Selection in rounds, for all quantiles and groups at once. A sketch gives each quantile a bracket; one pass counts what lies below and how
+    often each value in it occurs. A bracket that turns out to miss a wanted rank is opened on that side and counted again. A bracket
+    with more than ``few`` distinct values is cut into ``PIECES`` at its own quantiles and only the pieces with the wanted ranks stay, until few are
+    left; these rounds read the counts, not the rows. The last step orders at most ``few`` values of one quantile in one place.
     """
     cols = list(groups)
-    wide, tight = 0.01, 4.0 / accuracy
-    marked = [min(1.0, max(0.0, q + shift)) for shift in (-wide, wide, -tight, tight) for q in qs]
+    by = [*cols, "q"]
+    margin = 4.0 / accuracy
+    marked = [min(1.0, max(0.0, q + shift)) for shift in (-margin, margin) for q in qs]
     v = F.col(value).cast("double")
     rows = df.select(*cols, v.alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    marks = [F.struct(F.lit(float(q)).alias("q"), F.lit(i).alias("i")) for i, q in enumerate(qs)]
-    limits = rows.groupBy(*cols).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", marked, accuracy).alias("__s"),
-    )
-    bracket = [F.slice("__s", i * len(qs) + 1, len(qs)) for i in range(4)]
-    big, medium = F.col("__n") > 40_000, F.col("__n") >= 400
-    everything = [F.array(*[F.lit(float(x))] * len(qs)) for x in ("-inf", "inf")]
-    limits = limits.withColumns(
-        {
-            "__lo": F.when(big, bracket[2]).when(medium, bracket[0]).otherwise(everything[0]),
-            "__hi": F.when(big, bracket[3]).when(medium, bracket[1]).otherwise(everything[1]),
-        }
-    )
-    limits = small_side(limits.select(*[F.col(c).alias(f"__l_{c}") for c in cols], "__n", "__lo", "__hi"))
-    tagged = (
-        rows.join(limits, null_safe(rows, limits, [(c, f"__l_{c}") for c in cols]))
-        .withColumn("__m", F.explode(F.array(*marks)))
-        .withColumn("__a", F.col("__lo")[F.col("__m.i")])
-        .withColumn("__z", F.col("__hi")[F.col("__m.i")])
-        .filter(F.col("__v") <= F.col("__z"))
-        .withColumn("__k", F.when(F.col("__v") >= F.col("__a"), F.col("__v")))
-    )
-    counts = tagged.groupBy(*cols, F.col("__m.q").alias("q"), "__k").agg(
-        F.count(F.lit(1)).alias("__c"), F.first("__n").alias("__n")
-    )
-    cum = F.sum("__c").over(
-        W.partitionBy(*cols, "q").orderBy(F.col("__k").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    )
-    pos = F.col("q") * (F.col("__n") - 1)
+    sketch = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", marked, accuracy).alias("__s"))
+    each = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(i).alias("i")) for i, q in enumerate(qs)]))
+    goals = sketch.withColumn("__m", each).withColumn("q", F.col("__m.q"))
     # q * (n - 1) is rounded so that an exact rank is not missed by one part in 1e16
-    pos = F.round(pos, 9)
-    ranked = counts.withColumn("__cum", cum).withColumn("__pos", pos)
-    # the sketch's error bound puts the rank inside the bracket; if it ever did not, this fails instead of giving a wrong value
-    miss = F.col("__k").isNull() & (F.col("__cum") > F.floor("__pos"))
-    ranked = ranked.withColumn("__k", F.when(miss, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).otherwise(F.col("__k")))
-    lower = F.min(F.when(F.col("__cum") > F.floor("__pos"), F.col("__k")))
-    upper = F.min(F.when(F.col("__cum") > F.ceil("__pos"), F.col("__k")))
-    part = F.first("__pos") - F.floor(F.first("__pos"))
-    return (
-        ranked.groupBy(*cols, "q")
-        .agg(lower.alias("__x"), upper.alias("__y"), part.alias("__f"))
-        .withColumn("value", F.col("__x") + (F.col("__y") - F.col("__x")) * F.col("__f"))
-        .select(*cols, "q", "value")
+    goals = goals.withColumn("__pos", F.round(F.col("q") * (F.col("__n") - 1), 9))
+    whole = F.col("__n") <= few
+    low, high = F.get("__s", F.col("__m.i")), F.get("__s", F.col("__m.i") + len(qs))
+    inf = lambda sign: F.lit(float(f"{sign}inf"))
+    goals = goals.select(
+        *by, "__pos", F.floor("__pos").alias("__r0"), F.ceil("__pos").alias("__r1"), F.when(whole, inf("-")).otherwise(low).alias("__a"), F.when(whole, inf("")).otherwise(high).alias("__z")
     )
+    goals = stored(goals, "goals")
+    counts, todo = None, goals
+    while True:
+        new = stored(_bracketed(rows, todo, cols), "counts")
+        below, inside = F.sum(F.when(F.col("__k").isNull(), F.col("__c")).otherwise(0)), F.sum("__c")
+        found = new.groupBy(*by).agg(below.alias("__under"), inside.alias("__upto"))
+        state = _with_goals(found, todo, cols, "__pos", "__r0", "__r1", "__a", "__z")
+        left, right = F.col("__under") > F.col("__r0"), F.col("__upto") <= F.col("__r1")
+        missed = state.filter(left | right).withColumn("__a", F.when(left, inf("-")).otherwise(F.col("__a"))).withColumn("__z", F.when(right, inf("")).otherwise(F.col("__z")))
+        missed = stored(missed.select(*goals.columns), "goals")
+        again = bool(missed.take(1))
+        if again:
+            gone = missed.select(*[F.col(c).alias(f"__l_{c}") for c in by])
+            new = new.join(gone, null_safe(new, gone, [(c, f"__l_{c}") for c in by]), "left_anti")
+        counts = new if counts is None else counts.unionByName(new)
+        if not again:
+            break
+        todo = missed
+    while counts.groupBy(*by).agg(F.count("__k").alias("__d")).filter(F.col("__d") > few).take(1):
+        counts = stored(_narrowed(counts, goals, cols), "counts")
+    cum = F.sum("__c").over(W.partitionBy(*by).orderBy(F.col("__k").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    ranked = _with_goals(counts.withColumn("__cum", cum), goals, cols, "__pos", "__r0", "__r1")
+    at = lambda r: F.min(F.when(F.col("__cum") > F.col(r), F.col("__k")))
+    part = F.first("__pos") - F.first("__r0")
+    ends = ranked.groupBy(*by).agg(at("__r0").alias("__x"), at("__r1").alias("__y"), part.alias("__f"))
+    return ends.select(*by, (F.col("__x") + (F.col("__y") - F.col("__x")) * F.col("__f")).alias("value"))

@@ -1,4 +1,4 @@
-"""Splits, samples and bootstrap draws in the order of a keyed hash.
+"""Splits and samples in the order of a keyed hash.
 
 The result depends only on the key and the seed, never on partitioning. A cut inside a
 stratum is found from hash-bucket counts; the table itself is neither sorted nor
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -152,19 +152,7 @@ def route_split(
     return cut.unionByName(known.filter(F.col("split") == "test"))
 
 
-def bootstrap_draws(spark: SparkSession, n: int, samples: int, seed=2026) -> DataFrame:
-    """(replicate, draw, row_id): n draws with replacement for each of ``samples`` replicates."""
-    parts = max(spark.sparkContext.defaultParallelism, min(100_000, n * samples // 4_000_000))
-    cell = F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("draw").cast("string"))
-    index = F.conv(F.substring(F.md5(cell), 1, 15), 16, 10).cast("long") % F.lit(n)
-    ids = spark.range(0, n * samples, 1, parts)
-    return ids.select(
-        F.expr(f"id div {n}").alias("replicate"), (F.col("id") % F.lit(n)).alias("draw")
-    ).withColumn("row_id", index)
-
-
 __all__ = [
-    "bootstrap_draws",
     "fixed_sample",
     "hash_cuts",
     "number_rows",

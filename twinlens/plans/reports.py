@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twinlens.functions.answers import inverted_label
@@ -15,6 +14,7 @@ from twinlens.functions.strings import display_key, map_values
 from twinlens.operators import metrics as M
 from twinlens.operators.aggregates import pivot_many
 from twinlens.operators.joins import one_to_one
+from twinlens.operators.ranking import ordered_scan
 from twinlens.operators.sets import category_rank, union_all
 
 KEYS = ["dataset", "backbone", "method"]
@@ -115,23 +115,16 @@ def summary_pivot(results: DataFrame, columns: Sequence[str]) -> DataFrame:
     return pivot_many(df, ["dataset"], "architecture", ["accuracy", "f1_score", "auc"], columns)
 
 
-def frontier(points: DataFrame, groups: Sequence[str], cost: str, quality: str, salts: int = 64) -> DataFrame:
+def frontier(points: DataFrame, groups: Sequence[str], cost: str, quality: str) -> DataFrame:
     """Adds ``on_frontier``: no other point of the group is at least as good on both axes
     and better on one.
 
-    Points collapse to the best quality per cost. A point can only be on the frontier if it
-    is on that of its salt, so a large group is thinned in parallel before its own pass.
+    Points collapse to the best quality per cost; the best quality at lower cost comes from an ordered scan, so a group of any size is spread.
     """
     cols = list(groups)
     best = points.groupBy(*cols, cost).agg(F.max(quality).alias(quality))
-
-    def rising(df: DataFrame, by: Sequence) -> DataFrame:
-        before = W.partitionBy(*by).orderBy(cost).rowsBetween(W.unboundedPreceding, -1)
-        top = F.max(quality).over(before)
-        return df.withColumn("__top", top).filter(F.col("__top").isNull() | (F.col(quality) > F.col("__top"))).drop("__top")
-
-    local = rising(best.withColumn("__s", F.pmod(F.xxhash64(cost), F.lit(salts))), [*cols, "__s"]).drop("__s")
-    front = rising(local, cols).withColumn("on_frontier", F.lit(True))
+    rising = ordered_scan(best, cols, [cost], {}, {"__top": F.col(quality)}).filter(F.col("__top").isNull() | (F.col(quality) > F.col("__top")))
+    front = rising.drop("__top").withColumn("on_frontier", F.lit(True))
     joined = points.join(front, [*cols, cost, quality], "left")
     return joined.select(*points.columns, F.coalesce("on_frontier", F.lit(False)).alias("on_frontier"))
 

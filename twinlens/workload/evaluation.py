@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from twinlens.operators import bootstrap as B
 from twinlens.operators import joins as J
 from twinlens.operators import metrics as M
+from twinlens.operators import resample as R
 from twinlens.operators.aggregates import class_weights
+from twinlens.operators.sets import union_all
 from twinlens.session import stored
 from twinlens.workload.base import query, r, rs, table
 from twinlens.workload.predictions import PAIR_SQL, PRED_SQL, SPLIT_SQL, labelled, pred_sql, predictions
@@ -193,12 +195,38 @@ def met_latency_profile(spark, sf):
 
 # Bootstrap
 
-NUMBERED_SQL = "num AS (SELECT *, row_number() OVER (ORDER BY y_true, y_pred, md5('row|' || sample_id), sample_id) - 1 AS row_id, count(*) OVER () AS n_rows FROM pred)"
-
-
-def draws_sql(samples: int = DRAWS, src: str = "num") -> str:
-    return f"""dr AS (SELECT b AS replicate, CAST('0x' || substr(md5('2026|' || b || '|' || j), 1, 15) AS BIGINT) % n AS row_id
-        FROM (SELECT unnest(range(0, {samples})) AS b) bb, (SELECT unnest(range(0, (SELECT max(n_rows) FROM {src}))) AS j) jj, (SELECT max(n_rows) AS n FROM {src}) nn)"""
+NUMBERED_SQL = "num AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY y_true, y_pred, md5('row|' || sample_id), sample_id) - 1 AS row_id, count(*) OVER () AS n_rows FROM pred)"
+#: Levels of the draw tree that the SQL spells out: 2 ** 12 rows.
+TREE = 12
+
+
+def mixed_sql(x: str) -> str:
+    a, b = R.FACTORS
+    return f"list_transform(list_transform(list_transform([{x}], lambda v: (xor(v, v >> 16) * {a}) & {R.MASK}), lambda v: (xor(v, v >> 13) * {b}) & {R.MASK}), lambda v: xor(v, v >> 16))[1]"
+
+
+def draws_sql(cells: str = "row_id", samples: int = DRAWS, seed: int = 2026) -> str:
+    """CTEs that end in dr(replicate, row_id), a row for each draw: the tree of binomial splits over the rows of ``num``. Nodes inside a
+    cell are left as they are, and their draws stand for the first row of the node."""
+    chain = lambda start: "list_reduce([{0}, {3}, lo & {1}, lo >> 32, hi & {1}, hi >> 32]::UBIGINT[], lambda h, w: {2})".format(start, R.MASK, mixed_sql(f"((h * 31 + w) & {R.MASK})"), seed)
+    out = [
+        f"lim AS MATERIALIZED (SELECT list(x ORDER BY x) AS xs FROM (SELECT min(row_id) AS x FROM num GROUP BY {cells}))",
+        f"t0 AS MATERIALIZED (SELECT unnest(range(0, {samples})) AS replicate, 0::BIGINT AS lo, n AS hi, n AS m FROM (SELECT max(n_rows) AS n FROM num))",
+    ]
+    for k in range(TREE):
+        last = lambda c: mixed_sql(f"((({c} * 31)::UBIGINT + replicate::UBIGINT) & {R.MASK})")
+        out += [
+            f"n{k} AS MATERIALIZED (SELECT lo, hi, (hi - lo) // 2 AS a, hi - lo AS s, {chain(1)} AS c1, {chain(2)} AS c2 FROM (SELECT DISTINCT lo, hi FROM t{k}) d, lim WHERE len(list_filter(xs, lambda x: x > lo AND x < hi)) > 0)",
+            f"s{k} AS MATERIALIZED (SELECT replicate, lo, hi, m, a, s, ((({last('c1')}) << 21) + (({last('c2')}) >> 11) + 0.5::DOUBLE) / 9007199254740992.0::DOUBLE AS u FROM t{k} JOIN n{k} USING (lo, hi))",
+            f"""c{k} AS MATERIALIZED (SELECT m, a, s, list(cdf ORDER BY k) AS cdfs FROM (
+                SELECT m, a, s, k, sum(exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * ln(a / s) + (m - k) * ln(1 - a / s))) OVER (PARTITION BY m, a, s ORDER BY k) AS cdf
+                FROM (SELECT DISTINCT m, a, s FROM s{k}) p, LATERAL (SELECT unnest(range(0, m + 1)) AS k) z) GROUP BY ALL)""",
+            f"q{k} AS MATERIALIZED (SELECT s{k}.*, least(m, len(list_filter(cdfs, lambda x: x < u))) AS l FROM s{k} JOIN c{k} USING (m, a, s))",
+            f"t{k + 1} AS MATERIALIZED (SELECT replicate, lo, lo + a AS hi, l AS m FROM q{k} WHERE l > 0 UNION ALL SELECT replicate, lo + a, hi, m - l FROM q{k} WHERE m > l)",
+        ]
+    closed = " UNION ALL ".join(f"SELECT replicate, lo, m FROM t{k} ANTI JOIN n{k} USING (lo, hi)" for k in range(TREE))
+    out.append(f"dr AS (SELECT replicate, lo AS row_id FROM ({closed}) z, LATERAL (SELECT unnest(range(0, m))) y)")
+    return ",\n        ".join(out)
 
 
 def f1_sql(src: str, p: str = "y_pred") -> str:
@@ -214,10 +242,7 @@ def f1_sql(src: str, p: str = "y_pred") -> str:
     f"{PRED_SQL}, {NUMBERED_SQL}, {draws_sql()} SELECT replicate, row_id, count(*) AS n FROM dr GROUP BY 1, 2",
 )
 def smp_bootstrap_draws(spark, sf):
-    from twinlens.operators.sampling import bootstrap_draws
-
-    d = bootstrap_draws(spark, predictions(spark, sf).count(), DRAWS)
-    return d.groupBy("replicate", "row_id").agg(F.count(F.lit(1)).alias("n"))
+    return R.bootstrap_draws(spark, predictions(spark, sf).count(), DRAWS)
 
 
 DRAWN = "dn AS (SELECT dr.replicate, num.* FROM dr JOIN num USING (row_id))"
@@ -243,8 +268,8 @@ def bst_metric_ci(spark, sf):
 
 PAIRED = (
     f"""{PAIR_SQL}, pred AS (SELECT sample_id, pa.y_true, pa.y_pred AS y_pred_a, pb.y_pred AS y_pred_b FROM pa JOIN pb USING (sample_id)),
-        num AS (SELECT *, row_number() OVER (ORDER BY y_true, y_pred_a, y_pred_b, md5('row|' || sample_id), sample_id) - 1 AS row_id, count(*) OVER () AS n_rows FROM pred),
-        {draws_sql()}, {DRAWN}, one AS (SELECT 0 AS replicate, * FROM pred),
+        num AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY y_true, y_pred_a, y_pred_b, md5('row|' || sample_id), sample_id) - 1 AS row_id, count(*) OVER () AS n_rows FROM pred),
+        {draws_sql('y_true, y_pred_a, y_pred_b')}, {DRAWN}, one AS (SELECT 0 AS replicate, * FROM pred),
         df AS (SELECT a.accuracy - b.accuracy AS accuracy, a.macro_f1 - b.macro_f1 AS macro_f1 FROM {f1_sql('dn', 'y_pred_a')} a JOIN {f1_sql('dn', 'y_pred_b')} b USING (replicate)),
         pt AS (SELECT a.accuracy - b.accuracy AS accuracy, a.macro_f1 - b.macro_f1 AS macro_f1 FROM {f1_sql('one', 'y_pred_a')} a JOIN {f1_sql('one', 'y_pred_b')} b USING (replicate))
         SELECT 'accuracy' AS metric, {rs('(SELECT accuracy FROM pt)')} AS difference, {rs('quantile_cont(accuracy, 0.025)')} AS ci_low, {rs('quantile_cont(accuracy, 0.975)')} AS ci_high, {DRAWS} AS bootstrap_samples FROM df
@@ -271,7 +296,7 @@ def _auroc_point_sql(side: str) -> str:
 
 PAIRED_AUROC = (
     f"""{PAIR_SQL}, pred AS (SELECT sample_id, pa.y_true, pa.y_pred AS y_pred_a, pb.y_pred AS y_pred_b, pa.probs AS probs_a, pb.probs AS probs_b FROM pa JOIN pb USING (sample_id)),
-        num AS (SELECT *, row_number() OVER (ORDER BY y_true, y_pred_a, y_pred_b, md5('row|' || sample_id), sample_id) - 1 AS row_id, count(*) OVER () AS n_rows FROM pred),
+        num AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY y_true, y_pred_a, y_pred_b, md5('row|' || sample_id), sample_id) - 1 AS row_id, count(*) OVER () AS n_rows FROM pred),
         {draws_sql()}, {DRAWN},
         df AS (SELECT a.auroc - b.auroc AS d FROM {_auroc_draw_sql('a')} a JOIN {_auroc_draw_sql('b')} b USING (replicate))
         SELECT 'auroc' AS metric, {rs(_auroc_point_sql('a') + ' - ' + _auroc_point_sql('b'))} AS difference, {rs('quantile_cont(d, 0.025)')} AS ci_low,
@@ -299,8 +324,9 @@ def comparison_sql(a: str, b: str) -> str:
 
 @query("bst_comparisons", " UNION ALL ".join(comparison_sql(a, b) for a, b in B.COMPARISONS if a in RUNS and b in RUNS))
 def bst_comparisons(spark, sf):
-    runs = {("shared", "vectors", m): stored(predictions(spark, sf, *dims)) for m, dims in RUNS.items()}
-    d = B.compare_runs(runs, DRAWS)
+    tag = lambda m: [F.lit("shared").alias("dataset"), F.lit("vectors").alias("backbone"), F.lit(m).alias("method")]
+    runs = [predictions(spark, sf, *dims).select(*tag(m), "*") for m, dims in RUNS.items()]
+    d = B.compare_runs(stored(union_all(*runs)), DRAWS)
     return d.select("dataset", "backbone", "comparison", "metric", *[r(F.col(c)).alias(c) for c in ("difference", "ci_low", "ci_high")], "bootstrap_samples")
 
 
@@ -309,7 +335,7 @@ ANSWER_SQL = "pred AS (SELECT doc_id AS sample_id, lang AS y_true, CASE WHEN n_c
 
 @query(
     "bst_answer_ci",
-    f"""WITH {ANSWER_SQL}, {NUMBERED_SQL}, {draws_sql()}, {DRAWN}, af AS {f1_sql('dn')}, one AS (SELECT 0 AS replicate, * FROM pred), pt AS {f1_sql('one')}
+    f"""WITH {ANSWER_SQL}, {NUMBERED_SQL}, {draws_sql('y_true, y_pred')}, {DRAWN}, af AS {f1_sql('dn')}, one AS (SELECT 0 AS replicate, * FROM pred), pt AS {f1_sql('one')}
         SELECT 'accuracy' AS metric, {rs('(SELECT accuracy FROM pt)')} AS estimate, {rs('quantile_cont(accuracy, 0.025)')} AS ci_low, {rs('quantile_cont(accuracy, 0.975)')} AS ci_high,
                {DRAWS} AS bootstrap_samples, (SELECT count(*) FROM pred) AS n_test FROM af
         UNION ALL SELECT 'macro_f1', {rs('(SELECT macro_f1 FROM pt)')}, {rs('quantile_cont(macro_f1, 0.025)')}, {rs('quantile_cont(macro_f1, 0.975)')}, {DRAWS}, (SELECT count(*) FROM pred) FROM af""",

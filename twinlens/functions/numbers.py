@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,20 +37,22 @@ def sex_flag(c: Column) -> Column:
     return F.when(c == 1, 1).otherwise(0)
 
 
-def quantile_bins(df: DataFrame, value: str, classes: int, group: str, out: str = "bin") -> DataFrame:
+def quantile_bins(df: DataFrame, value: str, classes: int | Mapping[str, int], group: str, out: str = "bin") -> DataFrame:
     """Equal-frequency classes 0..classes-1 inside each group; two classes split at the median.
 
-    A value belongs to the class given by the number of thresholds strictly below it.
-    Values that are no number give no class.
+    A value belongs to the class given by the number of thresholds strictly below it. Values that are no number give no class.
+    ``classes`` may name several outputs with a number of classes each; all their thresholds come from one run.
     """
-    qs = [i / classes for i in range(1, classes)]
+    wanted = {out: classes} if isinstance(classes, int) else dict(classes)
+    of = {name: [i / n for i in range(1, n)] for name, n in wanted.items()}
     v = F.col(value).try_cast("double")
+    qs = sorted({q for each in of.values() for q in each})
     table = exact_quantiles(df.select(group, v.alias("__v")), "__v", qs, [group])
-    table = table.groupBy(F.col(group).alias("__g")).agg(F.array_sort(F.collect_list("value")).alias("__t"))
-    table = small_side(table)
+    limits = [F.array_sort(F.collect_list(F.when(F.col("q").isin(each), F.col("value")))).alias(f"__t_{name}") for name, each in of.items()]
+    table = small_side(table.groupBy(F.col(group).alias("__g")).agg(*limits))
     joined = df.join(table, null_safe(df, table, [(group, "__g")]), "left")
-    below = F.size(F.filter("__t", lambda t: t < v))
-    return joined.withColumn(out, F.when(v.isNotNull(), below)).select(*df.columns, out)
+    below = {name: F.when(v.isNotNull(), F.size(F.filter(f"__t_{name}", lambda t: t < v))) for name in of}
+    return joined.withColumns(below).select(*df.columns, *of)
 
 
 def parse_epiweek(c: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.session import small_side
+from twinlens.session import small_side, small_table
 
 
 def value_counts(df: DataFrame, *cols: str) -> DataFrame:
@@ -108,9 +111,25 @@ def any_nonzero(cols: Sequence[str]) -> Column:
 
 
 def frequent_labels(df: DataFrame, key: str, labels: Column, least: int) -> DataFrame:
-    """Rows that hold at least one label (of an array column) counted ``least`` times or more."""
-    long = df.select(key, F.explode(labels).alias("__label"))
-    kept = small_side(long.groupBy("__label").count().filter(F.col("count") >= least).select("__label"))
-    # rows are matched as they are: exploded labels meet the frequent ones and collapse per key
-    keys = long.join(kept, "__label", "left_semi").select(key).distinct()
-    return df.join(keys, key, "left_semi")
+    """Rows that hold at least one label (of an array column) counted ``least`` times or more.
+
+    Labels are counted in one pass. When the frequent ones are few, each row's array is tested in place and no row moves; otherwise
+    exploded labels meet them and collapse per key."""
+    rows = df.select("*", labels.alias("__labels"))
+    long = rows.select(key, F.explode("__labels").alias("__label"))
+    side, table = small_table(long.groupBy("__label").count().filter(F.col("count") >= least).select("__label"))
+    if table is None:
+        return df.join(long.join(side, "__label", "left_semi").select(key).distinct(), key, "left_semi")
+    shared, names = df.sparkSession.sparkContext.broadcast(table.column(0).to_pylist()), df.columns
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
+        for b in batches:
+            lists = b.column(b.num_columns - 1)
+            flat = lists.flatten()
+            known = pa.array(shared.value, flat.type) if known is None else known
+            keep = np.zeros(b.num_rows, bool)
+            keep[pc.list_parent_indices(lists).filter(pc.is_in(flat, value_set=known)).to_numpy()] = True
+            yield b.select(names).filter(pa.array(keep))
+
+    return rows.mapInArrow(tested, df.schema)

@@ -1,5 +1,5 @@
-"""Classic classifiers on embedding features: library models where they exist, an exact
-nearest-neighbour vote by pruned blocks, and principal components."""
+"""Classic classifiers on embedding features: trees, forests and linear models fitted over partitions, an exact
+nearest-neighbour vote by pruned blocks, and principal components by sums of products."""
 
 from __future__ import annotations
 
@@ -7,74 +7,55 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twinlens.operators import metrics as M
 from twinlens.operators.sampling import fixed_sample
+from twinlens.plans.linear import fit
 from twinlens.plans.train import matrix
+from twinlens.plans.trees import grow
 from twinlens.session import collect_few
 
 OVR_MODELS = ("random_forest", "logistic", "svm")
 BENCH_MODELS = ("random_forest", "decision_tree", "logistic", "knn", "svm")
 
 
-def estimator(name: str, seed: int = 42, max_iter: int = 100, trees: int = 100, depth: int = 30):
-    """``depth`` is the library's own limit; trees stop earlier at pure leaves."""
-    common = {"featuresCol": "features", "labelCol": "y"}
-    return {
-        "random_forest": lambda: RandomForestClassifier(seed=seed, numTrees=trees, maxDepth=depth, **common),
-        "decision_tree": lambda: DecisionTreeClassifier(seed=seed, maxDepth=depth, **common),
-        "logistic": lambda: LogisticRegression(maxIter=max_iter, **common),
-        # the kernel machine has no distributed form; the linear one stands in for it
-        "svm": lambda: LinearSVC(maxIter=max_iter, **common),
-    }[name]()
-
-
-def with_features(df: DataFrame, vector: str, label: str) -> DataFrame:
-    return df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))).withColumn("y", F.col(label).cast("double"))
+def fitted(name: str, train: DataFrame, vector: str, label: str, key: str, per_class: bool, seed: int = 42, trees: int = 100, max_iter: int = 100, depth: int = 12):
+    """A trained model. ``per_class`` makes one binary problem of each class; the kernel machine has no distributed form, so the
+    linear one with squared hinge stands in for it, which is always one problem for each class."""
+    if name == "random_forest":
+        return grow(train, key, vector, label, trees, depth, per_class, True, seed)
+    if name == "decision_tree":
+        return grow(train, key, vector, label, 1, depth, per_class, False, seed)
+    return fit(train, vector, label, "hinge" if name == "svm" else "logistic" if per_class else "softmax", max_iter)
 
 
 def one_vs_rest_models(train: DataFrame, test: DataFrame, vector: str, label: str, key: str, models=OVR_MODELS, seed: int = 42, **options) -> DataFrame:
-    """(model, key, y_true, y_pred): every model as one binary classifier per class.
+    """(model, key, y_true, y_pred): every model as one binary classifier per class, all classes in the same passes.
 
-    The binary fits run side by side. ``options``: max_iter, trees, depth.
+    ``options``: trees, max_iter, depth.
     """
-    fitted, out = with_features(train, vector, label).select("features", "y").persist(), None
-    rows = with_features(test, vector, label)
+    out = None
     for name in models:
-        model = OneVsRest(classifier=estimator(name, seed, **options), featuresCol="features", labelCol="y", parallelism=8).fit(fitted)
-        one = _scored(model, rows, name, key)
+        one = fitted(name, train, vector, label, key, True, seed, **options).predict(test, vector, [key, label])
+        one = one.select(F.lit(name).alias("model"), key, F.col(label).cast("int").alias("y_true"), "y_pred")
         out = one if out is None else out.unionByName(one)
-    fitted.unpersist()
     return out
 
 
-def _scored(model, rows: DataFrame, name: str, key: str) -> DataFrame:
-    p = model.transform(rows)
-    return p.select(F.lit(name).alias("model"), key, F.col("y").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
-
-
 def model_bench(train: DataFrame, test: DataFrame, vector: str, label: str, key: str, models=BENCH_MODELS, seed: int = 42, **options) -> DataFrame:
     """(model, n, accuracy, weighted precision / recall / F1, macro_f1) of five models."""
-    fitted, out = with_features(train, vector, label).persist(), None
-    rows = with_features(test, vector, label)
+    out = None
     for name in models:
         if name == "knn":
             votes = knn(train, test, key, vector, label)
-            one = votes.join(test.select(key, F.col(label).cast("int").alias("y_true")), key).select(
-                F.lit(name).alias("model"), key, "y_true", F.col("vote").cast("int").alias("y_pred")
-            )
+            one = votes.join(test.select(key, label), key).withColumn("y_pred", F.col("vote").cast("int"))
         else:
-            base = estimator(name, seed, **options)
-            model = (OneVsRest(classifier=base, featuresCol="features", labelCol="y", parallelism=8) if name == "svm" else base).fit(fitted)
-            one = _scored(model, rows, name, key)
+            one = fitted(name, train, vector, label, key, False, seed, **options).predict(test, vector, [key, label])
+        one = one.select(F.lit(name).alias("model"), F.col(label).cast("int").alias("y_true"), "y_pred")
         out = one if out is None else out.unionByName(one)
-    fitted.unpersist()
     return M.summary(M.confusion(out, groups=["model"]), ["model"])
 
 
@@ -186,11 +167,99 @@ def knn(train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k:
     return votes.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select(key, F.col("b.label").alias("vote"))
 
 
+# Principal components
+
+#: Rows of the product matrix that travel together.
+ROWS_TOGETHER = 64
+SWEEPS, SMALL = 60, 1e-15
+
+
+def vector_mean(df: DataFrame, vector: str) -> tuple[np.ndarray, int]:
+    """(mean of a list column, rows)."""
+    found = df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n")).collect()
+    out = np.zeros(len(found))
+    for r in found:
+        out[r["i"]] = r["x"] / r["n"]
+    return out, found[0]["n"] if found else 0
+
+
+def product_sums(df: DataFrame, vector: str, centre: np.ndarray) -> np.ndarray:
+    """Sum over all rows of (x - centre) (x - centre)', added up on the executors: a task sends its matrix in bands of rows, a
+    band is added in one place, and the driver gets each band once."""
+    size, shared = len(centre), df.sparkSession.sparkContext.broadcast(centre)
+
+    def partial(batches):
+        total = np.zeros((size, size))
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b, "__v") - shared.value
+                total += x.T @ x
+        for i in range(0, size, ROWS_TOGETHER):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i : i + ROWS_TOGETHER].tobytes()], pa.binary())], ["band", "v"])
+
+    def added(batches):
+        bands: dict[int, np.ndarray] = {}
+        for b in batches:
+            for band, v in zip(b.column("band").to_pylist(), b.column("v")):
+                x = np.frombuffer(v.as_py())
+                bands[band] = bands[band] + x if band in bands else x
+        for band, x in bands.items():
+            yield pa.RecordBatch.from_arrays([pa.array([band], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["band", "v"])
+
+    kind = "band int, v binary"
+    parts = df.select(F.col(vector).cast("array<double>").alias("__v")).mapInArrow(partial, kind).repartition("band").mapInArrow(added, kind)
+    out = np.zeros((size, size))
+    for r in parts.collect():
+        rows = np.frombuffer(r["v"]).reshape(-1, size)
+        out[r["band"] : r["band"] + len(rows)] += rows
+    return out
+
+
+def jacobi(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(eigenvalues, falling; eigenvectors as columns) of a symmetric matrix by cyclic Jacobi rotations, until what is left
+    beside the diagonal is ``SMALL`` of the whole. Of a vector the largest entry (the first of equal ones) is positive."""
+    a, v = a.copy(), np.eye(len(a))
+    whole = np.sqrt((a * a).sum())
+    for _ in range(SWEEPS):
+        if np.sqrt(max(0.0, (a * a).sum() - (np.diag(a) ** 2).sum())) <= SMALL * whole:
+            break
+        for i in range(len(a) - 1):
+            for j in range(i + 1, len(a)):
+                if abs(a[i, j]) <= SMALL * SMALL * whole:
+                    continue
+                tau = (a[j, j] - a[i, i]) / (2 * a[i, j])
+                t = (1.0 if tau >= 0 else -1.0) / (abs(tau) + np.sqrt(1 + tau * tau))
+                c = 1 / np.sqrt(1 + t * t)
+                turn = np.array([[c, t * c], [-t * c, c]])
+                a[:, [i, j]] = a[:, [i, j]] @ turn
+                a[[i, j]] = turn.T @ a[[i, j]]
+                v[:, [i, j]] = v[:, [i, j]] @ turn
+    order = np.argsort(-np.diag(a), kind="stable")
+    v = v[:, order]
+    lead = np.abs(v).argmax(0)
+    return np.diag(a)[order], v * np.where(v[lead, np.arange(len(a))] < 0, -1.0, 1.0)
+
+
+def principal_axes(train: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centre, variances, axes as columns) of all components of the training rows; variances divide by n - 1."""
+    centre, n = vector_mean(train, vector)
+    values, axes = jacobi(product_sums(train, vector, centre) / max(1, n - 1))
+    return centre, values, axes
+
+
 def principal_components(train: DataFrame, other: DataFrame, vector: str, k: int, keep: Sequence[str]) -> DataFrame:
-    """``keep`` plus ``components`` of ``other``: axes and centre come from ``train`` only."""
-    vec = array_to_vector(F.col(vector).cast("array<double>")).alias("raw")
-    base = train.select(vec)
-    centre = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="features").fit(base)
-    axes = PCA(k=k, inputCol="features", outputCol="pc").fit(centre.transform(base))
-    rows = axes.transform(centre.transform(other.select(*keep, vec)))
-    return rows.select(*keep, vector_to_array("pc").alias("components"))
+    """``keep`` plus ``components`` of ``other``: axes and centre come from ``train`` only. Vectors must not be null and have one length; the
+    driver holds one matrix of length x length."""
+    centre, _, axes = principal_axes(train, vector)
+    shared = other.sparkSession.sparkContext.broadcast((centre, axes[:, :k]))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                mean, way = shared.value
+                flat = (matrix(b, "__v") - mean) @ way
+                offsets = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], [*b.schema.names[:-1], "components"])
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in other.select(*keep).schema)
+    return other.select(*keep, F.col(vector).cast("array<double>").alias("__v")).mapInArrow(run, f"{kept}, components array<double>")

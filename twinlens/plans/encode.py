@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlens.functions.text import wrap
-from twinlens.functions.vectors import masked_mean_pool
+from twinlens.functions.vectors import l2_normalize, let, masked_mean_pool
 
 
 class Encoder(Protocol):
@@ -28,30 +28,35 @@ class Encoder(Protocol):
 
 
 def hashed_words(text: Column, dims: int) -> Column:
-    """Counts of the words between spaces in ``dims`` hash buckets, in built-in functions; null for a null text."""
+    """Counts of the words between spaces in ``dims`` hash buckets, in built-in functions; null for a null text.
+
+    The buckets are bound once; a count is what the array loses when its bucket is taken out."""
     words = F.filter(F.split(F.lower(text), " "), lambda w: w != "")
-    bucket = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(bucket, lambda b: b == d)).cast("double"))
-    return F.when(text.isNotNull(), counts)
+    buckets = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"), F.lit(dims)))
+    return let(buckets, lambda b: F.when(b.isNotNull(), F.array(*[(F.size(b) - F.size(F.array_remove(b, d))).cast("double") for d in range(dims)])))
 
 
 def nibble_counts(data: Column) -> Column:
     """Counts of the upper half of each byte, in built-in functions; null for a null value."""
     upper = F.regexp_replace(F.hex(data), "(.).", "$1")
-    return F.when(data.isNotNull(), F.array(*[F.regexp_count(upper, F.lit(d)).cast("double") for d in "0123456789ABCDEF"]))
+    count = lambda u, d: (F.length(u) - F.length(F.replace(u, F.lit(d), F.lit("")))).cast("double")
+    return let(upper, lambda u: F.when(u.isNotNull(), F.array(*[count(u, d) for d in "0123456789ABCDEF"])))
 
 
 def unit(v: Column) -> Column:
     """A vector at unit length; null stays null, and a zero vector gives NaN."""
-    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(v.isNotNull(), F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(F.lit(float("nan")))))
+    return let(v, l2_normalize)
 
 
 def fused(text: Column, image: Column) -> Column:
     """Mean of the vectors that are present."""
     zero = lambda v: F.transform(v, lambda _: F.lit(0.0))
-    tokens = F.array(F.coalesce(text, zero(image)), F.coalesce(image, zero(text)))
-    return masked_mean_pool(tokens, F.array(text.isNotNull().cast("double"), image.isNotNull().cast("double")))
+
+    def pooled(t: Column, i: Column) -> Column:
+        mask = F.array(t.isNotNull().cast("double"), i.isNotNull().cast("double"))
+        return let(F.array(F.coalesce(t, zero(i)), F.coalesce(i, zero(t))), lambda tokens: masked_mean_pool(tokens, mask))
+
+    return let(text, lambda t: let(image, lambda i: pooled(t, i)))
 
 
 class HashingEncoder:
@@ -144,9 +149,7 @@ def encode_fused(
     over those that are present."""
     wrapped = df.withColumn("__text", wrap(F.col(text), wrapper))
     parts = encode(wrapped, keep, make, "__text", image, batch, unit=False)
-    tokens = F.array(F.coalesce("text_emb", F.transform("image_emb", lambda _: F.lit(0.0))), F.coalesce("image_emb", F.transform("text_emb", lambda _: F.lit(0.0))))
-    mask = F.array(F.col("text_emb").isNotNull().cast("double"), F.col("image_emb").isNotNull().cast("double"))
-    return parts.select(*keep, masked_mean_pool(tokens, mask).alias("embedding"))
+    return parts.select(*keep, fused(F.col("text_emb"), F.col("image_emb")).alias("embedding"))
 
 
 def encode_images(spark: SparkSession, path: str, make: Callable[[], Encoder], glob: str = "*") -> DataFrame:

@@ -117,8 +117,8 @@ def features(batch: pa.RecordBatch) -> dict:
     return out
 
 
-def sum_over_tasks(df: DataFrame, work, names_shapes: dict[str, tuple]) -> dict[str, np.ndarray]:
-    """Sum over all rows of the arrays that ``work(data)`` returns for one Arrow batch.
+def sum_over_tasks(df: DataFrame, work, names_shapes: dict[str, tuple], read=features) -> dict[str, np.ndarray]:
+    """Sum over all rows of the arrays that ``work(data)`` returns for one Arrow batch, whose data ``read`` takes from it.
 
     One vector leaves each task. With many tasks the vectors are first added in groups on
     the executors, so the driver receives at most ``FAN_IN`` of them.
@@ -135,7 +135,7 @@ def sum_over_tasks(df: DataFrame, work, names_shapes: dict[str, tuple]) -> dict[
         total = None
         for b in batches:
             if b.num_rows:
-                v = flatten(work(features(b)))
+                v = flatten(work(read(b)))
                 total = v if total is None else total + v
         if total is not None:
             yield pack(total)

@@ -505,8 +505,7 @@ def num_recode_flags(spark, sf):
 )
 def num_quantile_bins(spark, sf):
     df = table(spark, sf, "events").select("event_id", "event_type", "value")
-    df = N.quantile_bins(df, "value", 3, "event_type", "bin3")
-    return N.quantile_bins(df, "value", 2, "event_type", "bin2").select("event_id", "bin3", "bin2")
+    return N.quantile_bins(df, "value", {"bin3": 3, "bin2": 2}, "event_type").select("event_id", "bin3", "bin2")
 
 
 @query("dt_parse_epiweek", f"SELECT o_orderkey, {epi_sql('o_orderdate')} AS week FROM orders")

@@ -270,19 +270,6 @@ def fus_multilabel(spark, sf):
     return model.score(part["test"]).select("sample_id", F.get(hot, F.lit(0)).alias("quality"), F.get(hot, F.lit(1)).alias("toxic"), total.alias("total"))
 
 
-@query("ml_classic_ovr")
-def ml_classic_ovr(spark, sf):
-    rows = labelled(spark, sf)
-    return K.one_vs_rest_models(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "embedding", "label", "vec_id", trees=10, max_iter=10)
-
-
-@query("ml_bench")
-def ml_bench(spark, sf):
-    rows = labelled(spark, sf)
-    b = K.model_bench(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "embedding", "label", "vec_id", trees=20, max_iter=10)
-    return b.select("model", "n", *[r(F.col(c)).alias(c) for c in ("accuracy", "weighted_precision", "weighted_recall", "weighted_f1", "macro_f1")])
-
-
 @query(
     "ml_knn",
     f"""WITH {SPLIT_SQL}, n AS (SELECT q.vec_id, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])), 9), t.vec_id) AS rk
@@ -295,7 +282,32 @@ def ml_knn(spark, sf):
     return K.knn(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "vec_id", "embedding", "label", pivots=16)
 
 
-@query("ml_pca")
+#: Squarings that leave one axis of the covariance: its 2 ** 20th power.
+SQUARINGS = 20
+
+
+def axis_sql(name: str, source: str) -> str:
+    """CTEs that end in ``name``(i, j, v), the projection on the largest axis of ``source``(i, j, v)."""
+    scaled = lambda src: f"SELECT i, j, v / sum(CASE WHEN i = j THEN v END) OVER () AS v FROM ({src})"
+    out = [f"{name}_0 AS MATERIALIZED ({scaled(f'SELECT i, j, v FROM {source}')})"]
+    for k in range(1, SQUARINGS + 1):
+        product = f"SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {name}_{k - 1} a JOIN {name}_{k - 1} b ON a.j = b.i GROUP BY 1, 2"
+        out.append(f"{name}_{k} AS MATERIALIZED ({scaled(product)})")
+    out.append(f"{name} AS (SELECT * FROM {name}_{SQUARINGS})")
+    return ", ".join(out)
+
+
+@query(
+    "ml_pca",
+    f"""WITH {SPLIT_SQL}, lo AS (SELECT vec_id, split, u.i AS pos, CAST(embedding[u.i] AS DOUBLE) AS v FROM sp, (SELECT unnest(range(1, 65)) AS i) u),
+        mu AS (SELECT pos, avg(v) AS m FROM lo WHERE split = 'train' GROUP BY 1),
+        x AS MATERIALIZED (SELECT vec_id, split, pos, v - m AS v FROM lo JOIN mu USING (pos)),
+        cov AS MATERIALIZED (SELECT a.pos AS i, b.pos AS j, sum(a.v * b.v) AS v FROM x a JOIN x b USING (vec_id) WHERE a.split = 'train' GROUP BY 1, 2),
+        {axis_sql('one', 'cov')}, rest AS MATERIALIZED (SELECT cov.i, cov.j, cov.v - one.v * (SELECT sum(c.v * o.v) FROM cov c JOIN one o USING (i, j)) AS v FROM cov JOIN one USING (i, j)),
+        {axis_sql('two', 'rest')}, both_ AS (SELECT 1 AS k, * FROM one UNION ALL SELECT 2, * FROM two),
+        size AS (SELECT a.vec_id, k, sqrt(greatest(0, sum(a.v * p.v * b.v))) AS s FROM both_ p JOIN x a ON a.pos = p.i JOIN x b ON b.pos = p.j AND a.vec_id = b.vec_id WHERE a.split = 'test' GROUP BY 1, 2)
+        SELECT vec_id, {rs('max(CASE WHEN k = 1 THEN s END)')} AS pc1, {rs('max(CASE WHEN k = 2 THEN s END)')} AS pc2 FROM size GROUP BY 1""",
+)
 def ml_pca(spark, sf):
     """Test rows on two axes of the training rows; the sign of an axis is free, so its size counts."""
     rows = labelled(spark, sf)
@@ -303,8 +315,6 @@ def ml_pca(spark, sf):
     return out.select("vec_id", *[r(F.abs(F.get("components", F.lit(i)))).alias(f"pc{i + 1}") for i in range(2)])
 
 
-
-
 @query(
     "snk_model_params",
     f"SELECT 'mean.' || label AS name, CAST(u.i - 1 AS INTEGER) AS pos, {rs('avg(CAST(embedding[u.i] AS DOUBLE))')} AS value FROM embeddings, (SELECT unnest(range(1, 65)) AS i) u GROUP BY 1, 2",

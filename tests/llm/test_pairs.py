@@ -59,6 +59,34 @@ def test_groups_are_the_components_of_all_links(spark, words, percent):
         assert r["component_id"] == want[r["doc_id"]] and r["n_shingles"] == len(sets[r["doc_id"]]) and r["kept"] == (r["doc_id"] == want[r["doc_id"]])
 
 
+@pytest.mark.parametrize("block", [1, 6_000, 1_000_000])
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch, block):
+    """Near copies of one text, of which many are no links: with blocks of one member, of a few, and of all."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng = random.Random(block)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for _ in range(70):
+        own = list(base)
+        for k in rng.sample(range(60), rng.choice([1, 2, 2, 4, 6])):
+            own[k] = "x" + str(rng.randrange(10**6))
+        texts.append(" ".join(own))
+    want, _ = components(texts, 2, 80)
+    assert 3 < len(set(want)) < 60
+    rows = near_dup.near_duplicates(frame(spark, texts), 2, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(want))
+
+
+def test_texts_without_a_common_word_are_never_linked(spark):
+    """Words that polynomial hashes take for equal: a sequence of Thue and Morse, and its complement."""
+    word = "A"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("AB", "BA"))
+    other = word.translate(str.maketrans("AB", "BA"))
+    rows = near_dup.near_duplicates(frame(spark, [word, other, f"{word} x y", f"{other} x y"]), 2, 80).collect()
+    assert all(r["component_id"] == r["doc_id"] and r["kept"] for r in rows)
+
+
 def test_near_duplicates_of_repeated_rows_null_ids_and_nothing(spark):
     rows = near_dup.near_duplicates(frame(spark, ["a b c", "a b c", "a b c", "a b c"], [3, 3, None, 1])).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in rows) == [(-1, -1, True), (1, 1, True), (3, 1, False), (3, 1, False)]

@@ -8,12 +8,12 @@ Method. (1) One pass takes from each text its number of shingles, a 128-bit dige
 element puts j + uniform, j = 0, 1, 2 ..., into the slots of its own random permutation, so a slot's minimum has few collisions, and step j
 is left out once every slot of the document is below j. Documents of equal digest are one class. (2) Signatures of classes are cut into bands;
 classes of an equal band meet in a bucket. With ``ROWS`` x ``BANDS`` slots a pair at 0.8 shares no
-bucket with a probability of 5e-6, and a more similar one with less. (3) Verification compares whole sets, taken again from the whole texts, never signatures. Buckets emit no
-pairs of all members: in each round every bucket compares its members with pivots, one of each component. Pairs that are verified are links; members
-of the pivot's component are not compared. The first round has one pivot for each bucket; later ones have one for each component that is left, which
-meets about 2, 16, 128 ... members of the bucket, until no bucket has two components left whose members have not met. So no pair of a bucket
-that could join two components stays unseen, a bucket of copies is done after one round, and a document that is linked with much of a group
-joins it after a few comparisons. (4) Links are grouped by union-find: each task joins its links into trees, and trees that
+bucket with a probability of 5e-6, and a more similar one with less. (3) Verification compares whole sets, taken again from the whole texts, never signatures. Sets whose
+sizes alone rule a link out are not compared. In a first round the members of a bucket meet one of them, its pivot. Buckets that then still hold members of several
+components, the pivot aside, are open; what open buckets connect is a group. The members of a group, one component after the other, are cut into blocks of
+some ``BLOCK`` shingles, and a task takes two blocks, unless all of both are one component already: it compares the sets of those pairs that share an open
+bucket and are not joined by then. So a pair is compared at most twice, no pair is ever a row, a group of copies is done after the first round, and a task holds two blocks.
+(4) Links are grouped by union-find: each task joins its links into trees, and trees that
 share a member are hung on the smallest one until nothing changes; no task holds all links.
 
 Defined cases: null, empty and blank texts have no shingle and are linked with nothing; fewer words than ``words``: the whole sequence is
@@ -27,16 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinlens.llm.common import Hasher, mix, runs, text_slices, utf8
+from twinlens.llm.common import mix, runs, text_slices, utf8
+from twinlens.operators.ranking import ordered_scan
 from twinlens.session import small_side, stored
 
 ROWS, BANDS = 6, 40
-#: Pivots of a bucket in rounds after the first.
-PIVOTS = 4096
+#: Shingles of a block; a member counts as so many more.
+BLOCK, MEMBER = 1_000_000, 2_000
 SLOTS = ROWS * BANDS
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -44,14 +46,23 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def word_names(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit names of words that lie end to end, by XXH64 of the distinct ones."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    names = np.fromiter((xxhash.xxh64_intdigest(w, 9) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return names[coded.indices.to_numpy(zero_copy_only=False)]
+
+
 def shingles(data: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit names of the distinct shingles of all texts, sorted within a text; bounds of the texts)."""
     low = _LOWER[data]
     # a word ends at white space and with its text: texts are set apart by one blank each
     apart = np.full(len(low) + len(bounds), 32, np.uint8)
     apart[np.arange(len(low)) + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))] = low
-    a, b = runs(~_SPACE[apart])
-    h = Hasher(apart).of(a, b)
+    inside = ~_SPACE[apart]
+    a, b = runs(inside)
+    h = word_names(apart[inside], b - a)
     ends = np.searchsorted(a, bounds[1:] + np.arange(1, len(bounds)))
     n = np.diff(np.concatenate([[0], ends]))
     width = np.minimum(np.maximum(n, 1), words)
@@ -60,8 +71,8 @@ def shingles(data: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarr
     first = np.repeat(ends - n - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
     name = np.zeros(len(first), np.uint64)
     for k in range(words):
-        inside = width[owner] > k
-        name[inside] = mix(name[inside] * np.uint64(0x9E3779B97F4A7C15) + h[first[inside] + k] + np.uint64(k + 1))
+        on = width[owner] > k
+        name[on] = mix(name[on] * np.uint64(0x9E3779B97F4A7C15) + h[first[on] + k] + np.uint64(k + 1))
     order = np.lexsort((name, owner))
     name, owner = name[order], owner[order]
     keep = np.ones(len(name), bool)
@@ -130,29 +141,138 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, schema)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets are similar enough. ``texts`` (member, text) has the documents that
-    stand for the classes; a pivot that many pairs share is split by the engine's skew join."""
+def shingle_names(texts: DataFrame, words: int) -> DataFrame:
+    """(member, names): the sorted 64-bit names of the whole sets of ``texts`` (member, text)."""
+    schema = T.StructType([texts.schema["member"], T.StructField("names", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, ends in text_slices(batches, "text", 1 << 20):
+            names, bounds = shingles(data, ends, words)
+            lists = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(names.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("member"), lists.cast(pa.list_(pa.int64()))], schema.names)
+
+    return texts.select("member", "text").mapInArrow(run, schema)
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    flat, bounds = column.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+    return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets are similar enough to ``one``."""
+    sizes = np.array([len(x) for x in others])
+    every = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    common = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 100 * common >= percent * (len(one) + sizes - common)
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members whose whole sets (member, names) are similar enough; a pivot that many pairs share is
+    split by the engine's skew join."""
     both = pairs
     for side in ("a", "b"):
-        both = both.join(texts.withColumnsRenamed({"member": side, "text": f"text_{side}"}), side)
+        both = both.join(sets.withColumnsRenamed({"member": side, "names": f"names_{side}"}), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                sides = [part.column(part.schema.get_field_index(side)).to_pylist() for side in ("text_a", "text_b")]
-                seen = {t: k for k, t in enumerate(dict.fromkeys(sides[0] + sides[1]))}
-                names, bounds = shingles(*utf8(pa.array(list(seen), pa.large_string())), words)
-                sets = [names[bounds[k] : bounds[k + 1]] for k in range(len(seen))]
-                good = []
-                for t, u in zip(*sides, strict=True):
-                    x, y = sets[seen[t]], sets[seen[u]]
-                    common = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                    good.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                x, y = (_sets(part.column(part.schema.get_field_index(f"names_{side}"))) for side in ("a", "b"))
+                good = [bool(linked(u, [v], percent)[0]) for u, v in zip(x, y, strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, pairs.select("a", "b").schema)
+    return both.select("a", "b", "names_a", "names_b").mapInArrow(run, pairs.select("a", "b").schema)
+
+
+def _block_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the members of two blocks. ``rows`` (group, left, right, side, member, root, open, names) come in order of the first three; ``open`` are the open
+    buckets of a member."""
+    schema = T.StructType([T.StructField("a", rows.schema["member"].dataType), T.StructField("b", rows.schema["member"].dataType)])
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        member, sets = table.column("member").combine_chunks(), _sets(table.column("names").combine_chunks())
+        side, size = table.column("side").to_numpy(), np.array([len(s) for s in sets])
+        # components are numbers here, which links join
+        label = np.unique(np.array([str(r) for r in table.column("root").to_pylist()]), return_inverse=True)[1]
+        lists = table.column("open").combine_chunks()
+        bucket, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(sets)), lists.value_lengths().to_numpy())
+        order = np.argsort(bucket, kind="stable")
+        bucket, owner = bucket[order], owner[order]
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        meets = np.zeros((len(sets), len(sets)), bool)
+        for s, e in zip(cut[:-1], cut[1:], strict=True):
+            if e - s > 1:
+                meets[np.ix_(owner[s:e], owner[s:e])] = True
+        if side.any():
+            # two blocks: what meets within one is compared where that block meets itself
+            meets &= side[:, None] != side[None, :]
+        meets &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
+        first, second = [], []
+        for i in range(len(sets)):
+            others = np.flatnonzero(meets[i, i + 1 :]) + i + 1
+            for start in range(0, len(others), 64):
+                some = others[start : start + 64]
+                some = some[label[some] != label[i]]
+                if len(some):
+                    for j in some[linked(sets[i], [sets[k] for k in some], percent)]:
+                        if label[j] != label[i]:
+                            first.append(i)
+                            second.append(j)
+                            label[label == label[j]] = label[i]
+        return pa.RecordBatch.from_arrays([member.take(pa.array(first, pa.int64())), member.take(pa.array(second, pa.int64()))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("group", "left", "right")]
+            cut = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0), [True]]))
+            for start, stop in zip(cut[:-1], cut[1:], strict=True):
+                now = tuple(int(c[start]) for c in columns)
+                if held and now != key:
+                    yield found(pa.Table.from_batches(held))
+                    held = []
+                key = now
+                held.append(batch.slice(start, stop - start))
+        if held:
+            yield found(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, schema)
+
+
+def open_groups(buckets: DataFrame, roots: DataFrame | None) -> DataFrame | None:
+    """(member, group, root, open) of the members that may still be linked with another component: those that share a bucket with one, the
+    bucket's pivot aside, which has met all others. None if there are none."""
+    state = buckets.where("member != pivot").select("bucket", "member", "n")
+    state = state.withColumn("root", F.col("member")) if roots is None else state.join(roots, "member", "left").withColumn("root", F.coalesce("root", "member"))
+    state = stored(state, "state")
+    several = state.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("member").alias("least")).where("low != high")
+    left = stored(state.join(stored(several.select("bucket", "least"), "several"), "bucket"), "open")
+    if not left.take(1):
+        return None
+    tied = union_find(left.where("member != least").select(F.col("least").alias("a"), F.col("member").alias("b")).distinct())
+    each = left.groupBy("member", "root", "n").agg(F.collect_list("bucket").alias("open"))
+    return each.join(tied.toDF("member", "top"), "member", "left").withColumn("group", F.xxhash64(F.coalesce("top", "member"))).drop("top")
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the members of each group (see ``open_groups``)."""
+    weighed = ordered_scan(members, ["group"], ["root", "member"], {"before": F.col("n") + MEMBER})
+    blocks = stored(weighed.withColumn("block", F.expr(f"before div {BLOCK}")).drop("before", "before_all", "n"), "blocks")
+    spans = blocks.groupBy("group", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    spans = stored(spans, "spans")
+    right = spans.toDF("o_group", "right", "o_low", "o_high")
+    pairs = spans.join(right, (F.col("group") == F.col("o_group")) & (F.col("block") <= F.col("right")))
+    pairs = pairs.where(~((F.col("low") == F.col("high")) & (F.col("o_low") == F.col("o_high")) & (F.col("low") == F.col("o_low"))))
+    pairs = pairs.select("group", F.col("block").alias("left"), "right")
+    # a block goes to each pair that it is part of, once
+    ends = pairs.select("group", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
+    rows = blocks.join(small_side(ends, 1_000_000), ["group", "block"]).withColumn("side", (F.col("block") != F.col("left")).cast("int"))
+    rows = rows.join(sets, "member").select("group", "left", "right", "side", "member", "root", "open", "names")
+    return _block_links(rows.repartition("group", "left", "right").sortWithinPartitions("group", "left", "right"), percent)
 
 
 def _local_trees(links: DataFrame) -> DataFrame:
@@ -221,40 +341,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = stored(own.groupBy("digest", "n_shingles").agg(F.min(place).alias("class")), "heads")
     member_of = stored(own.select("digest", "n_shingles", place.alias("member")).join(classes, ["digest", "n_shingles"]).select("member", "class").distinct(), "classes")
     heads = own.join(member_of.where(F.col("member") == F.col("class")).select(F.col("class.doc_id").alias("doc_id"), F.col("class.text_key").alias("text_key")), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
-    entries = heads.select(place.alias("member"), F.explode("bands").alias("bucket"))
-    full = stored(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "full")
+    entries = heads.select(place.alias("member"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    full = stored(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("member").alias("pivot")).where("size > 1").select("bucket", "pivot"), "full")
     buckets = stored(entries.join(full, "bucket"), "buckets")
     suspects = buckets.select("member.*").distinct()
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(small_side(suspects, 1_000_000), ["doc_id", "text_key"], "left_semi")
-    texts = stored(texts.select(place.alias("member"), "text").dropDuplicates(["member"]), "texts")
-    met, roots, pivots, window = None, None, 1, None
-    while True:
-        state = buckets.withColumn("root", F.col("member"))
-        if roots is not None:
-            state = buckets.join(roots, "member", "left").withColumn("root", F.coalesce("root", "member"))
-        if met is not None:
-            state = stored(state.join(met.withColumn("was", F.lit(True)), ["bucket", "member"], "left").where("was is null").select("bucket", "member", "root"), "state")
-        # members that were pivots have met all others of their bucket; the rest meet one of each of the smallest components
-        parts = state.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("pivot"))
-        best = parts.groupBy("bucket", F.pmod(F.xxhash64("root"), F.lit(pivots)).alias("slot")).agg(
-            F.min(F.struct("n", "pivot", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("n")
-        )
-        open_ = best.groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("size")).where("low != high")
-        # of a large bucket each pivot meets one part at first, and more in later rounds if it is still alone
-        cut = F.lit(1) if window is None else F.greatest(F.lit(1), F.floor(F.col("size") / window)).cast("int")
-        open_ = open_.select("bucket", cut.alias("cut"))
-        chosen = stored(best.join(open_, "bucket").select("bucket", "p.pivot", F.col("p.root").alias("own"), "cut"), "pivots")
-        if not chosen.take(1):
-            break
-        part = lambda c: F.pmod(F.xxhash64(c, "bucket"), F.col("cut"))
-        asked = state.join(chosen, "bucket").where((F.col("root") != F.col("own")) & (part("member") == part("pivot")))
-        pairs = asked.select(F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b")).distinct()
-        found = stored(_verify(pairs, texts, words, percent), "links")
-        was = chosen.where("cut = 1").select("bucket", F.col("pivot").alias("member"))
-        met = was if met is None else met.unionByName(was)
-        if found.take(1):
-            roots = union_find(found if roots is None else found.unionByName(roots.toDF("a", "b")))
-        pivots, window = PIVOTS, 2 if window is None else 8 * window
+    sets = stored(shingle_names(texts.select(place.alias("member"), "text").dropDuplicates(["member"]), words), "sets")
+    pivots = buckets.where("member = pivot").select("bucket", F.col("n").alias("m"))
+    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    pairs = buckets.where("member != pivot").join(pivots, "bucket").where(fits).select(F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b")).distinct()
+    found = stored(_verify(pairs, sets, percent), "links")
+    roots = union_find(found) if found.take(1) else None
+    rest = open_groups(buckets, roots)
+    if rest is not None:
+        more = stored(block_links(rest, sets, percent), "links")
+        if more.take(1):
+            roots = union_find(found.unionByName(more))
     ids = member_of if roots is None else member_of.join(roots.toDF("class", "root"), "class", "left").withColumn("class", F.coalesce("root", "class"))
     # a class and a component are named by their smallest member
     out = ids.select(F.col("member.doc_id").alias("o_doc"), F.col("member.text_key").alias("o_key"), F.col("class.doc_id").alias("component_id"))

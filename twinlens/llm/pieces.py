@@ -7,7 +7,9 @@ sorted hashes of the pieces, and the maximum over the lengths is taken for all w
 equal sums the longer last piece wins. A character without a piece costs ``UNKNOWN`` below the lowest score and becomes its bytes
 (or the unknown id if the model has no byte pieces).
 
-Words recur, so a task keeps the pieces of the last ``MEMORY`` distinct words; texts are whole, of any length.
+Words recur, so a task keeps the pieces of the last ``MEMORY`` distinct words; texts are whole, of any length. A long word is worked through in
+windows of ``WINDOW`` characters: scores of pieces are held for one window, a back pointer and a piece for each character.
+Words are cut, and decoded ids compared with the text, as arrays of bytes.
 
 Defined cases: a null text gives null ids, an empty one none; U+2581 in a text is a space in the decoded one, and lone bytes that are no UTF-8
 become U+FFFD; ids that are null or out of range are left out in decoding; repeated rows get equal results; an empty table
@@ -21,12 +23,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from twinlens.llm.common import text_slices, utf8
+
 MARK, UNKNOWN, MEMORY = "▁", 10.0, 400_000
-#: Elements of the largest array of a batch of words.
-CELLS = 1 << 20
+#: Elements of the largest array of a batch of words, characters of a long word that are looked at together, and bytes of text.
+CELLS, WINDOW, PART = 1 << 20, 2048, 2 << 20
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -83,7 +88,7 @@ class Vocabulary:
         for k, w in enumerate(words):
             by_length.setdefault(len(w), []).append(k)
         for length, members in by_length.items():
-            step = max(1, CELLS // (length * min(length, self.longest)))
+            step = max(1, CELLS // (min(length, WINDOW) * min(length, self.longest)))
             for at in range(0, len(members), step):
                 part = members[at : at + step]
                 for k, ids in zip(part, self._viterbi([words[k] for k in part], length), strict=True):
@@ -94,33 +99,38 @@ class Vocabulary:
         n, most = len(words), min(length, self.longest)
         codes = _codes(words)
         sums = _hash(codes)
-        score = np.full((most, n, length), -np.inf)  # of the piece of l + 1 characters that ends at j
-        piece = np.full((most, n, length), -1, np.int32)
-        for size in range(1, most + 1):
-            power = np.uint64(pow(_ODD, size, 1 << 64))
-            s, at = self.probe(sums[:, size:] - sums[:, :-size] * power)
-            score[size - 1, :, size - 1 :] = s
-            piece[size - 1, :, size - 1 :] = at
-        lone = np.isneginf(score[0])
-        score[0][lone] = self.unknown
-        piece[0][lone] = -1
+        powers = [np.uint64(pow(_ODD, size, 1 << 64)) for size in range(most + 1)]
         best = np.full((n, length + 1), -np.inf)
         best[:, 0] = 0
-        back = np.zeros((n, length), np.int16)
-        for j in range(length):
-            upto = min(most, j + 1)
-            # the longest piece comes first, so it wins among equals
-            sums_ = score[upto - 1 :: -1, :, j] + best[:, j - upto + 1 : j + 1].T
-            pick = sums_.argmax(0)
-            best[:, j + 1] = sums_[pick, np.arange(n)]
-            back[:, j] = upto - 1 - pick
+        back, piece = np.zeros((n, length), np.int16), np.zeros((n, length), np.int32)
+        rows = np.arange(n)
+        for low in range(0, length, WINDOW):
+            high = min(low + WINDOW, length)
+            score = np.full((most, n, high - low), -np.inf)  # of the piece of l + 1 characters that ends at j
+            own = np.full((most, n, high - low), -1, np.int32)
+            for size in range(1, most + 1):
+                first = max(size, low + 1)
+                if first <= high:
+                    s, at = self.probe(sums[:, first : high + 1] - sums[:, first - size : high + 1 - size] * powers[size])
+                    score[size - 1, :, first - low - 1 :] = s
+                    own[size - 1, :, first - low - 1 :] = at
+            lone = np.isneginf(score[0])
+            score[0][lone] = self.unknown
+            own[0][lone] = -1
+            for j in range(low, high):
+                upto = min(most, j + 1)
+                # the longest piece comes first, so it wins among equals
+                sums_ = score[upto - 1 :: -1, :, j - low] + best[:, j - upto + 1 : j + 1].T
+                pick = sums_.argmax(0)
+                best[:, j + 1] = sums_[pick, rows]
+                back[:, j] = upto - 1 - pick
+                piece[:, j] = own[upto - 1 - pick, rows, j - low]
         # back from the ends, all words together
         steps, end = [], np.full(n, length)
         while (end > 0).any():
             live = end > 0
             last = np.where(live, end - 1, 0)
-            size = back[np.arange(n), last]
-            found = piece[size, np.arange(n), last]
+            size, found = back[rows, last], piece[rows, last]
             steps.append(np.where(live, np.where(found >= 0, found, -2 - last), -1))
             end = np.where(live, last - size, 0)
         table = np.array(steps[::-1]).T
@@ -149,26 +159,20 @@ def load(path: str) -> Vocabulary:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
     kinds = np.array([Vocabulary.BYTE if model.is_byte(i) else Vocabulary.UNK if model.is_unknown(i) else 3 if model.is_control(i) or model.is_unused(i) else Vocabulary.NORMAL for i in range(n)])
-    return Vocabulary([model.id_to_piece(i) for i in range(n)], np.array([model.get_score(i) for i in range(n)], float), kinds)
-
-
-def split_words(text: str) -> list[str]:
-    """The text with marks, cut before each mark that follows another character."""
-    if not text:
-        return []
-    text = text.replace(MARK, " ")
-    parts = text.split(" ")
-    if "" not in parts:
-        return [MARK + p for p in parts]
-    words, marks = [], 0
-    for p in parts:
-        marks += 1
-        if p:
-            words.append(MARK * marks + p)
-            marks = 0
-    if marks:
-        words.append(MARK * marks)
-    return words
+    pieces = [model.id_to_piece(i) for i in range(n)]
+    if any(k == Vocabulary.NORMAL and MARK in p.lstrip(MARK) for p, k in zip(pieces, kinds, strict=True)):
+        raise ValueError("the model has a piece with a mark after another character, so its words can't be encoded by themselves")
+    return Vocabulary(pieces, np.array([model.get_score(i) for i in range(n)], float), kinds)
+
+
+def marked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of the texts, marks as blanks and one blank before each text that is not empty, and their bounds."""
+    data, bounds = utf8(pc.replace_substring(column, MARK, " "))
+    full = np.diff(bounds) > 0
+    ends = np.concatenate([[0], np.cumsum(np.diff(bounds) + full)])
+    out = np.full(ends[-1], 32, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.cumsum(full), np.diff(bounds))] = data
+    return out, ends
 
 
 class Encoder:
@@ -177,26 +181,47 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.known = vocabulary, {}
         self.flat, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        # what an id stands for, blanks for marks
+        raw = [r.replace(MARK.encode(), b" ") for r in vocabulary.raw]
+        self.raw, self.raw_ends = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, bounds of the texts)."""
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, bounds of the texts) of ``marked`` texts. A word begins at a blank that follows another
+        character or begins a text, so words lie end to end."""
         if len(self.known) > MEMORY:
             self.known, self.flat, self.bounds = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
-        words = [split_words(t) for t in texts]
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in self.known))
+        blank = data == 32
+        begins = blank.copy()
+        begins[1:] &= ~blank[:-1]
+        begins[bounds[:-1][np.diff(bounds) > 0]] = True
+        starts = np.flatnonzero(begins)
+        offsets = np.append(starts, len(data)).astype(np.int64)
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in self.known]
         if new:
-            ids = self.vocabulary.encode_words(new)
+            ids = self.vocabulary.encode_words([w.decode().replace(" ", MARK) for w in new])
             self.known |= zip(new, range(len(self.known), len(self.known) + len(new)), strict=True)
             self.flat = np.concatenate([self.flat, *ids])
             self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in ids]))
-        slot = np.array([self.known[w] for ws in words for w in ws], np.int64)
+        slot = np.array([self.known[w] for w in words], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
         size = self.bounds[slot + 1] - self.bounds[slot]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         # piece k of a word stands at the word's first piece plus k
         take = np.arange(total) + np.repeat(self.bounds[slot] - (ends - size), size)
-        per_text = np.concatenate([[0], np.cumsum([len(ws) for ws in words])]).astype(np.int64)
-        return self.flat[take], np.concatenate([[0], ends])[per_text]
+        return self.flat[take], np.concatenate([[0], ends])[np.searchsorted(starts, bounds)]
+
+    def same(self, ids: np.ndarray, id_bounds: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Whether the ids of each text give its bytes back."""
+        size = self.raw_ends[ids + 1] - self.raw_ends[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        back = self.raw[np.arange(ends[-1]) + np.repeat(self.raw_ends[ids] - ends[:-1], size)]
+        per = ends[id_bounds]
+        if (per == bounds).all():
+            wrong = np.concatenate([[0], np.cumsum(back != data)])
+            return wrong[bounds[1:]] == wrong[bounds[:-1]]
+        return np.array([np.array_equal(back[a:b], data[c:d]) for a, b, c, d in zip(per[:-1], per[1:], bounds[:-1], bounds[1:], strict=True)], bool)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, check: bool = False) -> DataFrame:
@@ -208,17 +233,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, check: bool = False) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                ids, bounds = encoder.encode([t or "" for t in texts])
-                none = pa.array([t is None for t in texts])
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=none)
-                columns = [*part.columns, lists, pa.array(np.diff(bounds))]
-                if check:
-                    columns.append(pa.array([t is None or shared.value.decode(ids[a:b]) == t.replace(MARK, " ") for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)]))
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+        for part, _, _ in text_slices(batches, "text", PART):
+            column = part.column(part.schema.get_field_index("text"))
+            data, bounds = marked(column)
+            ids, ends = encoder.encode(data, bounds)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=column.is_null())
+            columns = [*part.columns, lists, pa.array(np.diff(ends))]
+            if check:
+                columns.append(pa.array(encoder.same(ids, ends, data, bounds)))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return out.mapInArrow(run, schema)
 

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from twinlens.llm import induced_sort
 from twinlens.llm.common import Hasher, runs, text_slices, utf8
-from twinlens.session import small_side, stored
+from twinlens.session import drop_folder, scratch_scope, small_side, stored
 
 GRAM = 24
 #: Bytes of text whose runs are compared before any shuffle.
@@ -302,17 +302,23 @@ class _Growing:
 
 def dedup(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_bytes, n_removed, spans (start, end in bytes), kept (the bytes left)."""
-    found = run_table(docs, length)
+    spark = docs.sparkSession
+    with scratch_scope(spark) as folder:
+        found = run_table(docs, length)
     fresh = found.where(~F.col("copy")).drop("copy")
     place = ["doc", "text_key", "start", "n"]
-    gone = found.where("copy").select(*place)
+    gone = stored(found.where("copy").select(*place), "copies")
     anchors = hot_anchors(found, length, hot)
+    split = None
     if anchors.take(1):
         anchors = small_side(anchors)
-        shards = shard_copies(fresh.join(anchors, "anchor", "left_semi"), split=True)
-        gone = gone.union(shards.where("copy").select(*place)).union(hot_windows(shards.where(~F.col("copy")), docs, length))
+        split = shard_copies(fresh.join(anchors, "anchor", "left_semi"), split=True)
         fresh = fresh.join(anchors, "anchor", "left_anti").select(*fresh.columns)
     shards = shard_copies(fresh)
+    # the runs are in the shards and copies now, which are stored themselves
+    drop_folder(spark, folder)
+    if split is not None:
+        gone = gone.union(split.where("copy").select(*place)).union(hot_windows(split.where(~F.col("copy")), docs, length))
     gone = gone.union(shards.where("copy").select(*place)).union(shard_suffixes(shards.where(~F.col("copy")), docs, length))
     gone = gone.groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LEAST)).cast("long").alias("o_doc"), F.xxhash64("text").alias("o_key"), "text")

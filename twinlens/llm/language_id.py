@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from twinlens.llm.common import per_text, text_slices
 from twinlens.session import stored
 
-#: Bits of a word.
-WORD = 64
+#: Bits of a word, and bytes of text that a task looks at together.
+WORD, PART = 64, 1 << 20
 _SPACE = np.arange(256, dtype=np.uint8)
 _SPACE[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
@@ -84,7 +84,7 @@ def learn(docs: DataFrame, fit_rows: int = 5_000, fit_chars: int = 20_000_000, s
     sample = _padded(rows.select("doc_id", "text", "lang").join(part, "lang").where(draw < F.col("_part")), "text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows_, data, bounds in text_slices(batches, "_padded"):
+        for rows_, data, bounds in text_slices(batches, "_padded", PART):
             codes, ends = grams(data, bounds)
             lang = np.array([index[x] for x in rows_.column("lang").to_pylist()])
             keys, n = np.unique(np.repeat(lang, np.diff(ends)).astype(np.uint64) << np.uint64(32) | codes, return_counts=True)
@@ -121,7 +121,7 @@ def identify(docs: DataFrame, model: Filter) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = broadcast.value
-        for rows, data, bounds in text_slices(batches, "_padded"):
+        for rows, data, bounds in text_slices(batches, "_padded", PART):
             codes, ends = grams(data, bounds)
             n = np.diff(ends)
             best, score = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows)

@@ -1,4 +1,5 @@
 import io
+import random
 import tarfile
 import zipfile
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from twinlens import session
 from twinlens.plans import encode as E
 from twinlens.plans import generate as G
+from twinlens.operators.search import words_in_texts
 from twinlens.sources import archives as Z
 from twinlens.sources import files as S
 from twinlens.sources import registry as R
@@ -144,3 +146,78 @@ def test_encoder_skips_missing_inputs(spark):
     assert got[1]["image_emb"] is None and got[2]["text_emb"] is None
     fused = {r["id"]: r["embedding"] for r in E.encode_fused(df, ["id"], E.HashingEncoder, "t", "i", ("", "")).collect()}
     assert sum(fused[2]) == 1.0
+
+
+def quoted_field(rng, wide=60):
+    """(value, as written)"""
+    kind = rng.random()
+    if kind < 0.3:
+        return (f"plain{rng.random()}",) * 2
+    if kind < 0.35:
+        return None, ""
+    text = "".join(rng.choice('ab, "\n\r;é') for _ in range(rng.randint(1, wide)))
+    return text, '"' + text.replace('"', '""') + '"'
+
+
+@pytest.mark.parametrize(("size", "wide"), [("700", 900), ("4096", 60), ("128m", 60)])
+def test_line_breaks_in_quotes_are_read_in_splits(spark, tmp_path, size, wide):
+    """Also with records that are longer than a split, and lines that end with a carriage return."""
+    rng, truth = random.Random(wide), {}
+    for name, n, end in (("a", 200, "\n"), ("b", 80, "\r\n"), ("c", 0, "\n"), ("d", 1, "")):
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as f:
+            f.write("id,x,y" + (end or "\n"))
+            for _ in range(n):
+                (x, a), (y, b) = quoted_field(rng, wide), quoted_field(rng, wide)
+                truth[len(truth)] = (x, y)
+                f.write(f"{len(truth) - 1},{a},{b}{end}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        df = S.read_csv(spark, str(tmp_path), "id long, x string, y string")
+        assert size == "128m" or spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+        assert {r["id"]: (r["x"], r["y"]) for r in df.collect()} == truth
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_archives_are_read_in_ranges(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "x.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(60):
+            z.writestr(f"f/{i}.txt", f"té{i}" * i)
+        z.writestr("folder/", "")
+    content = {(("long" * 40 if i % 7 == 0 else "m") + f"/{i}"): (str(i) * i).encode() for i in range(60)}
+    for mode, name in (("w", "x.tar"), ("w:gz", "x.tar.gz")):
+        with tarfile.open(tmp_path / name, mode) as t:
+            for member, data in content.items():
+                info = tarfile.TarInfo(member)
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+    listed = Z.read(Z.entries(Z.open_files(spark, str(tmp_path / "x.zip")), "zip"), 2000)
+    assert listed.rdd.getNumPartitions() > 5
+    assert {r["file_path"]: bytes(r["data"]).decode() for r in listed.collect()} == {f"f/{i}.txt": f"té{i}" * i for i in range(60)}
+    # a packed tar cannot be sought in, but is read all the same
+    for name in ("x.tar", "x.tar.gz"):
+        files = Z.open_files(spark, str(tmp_path / name))
+        assert {r["file_path"]: bytes(r["data"]) for r in Z.members(files, "tar").collect()} == content
+        one = Z.tar_subset(files, spark.createDataFrame([("m/11",), ("none",)], "p string"), "p").collect()
+        assert [(r["p"], bytes(r["data"])) for r in one] == [("m/11", b"11" * 11)]
+
+
+def test_a_damaged_member_is_an_error(spark, tmp_path):
+    path = tmp_path / "x.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("a.txt", "some text")
+    data = bytearray(path.read_bytes())
+    data[data.index(b"some")] ^= 1
+    path.write_bytes(data)
+    with pytest.raises(Exception, match="damaged"):
+        Z.members(Z.open_files(spark, str(path)), "zip").collect()
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_words_in_texts(spark, most):
+    """By an automaton, and, for a vocabulary that is too large to be sent, by a join."""
+    texts = ["Red ring, redder", None, "", "ab", "a", "Ünï red", "no", "xred ring"]
+    words = ["red", "RED", "ring", "a", "ab", "red ring", "Ünï", "", "zzz", None, "dde"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, text string, label string")
+    got = sorted((r["id"], r["label"]) for r in words_in_texts(df, "id", "text", spark.createDataFrame([(w,) for w in words + words], "w string"), most).collect())
+    assert got == sorted((i, w) for i, t in enumerate(texts) if t is not None for w in words if w is not None and w.lower() in t.lower())

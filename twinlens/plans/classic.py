@@ -16,7 +16,7 @@ from twinlens.operators.sampling import fixed_sample
 from twinlens.plans.linear import fit
 from twinlens.plans.train import matrix
 from twinlens.plans.trees import grow
-from twinlens.session import collect_few
+from twinlens.session import collect_few, small_side, stored
 
 OVR_MODELS = ("random_forest", "logistic", "svm")
 BENCH_MODELS = ("random_forest", "decision_tree", "logistic", "knn", "svm")
@@ -61,6 +61,8 @@ def model_bench(train: DataFrame, test: DataFrame, vector: str, label: str, key:
 
 # Nearest neighbours
 
+MOST_PIVOTS = 4096
+
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
@@ -83,12 +85,9 @@ def _in_cells(df: DataFrame, cols: Sequence[str], pivots: np.ndarray) -> DataFra
     return df.select(*cols, "__v").mapInArrow(run, f"{kept}, __v array<double>, cell int, reach double")
 
 
-def _candidate_cells(test: DataFrame, key: str, pivots: np.ndarray, radius: np.ndarray, sizes: np.ndarray, k: int) -> DataFrame:
-    """(key, vector, cell): the cells that can hold one of the k nearest rows.
-
-    The nearest cells that together hold k rows bound the k-th distance from above; a cell
-    whose closest possible row is farther than the bound cannot matter.
-    """
+def _other_cells(test: DataFrame, key: str, pivots: np.ndarray, radius: np.ndarray, sizes: np.ndarray) -> DataFrame:
+    """(key, vector, cell): the cells, besides the row's own, that can hold a row as near as its ``bound``. A cell whose closest
+    possible row is farther cannot."""
     shared = test.sparkSession.sparkContext.broadcast((pivots, radius, sizes))
 
     def run(batches):
@@ -97,49 +96,33 @@ def _candidate_cells(test: DataFrame, key: str, pivots: np.ndarray, radius: np.n
                 continue
             piv, rad, size = shared.value
             d = np.sqrt(_squared(matrix(b, "__v"), piv))
-            worst = d + rad
-            order = worst.argsort(1)
-            enough = (size[order].cumsum(1) >= k).argmax(1)
-            total = size.sum()
-            bound = np.where(total >= k, np.take_along_axis(worst, order, 1)[np.arange(len(d)), enough], np.inf)
-            row, cell = np.nonzero((d - rad <= bound[:, None] + 1e-9) & (size > 0))
-            out = b.take(pa.array(row))
+            own, bound = (b.column(c).to_numpy() for c in ("cell", "bound"))
+            # distances are rounded to 9 digits
+            open_ = (d - rad <= bound[:, None] + 2e-9) & (size > 0)
+            open_[np.arange(len(d)), own] = False
+            row, cell = np.nonzero(open_)
+            out = b.select([key, "__v"]).take(pa.array(row))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell.astype(np.int32))], [*out.schema.names, "cell"])
 
     kind = test.schema[key].dataType.simpleString()
-    return test.select(key, "__v").mapInArrow(run, f"{key} {kind}, __v array<double>, cell int")
-
-
-def knn_neighbours(train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int = 5, pivots: int = 64, block: int = 4096) -> DataFrame:
-    """(key, neighbour, label, distance, rank): the exact k nearest training rows.
-
-    Training rows fall into cells around sampled pivots, test rows visit only the cells the
-    triangle inequality cannot exclude. Cells are cut into blocks of about ``block`` rows on
-    both sides, so a large cell is many tasks; a task compares two blocks as matrices and
-    emits k rows per test row, never the pairs. Ties go to the smaller key.
-    """
-    tr = train.select(F.col(key).alias("neighbour"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("__v"))
-    te = test.select(key, F.col(vector).cast("array<double>").alias("__v"))
-    chosen = np.array([r["__v"] for r in fixed_sample(tr, "neighbour", pivots).select("__v").collect()])
-    placed = _in_cells(tr, ["neighbour", "label"], chosen)
-    radius, sizes = np.zeros(len(chosen)), np.zeros(len(chosen), dtype=np.int64)
-    for r in collect_few(placed.groupBy("cell").agg(F.max("reach").alias("m"), F.count(F.lit(1)).alias("n")), len(chosen)):
-        radius[r["cell"]], sizes[r["cell"]] = r["m"], r["n"]
-    visits = _candidate_cells(te, key, chosen, radius, sizes, k)
-    queries = test.count()
-    # blocks per cell: exact for the training rows, by the worst case for the test rows
-    train_cuts = F.array(*[F.lit(int(max(1, -(-n // block)))) for n in sizes])
-    test_cuts = max(1, -(-queries // block))
-    tcut = F.get(train_cuts, F.col("cell"))
-    left = placed.select(
-        "cell", F.pmod(F.xxhash64("neighbour"), tcut).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(test_cuts - 1))).alias("qb"), "neighbour", "label", "__v"
-    )
-    right = visits.select(
-        "cell", F.explode(F.sequence(F.lit(0), tcut - 1)).alias("tb"), F.pmod(F.xxhash64(key), F.lit(test_cuts)).cast("int").alias("qb"), key, "__v"
-    )
+    return test.select(key, "__v", "cell", "bound").mapInArrow(run, f"{key} {kind}, __v array<double>, cell int")
+
+
+def _nearest(placed: DataFrame, visits: DataFrame, key: str, k: int, block: int) -> DataFrame:
+    """(key, neighbour, label, distance): for each visit the k nearest training rows of a part of its cell, at least.
+
+    Each cell is cut by its own counts, into parts of about ``block`` rows on both sides: a training row is copied once for each ``block`` visits of its cell, and
+    not at all if there are none. A task compares two parts as matrices and emits k rows for each visit, never the pairs. Ties go to the smaller key."""
+    cuts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("tcut"))
+    cuts = cuts.join(visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("qcut")), "cell")
+    # one row for each cell
+    cuts = small_side(cuts)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.join(cuts, "cell").select("cell", part("neighbour", "tcut").alias("tb"), parts("qcut").alias("qb"), "neighbour", "label", "__v")
+    right = visits.join(cuts, "cell").select("cell", parts("tcut").alias("tb"), part(key, "qcut").alias("qb"), key, "__v")
     on = ["cell", "tb", "qb"]
-    kinds = {f.name: f.dataType.simpleString() for f in tr.schema}
-    kind = test.schema[key].dataType.simpleString()
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
 
     def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
         schema = pa.schema([b.schema.field(key), a.schema.field("neighbour"), a.schema.field("label"), pa.field("distance", pa.float64())])
@@ -154,11 +137,38 @@ def knn_neighbours(train: DataFrame, test: DataFrame, key: str, vector: str, lab
         cols = [b.column(key).take(pa.array(rows)), near.column("neighbour"), near.column("label"), pa.array(d[rows, top.ravel()])]
         return pa.Table.from_arrays(cols, schema=schema)
 
+    kind = visits.schema[key].dataType.simpleString()
     out = f"{key} {kind}, neighbour {kinds['neighbour']}, label {kinds['label']}, distance double"
-    best = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(nearest, out)
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(nearest, out)
+
+
+def _ranked(found: DataFrame, key: str, k: int) -> DataFrame:
     # Spark keeps only k rows per test row before the shuffle of this window
     rank = F.row_number().over(W.partitionBy(key).orderBy("distance", "neighbour"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def knn_neighbours(train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int = 5, pivots: int | None = None, block: int = 4096) -> DataFrame:
+    """(key, neighbour, label, distance, rank): the exact k nearest training rows.
+
+    Training rows fall into cells around sampled pivots, by default the square root of their number (``MOST_PIVOTS`` at most, all of
+    which a task holds). A test row first looks into its own cell; the k-th distance there bounds the one looked for, so that of the other cells it visits
+    only those that the triangle inequality cannot exclude. Both passes join blocks of cells (see ``_nearest``).
+    """
+    tr = train.select(F.col(key).alias("neighbour"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("__v"))
+    te = test.select(key, F.col(vector).cast("array<double>").alias("__v"))
+    wanted = pivots or int(min(MOST_PIVOTS, max(16, np.ceil(np.sqrt(train.count())))))
+    chosen = np.array([r["__v"] for r in fixed_sample(tr, "neighbour", wanted).select("__v").collect()])
+    placed = stored(_in_cells(tr, ["neighbour", "label"], chosen), "cells")
+    radius, sizes = np.zeros(len(chosen)), np.zeros(len(chosen), dtype=np.int64)
+    for r in collect_few(placed.groupBy("cell").agg(F.max("reach").alias("m"), F.count(F.lit(1)).alias("n")), len(chosen)):
+        radius[r["cell"]], sizes[r["cell"]] = r["m"], r["n"]
+    home = stored(_in_cells(te, [key], chosen).select(key, "__v", "cell"), "home")
+    first = stored(_ranked(_nearest(placed, home, key, k, block), key, k).drop("rank"), "first")
+    limit = first.groupBy(F.col(key).alias("__k")).agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
+    bounded = home.join(limit, F.col(key) == F.col("__k"), "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    visits = stored(_other_cells(bounded, key, chosen, radius, sizes), "visits")
+    return _ranked(first.unionByName(_nearest(placed, visits, key, k, block)), key, k)
 
 
 def knn(train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int = 5, **options) -> DataFrame:

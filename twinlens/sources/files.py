@@ -2,22 +2,91 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinlens.session import small_side
+from twinlens.session import small_side, small_table
 
 # Text columns hold line breaks and quotes. Empty fields are null, quoted or not.
 CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "nullValue": "", "emptyValue": ""}
 
 
-def read_csv(spark: SparkSession, path, schema, sep: str = ",", multiline: bool = True) -> DataFrame:
-    """``multiline=False`` lets Spark split big files, for tables without line breaks in text."""
-    options = dict(CSV_OPTIONS, multiLine=multiline, sep=sep)
-    return spark.read.options(**options).schema(schema).csv(path)
+def read_csv(spark: SparkSession, path, schema: str, sep: str = ",", multiline: bool = True) -> DataFrame:
+    """Delimited files with a header. Big files are read in splits, with line breaks in quoted fields too; ``multiline=False`` saves the
+    pass that looks for them."""
+    if multiline:
+        return read_quoted(spark, path, schema, sep)
+    return spark.read.options(**dict(CSV_OPTIONS, multiLine=False, sep=sep)).schema(schema).csv(path)
+
+
+def read_quoted(spark: SparkSession, path, schema: str, sep: str = ",") -> DataFrame:
+    """Delimited files with a header whose quoted fields may hold line breaks, read in splits like any text.
+
+    A line begins a record if the quotes before it in its file are even in number. One pass counts the quotes of each split and sums them up over the
+    splits before, so a task knows how its splits begin; a second one cuts the lines of a split into records. What a split leaves open at its
+    ends, two pieces at most, is put together by file. Lines end with a line feed, with or without a carriage return; fields with quotes must be
+    quoted, and quotes in them doubled.
+    """
+    at = [F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s")]
+    lines = spark.read.option("lineSep", "\n").text(path).select(*at, "value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    counts = lines.groupBy("f", "s").agg(F.sum(quotes).alias("q"))
+    # one row per split of the files
+    before = F.coalesce(F.sum("q").over(W.partitionBy("f").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts, table = small_table(counts.select(F.xxhash64("f", "s").alias("k"), (before % 2).cast("int").alias("odd")), 4_000_000)
+    if table is None:
+        raise ValueError("more than 4,000,000 splits; raise spark.sql.files.maxPartitionBytes")
+    cut = lines.join(starts, F.xxhash64("f", "s") == F.col("k")).select("f", "s", "odd", "value").mapInArrow(_records, "f string, s long, number int, begins boolean, whole boolean, text string")
+    texts = cut.where("whole").select("text")
+    if pc.any(pc.equal(table.column("odd"), 1)).as_py():
+        pieces = cut.where("not whole").withColumn("r", F.sum(F.col("begins").cast("int")).over(W.partitionBy("f").orderBy("s", "number")))
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("s", "number", "text"))), lambda p: p["text"])
+        texts = texts.unionByName(pieces.groupBy("f", "r").agg(F.array_join(parts, "\n").alias("text")).select("text"))
+    ended = F.when(F.col("text").endswith("\r"), F.expr("substring(text, 1, length(text) - 1)")).otherwise(F.col("text"))
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV_OPTIONS.items() if k != "header"}
+    return texts.select(ended.alias("text")).where("text != ''").select(F.from_csv("text", schema, options | {"sep": sep}).alias("r")).select("r.*")
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole records, and the pieces that a split leaves open: at its start (number 0) and at its end (number 1). Lines come in the order of their split; a
+    file's first record, the header, is left out."""
+    names = ["f", "s", "number", "begins", "whole", "text"]
+    split, held, begins, header = None, None, False, False
+    for batch in batches:
+        out: list[tuple] = []
+        columns = [c.to_pylist() for c in batch.columns]
+        for f, s, odd, line in zip(*columns, strict=True):
+            if (f, s) != split:
+                if held:
+                    out.append((*split, 1 if begins else 0, begins, False, "\n".join(held)))
+                split, held, begins, header = (f, s), [] if odd else None, False, s == 0
+            closes = line.count('"') % 2 == 1
+            if held is None:
+                if closes:
+                    held, begins = [line], True
+                elif header:
+                    header = False
+                else:
+                    out.append((f, s, 0, True, True, line))
+            else:
+                held.append(line)
+                if closes:
+                    if header:
+                        header = False
+                    else:
+                        out.append((f, s, 0, begins, begins, "\n".join(held)))
+                    held = None
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], _RECORD)
+    if held:
+        yield pa.RecordBatch.from_pylist([dict(zip(names, (*split, 1 if begins else 0, begins, False, "\n".join(held)), strict=True))], _RECORD)
+
+
+_RECORD = pa.schema([("f", pa.string()), ("s", pa.int64()), ("number", pa.int32()), ("begins", pa.bool_()), ("whole", pa.bool_()), ("text", pa.string())])
 
 
 def read_tsv(spark: SparkSession, path, schema, multiline: bool = False) -> DataFrame:

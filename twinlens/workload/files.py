@@ -2,6 +2,7 @@
 
 import io
 import tarfile
+import uuid
 import zipfile
 
 import pandas as pd
@@ -88,25 +89,39 @@ def src_file_manifest(spark, sf):
     return S.manifest(spark, run_files(spark, sf), "*.csv").select("name", (F.col("length") > 0).alias("filled"))
 
 
-def zip_batch(frames):
-    for f in frames:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, text in zip(f["name"], f["text"]):
-                z.writestr(name, text)
-        yield pd.DataFrame({"content": [out.getvalue()]})
+def zip_of(names, texts) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in zip(names, texts):
+            z.writestr(name, text)
+    return out.getvalue()
 
 
-def tar_batch(frames):
-    for f in frames:
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w") as t:
-            for name, text in zip(f["name"], f["text"]):
-                data = text.encode()
-                info = tarfile.TarInfo(name)
-                info.size = len(data)
-                t.addfile(info, io.BytesIO(data))
-        yield pd.DataFrame({"content": [out.getvalue()]})
+def tar_of(names, texts) -> bytes:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for name, text in zip(names, texts):
+            data = text.encode()
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+def archive_files(rows, pack, suffix):
+    """(path) of archive files in the shared folder, one for each batch of rows (name, text)."""
+    folder = scratch_path(rows.sparkSession, "archives")
+
+    def run(frames):
+        for f in frames:
+            path = f"{folder}/{uuid.uuid4().hex}{suffix}"
+            store, inner = Z.place(path)
+            store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(inner) as out:
+                out.write(pack(f["name"], f["text"]))
+            yield pd.DataFrame({"path": [path]})
+
+    return stored(rows.select("name", "text").mapInPandas(run, "path string"), "paths")
 
 
 def member_names(spark, sf):
@@ -118,14 +133,14 @@ def member_names(spark, sf):
 @query("src_zip_text", "SELECT doc_id, CASE WHEN lang <> 'de' THEN md5(text) END AS text FROM documents")
 def src_zip_text(spark, sf):
     docs = member_names(spark, sf)
-    archives = docs.filter("lang <> 'de'").select("name", "text").mapInPandas(zip_batch, "content binary")
+    archives = archive_files(docs.filter("lang <> 'de'"), zip_of, ".zip")
     return Z.zip_texts(archives, docs.select("doc_id", "name"), "name").select("doc_id", F.md5("text").alias("text"))
 
 
 @query("src_tar_subset", "SELECT 'files/p' || doc_id || '.txt' AS name, md5(text) AS data FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def src_tar_subset(spark, sf):
     docs = member_names(spark, sf)
-    archives = docs.select("name", "text").mapInPandas(tar_batch, "content binary")
+    archives = archive_files(docs, tar_of, ".tar")
     wanted = table(spark, sf, "labels").join(docs.select("doc_id", "name"), "doc_id")
     return Z.tar_subset(archives, wanted, "name").select("name", F.md5("data").alias("data"))
 

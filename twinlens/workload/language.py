@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from twinlens.functions import answers as Y
 from twinlens.functions import prompt_texts as P
 from twinlens.functions import text as T
+from twinlens.operators.search import words_in_texts
 from twinlens.workload.base import query, table
 
 # Coded columns made of order and customer values, the same way in both engines.
@@ -326,11 +327,9 @@ def prs_multilabel_columns(spark, sf):
 )
 def prs_multilabel_vocab(spark, sf):
     df = table(spark, sf, "part")
-    # one row with the fitted vocabulary; only hits are written out
-    words = df.filter("p_size > 10").select(F.explode(F.split("p_name", " ")).alias("w")).select(F.collect_set("w").alias("words"))
-    text = F.lower(F.concat_ws(" ", "p_name", "p_type"))
-    hits = df.join(words, F.lit(True)).select("p_partkey", F.explode(F.filter("words", lambda w: F.contains(text, F.lower(w)))).alias("label"))
-    return hits.select("p_partkey", "label", F.lit(1).alias("hit"))
+    words = df.filter("p_size > 10").select(F.explode(F.split("p_name", " ")).alias("w"))
+    texts = df.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    return words_in_texts(texts, "p_partkey", "text", words).withColumn("hit", F.lit(1))
 
 
 @query("prs_active_labels", "SELECT doc_id, coalesce(nullif(concat_ws(', ', CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END), ''), 'No Finding') AS label FROM labels")

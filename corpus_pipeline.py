@@ -7,6 +7,11 @@ Each stage takes all its predecessor kept. ``run`` writes every stage's rows to
 3. near_dup: one document of each group of near-duplicates stays.
 4. decontamination: documents with a benchmark phrase go.
 5. sentencepiece: token ids, decoded again as a check.
+
+Odd inputs: a null, empty or blank text, or one without a letter, goes in the first stage; a null lang is filled in, other nulls stay; rows with a
+null doc_id pass every stage, but are grouped with no other row; of rows that are repeated as they are one stays after the third stage; of equal
+texts the smallest doc_id stays; texts may be of any length; an empty table gives empty tables. Columns beside those of documents go along unchanged under any name, up to the last stage,
+whose result has doc_id, lang, source, n_ids, ids and same.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 _folders: dict[str, str] = {}
+#: Columns that the stages work on; any others are set aside under names that no operator uses.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def stage(fn):
@@ -47,10 +54,11 @@ def stage(fn):
         app = spark.sparkContext.applicationId
         if app in _folders:
             drop_folder(spark, _folders.pop(app))
+        aside = {c: f"_aside_{k}" for k, c in enumerate(c for c in docs.columns if c not in COLUMNS)}
         with scratch_scope(spark) as folder:
-            out = fn(spark, docs, sf_dir)
+            out = fn(spark, docs.withColumnsRenamed(aside), sf_dir)
         _folders[app] = folder
-        return out
+        return out.withColumnsRenamed({new: c for c, new in aside.items()})
 
     return run_stage
 

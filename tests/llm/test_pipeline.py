@@ -85,3 +85,16 @@ def test_stages_of_an_empty_table(spark, sf):
     for _, stage in pipeline.STAGES:
         docs = stored(stage(spark, docs, sf))
         assert docs.count() == 0
+
+
+def test_columns_of_any_name_go_along(spark, sf):
+    """Also such as operators use themselves."""
+    names = ["score", "lang_pred", "n_lines", "kept", "text_key", "o_id", "O_KEY", "term", "_padded", "ids"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40")
+    frame = stored(docs.selectExpr("*", *[f"concat('{n}', doc_id) as `{n}`" for n in names]))
+    for _, stage in pipeline.STAGES[:-1]:
+        frame = stored(stage(spark, frame, sf))
+        assert frame.columns == [*docs.columns, *names]
+        rows = frame.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    assert pipeline.STAGES[-1][1](spark, frame, sf).columns == ["doc_id", "lang", "source", "n_ids", "ids", "same"]

@@ -11,8 +11,8 @@ classes of an equal band meet in a bucket. With ``ROWS`` x ``BANDS`` slots a pai
 bucket with a probability of 5e-6, and a more similar one with less. (3) Verification compares whole sets, taken again from the whole texts, never signatures. Sets whose
 sizes alone rule a link out are not compared. In a first round the members of a bucket meet one of them, its pivot. Buckets that then still hold members of several
 components, the pivot aside, are open; what open buckets connect is a group. The members of a group, one component after the other, are cut into blocks of
-some ``BLOCK`` shingles, and a task takes two blocks, unless all of both are one component already: it compares the sets of those pairs that share an open
-bucket and are not joined by then. So a pair is compared at most twice, no pair is ever a row, a group of copies is done after the first round, and a task holds two blocks.
+some ``BLOCK`` shingles, and a task takes two blocks, unless all of both are one component already: it counts the elements that sets share by
+products of 0/1 matrices and links those pairs that share an open bucket, too. So a pair is compared at most twice, no pair is ever a row, a group of copies is done after the first round, and a task holds two blocks.
 (4) Links are grouped by union-find: each task joins its links into trees, and trees that
 share a member are hung on the smallest one until nothing changes; no task holds all links.
 
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinlens.llm.common import mix, runs, text_slices, utf8
+from twinlens.llm.components import forest
 from twinlens.operators.ranking import ordered_scan
 from twinlens.session import small_side, stored
 
@@ -159,6 +160,23 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def shared_counts(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """How many elements each two of the sets share: products of 0/1 matrices, some elements at a time; elements of one set alone are left out."""
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, times = np.unique(every, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(times > 1)
+    place = np.full(len(times), -1, np.int64)
+    place[often] = np.arange(len(often))
+    place = place[at]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, len(often), columns):
+        mine = np.flatnonzero((place >= low) & (place < low + columns))
+        hit = np.zeros((len(sets), min(columns, len(often) - low)), np.float32)
+        hit[owner[mine], place[mine] - low] = 1
+        out += np.rint(hit @ hit.T).astype(np.int64)
+    return out
+
+
 def linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
     """Which of the sets are similar enough to ``one``."""
     sizes = np.array([len(x) for x in others])
@@ -187,15 +205,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the members of two blocks. ``rows`` (group, left, right, side, member, root, open, names) come in order of the first three; ``open`` are the open
+    """Links (a, b) between the members of two blocks. ``rows`` (group, left, right, side, member, open, names) come in order of the first three; ``open`` are the open
     buckets of a member."""
     schema = T.StructType([T.StructField("a", rows.schema["member"].dataType), T.StructField("b", rows.schema["member"].dataType)])
 
     def found(table: pa.Table) -> pa.RecordBatch:
         member, sets = table.column("member").combine_chunks(), _sets(table.column("names").combine_chunks())
         side, size = table.column("side").to_numpy(), np.array([len(s) for s in sets])
-        # components are numbers here, which links join
-        label = np.unique(np.array([str(r) for r in table.column("root").to_pylist()]), return_inverse=True)[1]
         lists = table.column("open").combine_chunks()
         bucket, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(sets)), lists.value_lengths().to_numpy())
         order = np.argsort(bucket, kind="stable")
@@ -208,20 +224,11 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
         if side.any():
             # two blocks: what meets within one is compared where that block meets itself
             meets &= side[:, None] != side[None, :]
-        meets &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
-        first, second = [], []
-        for i in range(len(sets)):
-            others = np.flatnonzero(meets[i, i + 1 :]) + i + 1
-            for start in range(0, len(others), 64):
-                some = others[start : start + 64]
-                some = some[label[some] != label[i]]
-                if len(some):
-                    for j in some[linked(sets[i], [sets[k] for k in some], percent)]:
-                        if label[j] != label[i]:
-                            first.append(i)
-                            second.append(j)
-                            label[label == label[j]] = label[i]
-        return pa.RecordBatch.from_arrays([member.take(pa.array(first, pa.int64())), member.take(pa.array(second, pa.int64()))], ["a", "b"])
+        common = shared_counts(sets)
+        i, j = np.nonzero(np.triu(meets & (100 * common >= percent * (size[:, None] + size[None, :] - common)), 1))
+        # as many links as join what is linked
+        first, second = forest(i, j)
+        return pa.RecordBatch.from_arrays([member.take(pa.array(first)), member.take(pa.array(second))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -271,7 +278,7 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # a block goes to each pair that it is part of, once
     ends = pairs.select("group", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
     rows = blocks.join(small_side(ends, 1_000_000), ["group", "block"]).withColumn("side", (F.col("block") != F.col("left")).cast("int"))
-    rows = rows.join(sets, "member").select("group", "left", "right", "side", "member", "root", "open", "names")
+    rows = rows.join(sets, "member").select("group", "left", "right", "side", "member", "open", "names")
     return _block_links(rows.repartition("group", "left", "right").sortWithinPartitions("group", "left", "right"), percent)
 
 

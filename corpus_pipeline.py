@@ -94,7 +94,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs, pieces.load(model_file()), check=True).select("doc_id", "lang", "source", "n_ids", "ids", "same")
+    docs = docs.select("doc_id", "lang", "source", "text")
+    return pieces.encode(docs, pieces.load(model_file()), check=True, texts=False).select("doc_id", "lang", "source", "n_ids", "ids", "same")
 
 
 STAGES = [("language_id", languages), ("line_dedup", lines), ("near_dup", near_duplicates), ("decontamination", decontaminated), ("sentencepiece", tokens)]

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -216,6 +217,29 @@ def test_a_very_long_word(spark, vocabulary):
     assert row["same"] and vocabulary.decode(np.array(row["ids"])) == text
 
 
+def test_texts_stay_with_the_workers(spark, vocabulary):
+    texts = [None, "", "a b", "the ▁ word\x01"]
+    whole = pieces.encode(frame(spark, texts), vocabulary, check=True)
+    short = pieces.encode(frame(spark, texts), vocabulary, check=True, texts=False)
+    assert short.columns == [c for c in whole.columns if c != "text"]
+    assert short.collect() == whole.drop("text").collect()
+
+
+def test_ids_are_compared_in_bounded_memory(vocabulary):
+    texts = ["the word of a day " * 50] * 3000 + ["▁ x", "", None]
+    data, bounds = pieces.marked(pa.array(texts))
+    encoder = pieces.Encoder(vocabulary)
+    ids, ends = encoder.encode(data, bounds)
+    wrong = ids.copy()
+    wrong[ends[7]] = 5
+    tracemalloc.start()
+    assert encoder.same(ids, ends, data, bounds).all()
+    assert np.flatnonzero(~encoder.same(wrong, ends, data, bounds)).tolist() == [7]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(data) > 2_500_000 and peak < 2 * len(data)
+
+
 def test_a_model_with_marks_inside_pieces_is_refused(monkeypatch):
     import sentencepiece
 

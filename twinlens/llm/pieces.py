@@ -30,22 +30,23 @@ from pyspark.sql import types as T
 from twinlens.llm.common import text_slices, utf8
 
 MARK, UNKNOWN, MEMORY = "▁", 10.0, 400_000
-#: Elements of the largest array of a batch of words, characters of a long word that are looked at together, and bytes of text.
-CELLS, WINDOW, PART = 1 << 20, 2048, 2 << 20
+#: Elements of the largest array of a batch of words, characters of a long word that are looked at together, bytes of text, and bytes of text
+#: that are compared together.
+CELLS, WINDOW, PART, COMPARED = 1 << 20, 2048, 1 << 20, 1 << 17
 _ODD = 0x9E3779B97F4A7C15
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:
-    """Prefix hashes (n, length + 1) of rows of code points."""
-    out = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
-    for j in range(codes.shape[1]):
-        out[:, j + 1] = out[:, j] * np.uint64(_ODD) + codes[:, j].astype(np.uint64) + np.uint64(1)
+    """Prefix hashes (length + 1, n) of columns of code points."""
+    out = np.zeros((codes.shape[0] + 1, codes.shape[1]), np.uint64)
+    for j in range(codes.shape[0]):
+        out[j + 1] = out[j] * np.uint64(_ODD) + codes[j] + np.uint64(1)
     return out
 
 
 def _codes(words: list[str]) -> np.ndarray:
-    """Code points of words of one length."""
-    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
+    """Code points of words of one length, a column for each word."""
+    return np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).T)
 
 
 @dataclass
@@ -62,7 +63,7 @@ class Vocabulary:
     def __post_init__(self):
         usable = np.flatnonzero(self.kinds == self.NORMAL)
         self.longest = max((len(self.pieces[i]) for i in usable), default=1)
-        keys = np.array([_hash(_codes([self.pieces[i]]))[0, -1] for i in usable], np.uint64)
+        keys = np.array([_hash(_codes([self.pieces[i]]))[-1, 0] for i in usable], np.uint64)
         # the first of equal pieces counts
         self.keys, first = np.unique(keys, return_index=True)
         self.ids = usable[first].astype(np.int32)
@@ -97,50 +98,51 @@ class Vocabulary:
 
     def _viterbi(self, words: list[str], length: int) -> list[np.ndarray]:
         n, most = len(words), min(length, self.longest)
-        codes = _codes(words)
-        sums = _hash(codes)
+        # words lie side by side in every array, so that a step over all of them reads memory in order
+        sums = _hash(_codes(words))
         powers = [np.uint64(pow(_ODD, size, 1 << 64)) for size in range(most + 1)]
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        back, piece = np.zeros((n, length), np.int16), np.zeros((n, length), np.int32)
+        best = np.full((length + 1, n), -np.inf)
+        best[0] = 0
+        back, piece = np.zeros((length, n), np.int16), np.zeros((length, n), np.int32)
         rows = np.arange(n)
         for low in range(0, length, WINDOW):
             high = min(low + WINDOW, length)
-            score = np.full((most, n, high - low), -np.inf)  # of the piece of l + 1 characters that ends at j
-            own = np.full((most, n, high - low), -1, np.int32)
+            score = np.full((most, high - low, n), -np.inf)  # of the piece of l + 1 characters that ends at j
+            own = np.full((most, high - low, n), -1, np.int32)
             for size in range(1, most + 1):
                 first = max(size, low + 1)
                 if first <= high:
-                    s, at = self.probe(sums[:, first : high + 1] - sums[:, first - size : high + 1 - size] * powers[size])
-                    score[size - 1, :, first - low - 1 :] = s
-                    own[size - 1, :, first - low - 1 :] = at
+                    s, at = self.probe(sums[first : high + 1] - sums[first - size : high + 1 - size] * powers[size])
+                    score[size - 1, first - low - 1 :] = s
+                    own[size - 1, first - low - 1 :] = at
             lone = np.isneginf(score[0])
             score[0][lone] = self.unknown
             own[0][lone] = -1
             for j in range(low, high):
                 upto = min(most, j + 1)
                 # the longest piece comes first, so it wins among equals
-                sums_ = score[upto - 1 :: -1, :, j - low] + best[:, j - upto + 1 : j + 1].T
+                sums_ = score[upto - 1 :: -1, j - low] + best[j - upto + 1 : j + 1]
                 pick = sums_.argmax(0)
-                best[:, j + 1] = sums_[pick, rows]
-                back[:, j] = upto - 1 - pick
-                piece[:, j] = own[upto - 1 - pick, rows, j - low]
+                best[j + 1] = sums_[pick, rows]
+                back[j] = upto - 1 - pick
+                piece[j] = own[upto - 1 - pick, j - low, rows]
         # back from the ends, all words together
         steps, end = [], np.full(n, length)
         while (end > 0).any():
             live = end > 0
             last = np.where(live, end - 1, 0)
-            size, found = back[rows, last], piece[rows, last]
+            size, found = back[last, rows], piece[last, rows]
             steps.append(np.where(live, np.where(found >= 0, found, -2 - last), -1))
             end = np.where(live, last - size, 0)
         table = np.array(steps[::-1]).T
-        out = []
-        for row, word in zip(table, words, strict=True):
-            row = row[row != -1]
-            if (row >= 0).all():
-                out.append(self.ids[row])
-            else:
-                out.append(np.concatenate([self._spelled(word[-2 - r]) if r < 0 else self.ids[r : r + 1] for r in row]))
+        used = table != -1
+        ends = np.cumsum(used.sum(1))
+        flat = table[used]
+        ids = self.ids[np.maximum(flat, 0)] if len(self.ids) else np.zeros(len(flat), np.int32)
+        out = [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        for k in np.flatnonzero((table < -1).any(1)):
+            row = table[k][used[k]]
+            out[k] = np.concatenate([self._spelled(words[k][-2 - r]) if r < 0 else self.ids[r : r + 1] for r in row])
         return out
 
     def _spelled(self, char: str) -> np.ndarray:
@@ -213,7 +215,16 @@ class Encoder:
         return self.flat[take], np.concatenate([[0], ends])[np.searchsorted(starts, bounds)]
 
     def same(self, ids: np.ndarray, id_bounds: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Whether the ids of each text give its bytes back."""
+        """Whether the ids of each text give its bytes back; texts of about ``COMPARED`` bytes at a time, or one longer text."""
+        out = np.empty(len(bounds) - 1, bool)
+        start = 0
+        while start < len(out):
+            stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + COMPARED, "right")) - 1)
+            out[start:stop] = self._same(ids[id_bounds[start] : id_bounds[stop]], id_bounds[start : stop + 1] - id_bounds[start], data[bounds[start] : bounds[stop]], bounds[start : stop + 1] - bounds[start])
+            start = stop
+        return out
+
+    def _same(self, ids: np.ndarray, id_bounds: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         size = self.raw_ends[ids + 1] - self.raw_ends[ids]
         ends = np.concatenate([[0], np.cumsum(size)])
         back = self.raw[np.arange(ends[-1]) + np.repeat(self.raw_ends[ids] - ends[:-1], size)]
@@ -224,11 +235,13 @@ class Encoder:
         return np.array([np.array_equal(back[a:b], data[c:d]) for a, b, c, d in zip(per[:-1], per[1:], bounds[:-1], bounds[1:], strict=True)], bool)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, check: bool = False) -> DataFrame:
-    """``docs`` with ids (array<int>) and n_ids; with ``check`` also same: whether the ids decode to the text."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, check: bool = False, texts: bool = True) -> DataFrame:
+    """``docs`` with ids (array<int>) and n_ids; with ``check`` also same: whether the ids decode to the text. Without ``texts`` the
+    column text is left out, and the texts are not sent back from the Python workers."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     out = docs.drop("ids", "n_ids", "same")
-    fields = [*out.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType())]
+    kept = [k for k, f in enumerate(out.schema.fields) if texts or f.name != "text"]
+    fields = [*(out.schema.fields[k] for k in kept), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType())]
     schema = T.StructType([*fields, T.StructField("same", T.BooleanType())] if check else fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +251,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, check: bool = False) -> Data
             data, bounds = marked(column)
             ids, ends = encoder.encode(data, bounds)
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=column.is_null())
-            columns = [*part.columns, lists, pa.array(np.diff(ends))]
+            columns = [*(part.column(k) for k in kept), lists, pa.array(np.diff(ends))]
             if check:
                 columns.append(pa.array(encoder.same(ids, ends, data, bounds)))
             yield pa.RecordBatch.from_arrays(columns, schema.names)

@@ -39,4 +39,4 @@ def model_file() -> str:
 
 @query("op6_sentencepiece")
 def encoded(spark, sf):
-    return pieces.encode(table(spark, sf, "documents").select("doc_id", "text"), pieces.load(model_file()), check=True).drop("text")
+    return pieces.encode(table(spark, sf, "documents").select("doc_id", "text"), pieces.load(model_file()), check=True, texts=False)

@@ -1,5 +1,7 @@
 """Heads against finite differences, the trainer on separable data, scoring and storage."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -160,6 +162,27 @@ def test_neighbours_against_brute_force(spark, pivots, block):
         assert [n for _, n in sorted(got[1000 + i])] == want
 
 
+def test_neighbours_and_visits_in_bounded_memory():
+    rng = np.random.default_rng(13)
+    q, x = rng.normal(size=(4096, 4)), np.round(rng.normal(size=(4096, 4)), 1)
+    tracemalloc.start()
+    place, distance = K._closest(q, x, 5)
+    visits, most, seen = 0, 0, 0
+    for row, cell in K._open_cells(q[:600], np.zeros(600, int), np.full(600, np.inf), x, np.zeros(4096), np.ones(4096, int)):
+        assert len(row) and (cell > 0).all()
+        visits, most, seen = visits + len(row), max(most, len(row)), max(seen, row.max())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the whole matrix of distances has 134 MB
+    assert peak < 80_000_000 and most * 4 <= K.TOGETHER
+    assert (visits, seen) == (600 * 4095, 599)
+    for i in range(0, 4096, 97):
+        d = np.round(np.sqrt(((q[i] - x) ** 2).sum(1)), 9)
+        want = np.lexsort((np.arange(4096), d))[:5]
+        assert place[i].tolist() == want.tolist() and distance[i] == pytest.approx(d[want])
+    assert [a.shape for a in K._closest(q[:3], x[:2], 5)] == [(3, 2), (3, 2)]
+
+
 def test_components_against_the_exact_axes(spark):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(80, 5)) * [5, 3, 1, 0.5, 0.1] + 7

@@ -3,7 +3,7 @@ nearest-neighbour vote by pruned blocks, and principal components by sums of pro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -62,12 +62,44 @@ def model_bench(train: DataFrame, test: DataFrame, vector: str, label: str, key:
 # Nearest neighbours
 
 MOST_PIVOTS = 4096
+#: Numbers of the largest array that a task makes at a time.
+TOGETHER = 1 << 20
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
 
 
+def _slices(rows: int, width: int) -> Iterator[slice]:
+    """Runs of rows of at most ``TOGETHER`` numbers, one row at least."""
+    step = max(1, TOGETHER // max(1, width))
+    return (slice(at, min(at + step, rows)) for at in range(0, rows, step))
+
+
+def _closest(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, distances) of the k rows of x nearest to each row of q, the earlier ones among equals. Distances are made for some rows of q at a time."""
+    place = np.empty((len(q), min(k, len(x))), np.int64)
+    distance = np.empty(place.shape)
+    for part in _slices(len(q), len(x)):
+        d = np.round(np.sqrt(_squared(q[part], x)), 9)
+        place[part] = d.argsort(axis=1, kind="stable")[:, :k]
+        distance[part] = np.take_along_axis(d, place[part], 1)
+    return place, distance
+
+
+def _open_cells(v: np.ndarray, own: np.ndarray, bound: np.ndarray, pivots: np.ndarray, radius: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, cell) of the visits of ``_other_cells``, some at a time."""
+    for part in _slices(len(v), len(pivots)):
+        d = np.sqrt(_squared(v[part], pivots))
+        # distances are rounded to 9 digits
+        open_ = (d - radius <= bound[part, None] + 2e-9) & (sizes > 0)
+        open_[np.arange(len(d)), own[part]] = False
+        row, cell = np.nonzero(open_)
+        # a visit takes its row's vector along
+        for some in _slices(len(row), v.shape[1]):
+            yield row[some] + part.start, cell[some].astype(np.int32)
+
+
 def _in_cells(df: DataFrame, cols: Sequence[str], pivots: np.ndarray) -> DataFrame:
     """Adds ``cell``, the nearest pivot, and ``reach``, the distance to it."""
     shared = df.sparkSession.sparkContext.broadcast(pivots)
@@ -75,11 +107,12 @@ def _in_cells(df: DataFrame, cols: Sequence[str], pivots: np.ndarray) -> DataFra
     def run(batches):
         for b in batches:
             if b.num_rows:
-                d = np.sqrt(_squared(matrix(b, "__v"), shared.value))
-                cell = d.argmin(1)
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], [*b.schema.names, "cell", "reach"]
-                )
+                v = matrix(b, "__v")
+                cell, reach = np.empty(len(v), np.int32), np.empty(len(v))
+                for part in _slices(len(v), len(shared.value)):
+                    d = np.sqrt(_squared(v[part], shared.value))
+                    cell[part], reach[part] = d.argmin(1), d.min(1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(reach)], [*b.schema.names, "cell", "reach"])
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*cols).schema)
     return df.select(*cols, "__v").mapInArrow(run, f"{kept}, __v array<double>, cell int, reach double")
@@ -94,15 +127,10 @@ def _other_cells(test: DataFrame, key: str, pivots: np.ndarray, radius: np.ndarr
         for b in batches:
             if not b.num_rows:
                 continue
-            piv, rad, size = shared.value
-            d = np.sqrt(_squared(matrix(b, "__v"), piv))
             own, bound = (b.column(c).to_numpy() for c in ("cell", "bound"))
-            # distances are rounded to 9 digits
-            open_ = (d - rad <= bound[:, None] + 2e-9) & (size > 0)
-            open_[np.arange(len(d)), own] = False
-            row, cell = np.nonzero(open_)
-            out = b.select([key, "__v"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell.astype(np.int32))], [*out.schema.names, "cell"])
+            for row, cell in _open_cells(matrix(b, "__v"), own, bound, *shared.value):
+                out = b.select([key, "__v"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell)], [*out.schema.names, "cell"])
 
     kind = test.schema[key].dataType.simpleString()
     return test.select(key, "__v", "cell", "bound").mapInArrow(run, f"{key} {kind}, __v array<double>, cell int")
@@ -112,7 +140,7 @@ def _nearest(placed: DataFrame, visits: DataFrame, key: str, k: int, block: int)
     """(key, neighbour, label, distance): for each visit the k nearest training rows of a part of its cell, at least.
 
     Each cell is cut by its own counts, into parts of about ``block`` rows on both sides: a training row is copied once for each ``block`` visits of its cell, and
-    not at all if there are none. A task compares two parts as matrices and emits k rows for each visit, never the pairs. Ties go to the smaller key."""
+    not at all if there are none. A task compares two parts as matrices, some visits at a time, and emits k rows for each visit, never the pairs. Ties go to the smaller key."""
     cuts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("tcut"))
     cuts = cuts.join(visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("qcut")), "cell")
     # one row for each cell
@@ -130,11 +158,10 @@ def _nearest(placed: DataFrame, visits: DataFrame, key: str, k: int, block: int)
             return schema.empty_table()
         a, b = a.sort_by("neighbour").combine_chunks(), b.combine_chunks()
         x, q = matrix(a.to_batches()[0], "__v"), matrix(b.to_batches()[0], "__v")
-        d = np.round(np.sqrt(_squared(q, x)), 9)
-        top = d.argsort(axis=1, kind="stable")[:, :k]
+        top, distance = _closest(q, x, k)
         rows = np.repeat(np.arange(len(q)), top.shape[1])
-        near = a.take(pa.array(top.ravel()))
-        cols = [b.column(key).take(pa.array(rows)), near.column("neighbour"), near.column("label"), pa.array(d[rows, top.ravel()])]
+        near = a.select(["neighbour", "label"]).take(pa.array(top.ravel()))
+        cols = [b.column(key).take(pa.array(rows)), near.column("neighbour"), near.column("label"), pa.array(distance.ravel())]
         return pa.Table.from_arrays(cols, schema=schema)
 
     kind = visits.schema[key].dataType.simpleString()

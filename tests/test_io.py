@@ -1,8 +1,10 @@
 import io
 import random
 import tarfile
+import tracemalloc
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 
@@ -35,6 +37,25 @@ def test_csv_keeps_breaks_quotes_and_nulls(spark, tmp_path):
     assert sorted(tuple(r) for r in S.read_csv(spark, str(tmp_path / "x"), "id int, t string").collect()) == [(i, t or None) for i, t in rows]
 
 
+def test_records_take_few_lines_at_a_time(monkeypatch):
+    def records(lines):
+        n = len(lines)
+        batch = pa.record_batch({"f": pa.array(["x"] * n), "s": pa.array([0] * n, pa.int64()), "odd": pa.array([0] * n, pa.int32()), "value": pa.array(lines)})
+        return S._records(iter([batch]))
+
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in records(["h", *["y" * 10_000] * 3000]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 3000 and peak < 10_000_000
+    lines = ["h", "a,b", '"open', "", 'still",c', "", "d", '"left', "open"]
+    whole = [r for b in records(lines) for r in b.to_pylist()]
+    assert [(r["text"], r["whole"]) for r in whole] == [("a,b", True), ('"open\n\nstill",c', True), ("", True), ("d", True), ('"left\nopen', False)]
+    for most in (1, 5, 9):
+        monkeypatch.setattr(S, "LINES_TOGETHER", most)
+        assert [r for b in records(lines) for r in b.to_pylist()] == whole
+
+
 def test_ignore_keeps_the_first_output(spark, tmp_path):
     path = str(tmp_path / "x")
     K.write_csv(spark.range(3), path)

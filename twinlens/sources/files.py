@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,12 +53,26 @@ def read_quoted(spark: SparkSession, path, schema: str, sep: str = ",") -> DataF
     return texts.select(ended.alias("text")).where("text != ''").select(F.from_csv("text", schema, options | {"sep": sep}).alias("r")).select("r.*")
 
 
+#: Bytes of lines that a task turns into records together; a longer line is taken alone.
+LINES_TOGETHER = 1 << 20
+
+
+def _few_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("value")).to_numpy(), dtype=np.int64)
+        start, before = 0, 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, before + LINES_TOGETHER, "right")))
+            yield batch.slice(start, stop - start)
+            start, before = stop, ends[stop - 1]
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole records, and the pieces that a split leaves open: at its start (number 0) and at its end (number 1). Lines come in the order of their split; a
-    file's first record, the header, is left out."""
+    file's first record, the header, is left out. Beside a batch of lines, memory goes to ``LINES_TOGETHER`` bytes of them and to the record that is open."""
     names = ["f", "s", "number", "begins", "whole", "text"]
     split, held, begins, header = None, None, False, False
-    for batch in batches:
+    for batch in _few_lines(batches):
         out: list[tuple] = []
         columns = [c.to_pylist() for c in batch.columns]
         for f, s, odd, line in zip(*columns, strict=True):

@@ -7,7 +7,7 @@ import pytest
 
 from twinlens.llm import pii
 from twinlens.llm.decontamination import contamination, proximity
-from twinlens.llm.line_dedup import dedup_lines
+from twinlens.llm.line_dedup import _blank, dedup_lines
 
 SCHEMA = "doc_id long, text string, shift int, place string, item string, n_removed string"
 ODD = [None, "", " \n\t", "\n\n\n", "a", "é… x", "word " * 3000]
@@ -130,6 +130,14 @@ def test_line_dedup_with_repeated_rows_and_null_ids(spark):
     assert dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_blank_lines_are_told_by_their_first_characters(spark):
+    blank, other = ["", " ", "\t \r\f\v", " " * 500], ["a", " \t.", "\x00", "\xa0", " \x1c ", "é ", "\u2028", "\x85"]
+    rows = spark.createDataFrame([(t,) for t in blank + other], "c string")
+    assert [r[0] for r in rows.select(_blank(rows["c"])).collect()] == [True] * len(blank) + [False] * len(other)
+    # no line is rewritten as a whole to look at it
+    assert "translate" not in dedup_lines(frame(spark, blank + other))._jdf.queryExecution().optimizedPlan().toString()
+
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

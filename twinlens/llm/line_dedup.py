@@ -33,7 +33,8 @@ def split_lines(text: Column) -> Column:
 
 
 def _blank(content: Column) -> Column:
-    return F.trim(F.translate(content, "\t\r\f\v", "    ")) == ""
+    # stops at the first character that is not blank
+    return F.ltrim(content, F.lit(" \t\r\f\v")) == ""
 
 
 def _same(left: list[str], right: list[str]) -> Column:

@@ -269,6 +269,59 @@ def test_vectors_that_take_no_part(spark):
     assert ann.neighbours(df.where("vec_id is null")).count() == 0 and ann.neighbours(df.limit(0)).count() == 0
 
 
+def test_a_query_is_not_repeated_for_each_of_its_lists(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1200, 6)).astype(np.float32).astype(float)
+    x[700:] = x[0]  # a hot list, cut into blocks
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    vectors = ann.usable(df)
+    index = ann.fit(vectors, list_rows=20)
+    index.ratio, index.width = 1e9, len(index.centroids)  # every list is searched
+    assert index.width > 50
+    lists, kept = ann.postings(vectors, index), []
+
+    def counted(df, name="table"):
+        kept.append(df.count())
+        return df
+
+    monkeypatch.setattr(ann, "stored", counted)
+    asked = vectors.where("vec_id % 3 = 0")
+    got = ann.search(index, lists, asked, 5, block_rows=100, block_queries=150)
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert found == {q: [i for i, _ in v] for q, v in exact(x, np.arange(1200), range(0, 1200, 3), 5).items()}
+    assert max(kept, default=0) <= 400 * 20
+
+
+def test_blocks_of_lists():
+    cut = ann.Layout.of(np.array([0, 3, 4, 25, 0, 6, 6]), 10)
+    assert cut.first.tolist() == [0, 0, 0, 1, 3, 4, 5] and cut.parts.tolist() == [1, 1, 1, 3, 1, 1, 1]
+    assert cut.low.tolist() == [0, 3, 3, 3, 5, 6] and cut.high.tolist() == [3, 4, 4, 5, 6, 7]
+
+
+def test_walk_is_a_beam_search():
+    rng = np.random.default_rng(8)
+    unit = lambda n: ann.unit(rng.standard_normal((n, 12)))
+    c, q = unit(150), unit(20)
+    graph = np.argsort(-(c @ c.T), axis=1)[:, :6]
+    graph[:, -1] = (np.arange(150) + 1) % 150
+    index = ann.Index(c, graph, np.array([0, 70]), 0.15, 2)
+    for width in (1, 4, 30, 150):
+        seen = index.walk(q, width)
+        for i in range(len(q)):
+            known, done = {0, 70}, set()
+            while True:
+                limit = sorted((float(q[i] @ c[x]) for x in known), reverse=True)[:width]
+                now = [x for x in known - done if len(limit) < width or float(q[i] @ c[x]) >= limit[-1] - 1e-12]
+                if not now:
+                    break
+                done |= set(now)
+                known |= {int(y) for x in now for y in graph[x]}
+            assert set(np.flatnonzero(np.isfinite(seen[i]))) == known
+            assert np.allclose([seen[i, x] for x in known], [q[i] @ c[x] for x in known])
+
+
 def test_shingles_of_odd_texts():
     names, bounds = near_dup.shingles(*utf8(pa.array([*ODD, "A b a B a b"])), 2)
     assert np.diff(bounds).tolist() == [0, 0, 0, 1, 1, 1, 1, 2]

@@ -198,6 +198,60 @@ def test_many_tables_in_one_run_are_as_each_alone(spark, monkeypatch):
     assert not got
 
 
+@pytest.mark.parametrize("counts", [1 << 26, 1])
+def test_auroc_of_draws_against_brute_force(spark, monkeypatch, counts):
+    """Groups that share their draws, ties longer than a run of rows, a label without a positive row; the second way is by ranges of the score."""
+    monkeypatch.setattr(R, "COUNTS", counts)
+    monkeypatch.setattr(R, "REPLICATES", (2, 8))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        rng = np.random.default_rng(3)
+        n, rows, want = 90, [], {}
+        for g in ("a", "b", None):
+            score = np.where(rng.random(n) < 0.4, 0.5, np.round(rng.random(n), 2))
+            positive = (rng.random(n) < 0.3).astype(int) * (g != "b")
+            rows += [(g, i, n, float(score[i]), int(positive[i])) for i in range(n)]
+            for k, count in enumerate(R.row_counts(n, np.arange(n), np.arange(20), 2026)):
+                want[g, k] = brute_auc(np.repeat(score, count), np.repeat(positive, count))
+        df = spark.createDataFrame(rows, "g string, row_id long, size long, score double, positive int").repartition(4)
+        got = {(r["g"], r["replicate"]): r["auroc"] for r in R.auroc_draws(df, 20, groups=["g"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(v, abs=1e-12, nan_ok=True) for k, v in want.items())
+
+
+def test_long_runs_of_one_score():
+    rng = np.random.default_rng(4)
+    n = 3000
+    score = np.sort(np.where(rng.random(n) < 0.4, 0.5, np.round(rng.random(n), 3)))
+    positive, counts = rng.random(n) < 0.2, R.counts_of(n, np.arange(6), 1)
+    wins = R._Wins(counts, 0, [])
+    for at in range(0, n, 700):
+        x = score[at : at + 700]
+        wins.add(np.arange(at, at + len(x), dtype=np.int32), positive[at : at + 700], np.append(True, x[1:] != x[:-1]), x[0], x[-1])
+    for k, got in enumerate(wins.result(["replicate", "auroc"]).column(1).to_pylist()):
+        each = np.repeat(np.arange(n), counts[:, k])
+        p, m = score[each[positive[each]]], np.sort(score[each[~positive[each]]])
+        assert got == pytest.approx((np.searchsorted(m, p) + np.searchsorted(m, p, "right")).sum() / 2 / len(p) / len(m), abs=1e-13)
+
+
+def test_few_cells_are_many_tasks(spark):
+    """All replicates of a block of cells are long work, however few bytes its rows have."""
+    df, _ = predictions(spark)
+    draws = R.cell_draws(df, ["y_true", "y_pred"], 2000)
+    task = draws.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count_distinct("replicate").alias("n"))
+    assert max(r["n"] for r in task.collect()) < 2000
+
+
+def test_quantiles_of_unlike_nodes():
+    m, a, s = np.array([0, 5, 5, 40, 3, 100_000]), np.array([1, 1, 2, 7, 1, 3]), np.array([2, 2, 3, 15, 2, 7])
+    u = np.array([0.4, 0.99, 0.2, 0.5, 1e-9, 0.731])
+    for got, n, p, x in zip(R.binomial_quantiles(m, a, s, u), m.tolist(), a / s, u, strict=True):
+        below = np.cumsum([math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p)) for k in range(n + 1)])
+        assert got == min(n, int(np.searchsorted(below, x)))
+
+
 def test_number_of_cases_is_checked(spark):
     df, _ = predictions(spark, classes=3)
     cases = df.select(F.lit("x").alias("dataset"), (F.col("sample_id") % 2).alias("model"), "y_true", "y_pred")

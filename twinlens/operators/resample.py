@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinlens.operators.ranking import ordered_scan
+from twinlens.session import stored
 
 MASK = (1 << 32) - 1
 # fixed values: the multipliers of a public 32-bit finalizer
 FACTORS = (2246822507, 3266489909)
 #: Cells of a group that a task looks at together, and numbers (replicates x ranges) held at a time.
 CELLS, HELD = 4096, 1 << 21
+#: Counts (rows x replicates) that a task keeps, replicates that are worth a task of their own, and rows that are looked at together.
+COUNTS, REPLICATES, ROWS = 1 << 26, (16, 256), 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -35,6 +38,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(16))
 
 
+def _mix32(h: np.ndarray) -> np.ndarray:
+    """``mix`` of 32-bit values in place, which wrap around by themselves."""
+    for shift, factor in ((16, FACTORS[0]), (13, FACTORS[1])):
+        h ^= h >> np.uint32(shift)
+        h *= np.uint32(factor)
+    h ^= h >> np.uint32(16)
+    return h
+
+
 def uniform(seed: int, replicates: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """(replicates, nodes) numbers between 0 and 1, of 53 bits from two chains of hashes."""
     chains = []
@@ -42,58 +54,94 @@ def uniform(seed: int, replicates: np.ndarray, lo: np.ndarray, hi: np.ndarray) -
         h = np.full(len(lo), start, np.uint64)
         for word in (np.full(len(lo), seed, np.uint64), lo.astype(np.uint64), lo.astype(np.uint64) >> np.uint64(32), hi.astype(np.uint64), hi.astype(np.uint64) >> np.uint64(32)):
             h = mix((h * np.uint64(31) + (word & np.uint64(MASK))) & np.uint64(MASK))
-        chains.append(mix((h[None, :] * np.uint64(31) + replicates.astype(np.uint64)[:, None]) & np.uint64(MASK)))
-    return ((chains[0] << np.uint64(21)) + (chains[1] >> np.uint64(11)) + 0.5) / float(1 << 53)
+        chains.append(_mix32((h * np.uint64(31)).astype(np.uint32)[:, None] + replicates.astype(np.uint64).astype(np.uint32)[None, :]))
+    out = chains[0] * float(1 << 21)
+    out += chains[1] >> np.uint32(11)
+    out += 0.5
+    out /= float(1 << 53)
+    return out.T
+
+
+def _sums(m: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest k, and P(Binomial(m, p) <= k) from there on, a row for each m.
+
+    Probabilities follow from each other by their ratios, over 12 standard deviations and 40 on both sides, where nothing
+    that 53 bits can show lies outside."""
+    spread = 12 * np.sqrt(m * p * (1 - p)) + 40
+    low, high = np.maximum(0, (m * p - spread).astype(np.int64)), np.minimum(m, (m * p + spread).astype(np.int64) + 1)
+    k = low[:, None] + np.arange((high - low).max())
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratios = np.where(k < high[:, None], np.log((m[:, None] - k) / (k + 1.0)) + np.log(p / (1 - p)), -np.inf)
+    steps = np.concatenate([np.zeros((len(m), 1)), np.cumsum(ratios, 1)], 1)
+    sums = np.cumsum(np.exp(steps - steps.max(1, keepdims=True)), 1)
+    return low, sums / sums[:, -1:]
 
 
 def binomial_quantiles(m: np.ndarray, a: np.ndarray, s: np.ndarray, u: np.ndarray) -> np.ndarray:
     """The least k with P(Binomial(m, a / s) <= k) >= u, elementwise; 0 < a < s.
 
-    Probabilities follow from each other by their ratios, over 12 standard deviations and 40 on both sides, where nothing
-    that 53 bits can show lies outside; equal (m, a, s) share them."""
+    Equal (m, a, s) share their probabilities. The sums of some m are one sorted list, each m's above those of the one before it."""
     out = np.zeros(len(m), np.int64)
-    order = np.lexsort((s, a, m))
-    cut = np.flatnonzero(np.concatenate([[True], (np.diff(m[order]) != 0) | (np.diff(a[order]) != 0) | (np.diff(s[order]) != 0), [True]])) if len(m) else []
-    for start, stop in zip(cut[:-1], cut[1:]):
-        at = order[start:stop]
-        n, p = int(m[at[0]]), a[at[0]] / s[at[0]]
-        if n == 0:
-            continue
-        spread = 12 * np.sqrt(n * p * (1 - p)) + 40
-        low, high = max(0, int(n * p - spread)), min(n, int(n * p + spread) + 1)
-        k = np.arange(low, high, dtype=np.float64)
-        steps = np.concatenate([[0.0], np.cumsum(np.log((n - k) / (k + 1)) + np.log(p / (1 - p)))])
-        sums = np.cumsum(np.exp(steps - steps.max()))
-        out[at] = np.minimum(low + np.searchsorted(sums / sums[-1], u[at], "left"), n)
+    if not len(m):
+        return out
+    nodes, kind = np.unique(np.stack([a, s], 1), axis=0, return_inverse=True)
+    for x, (left, size) in enumerate(nodes.tolist()):
+        here = slice(None) if len(nodes) == 1 else np.flatnonzero(kind.ravel() == x)
+        out[here] = _quantiles(m[here], left / size, u[here])
+    return out
+
+
+def _quantiles(m: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
+    least, most = int(m.min()), int(m.max())
+    if most - least < 4 * len(m) + 1024:
+        there = np.bincount((m - least).ravel(), minlength=most - least + 1) > 0
+        values, nth = np.flatnonzero(there) + least, (np.cumsum(there) - 1)[m - least]
+    else:
+        values, nth = np.unique(m, return_inverse=True)
+        nth = nth.reshape(m.shape)
+    width = int(24 * np.sqrt(most * p * (1 - p))) + 84
+    step = max(1, (1 << 19) // min(width, most + 1))
+    out = np.zeros(m.shape, np.int64)
+    for start in range(0, len(values), step):
+        low, sums = _sums(values[start : start + step], p)
+        keys = (sums + np.arange(len(sums))[:, None]).ravel()
+        at = slice(None) if len(values) <= step else np.nonzero((nth >= start) & (nth < start + step))
+        own = nth[at] - start
+        place = np.searchsorted(keys, own + u[at], "left") - own * sums.shape[1] + low[own]
+        out[at] = np.minimum(place, m[at])
     return out
 
 
 def drawn_below(n: int, limits: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
     """(replicates, limits): how many of the n draws fall on rows below each of the sorted, distinct ``limits`` (0 to n)."""
-    out = np.zeros((len(replicates), len(limits)), np.int64)
-    out[:, limits >= n] = n
+    # a row for each node or limit, which are taken and put in whole
+    out = np.zeros((len(limits), len(replicates)), np.int64)
+    out[limits >= n] = n
     lo, hi = np.array([0]), np.array([n])
-    draws, before = np.full((len(replicates), 1), n, np.int64), np.zeros((len(replicates), 1), np.int64)
+    draws, before = np.full((1, len(replicates)), n, np.int64), np.zeros((1, len(replicates)), np.int64)
 
     def inside(lo, hi):
         return np.searchsorted(limits, hi, "left") > np.searchsorted(limits, lo, "right")
 
     open_ = inside(lo, hi)
-    lo, hi, draws, before = lo[open_], hi[open_], draws[:, open_], before[:, open_]
+    lo, hi, draws, before = lo[open_], hi[open_], draws[open_], before[open_]
     while len(lo):
         a = (hi - lo) // 2
         mid = lo + a
-        u = uniform(seed, replicates, lo, hi)
-        grid = draws.shape
-        left = binomial_quantiles(draws.ravel(), np.broadcast_to(a, grid).ravel(), np.broadcast_to(hi - lo, grid).ravel(), u.ravel()).reshape(grid)
+        u = uniform(seed, replicates, lo, hi).T
+        left = np.empty_like(draws)
+        # nodes of one depth have two or three sizes
+        for size in np.unique(hi - lo).tolist():
+            own = np.flatnonzero(hi - lo == size)
+            left[own] = _quantiles(draws[own], size // 2 / size, u[own])
         at = np.minimum(np.searchsorted(limits, mid), len(limits) - 1)
         hit = limits[at] == mid
-        out[:, at[hit]] = (before + left)[:, hit]
-        lo, hi = np.concatenate([lo, mid]), np.concatenate([mid, hi])
-        draws, before = np.concatenate([left, draws - left], 1), np.concatenate([before, before + left], 1)
-        open_ = inside(lo, hi)
-        lo, hi, draws, before = lo[open_], hi[open_], draws[:, open_], before[:, open_]
-    return out
+        out[at[hit]] = before[hit] + left[hit]
+        # only what goes on is made
+        x, y = inside(lo, mid), inside(mid, hi)
+        lo, hi = np.concatenate([lo[x], mid[y]]), np.concatenate([mid[x], hi[y]])
+        draws, before = np.concatenate([left[x], draws[y] - left[y]]), np.concatenate([before[x], before[y] + left[y]])
+    return out.T
 
 
 def replicate_parts(samples: int, width: int) -> Iterator[np.ndarray]:
@@ -107,7 +155,7 @@ def row_counts(n: int, rows: np.ndarray, replicates: np.ndarray, seed: int) -> n
     """(replicates, rows): how often each of the ``rows`` was drawn."""
     limits = np.unique(np.concatenate([rows, rows + 1]))
     below = drawn_below(n, limits, replicates, seed)
-    return below[:, np.searchsorted(limits, rows + 1)] - below[:, np.searchsorted(limits, rows)]
+    return (below.T[np.searchsorted(limits, rows + 1)] - below.T[np.searchsorted(limits, rows)]).T
 
 
 def bootstrap_draws(spark: SparkSession, n: int, samples: int, seed: int = 2026, block: int = 1 << 16) -> DataFrame:
@@ -139,7 +187,8 @@ def cell_draws(df: DataFrame, cells: Sequence[str], samples: int, seed: int = 20
     packed = F.sort_array(F.collect_list(F.struct(F.col("__lo").alias("lo"), F.col("__n").alias("n"), F.struct(*cells).alias("cell"))))
     blocks = ranges.groupBy(*groups, F.expr(f"__i div {CELLS}").alias("__b"), F.col("__lo_all").alias("__size")).agg(packed.alias("__cells"))
     jobs = blocks.withColumn("__first", F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(step))))
-    jobs = jobs.repartition(*groups, "__b", "__first")
+    # few rows, each of them long work: not put together by their bytes
+    jobs = jobs.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *groups, "__b", "__first")
     kinds = {f.name: f for f in df.schema}
     out = T.StructType([*[kinds[g] for g in groups], T.StructField("replicate", T.LongType()), T.StructField("cell", T.StructType([kinds[c] for c in cells])), T.StructField("n", T.LongType())])
 
@@ -164,7 +213,148 @@ def cell_draws(df: DataFrame, cells: Sequence[str], samples: int, seed: int = 20
 def auroc_draws(long: DataFrame, samples: int, seed: int = 2026, groups: Sequence[str] = ()) -> DataFrame:
     """(groups, replicate, auroc) of the same draws, NaN where one side was not drawn.
 
-    ``long`` has, besides the groups, row_id (of ``size`` rows, numbered in the order of the cells), score and positive (0 or 1). Rows are dealt by ranges of the
+    ``long`` has, besides the groups, row_id (of ``size`` rows, numbered in the order of the cells), score and positive (0 or 1). Groups of one size
+    have the same draws: a task finds those of some replicates once, as a byte for each row and replicate, and reads all groups in the order
+    of their scores, packed to some 4 bytes a row. Where too few replicates of the largest group fit, tasks have ranges of the score instead."""
+    largest = long.agg(F.max("size")).first()[0] or 0
+    each = min(samples, COUNTS // max(1, largest), max(REPLICATES[0], min(REPLICATES[1], -(-samples // (2 * long.sparkSession.sparkContext.defaultParallelism)))))
+    if each < min(samples, REPLICATES[0]):
+        return _auroc_by_ranges(long, samples, seed, groups)
+    packed, turns = stored(_packed(long, groups), "scores"), -(-samples // each)
+    kinds = {f.name: f for f in long.schema}
+    out = T.StructType([*[kinds[g] for g in groups], T.StructField("replicate", T.LongType()), T.StructField("auroc", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, key, drawn, of = None, None, None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                value = lambda c: row.column(row.schema.get_field_index(c))[0].as_py()  # noqa: E731, B023
+                turn, size = value("__turn"), value("size")
+                if (turn, value("__k")) != key:
+                    if open_:
+                        yield open_.result(out.names)
+                    if (turn, size) != of:
+                        open_ = drawn = None  # room for the next
+                        drawn, of = counts_of(size, np.arange(turn * each, min(samples, (turn + 1) * each)), seed), (turn, size)
+                    key = turn, value("__k")
+                    open_ = _Wins(drawn, turn * each, [row.column(row.schema.get_field_index(g)) for g in groups])
+                n = value("n")
+                positive, new = (np.unpackbits(np.frombuffer(value(c), np.uint8), count=n).astype(bool) for c in ("positive", "new"))
+                open_.add(np.frombuffer(value("rows"), np.int32), positive, new, value("first"), value("last"))
+        if open_:
+            yield open_.result(out.names)
+
+    jobs = packed.withColumn("__turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    return jobs.repartitionById(turns, F.col("__turn")).sortWithinPartitions("__turn", "size", "__at").mapInArrow(run, out)
+
+
+def counts_of(n: int, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """(n, replicates): how often each row was drawn, as bytes if they suffice."""
+    out = np.zeros((n, len(replicates)), np.uint8)
+    for start in range(0, n, 1 << 14):
+        rows = np.arange(start, min(n, start + (1 << 14)))
+        step = max(1, (1 << 19) // len(rows))
+        for first in range(0, len(replicates), step):
+            found = row_counts(n, rows, replicates[first : first + step], seed).T
+            if found.max() > np.iinfo(out.dtype).max:
+                out = out.astype(np.int64)
+            out[rows[0] : rows[-1] + 1, first : first + step] = found
+    return out
+
+
+def _packed(long: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """(groups, __k, size, n, first, last, rows, positive, new, __at): runs of rows of a group in the order of their scores, ``new`` where a score differs from that before it in the run."""
+    keyed = long.select(*groups, F.to_json(F.struct(F.lit(0).alias("_"), *groups)).alias("__k"), F.col("score").cast("double").alias("score"), "positive", "row_id", "size")
+    ordered = keyed.repartitionByRange(*groups, "score", "row_id").sortWithinPartitions(*groups, "score", "row_id")
+    kinds = {f.name: f for f in keyed.schema}
+    fields = [("n", T.IntegerType()), ("first", T.DoubleType()), ("last", T.DoubleType()), ("rows", T.BinaryType()), ("positive", T.BinaryType()), ("new", T.BinaryType())]
+    out = T.StructType([*[kinds[g] for g in groups], kinds["__k"], kinds["size"], *[T.StructField(*f) for f in fields]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
+            names = value("__k").to_numpy(zero_copy_only=False)
+            score, positive, row = (value(c).to_numpy(zero_copy_only=False) for c in ("score", "positive", "row_id"))
+            cut = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(names)] if len(names) else [0]
+            for start, stop in zip(cut[:-1], cut[1:]):
+                x = score[start:stop]
+                new = np.concatenate([[True], (x[1:] != x[:-1]) & ~(np.isnan(x[1:]) & np.isnan(x[:-1]))])
+                bits = [np.packbits(b).tobytes() for b in (positive[start:stop] == 1, new)]
+                own = batch.slice(start, 1)
+                one = [own.column(own.schema.get_field_index(c)) for c in (*groups, "__k", "size")]
+                values = [pa.array([stop - start], pa.int32()), pa.array([x[0]]), pa.array([x[-1]]), *[pa.array([b], pa.binary()) for b in (row[start:stop].astype(np.int32).tobytes(), *bits)]]
+                yield pa.RecordBatch.from_arrays([*one, *values], out.names)
+
+    return ordered.mapInArrow(run, out).withColumn("__at", F.monotonically_increasing_id())
+
+
+class _Wins:
+    """Pairs of a positive and a negative row that the positive one wins, a tie being half a win, for each replicate; rows come in the order of their scores."""
+
+    def __init__(self, drawn: np.ndarray, first: int, groups: list[pa.Array]):
+        self.drawn, self.first, self.groups, self.score = drawn, first, groups, None
+        # positive and negative rows, twice the wins, and the rows of the last score, which may go on
+        self.p, self.m, self.twice, self.tied_p, self.tied_m = (np.zeros(drawn.shape[1], np.int64) for _ in range(5))
+
+    def _close(self) -> None:
+        self.twice += self.tied_p * (2 * self.m + self.tied_m)
+        self.p += self.tied_p
+        self.m += self.tied_m
+        self.tied_p[:] = self.tied_m[:] = 0
+
+    def _tied(self, rows: np.ndarray, positive: np.ndarray) -> None:
+        for side, sums in ((rows[positive], self.tied_p), (rows[~positive], self.tied_m)):
+            for at in range(0, len(side), 1 << 12):
+                sums += self.drawn[side[at : at + (1 << 12)]].sum(0, dtype=np.int64)
+
+    def _between(self, rows: np.ndarray, positive: np.ndarray, start: np.ndarray) -> None:
+        """Rows whose scores do not go on elsewhere; ``start`` of each score."""
+        count = self.drawn[rows]
+        at = np.flatnonzero(positive)
+        own = count[at]
+        count[at] = 0
+        below = np.zeros((len(rows) + 1, count.shape[1]), np.int64 if count.itemsize > 1 else np.int32)
+        np.cumsum(count, axis=0, out=below[1:])
+        score = np.searchsorted(start, at, "right") - 1
+        end = np.append(start[1:], len(rows))
+        twice = below[start[score]] + below[end[score]]
+        self.p += (sums := own.sum(0, dtype=np.int64))
+        self.twice += np.einsum("ij,ij->j", own, twice, dtype=np.int64) + 2 * self.m * sums
+        self.m += below[-1]
+
+    def add(self, rows: np.ndarray, positive: np.ndarray, new: np.ndarray, first: float, last: float) -> None:
+        start = np.flatnonzero(new)
+        if self.score is not None and not (first == self.score or (first != first and self.score != self.score)):
+            self._close()
+        self.score = last
+        end = start[1] if len(start) > 1 else len(rows)
+        self._tied(rows[:end], positive[:end])
+        at, stop = 1, len(start) - 1  # scores that begin and end here
+        while at < stop:
+            self._close()
+            to = max(at + 1, int(np.searchsorted(start, start[at] + ROWS, "right")) - 1)
+            to = min(to, stop)
+            a, b = start[at], start[to]
+            if to == at + 1:
+                self._tied(rows[a:b], positive[a:b])
+            else:
+                self._between(rows[a:b], positive[a:b], start[at:to] - a)
+            at = to
+        if stop > 0:
+            self._close()
+            self._tied(rows[start[-1] :], positive[start[-1] :])
+
+    def result(self, names: list[str]) -> pa.RecordBatch:
+        self._close()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            auroc = self.twice * 0.5 / (self.p.astype(np.float64) * self.m)
+        own = pa.array(np.zeros(len(auroc), np.int64))
+        return pa.RecordBatch.from_arrays([*[g.take(own) for g in self.groups], pa.array(self.first + np.arange(len(auroc))), pa.array(auroc)], names)
+
+
+def _auroc_by_ranges(long: DataFrame, samples: int, seed: int, groups: Sequence[str]) -> DataFrame:
+    """``auroc_draws`` of large groups. Rows are dealt by ranges of the
     score. A task counts its own pairs for some replicates at a time and gives three sums for each: rows of its lowest score, of its highest one, and those
     between. The first two may go on in a neighbour and are added up there; then sums are carried from range to range."""
     keyed = long.select(*groups, F.to_json(F.struct(F.lit(0).alias("_"), *groups)).alias("__k"), "score", "positive", "row_id", "size")
